@@ -1,13 +1,17 @@
 """The queries of this subpackage and their DuckDB SQL (where SQL can express them)."""
 
-from recollex.llm import chat_format, exact_dedup, url_filter
+from recollex.llm import chat_format, exact_dedup, language_id, packing, substring_dedup, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
+    "op8_language_id": language_id.op8_language_id,
     "op9_chat_format": chat_format.op9_chat_format,
 }
 ORACLE_SQL = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
+    "op7_substring_dedup": substring_dedup.OP7_SQL,
     "op9_chat_format": chat_format.OP9_SQL,
 }
