@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from recollex.llm._shared import learned_crc, text_or_empty
 
-DIM, SEED = 512, 20240131
+DIM, SEED = 256, 20240131
 #: Letter classes: 0 is the gap between words, 1 to 26 are a to z, other letters share the rest by a hash.
 CLASSES = 40
 #: Code points at once in numpy; a longer text is taken alone.
@@ -51,25 +51,29 @@ def _class_table() -> np.ndarray:
 
 
 class _Grams:
-    """Vectors of grams, made when first met: CLASSES**3 rows of DIM bytes at most (32 MB)."""
+    """Vectors of grams, made when first met: CLASSES**3 rows of DIM bytes at most (64 MB)."""
 
     def __init__(self):
         self.index = np.full(CLASSES**3, -1, np.int32)
         self.rows = np.zeros((1024, DIM), np.float32)
         self.n = 0
 
-    def __call__(self, grams: np.ndarray) -> np.ndarray:
-        new = grams[self.index[grams] < 0]
-        if len(new):
+    def places(self, grams: np.ndarray) -> np.ndarray:
+        """Rows of grams."""
+        at = self.index[grams]
+        if (at < 0).any():
+            new = np.unique(grams[at < 0])
             v = _letter_vectors()
             a, b, c = new // CLASSES**2, new // CLASSES % CLASSES, new % CLASSES
             made = np.roll(v, 2, 1)[a] * np.roll(v, 1, 1)[b] * v[c]
+            made[(b == 0) & (c == 0)] = 0  # a gap after a gap says nothing
             while self.n + len(new) > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
             self.rows[self.n : self.n + len(new)] = made
             self.index[new] = np.arange(self.n, self.n + len(new))
             self.n += len(new)
-        return self.rows[self.index[grams]]
+            at = self.index[grams]
+        return at
 
 
 @functools.cache
@@ -77,37 +81,62 @@ def _grams() -> _Grams:
     return _Grams()
 
 
+def _kept(text: str, letter_before: bool) -> np.ndarray:
+    """Letter classes of a text, a run of other code points as one gap (none at the start, unless a letter came before)."""
+    c = _class_table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    letter = c >= 0
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]
+    keep[:1] |= letter_before
+    return np.where(letter, c, 0)[keep].astype(np.int8)
+
+
+def _places(c: np.ndarray) -> np.ndarray:
+    c = c.astype(np.int32)
+    return _grams().places((c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:])
+
+
+def _bundle(places: np.ndarray) -> np.ndarray:
+    n = np.bincount(places)
+    used = np.flatnonzero(n)
+    return n[used].astype(np.float32) @ _grams().rows[used]
+
+
+_GAP = np.zeros(1, np.int8)
+
+
 def text_vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """A vector for each text, and whether it has a letter. A text of letters has at least one gram: the gap stands
-    before and after it."""
-    table, grams = _class_table(), _grams()
+    """A vector for each text, and whether it has a letter. Each text has a gap before and after it."""
     out, letters = np.zeros((len(texts), DIM), np.float32), np.zeros(len(texts), bool)
-    for i, text in enumerate(texts):
-        counts = None
-        for at in range(0, max(len(text), 1), BLOCK):  # two code points of overlap keep every gram
-            part = f" {text} " if len(text) <= BLOCK else (" " if at == 0 else "") + text[at : at + BLOCK + 2] + (" " if at + BLOCK >= len(text) else "")
-            c = table[np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)]
-            letter = c >= 0
-            if not letter.any():
-                continue
-            letters[i] = True
+    lo = 0
+    while lo < len(texts):
+        hi, size = lo, 0
+        while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= BLOCK):
+            size += len(texts[hi]) + 1
+            hi += 1
+        if size > BLOCK and hi == lo + 1:  # one long text, block by block
+            text, tail = texts[lo], _GAP
+            for at in range(0, len(text), BLOCK):
+                c = np.concatenate([tail, _kept(text[at : at + BLOCK] + " " * (at + BLOCK >= len(text)), bool(tail[-1]))])
+                if len(c) >= 3:
+                    out[lo] += _bundle(_places(c))
+                    letters[lo] = True
+                tail = c[-2:]
+            letters[lo] |= bool(tail.any())
+        else:
+            joined = "".join(t + " " for t in texts[lo:hi])
+            letter = _class_table()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)] >= 0
             keep = letter.copy()
             keep[1:] |= letter[:-1]
-            keep[0] = True
-            c = np.where(letter, c, 0)[keep].astype(np.int32)
-            g = (c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:]
-            n = np.bincount(g, minlength=0)
-            if counts is None:
-                counts = n
-            elif len(n) > len(counts):
-                n[: len(counts)] += counts
-                counts = n
-            else:
-                counts[: len(n)] += n
-        if counts is not None:
-            used = np.flatnonzero(counts)
-            used = used[(used // CLASSES % CLASSES != 0) | (used % CLASSES != 0)]
-            out[i] = counts[used].astype(np.float32) @ grams(used)
+            ends = np.cumsum([len(t) + 1 for t in texts[lo:hi]])
+            at = np.concatenate([[0], np.cumsum(keep)[ends - 1]])  # kept code points before each text
+            c = np.concatenate([_GAP, _kept(joined, False)])
+            if len(c) >= 3:
+                g = _places(c)  # g[k] covers kept code points k - 1 to k + 1
+                for i in np.flatnonzero(np.diff(at)):
+                    out[lo + i] = _bundle(g[at[i] : at[i + 1] - 1])
+                    letters[lo + i] = True
+        lo = hi
     return out, letters
 
 
