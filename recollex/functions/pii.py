@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _D = "(?<!\\d)", "(?!\\d)"
@@ -25,26 +25,59 @@ EN_RULES = (
 )
 
 
-def redact(c: Column) -> Column:
-    """The text after all rewrites, in order; each sees what the ones before left."""
-    for i, (pattern, to, label) in enumerate(CN_RULES + EN_RULES):
-        if label == "email":  # one-letter names vanish, longer ones keep their first letter
-            c = F.regexp_replace(c, r"(?<![\w.+-])[\w.+-]@([\w-]+\.[\w.]+)", "*@$1")
-            c = F.regexp_replace(c, r"([\w.+-])[\w.+-]+@([\w-]+\.[\w.]+)", "$1***@$2")
-        elif to is None and label == "phone_intl":  # the last four characters of the whole number stay
-            c = F.regexp_replace(c, rf"{_D[0]}(\+\d{{1,3}})(?=[-.\s]?\d{{2,4}}[-.\s]?\d{{2,4}}[-.\s]?\d{{3,10}}(?!\d))[-.\s]?\d{{2,4}}[-.\s]?\d{{2,4}}(?:[-.\s]?\d{{0,6}}?)((?:\d{{4}}|[-.\s]\d{{3}})){_D[1]}", "$1-***-$2")
-        elif label == "ip_address":
-            c = F.regexp_replace(c, rf"{_D[0]}((?:25[0-5]|2[0-4]\d|1\d\d|0?\d?\d))\.(\d{{1,3}})\.\d{{1,3}}\.\d{{1,3}}{_D[1]}", "$1.$2.***.***")
-        elif label == "api_key":
-            c = F.regexp_replace(c, r"(?<![a-zA-Z0-9])(sk-[a-zA-Z0-9_-]|ark-|AKID|AKTP|ghp_|gho_|ghu_)[a-zA-Z0-9_-]{11,}([a-zA-Z0-9_-]{4})(?![a-zA-Z0-9_-])", "$1***$2")
-        elif i == 2:  # a final x becomes X; the upper case of digits is themselves
-            c = F.regexp_replace(c, pattern.replace("(\\d{4}[\\dXx])", "(\\d{4})[xX]"), "$1*********$2X")
-            c = F.regexp_replace(c, pattern.replace("[\\dXx]", "\\d"), "$1*********$2")
-        else:
-            c = F.regexp_replace(c, pattern, to)
-    return c
+RULES = CN_RULES + EN_RULES
+
+
+def _rewrite(c: Column, i: int) -> Column:
+    """The text after rule i."""
+    pattern, to, label = RULES[i]
+    if label == "email":  # one-letter names vanish, longer ones keep their first letter
+        c = F.regexp_replace(c, r"(?<![\w.+-])[\w.+-]@([\w-]+\.[\w.]+)", "*@$1")
+        return F.regexp_replace(c, r"([\w.+-])[\w.+-]+@([\w-]+\.[\w.]+)", "$1***@$2")
+    if to is None and label == "phone_intl":  # the last four characters of the whole number stay
+        whole = r"[-.\s]?\d{2,4}[-.\s]?\d{2,4}[-.\s]?\d{3,10}(?!\d)"
+        return F.regexp_replace(c, rf"{_D[0]}(\+\d{{1,3}})(?={whole})[-.\s]?\d{{2,4}}[-.\s]?\d{{2,4}}(?:[-.\s]?\d{{0,6}}?)((?:\d{{4}}|[-.\s]\d{{3}})){_D[1]}", "$1-***-$2")
+    if label == "ip_address":  # only the first number is checked
+        return F.regexp_replace(c, rf"{_D[0]}(25[0-5]|2[0-4]\d|1\d\d|0?\d?\d)\.(\d{{1,3}})\.\d{{1,3}}\.\d{{1,3}}{_D[1]}", "$1.$2.***.***")
+    if label == "api_key":
+        return F.regexp_replace(c, r"(?<![a-zA-Z0-9])(sk-[a-zA-Z0-9_-]|ark-|AKID|AKTP|ghp_|gho_|ghu_)[a-zA-Z0-9_-]{11,}([a-zA-Z0-9_-]{4})(?![a-zA-Z0-9_-])", "$1***$2")
+    if i == 2:  # a final x becomes X
+        c = F.regexp_replace(c, pattern.replace("(\\d{4}[\\dXx])", "(\\d{4})[xX]"), "$1*********$2X")
+        return F.regexp_replace(c, pattern.replace("[\\dXx]", "\\d"), "$1*********$2")
+    return F.regexp_replace(c, pattern, to)
+
+
+def _chain(rows: DataFrame, start: str, rules: range, tag: str) -> tuple[DataFrame, str, list[Column]]:
+    """Columns of the text before each rule, so that each is computed once; the last one's name; labels in rule order."""
+    at, labels = start, []
+    for i in rules:
+        labels.append(F.when(F.col(at).rlike(RULES[i][0]), F.lit(RULES[i][2])))
+        rows = rows.withColumn(f"__{tag}{i}", _rewrite(F.col(at), i))
+        at = f"__{tag}{i}"
+    return rows, at, labels
+
 
+def _distinct(labels: list[Column]) -> Column:
+    return F.array_distinct(F.filter(F.array(*labels), lambda x: x.isNotNull()))
 
-def scan(c: Column) -> Column:
-    """Distinct labels of the rules that match the original text, in rule order."""
-    return F.array_distinct(F.filter(F.array(*[F.when(c.rlike(p), F.lit(label)) for p, _, label in CN_RULES + EN_RULES]), lambda x: x.isNotNull()))
+
+def with_redaction(rows: DataFrame, body: str = "text") -> DataFrame:
+    """rows with redacted and redacted_types: all rules in order, each on what those before left."""
+    out, last, labels = _chain(rows, body, range(len(RULES)), "r")
+    return out.select(*rows.columns, F.col(last).alias("redacted"), _distinct(labels).alias("redacted_types"))
+
+
+def with_scan(rows: DataFrame, body: str = "text") -> DataFrame:
+    """rows with types: the labels of the first list of rules and those of the second, which starts from the original
+    text again. Within a list, each rule sees what those before left."""
+    n = len(CN_RULES)
+    out, _, first = _chain(rows, body, range(n), "c")
+    out, _, second = _chain(out, body, range(n, len(RULES)), "e")
+    return out.select(*rows.columns, _distinct(first + second).alias("types"))
+
+
+def redact(c: Column) -> Column:
+    """The text after all rules, as one expression."""
+    for i in range(len(RULES)):
+        c = _rewrite(c, i)
+    return c

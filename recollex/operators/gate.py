@@ -31,7 +31,7 @@ def with_labels(rows: DataFrame, rules=None, body: str = "text") -> DataFrame:
 def ingest(new: DataFrame, known: DataFrame, rules=None) -> DataFrame:
     """New memories (memory_id, ts, source, text) that pass the gate, redacted, hashed over the full redacted text, once
     per hash (the least memory_id), unless the hash is known. Rows: memory_id, ts, source, summary, content_hash, entities."""
-    passed = with_labels(new, rules).where(F.size("labels") == 0).withColumn("clean", pii.redact(F.col("text")))
+    passed = pii.with_redaction(with_labels(new, rules).where(F.size("labels") == 0)).withColumnRenamed("redacted", "clean")
     hashed = passed.withColumn("content_hash", text.content_hash(F.col("clean")))
     once = hashed.groupBy("content_hash").agg(F.min_by(F.struct("memory_id", "ts", "source", "clean"), "memory_id").alias("r"))
     fresh = once.join(known.select("content_hash").distinct(), "content_hash", "left_anti").select("content_hash", "r.*")

@@ -1,9 +1,9 @@
 """The queries of the library and their DuckDB SQL."""
 
-from recollex.plans import context, gate, guards, kg, lifecycle, reflection, retrieval
+from recollex.plans import context, gate, guards, kg, lifecycle, reflection, retrieval, wakes
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _part in (retrieval, gate, kg, lifecycle, reflection, guards, context):
+for _part in (retrieval, gate, kg, lifecycle, reflection, guards, context, wakes):
     QUERIES.update(_part.QUERIES)
     ORACLE_SQL.update(_part.ORACLE_SQL)

@@ -32,37 +32,48 @@ def injection_scan_labels(spark, sf_dir):
     return t.select("src", "id", F.array_join("labels", "|").alias("labels"))
 
 
-_B = "(^|[^0-9])", "($|[^0-9])"
-#: The rules for detection, without lookaround: a neighbour that is no digit, or an end of the text.
+_B, _E = "(^|[^0-9])", "($|[^0-9])"
+#: The rules without lookaround: a neighbour that is no digit, or an end of the text, is matched and put back. A rewrite
+#: is made twice, since a neighbour that one match took hides the next match.
 _SCAN = (
-    (rf"{_B[0]}1[3-9]\d\s?[-–—]?\s?\d{{4}}\s?[-–—]?\s?\d{{4}}{_B[1]}", "phone_cn"),
-    (rf"{_B[0]}\d{{18}}{_B[1]}", "id_card_cn"),
-    (rf"{_B[0]}\d{{17}}[\dXx]{_B[1]}", "id_card_cn"),
-    (rf"{_B[0]}\d{{16,19}}{_B[1]}", "bank_card_cn"),
-    (rf"{_B[0]}0\d{{2,3}}[-–—\s]?\d{{8}}{_B[1]}", "landline_cn"),
-    (r"[\w.+-]+@[\w-]+\.[\w.]+", "email"),
-    (rf"{_B[0]}\+\d{{1,3}}[-.\s]?\d{{2,4}}[-.\s]?\d{{2,4}}[-.\s]?\d{{3,10}}{_B[1]}", "phone_intl"),
-    (r"\(\d{3}\)\s?\d{3}[-.\s]?\d{4}", "phone_intl"),
-    (rf"{_B[0]}\d{{4}}[-–—\s]?\d{{4}}[-–—\s]?\d{{4}}[-–—\s]?\d{{4}}{_B[1]}", "credit_card"),
-    (rf"{_B[0]}\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}{_B[1]}", "ip_address"),
-    (rf"{_B[0]}\d{{3}}[-–—]\d{{2}}[-–—]\d{{4}}{_B[1]}", "ssn"),
-    (r"(^|[^a-zA-Z0-9])(?:sk-|ark-|AKID|AKTP|ghp_|gho_|ghu_)[a-zA-Z0-9_-]{16,}($|[^a-zA-Z0-9_-])", "api_key"),
+    (rf"{_B}(1[3-9]\d)\s?[-–—]?\s?\d{{4}}\s?[-–—]?\s?(\d{{4}}){_E}", r"\1\2****\3\4", "phone_cn"),
+    (rf"{_B}(\d{{4}})\d{{10}}(\d{{4}}){_E}", r"\1\2**********\3\4", "id_card_cn"),
+    (rf"{_B}(\d{{4}})\d{{9}}(\d{{4}}[\dXx]){_E}", r"\1\2*********\3\4", "id_card_cn"),
+    (rf"{_B}(\d{{4}})\d{{8,11}}(\d{{4}}){_E}", r"\1\2***********\3\4", "bank_card_cn"),
+    (rf"{_B}(0\d{{2,3}})[-–—\s]?(\d{{4}})\d{{4}}{_E}", r"\1\2-\3****\4", "landline_cn"),
+    (r"([\w.+-])[\w.+-]*@([\w-]+\.[\w.]+)", r"\1***@\2", "email"),
+    (rf"{_B}(\+\d{{1,3}})[-.\s]?\d{{2,4}}[-.\s]?\d{{2,4}}[-.\s]?\d{{3,10}}{_E}", r"\1\2-***-\3", "phone_intl"),
+    (r"\(\d{3}\)\s?\d{3}[-.\s]?(\d{4})", r"(***) ***-\1", "phone_intl"),
+    (rf"{_B}(\d{{4}})[-–—\s]?(\d{{4}})[-–—\s]?(\d{{4}})[-–—\s]?(\d)\d{{3}}{_E}", r"\1\2-\3-\4-\5***\6", "credit_card"),
+    (rf"{_B}(\d{{1,3}})\.(\d{{1,3}})\.\d{{1,3}}\.\d{{1,3}}{_E}", r"\1\2.\3.***.***\4", "ip_address"),
+    (rf"{_B}\d{{3}}[-–—]\d{{2}}[-–—](\d{{4}}){_E}", r"\1***-**-\2\3", "ssn"),
+    (r"(^|[^a-zA-Z0-9])(?:sk-|ark-|AKID|AKTP|ghp_|gho_|ghu_)[a-zA-Z0-9_-]{16,}($|[^a-zA-Z0-9_-])", r"\1\2", "api_key"),
 )
-_SCANS = ", ".join(f"CASE WHEN regexp_matches(text, {quoted(p)}) THEN '{label}' END" for p, label in _SCAN)
-_DISTINCT = "array_to_string(list_filter(list_transform(range(1, len(x) + 1), lambda i: CASE WHEN list_position(x, x[i]) = i THEN x[i] END), lambda y: y IS NOT NULL), '|')"
 
 
-@query("pii_scan_types", f"WITH {texts_sql('documents', 'pages')}, m AS (SELECT src, id, list_filter([{_SCANS}], lambda y: y IS NOT NULL) AS x FROM texts) SELECT src, id, {_DISTINCT} AS types FROM m WHERE len(x) > 0")
+def _scan_sql() -> str:
+    """CTEs s0 to s12 with the text (c and e for the two lists) and the labels so far."""
+    out = ["s0 AS (SELECT src, id, text AS c, text AS e, CAST([] AS VARCHAR[]) AS x FROM texts)"]
+    for i, (p, to, label) in enumerate(_SCAN):
+        t, other = ("c", "e") if i < 5 else ("e", "c")
+        again = f"regexp_replace({t}, {quoted(p)}, {quoted(to)}, 'g')"
+        if label != "email":
+            again = f"regexp_replace({again}, {quoted(p)}, {quoted(to)}, 'g')"
+        out.append(f"s{i + 1} AS (SELECT src, id, {other}, {again} AS {t}, CASE WHEN regexp_matches({t}, {quoted(p)}) AND NOT list_contains(x, '{label}') THEN list_append(x, '{label}') ELSE x END AS x FROM s{i})")
+    return ", ".join(out)
+
+
+@query("pii_scan_types", f"WITH {texts_sql('documents', 'pages')}, {_scan_sql()} SELECT src, id, array_to_string(x, '|') AS types FROM s{len(_SCAN)} WHERE len(x) > 0")
 def pii_scan_types(spark, sf_dir):
-    t = texts(spark, sf_dir, "documents", "pages").withColumn("types", pii.scan(F.col("text")))
+    t = pii.with_scan(texts(spark, sf_dir, "documents", "pages"))
     return t.where(F.size("types") > 0).select("src", "id", F.array_join("types", "|").alias("types"))
 
 
 @query("pii_redact")
 def pii_redact(spark, sf_dir):
     """Texts that redaction changes; the lookarounds of its rules have no SQL form, the golden rows are tested."""
-    t = texts(spark, sf_dir, "documents", "pages").withColumn("redacted", pii.redact(F.col("text")))
-    return t.where("redacted <> text").select("src", "id", "redacted")
+    t = pii.with_redaction(texts(spark, sf_dir, "documents", "pages"))
+    return t.where("redacted <> text").select("src", "id", "redacted", F.array_join("redacted_types", "|").alias("types"))
 
 
 @query("md5_dedup", "SELECT substr(md5(text), 1, 16) AS content_hash, min(doc_id) AS memory_id, count(*) AS copies FROM documents GROUP BY 1")
