@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recollex.functions.text import held
+
 _D = "(?<!\\d)", "(?!\\d)"
 # Fixed values: (pattern, replacement, label); the second list is scanned in the original text but rewritten after the first
 CN_RULES = (
@@ -64,7 +66,7 @@ def _distinct(labels: list[Column]) -> Column:
 def with_redaction(rows: DataFrame, body: str = "text") -> DataFrame:
     """rows with redacted and redacted_types: all rules in order, each on what those before left."""
     out, last, labels = _chain(rows, body, range(len(RULES)), "r")
-    return out.select(*rows.columns, F.col(last).alias("redacted"), _distinct(labels).alias("redacted_types"))
+    return out.select(*rows.columns, held(F.col(last)).alias("redacted"), held(_distinct(labels)).alias("redacted_types"))
 
 
 def with_scan(rows: DataFrame, body: str = "text") -> DataFrame:
@@ -73,7 +75,7 @@ def with_scan(rows: DataFrame, body: str = "text") -> DataFrame:
     n = len(CN_RULES)
     out, _, first = _chain(rows, body, range(n), "c")
     out, _, second = _chain(out, body, range(n, len(RULES)), "e")
-    return out.select(*rows.columns, _distinct(first + second).alias("types"))
+    return out.select(*rows.columns, held(_distinct(first + second)).alias("types"))
 
 
 def redact(c: Column) -> Column:

@@ -7,25 +7,36 @@ from pyspark.sql import functions as F
 
 from recollex import consts as K
 from recollex.functions import pii, text
-from recollex.rules import built_in_rules
+from recollex.rules import RULE_PATTERNS, built_in_rules
 
 
-def injection_labels(low: Column, rules=None) -> Column:
-    """Labels of the rules that match a lower-cased text, each once, in the order of its first rule that matches. Literal
-    rules of a label are one chain of contains, regular expressions stay apart: no join, no alternation."""
-    at = []
-    rules = list(rules or built_in_rules())
-    for label in dict.fromkeys(r[2] for r in rules):
-        mine = [(i, p, regex) for i, (p, regex, of) in enumerate(rules) if of == label]
-        place = F.coalesce(*[F.when(low.rlike(p) if regex else F.contains(low, F.lit(p)), F.lit(i)) for i, p, regex in mine])
-        at.append(F.when(place.isNotNull(), F.struct(place.alias("at"), F.lit(label).alias("label"))))
-    return F.transform(F.array_sort(F.filter(F.array(*at), lambda x: x.isNotNull())), lambda x: x["label"])
+def label_places(low: Column, rules, has_cjk: Column) -> dict[str, Column]:
+    """For each label, the number of its first rule that matches a lower-cased text, else null. Literal rules are a chain
+    of contains, regular expressions stay apart: no join, no alternation. The built-in patterns that need a CJK
+    character are tried on texts that have one."""
+    guarded = {p for p, label in RULE_PATTERNS if label.endswith("·中文")}
+
+    def matches(p: str, regex: bool) -> Column:
+        if not regex:
+            return F.contains(low, F.lit(p))
+        return has_cjk & low.rlike(p) if p in guarded else low.rlike(p)
+
+    places: dict[str, list[Column]] = {}
+    for i, (p, regex, label) in enumerate(rules):
+        places.setdefault(label, []).append(F.when(matches(p, regex), F.lit(i)))
+    return {label: F.coalesce(*found) for label, found in places.items()}
 
 
 def with_labels(rows: DataFrame, rules=None, body: str = "text") -> DataFrame:
-    """rows with labels; the text is lower-cased once, in a column of its own that the rules share."""
-    low = rows.withColumn("__low", F.lower(body))
-    return low.withColumn("labels", injection_labels(F.col("__low"), rules)).drop("__low")
+    """rows with labels: those of the rules that match, each once, in the order of its first rule that matches. The
+    lower-cased text and each label's place are columns of their own, so that each is computed once."""
+    low = rows.withColumn("__low", F.lower(body)).withColumn("__cjk", F.col("__low").rlike(text.CJK))
+    places = label_places(F.col("__low"), list(rules or built_in_rules()), F.col("__cjk"))
+    names = {label: f"__at{k}" for k, label in enumerate(places)}
+    found = low.withColumns({names[label]: place for label, place in places.items()})
+    at = F.array(*[F.when(F.col(n).isNotNull(), F.struct(F.col(n).alias("at"), F.lit(label).alias("label"))) for label, n in names.items()])
+    labels = F.transform(F.array_sort(F.filter(at, lambda x: x.isNotNull())), lambda x: x["label"])
+    return found.select(*rows.columns, text.held(labels).alias("labels"))
 
 
 def ingest(new: DataFrame, known: DataFrame, rules=None) -> DataFrame:

@@ -48,7 +48,7 @@ _HITS = f"CASE WHEN {_VETO} THEN [] ELSE list_filter({S.sql_list(K.CORRECTION_SI
 
 @query("correction_detect", f"WITH {texts_sql('conversations')}, x AS (SELECT src, id, {_LAST} AS l FROM texts), h AS (SELECT src, id, {_HITS} AS h FROM x) SELECT src, id, array_to_string(h, '|') AS signals FROM h WHERE len(h) > 0")
 def correction_detect(spark, sf_dir):
-    t = texts(spark, sf_dir, "conversations").withColumn("signals", text.correction_signals(F.col("text")))
+    t = texts(spark, sf_dir, "conversations").withColumn("signals", text.held(text.correction_signals(F.col("text"))))
     return t.where(F.size("signals") > 0).select("src", "id", F.array_join("signals", "|").alias("signals"))
 
 
