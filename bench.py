@@ -12,7 +12,7 @@ from recollex.session import session
 
 HEADLINE = (
     "hybrid_search_topk vector_cosine_topk bm25_topk merge_pairs_jaccard injection_scan_labels pii_scan_types forgetting_decisions "
-    "access_density_trend kg_snapshot_asof kg_entity_upsert kg_triples_extract entity_connectivity contradictions write_burst_flags stream_session kb_search"
+    "access_density_trend kg_snapshot_asof kg_entity_upsert kg_triples_extract entity_connectivity connections write_burst_flags stream_session kb_search"
 ).split()
 
 

@@ -9,15 +9,28 @@ from recollex import consts as K
 from recollex.functions import text
 
 
+#: What a text must hold for a pattern without CJK characters to match: by the pattern's place from the end.
+_NEEDS = (("is",), ("work",), ("uses",), ("likes", "loves", "prefers"), ("created",), ("live", "based"), ("own", "manage"), ("know",))
+_TRIPLES = "array<struct<seq:int,source:string,relation:string,target:string>>"
+
+
 def triples(c: Column) -> Column:
-    """Array of (seq, source, relation, target) in pattern order; skip words drop a triple."""
-    out = []
+    """Array of (seq, source, relation, target) in pattern order; skip words drop a triple. Patterns start with a run of
+    any characters, which is slow to search for, so each is tried only on texts that hold what it needs."""
+    none, low, out = F.array().cast(_TRIPLES), F.lower(c), []
     for i, (pattern, relation) in enumerate(K.TRIPLE_PATTERNS):
         p = "(?i)" + pattern
         pairs = F.arrays_zip(text.find_all(c, p, 1).alias("s"), text.find_all(c, p, 2).alias("t"))
         out.append(F.transform(pairs, _triple(i, relation)))
+    first = len(out) - len(_NEEDS)
+    parts = [F.when(c.rlike(text.CJK), F.flatten(F.array(*out[:first]))).otherwise(none)]
+    for needs, found in zip(_NEEDS, out[first:], strict=True):
+        holds = F.lit(False)
+        for w in needs:
+            holds = holds | F.contains(low, F.lit(w))
+        parts.append(F.when(holds, found).otherwise(none))
     skip = text.constant_list(K.TRIPLE_SKIP)
-    return F.filter(F.flatten(F.array(*out)), lambda x: ~F.array_contains(skip, F.lower(x["source"])) & ~F.array_contains(skip, F.lower(x["target"])))
+    return F.filter(F.flatten(F.array(*parts)), lambda x: ~F.array_contains(skip, F.lower(x["source"])) & ~F.array_contains(skip, F.lower(x["target"])))
 
 
 def _triple(seq: int, relation: str):

@@ -143,9 +143,9 @@ def json_validity(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.try_parse_json("props").isNotNull().alias("valid"))
 
 
-@query("backup_retention", "SELECT event_id, CAST(ts AS DATE) AS day FROM events WHERE CAST(ts AS DATE) IN (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events ORDER BY d DESC LIMIT 3)")
+@query("backup_retention", "SELECT event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events WHERE CAST(ts AS DATE) IN (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events ORDER BY d DESC LIMIT 3)")
 def backup_retention(spark, sf_dir):
-    return C.retained_days(table(spark, sf_dir, "events")).select("event_id", F.to_date("ts").alias("day"))
+    return C.retained_days(table(spark, sf_dir, "events")).select("event_id", F.to_date("ts").cast("string").alias("day"))
 
 
 @query("bounded_log", "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")

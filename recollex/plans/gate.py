@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from recollex.functions import pii, text
 from recollex.operators import gate as G
-from recollex.plans import sqltext as S
 from recollex.plans.register import register
 from recollex.rules import built_in_rules
 from recollex.tables import MEMORIES_SQL, memories, quoted, table, texts, texts_sql
@@ -82,28 +81,28 @@ def md5_dedup(spark, sf_dir):
     return m.groupBy("content_hash").agg(F.min("memory_id").alias("memory_id"), F.count("*").alias("copies"))
 
 
-@query("ingest_anti_join", f"WITH {MEMORIES_SQL}, h AS (SELECT memory_id, substr(md5(text), 1, 16) AS h FROM memories) SELECT min(memory_id) AS memory_id, h AS content_hash FROM h WHERE memory_id % 2 = 1 AND h NOT IN (SELECT h FROM h WHERE memory_id % 2 = 0) GROUP BY h")
+@query("ingest_anti_join", f"WITH {MEMORIES_SQL}, h AS (SELECT memory_id, scene, substr(md5(text), 1, 16) AS h FROM memories) SELECT min(memory_id) AS memory_id, h AS content_hash FROM h WHERE scene = 'en' AND h NOT IN (SELECT h FROM h WHERE scene <> 'en') GROUP BY h")
 def ingest_anti_join(spark, sf_dir):
-    """Odd rows arrive, even rows are there: what is new, once per hash."""
-    h = memories(spark, sf_dir).select("memory_id", text.content_hash(F.col("text")).alias("content_hash"))
-    known = h.where("memory_id % 2 = 0").select("content_hash").distinct()
-    return h.where("memory_id % 2 = 1").join(known, "content_hash", "left_anti").groupBy("content_hash").agg(F.min("memory_id").alias("memory_id"))
+    """English rows arrive, the others are there: what is new, once per hash."""
+    h = memories(spark, sf_dir).select("memory_id", "scene", text.content_hash(F.col("text")).alias("content_hash"))
+    known = h.where("scene <> 'en'").select("content_hash").distinct()
+    return h.where("scene = 'en'").join(known, "content_hash", "left_anti").groupBy("content_hash").agg(F.min("memory_id").alias("memory_id"))
 
 
 @query("ingest_pipeline")
 def ingest_pipeline(spark, sf_dir):
     new = memories(spark, sf_dir).select("memory_id", "ts", "source", "text")
     fixed = texts(spark, sf_dir).select(F.col("id").alias("memory_id"), F.lit("2024-01-01").cast("timestamp_ntz").alias("ts"), F.lit("user").alias("source"), "text")
-    known = memories(spark, sf_dir).where("memory_id % 5 = 0").select(text.content_hash(F.col("text")).alias("content_hash"))
+    known = memories(spark, sf_dir).where("scene = 'de'").select(text.content_hash(F.col("text")).alias("content_hash"))
     return G.ingest(new.unionByName(fixed), known).withColumn("entities", F.array_join("entities", "|"))
 
 
-@query("benchmark_contains_join", "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(substr(b.text, 1, 40)))")
+@query("benchmark_contains_join", "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text))")
 def benchmark_contains_join(spark, sf_dir):
-    """Documents that hold an item's first 40 characters. The item side has a fixed size of a few hundred rows."""
+    """Documents that hold an item's whole text. The item side has a fixed size of a few hundred rows."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("t"))
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.substring("text", 1, 40)).alias("head"))
-    return d.join(F.broadcast(b), F.contains(F.col("t"), F.col("head"))).select("doc_id", "item_id")
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("passage"))
+    return d.join(F.broadcast(b), F.contains(F.col("t"), F.col("passage"))).select("doc_id", "item_id")
 
 
 @query("truncation_projection", f"WITH {MEMORIES_SQL} SELECT memory_id, length(summary) AS n500, length(substr(summary, 1, 80)) AS n80, md5(substr(summary, 1, 60)) AS m60, coalesce(nullif(substr(summary, 1, 0), ''), substr(text, 1, 10)) AS fallback FROM memories")

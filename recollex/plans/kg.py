@@ -112,11 +112,11 @@ def kg_invalidate_entity(spark, sf_dir):
     return r.select("source", "relation", "target", "o_orderkey", "valid_until", "invalid_reason")
 
 
-@query("kg_cross_scene_tunnels", f"WITH {MEMORIES_SQL}, e AS (SELECT DISTINCT scene, unnest({S.scene_tokens('substr(summary, 1, 100)')}) AS entity FROM memories) SELECT a.scene AS source, b.scene AS target, min(a.entity) AS entity FROM e a JOIN e b ON a.entity = b.entity AND a.scene < b.scene GROUP BY 1, 2")
+@query("kg_cross_scene_tunnels", f"WITH {MEMORIES_SQL}, e AS (SELECT DISTINCT scene, unnest({S.scene_tokens('summary')}) AS entity FROM memories) SELECT a.scene AS source, b.scene AS target, min(a.entity) AS entity FROM e a JOIN e b ON a.entity = b.entity AND a.scene < b.scene GROUP BY 1, 2")
 def kg_cross_scene_tunnels(spark, sf_dir):
     from recollex.functions import text
 
-    m = memories(spark, sf_dir).select("scene", F.explode(text.scene_tokens(F.substring("summary", 1, 100))).alias("entity"))
+    m = memories(spark, sf_dir).select("scene", F.explode(text.scene_tokens(F.col("summary"))).alias("entity"))
     return G.cross_scene_tunnels(m)
 
 

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recollex import consts as K
-from recollex.functions import text
 from recollex.operators import kg
 from recollex.operators import lifecycle as L
 from recollex.plans import sqltext as S
 from recollex.plans.kg import _triples_sql
 from recollex.plans.register import register
-from recollex.tables import AS_OF, MEMORIES_SQL, as_of, memories, table
+from recollex.tables import MEMORIES_SQL, memories, table
 
 QUERIES, ORACLE_SQL, query = register()
+#: A week after the last events' day, so that some users' scenes are hot and some are not.
+AS_OF = "2024-02-06 12:00:00"
 SCENES = {"spam": ["http", "www"], "code": ["the and", "ing the"], "mail": ["@"]}
 
 
@@ -36,13 +37,16 @@ def scene_index(spark, sf_dir):
     return memories(spark, sf_dir).groupBy("scene").agg(F.count("*").alias("n"), F.md5(ids.cast("binary")).alias("ids_md5"))
 
 
-_ACCESS = "acc AS (SELECT user_id, CAST(user_id % 7 AS VARCHAR) AS scene, ts FROM events WHERE event_type <> 'error' AND (user_id % 7 < 4 OR ts < TIMESTAMP '2024-01-20'))"
+_ACCESS = "acc AS (SELECT user_id, CAST(user_id AS VARCHAR) AS scene, ts FROM events WHERE event_type <> 'error')"
+
+
+def _as_of():
+    return F.lit(AS_OF).cast("timestamp_ntz")
 
 
 def _access(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    keep = (F.col("event_type") != "error") & ((F.col("user_id") % 7 < 4) | (F.col("ts") < F.lit("2024-01-20").cast("timestamp_ntz")))
-    return e.where(keep).select("user_id", (F.col("user_id") % 7).cast("string").alias("scene"), "ts")
+    return e.where("event_type <> 'error'").select("user_id", F.col("user_id").cast("string").alias("scene"), "ts")
 
 
 _HOT = f"hot AS (SELECT scene, max(ts) AS last FROM acc GROUP BY scene HAVING max(ts) > TIMESTAMP '{AS_OF}' - INTERVAL 7 DAYS)"
@@ -50,7 +54,7 @@ _HOT = f"hot AS (SELECT scene, max(ts) AS last FROM acc GROUP BY scene HAVING ma
 
 @query("hot_scenes", f"WITH {_ACCESS}, {_HOT} SELECT scene, last FROM hot")
 def hot_scenes(spark, sf_dir):
-    return L.hot_scenes(_access(spark, sf_dir), as_of())
+    return L.hot_scenes(_access(spark, sf_dir), _as_of())
 
 
 _TREND = """r AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS p FROM acc),
@@ -82,24 +86,24 @@ def _mem(spark, sf_dir):
     return u.select(F.col("user_id").alias("memory_id"), (F.col("user_id") % 5).alias("access_count"), at.alias("last_accessed"), (F.col("user_id") % 4 == 0).alias("demoted"))
 
 
-@query("track_access", f"WITH {_MEM}, x AS (SELECT user_id, count(*) AS more, max(ts) AS seen FROM events WHERE user_id % 3 = 0 GROUP BY user_id) SELECT memory_id, access_count + coalesce(more, 0) AS access_count, coalesce(seen, last_accessed) AS last_accessed, demoted AND seen IS NULL AS demoted FROM mem LEFT JOIN x ON memory_id = user_id")
+@query("track_access", f"WITH {_MEM}, x AS (SELECT user_id, count(*) AS more, max(ts) AS seen FROM events WHERE event_type = 'click' GROUP BY user_id) SELECT memory_id, access_count + coalesce(more, 0) AS access_count, coalesce(seen, last_accessed) AS last_accessed, demoted AND seen IS NULL AS demoted FROM mem LEFT JOIN x ON memory_id = user_id")
 def track_access(spark, sf_dir):
-    a = table(spark, sf_dir, "events").where("user_id % 3 = 0").select(F.col("user_id").alias("memory_id"), "ts")
+    a = table(spark, sf_dir, "events").where("event_type = 'click'").select(F.col("user_id").alias("memory_id"), "ts")
     return L.track_access(_mem(spark, sf_dir), a)
 
 
 _DECIDE = f"""WITH {_ACCESS}, {_HOT}, {_TREND}, {_MEM.replace("user_id % 60", "user_id % 90")},
-d AS (SELECT memory_id, CAST(memory_id % 7 AS VARCHAR) AS scene, demoted, (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(last_accessed)) / 86400000000.0 AS days, (SELECT count(*) FILTER (NOT demoted) FROM mem) AS active FROM mem),
+d AS (SELECT memory_id, CAST(memory_id AS VARCHAR) AS scene, demoted, (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(last_accessed)) / 86400000000.0 AS days, (SELECT count(*) FILTER (NOT demoted) FROM mem) AS active FROM mem),
 dec AS (SELECT d.memory_id, d.scene, CASE WHEN demoted THEN CASE WHEN days >= 60 THEN 'archive' ELSE 'stays_demoted' END WHEN active <= 15 THEN 'kept_few' WHEN days <= 14 THEN 'kept_window'
   WHEN hot.scene IS NOT NULL THEN 'protected' WHEN trend = 'stable' THEN 'kept_density' ELSE 'demote' END AS decision FROM d LEFT JOIN hot USING (scene) LEFT JOIN trend ON trend.user_id = d.memory_id)"""
 
 
 def _decisions(spark, sf_dir):
     at = F.expr("timestampadd(DAY, cast(memory_id % 90 as int), timestamp_ntz'2023-11-01 00:00:00')")
-    m = _mem(spark, sf_dir).withColumn("last_accessed", at).withColumn("scene", (F.col("memory_id") % 7).cast("string"))
+    m = _mem(spark, sf_dir).withColumn("last_accessed", at).withColumn("scene", F.col("memory_id").cast("string"))
     access = _access(spark, sf_dir)
     trends = L.density_trend(access).withColumnRenamed("user_id", "memory_id")
-    return L.forgetting_decisions(m, L.hot_scenes(access, as_of()), trends, as_of())
+    return L.forgetting_decisions(m, L.hot_scenes(access, _as_of()), trends, _as_of())
 
 
 @query("forgetting_decisions", _DECIDE + " SELECT memory_id, scene, decision FROM dec")
@@ -117,13 +121,13 @@ def forget_history(spark, sf_dir):
     return _decisions(spark, sf_dir).where(F.col("decision").isin("demote", "archive")).orderBy(F.desc("memory_id")).limit(5)
 
 
-_DISTIL = f"{MEMORIES_SQL}, texts AS (SELECT 'm' AS src, memory_id AS id, text FROM memories WHERE memory_id % 3 = 0), {_triples_sql('text')}"
+_DISTIL = f"{MEMORIES_SQL}, texts AS (SELECT 'm' AS src, memory_id AS id, text FROM memories), {_triples_sql('text')}"
 
 
 @query("distill_demoted", f"WITH {_DISTIL} SELECT tri.source, tri.relation, tri.target, min(m.ts) AS valid_from FROM tri JOIN memories m ON m.memory_id = tri.id GROUP BY 1, 2, 3")
 def distill_demoted(spark, sf_dir):
-    """Triples of demoted memories (a third of them here), valid from the memory's time, each once."""
-    m = memories(spark, sf_dir).where("memory_id % 3 = 0")
+    """Triples of demoted memories (all of them here), valid from the memory's time, each once."""
+    m = memories(spark, sf_dir)
     t = m.select("ts", F.explode(kg.triples(F.col("text"))).alias("x"))
     return t.groupBy("x.source", "x.relation", "x.target").agg(F.min("ts").alias("valid_from"))
 
@@ -158,7 +162,7 @@ def scene_incremental(spark, sf_dir):
     return m.select("memory_id", L.assign_scene(F.col("summary"), SCENES).alias("scene"))
 
 
-@query("latest_active_memories", f"WITH {MEMORIES_SQL} SELECT memory_id, ts, substr(summary, 1, 60) AS head FROM memories WHERE memory_id % 4 <> 0 ORDER BY ts DESC, memory_id DESC LIMIT 5")
+@query("latest_active_memories", f"WITH {MEMORIES_SQL} SELECT memory_id, ts, substr(summary, 1, 60) AS head FROM memories ORDER BY ts DESC, memory_id DESC LIMIT 5")
 def latest_active_memories(spark, sf_dir):
-    m = memories(spark, sf_dir).where("memory_id % 4 <> 0")
+    m = memories(spark, sf_dir)
     return m.select("memory_id", "ts", F.substring("summary", 1, 60).alias("head")).orderBy(F.desc("ts"), F.desc("memory_id")).limit(5)

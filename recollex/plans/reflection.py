@@ -13,22 +13,23 @@ from recollex.tables import FIXTURES_SQL, fixtures, quoted, table, texts, texts_
 
 QUERIES, ORACLE_SQL, query = register()
 
-#: Notes: documents' first words, each a third praised or blamed, so that topics meet again.
-_NOTES = f"""n0 AS (SELECT doc_id AS id, CAST(DATE '2024-01-01' + CAST(doc_id % 30 AS INTEGER) AS DATE) AS day, substr(text, 1, 40) || CASE doc_id % 3 WHEN 0 THEN ' I like it' WHEN 1 THEN ' it is bad' ELSE '' END AS t FROM documents),
+#: Notes: documents' summaries, a third of them praised and a third blamed, so that moods meet.
+_NOTES = f"""n0 AS (SELECT doc_id AS id, CAST(DATE '2024-01-01' + CAST(doc_id % 30 AS INTEGER) AS DATE) AS day, substr(text, 1, 500) || CASE doc_id % 3 WHEN 0 THEN ' I like it' WHEN 1 THEN ' it is bad' ELSE '' END AS t FROM documents),
 notes AS (SELECT id, day, {S.topics('t')} AS topics, {S.sentiment('t')} AS mood FROM n0)"""
 
 
 def _notes(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     tail = F.when(F.col("doc_id") % 3 == 0, " I like it").when(F.col("doc_id") % 3 == 1, " it is bad").otherwise("")
-    n = d.select(F.col("doc_id").alias("id"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")).alias("day"), F.concat(F.substring("text", 1, 40), tail).alias("t"))
+    n = d.select(F.col("doc_id").alias("id"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")).alias("day"), F.concat(F.substring("text", 1, 500), tail).alias("t"))
     return n.select("id", "day", text.topics(F.col("t")).alias("topics"), text.sentiment(F.col("t")).alias("mood"))
 
 
-@query("contradictions", f"WITH {_NOTES}, x AS (SELECT id, day, mood, unnest(topics) AS topic FROM notes WHERE mood <> 'neutral'), m AS (SELECT a.id AS id_a, b.id AS id_b, a.day AS day_a, b.day AS day_b, min(a.topic) AS topic FROM x a JOIN x b ON a.topic = b.topic AND a.day < b.day AND a.mood <> b.mood WHERE length(a.topic) >= 7 GROUP BY 1, 2, 3, 4), r AS (SELECT *, row_number() OVER (PARTITION BY topic, day_a, day_b ORDER BY id_a, id_b) AS k FROM m) SELECT topic, id_a, id_b, day_a, day_b FROM r WHERE k = 1")
+@query("contradictions", f"WITH {_NOTES}, x AS (SELECT id, day, mood, unnest(topics) AS topic FROM notes WHERE mood <> 'neutral'), m AS (SELECT a.id AS id_a, b.id AS id_b, a.day AS day_a, b.day AS day_b, min(a.topic) AS topic FROM x a JOIN x b ON a.topic = b.topic AND a.day < b.day AND a.mood <> b.mood WHERE length(a.topic) >= 7 GROUP BY 1, 2, 3, 4), r AS (SELECT *, row_number() OVER (PARTITION BY topic, day_a, day_b ORDER BY id_a, id_b) AS k FROM m) SELECT topic, id_a, id_b, CAST(day_a AS VARCHAR) AS day_a, CAST(day_b AS VARCHAR) AS day_b FROM r WHERE k = 1")
 def contradictions(spark, sf_dir):
     """Topics of seven letters and more."""
-    return R.contradictions(_notes(spark, sf_dir).withColumn("topics", F.filter("topics", lambda t: F.length(t) >= 7)))
+    c = R.contradictions(_notes(spark, sf_dir).withColumn("topics", F.filter("topics", lambda t: F.length(t) >= 7)))
+    return c.withColumns({"day_a": F.col("day_a").cast("string"), "day_b": F.col("day_b").cast("string")})
 
 
 @query("connections", f"WITH {_NOTES}, x AS (SELECT day, unnest(topics) AS topic FROM notes) SELECT topic, count(*) AS mentions, count(DISTINCT day) AS days, CAST(max(day) - min(day) AS BIGINT) AS span FROM x GROUP BY topic HAVING count(DISTINCT day) >= 2 ORDER BY days DESC, mentions DESC, topic LIMIT 5")
@@ -75,11 +76,11 @@ def user_profiles(spark, sf_dir):
     return R.profiles(t.select(F.col("id").alias("user_id"), F.lit(0).alias("at"), "text"))
 
 
-_SEEN = "SELECT event_type || '/' || CAST(user_id % 40 AS VARCHAR) AS lesson FROM events WHERE user_id < 60"
+_SEEN = "SELECT event_type || '/' || CAST(user_id % 40 AS VARCHAR) AS lesson FROM events"
 
 
 def _lessons(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("user_id < 60")
+    e = table(spark, sf_dir, "events")
     return R.lesson_counts(e.select(F.concat("event_type", F.lit("/"), (F.col("user_id") % 40).cast("string")).alias("lesson")))
 
 

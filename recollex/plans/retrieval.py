@@ -81,13 +81,12 @@ def entity_extract_regex(spark, sf_dir):
     return texts(spark, sf_dir, "documents").select("src", "id", F.array_join(F.array_sort(text.entities(F.col("text"))), "|").alias("entities"))
 
 
-#: Names of nations and segments stand for entities of orders, so that memories share some.
-_ENT = f"{MEMORIES_SQL}, ent AS (SELECT DISTINCT memory_id, unnest({S.scene_tokens('substr(summary, 1, 60)')}) AS entity FROM memories)"
+_ENT = f"{MEMORIES_SQL}, ent AS (SELECT DISTINCT memory_id, unnest({S.entities('text')}) AS entity FROM memories)"
 
 
 def _entities(spark, sf_dir):
     m = memories(spark, sf_dir)
-    return m.select("memory_id", F.explode(F.array_distinct(text.scene_tokens(F.substring("summary", 1, 60)))).alias("entity"))
+    return m.select("memory_id", F.explode(text.entities(F.col("text"))).alias("entity"))
 
 
 @query("entity_inverted_index", f"WITH {_ENT} SELECT entity, count(*) AS n, md5(string_agg(CAST(memory_id AS VARCHAR), ',' ORDER BY memory_id)) AS ids_md5 FROM ent GROUP BY entity")
@@ -101,15 +100,15 @@ def shared_entities(spark, sf_dir):
     return _entities(spark, sf_dir).groupBy("entity").agg(F.count("memory_id").alias("n")).where("n >= 2")
 
 
-@query("entity_connectivity", f"WITH {_ENT}, s AS (SELECT * FROM ent WHERE length(entity) >= 10) SELECT a.memory_id, count(DISTINCT b.memory_id) AS neighbours, round(least(count(DISTINCT b.memory_id) * 0.05, 0.3), 6) AS bonus FROM s a JOIN s b ON a.entity = b.entity AND a.memory_id <> b.memory_id GROUP BY a.memory_id")
+@query("entity_connectivity", f"WITH {_ENT}, s AS (SELECT * FROM ent) SELECT a.memory_id, count(DISTINCT b.memory_id) AS neighbours, round(least(count(DISTINCT b.memory_id) * 0.05, 0.3), 6) AS bonus FROM s a JOIN s b ON a.entity = b.entity AND a.memory_id <> b.memory_id GROUP BY a.memory_id")
 def entity_connectivity(spark, sf_dir):
-    return R.connectivity(_entities(spark, sf_dir).where(F.length("entity") >= 10)).select("memory_id", "neighbours", F.round("bonus", 6).alias("bonus"))
+    return R.connectivity(_entities(spark, sf_dir)).select("memory_id", "neighbours", F.round("bonus", 6).alias("bonus"))
 
 
-@query("entity_boost", f"WITH {MEMORIES_SQL}, o AS (SELECT memory_id, len(list_intersect(list_distinct({S.scene_tokens('substr(summary, 1, 60)')}), {S.sql_list(['ther', 'and', 'ion', 'ered', 'onan'])})) AS n FROM memories) SELECT memory_id, CAST(n AS BIGINT) AS overlap, CASE WHEN n > 0 THEN round(0.5 / (1 + 0.001 * (n - 1) * (n - 1)), 6) ELSE 0.0 END AS boost FROM o")
+@query("entity_boost", f"WITH {MEMORIES_SQL}, o AS (SELECT memory_id, len(list_intersect(list_distinct({S.scene_tokens('summary')}), {S.sql_list(['ther', 'and', 'ion', 'ered', 'onan'])})) AS n FROM memories) SELECT memory_id, CAST(n AS BIGINT) AS overlap, CASE WHEN n > 0 THEN round(0.5 / (1 + 0.001 * (n - 1) * (n - 1)), 6) ELSE 0.0 END AS boost FROM o")
 def entity_boost(spark, sf_dir):
     wanted = text.constant_list(["ther", "and", "ion", "ered", "onan"])
-    n = F.size(F.array_intersect(text.scene_tokens(F.substring("summary", 1, 60)), wanted))
+    n = F.size(F.array_intersect(text.scene_tokens(F.col("summary")), wanted))
     return memories(spark, sf_dir).select("memory_id", n.cast("long").alias("overlap")).select("memory_id", "overlap", F.round(R.entity_boost(F.col("overlap")), 6).alias("boost"))
 
 
@@ -184,11 +183,11 @@ def rank_fusion_source_weight(spark, sf_dir):
     return c.select("conv_id", "turn", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "conv_id", "turn").limit(25)
 
 
-@query("fts_index_sync", f"WITH {MEMORIES_SQL}, done AS (SELECT memory_id FROM memories WHERE memory_id % 3 <> 0) SELECT memory_id, unnest(list_distinct({S.tokens('summary')})) AS term FROM memories WHERE memory_id NOT IN (SELECT memory_id FROM done)")
+@query("fts_index_sync", f"WITH {MEMORIES_SQL}, done AS (SELECT memory_id FROM memories WHERE scene = 'en') SELECT memory_id, unnest(list_distinct({S.tokens('summary')})) AS term FROM memories WHERE memory_id NOT IN (SELECT memory_id FROM done)")
 def fts_index_sync(spark, sf_dir):
     """Postings of memories that the index doesn't hold yet."""
     m = memories(spark, sf_dir)
-    done = m.where("memory_id % 3 <> 0").select("memory_id")
+    done = m.where("scene = 'en'").select("memory_id")
     return m.join(done, "memory_id", "left_anti").select("memory_id", F.explode(F.array_distinct(text.tokens(F.col("summary")))).alias("term"))
 
 
