@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recollex.llm._shared import staged, text_or_empty
+from recollex.llm._shared import small, staged, text_or_empty
 
 #: Bits of one filter at most (32 MB). Beyond it, more rows count as possibly repeated; the result stays exact.
 MAX_FILTER_BITS = 1 << 28
@@ -66,8 +66,9 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     probed = with_maybe(hashes, "sha", staged(blocks, "filter"), bits)
     alone = probed.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     again = probed.where("maybe").drop("maybe")
-    groups = again.groupBy(F.col("sha").alias("g")).agg(F.max(F.struct("doc_id", "rid")).alias("top"), F.count("*").alias("group_size"))
-    met = again.join(groups, F.col("sha") == F.col("g")).select("doc_id", F.col("top.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("top.rid")).alias("kept"), "sha")
+    groups = staged(again.groupBy(F.col("sha").alias("g")).agg(F.max(F.struct("doc_id", "rid")).alias("top"), F.count("*").alias("group_size")), "groups")
+    # written, so that beyond the broadcast bound both sides are plain exchanges, which Spark splits at a hot hash
+    met = again.join(small(groups, groups.count()), F.col("sha") == F.col("g")).select("doc_id", F.col("top.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("top.rid")).alias("kept"), "sha")
     return alone.unionByName(met).withColumn("text_sha256", F.lower(F.hex("sha"))).drop("sha")
 
 
