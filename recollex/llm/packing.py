@@ -23,8 +23,8 @@ from recollex.llm._shared import staged, text_or_empty
 CAPACITY, TOKENIZER, END_ID = 2048, "word_bpe_49k.json", 0
 #: Words whose ids a Python worker remembers; others are encoded when met.
 CACHED_WORDS = 700_000
-#: Pieces of one length that are ranked in one group, about.
-RANK_GROUP = 20_000
+#: Pieces of one length that are ranked in one group, about; a common length has as many groups as it needs.
+RANK_GROUP = 200
 MAX_PATTERNS, NNLS_STEPS = 120_000, 200
 
 
@@ -253,13 +253,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     gaps, to at most capacity. Repeated rows are pieces of their own; an empty table gives none."""
     spark = pieces.sparkSession
     pieces = staged(pieces, "pieces")
-    n = pieces.count()
-    salts = max(1, n // RANK_GROUP)
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    groups = staged(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "groups")
     hist = np.zeros(capacity + 1, np.int64)
-    for r in groups.groupBy("length").agg(F.sum("n").alias("n")).toLocalIterator():  # capacity rows at most
+    for r in pieces.groupBy("length").agg(F.count("*").alias("n")).toLocalIterator():  # capacity rows at most
         hist[r["length"]] = r["n"]
+    salts = F.get(F.split(F.lit(",".join(map(str, 1 + hist // RANK_GROUP))), ",").cast("array<long>"), F.col("length").cast("int"))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), salts))
+    groups = staged(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "groups")
     table = spark.sparkContext.broadcast(segments(plan(hist, capacity)))
     before = groups.select("length", "salt", (F.expr("sum(n) OVER (PARTITION BY length ORDER BY salt)") - F.col("n")).alias("before"))
     ranked = salted.withColumn("own", F.expr("row_number() OVER (PARTITION BY length, salt ORDER BY doc_id, piece, ids_crc32) - 1"))
