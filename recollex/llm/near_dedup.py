@@ -281,7 +281,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     every = staged(sketches(docs, shingle).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID))), "sketches")
     classes = every.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("regs").alias("regs"))
     classes = staged(classes, "classes")
-    links = near_links(docs, classes.select("rep", "n", "regs").dropDuplicates(["rep"]), shingle, percent)
+    # written, so that joins with it are plain exchanges on both sides, which Spark splits at a hot hub
+    nodes = staged(classes.select("rep", "n", "regs").dropDuplicates(["rep"]), "nodes")
+    links = near_links(docs, nodes, shingle, percent)
     labels = components(links)
     of_class = staged(classes.select("s1", "s2", "rep").join(labels.select(F.col("id").alias("rep"), "lab"), "rep", "left").select("s1", "s2", F.coalesce("lab", "rep").alias("lab")), "components")
     of_class = small(of_class, of_class.count())
