@@ -10,19 +10,26 @@ Pieces get their k by salted ranks, so a very common length is no bottleneck.
 from __future__ import annotations
 
 import functools
+import os
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollex.llm._shared import staged, text_or_empty
 
 CAPACITY, TOKENIZER, END_ID = 2048, "word_bpe_49k.json", 0
-#: Words whose ids a Python worker remembers; others are encoded when met.
-CACHED_WORDS = 700_000
+#: Words whose ids a Python worker remembers, and their bytes at most, as longer ones rarely repeat; others are encoded
+#: when met.
+CACHED_WORDS, CACHED_BYTES = 600_000, 14
+#: ASCII marks that are cut off words; not those of contractions and special tokens.
+MARKS = b".,;:!?#$%&*()-\""
+#: Texts that are encoded at a time: so many rows, or fewer with about so many bytes.
+BLOCK_ROWS, BLOCK_BYTES = 256, 2_000_000
 #: Pieces of one length that are ranked in one group, about; a common length has as many groups as it needs.
 RANK_GROUP = 200
 MAX_PATTERNS, NNLS_STEPS = 120_000, 200
@@ -40,20 +47,25 @@ class _Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self.tokenizer.token_to_id(self.MARK)
         self.known: dict[bytes, bytes] = {}
 
+    def _ids(self, text: str) -> np.ndarray:
+        """The text's ids; the batch call keeps no offsets, which saves time."""
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
     def _encode(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word. The words go to the tokenizer in one text, held apart by a special token; words that
         hold `<|` go alone."""
         out = [b""] * len(words)
         plain = [i for i, w in enumerate(words) if b"<|" not in w] if self.mark is not None else []
         for i in set(range(len(words))) - set(plain):
-            out[i] = np.array(self.tokenizer.encode(words[i].decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            out[i] = self._ids(words[i].decode()).tobytes()
         for a in range(0, len(plain), 4096):
             part = plain[a : a + 4096]
-            ids = np.array(self.tokenizer.encode(self.MARK.join(words[i].decode() for i in part), add_special_tokens=False).ids, "<u4")
+            ids = self._ids(self.MARK.join(words[i].decode() for i in part))
             cuts = np.flatnonzero(ids == self.mark)
             assert len(cuts) == len(part) - 1
             raw = ids.tobytes()
@@ -62,19 +74,37 @@ class _Encoder:
                 out[i] = raw[4 * s : 4 * e]
         return out
 
+    def _joined(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of the words and of their parts that are not known yet. The tokenizer ignores case and parts marks from
+        letters and digits before them, so only parts are encoded, which words share."""
+        cut = {w: self._cut(w) for w in words}
+        parts = list({p for c in cut.values() for p in c if p not in self.known})
+        got = dict(zip(parts, self._encode(parts), strict=True))
+        for w, c in cut.items():
+            got[w] = b"".join(got[p] if p in got else self.known[p] for p in c)
+        return got
+
+    @staticmethod
+    def _cut(word: bytes) -> tuple[bytes, ...]:
+        """The word without ASCII marks at its end, and these; the whole word unless an ASCII letter or digit is before
+        them, or if it may hold a special token."""
+        if b"<|" in word:
+            return (word,)
+        head = word.rstrip(MARKS)
+        if len(head) == len(word) or not head[-1:].isalnum():
+            return (word.lower() if word.isascii() else word,)
+        return (head.lower() if head.isascii() else head, word[len(head) :])
+
     def __call__(self, texts: list[list[bytes]]) -> list[bytes]:
         known = self.known
         new = {w for words in texts for w in words if w not in known}
         extra = {}
         if new:
-            listed = list(new)
-            got = zip(listed, self._encode(listed), strict=True)
-            if len(known) + len(listed) <= CACHED_WORDS:
-                known.update(got)
-            else:
-                extra = dict(got)
-                for w in listed[: max(0, CACHED_WORDS - len(known))]:
-                    known[w] = extra[w]
+            got = self._joined(new)
+            kept = [w for w in got if len(w) <= CACHED_BYTES][: max(0, CACHED_WORDS - len(known))]
+            extra = got
+            for w in kept:
+                known[w] = got[w]
         if extra:
             return [b"".join([known[w] if w in known else extra[w] for w in words]) for words in texts]
         get = known.__getitem__
@@ -86,15 +116,26 @@ def _encoder(path: str) -> _Encoder:
     return _Encoder(path)
 
 
+def _blocks(texts: pa.Array):
+    """(first, end) of runs of rows: BLOCK_ROWS of them, or fewer once they have BLOCK_BYTES."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    lo = held = 0
+    for hi, size in enumerate(sizes.tolist(), 1):
+        held += size
+        if hi - lo >= BLOCK_ROWS or held >= BLOCK_BYTES or hi == len(sizes):
+            yield lo, hi
+            lo, held = hi, 0
+
+
 def _pieces(path: str, capacity: int):
     def run(batches):
         encode = _encoder(path)
         for b in batches:
             ids_col, texts = b.column(0), b.column(1)
-            for lo in range(0, len(texts), 256):
+            for lo, hi in _blocks(texts):
                 rows = []
-                words = [(x.as_py() or "").encode().split() for x in texts.slice(lo, 256)]
-                for doc, raw in zip(ids_col.slice(lo, 256).to_pylist(), encode(words), strict=True):
+                words = [(x.as_py() or "").encode().split() for x in texts.slice(lo, hi - lo)]
+                for doc, raw in zip(ids_col.slice(lo, hi - lo).to_pylist(), encode(words), strict=True):
                     raw += END_ID.to_bytes(4, "little")
                     n = len(raw) // 4
                     for k, s in enumerate(range(0, n, capacity)):
