@@ -1,14 +1,16 @@
 """LM scoring with a weighted backoff automaton.
 
-Counts: all words of the training texts, and all pairs of neighbouring words. Words and pairs that make up at least
-SHARE of the training tokens go into the automaton: it has a root state, a state for each word that begins a kept pair,
-an arc for each kept pair (absolutely discounted) and, from each such state, a failure arc to the root whose weight
-makes the state's probabilities sum to one. Since shares sum to one, the automaton has at most 1 / SHARE words and arcs
-at every corpus size and can be broadcast. All other words' counts stay in a table and meet the texts in a join.
+Counts: all words of the training texts, and all pairs of neighbouring words. Every pair seen LEAST_PAIR times is kept,
+whatever the corpus size. The automaton has a root state, a state for each word that begins a kept pair, an arc for each
+kept pair (absolutely discounted) and, from each such state, a failure arc to the root whose weight makes the state's
+probabilities sum to one. It grows with the corpus, so it lies in written tables: words with their counts and failure
+weights, and arcs with what they add to the failure arc and the root's weight. Only its hot part, the HOT_WORDS
+and HOT_ARCS most frequent ones at most, is broadcast. Words and arcs that the hot part
+lacks meet the texts in a join; a bounded Bloom filter of the other arcs tells which pairs of a text can be among them.
 
 A text is read once from left to right. The automaton's state after a token depends on that token alone (the root, or
-the token's state), so a batch of texts is traversed as arrays: look up the arc from the state before, else take the
-failure arc and the root's (smoothed unigram) weight.
+the token's state), so a batch of texts is traversed as arrays, and a text's score is a sum: the root's weight of each
+token, the failure weight of each token that another follows, and what the arcs taken add.
 """
 
 from __future__ import annotations
@@ -20,8 +22,13 @@ from pyspark.sql import functions as F
 
 from recollex.llm import _hashing as H
 from recollex.llm._shared import learned_crc, staged, text_or_empty
+from recollex.llm.substring_dedup import BITS_PER_ANCHOR, MAX_FILTER_BITS, MIN_FILTER_BITS, _in_filter, _or, _slots
 
-SHARE, LEAST_PAIR, DISCOUNT, ALPHA = 1e-6, 2, 0.5, 0.1
+LEAST_PAIR, DISCOUNT, ALPHA = 2, 0.5, 0.1
+#: Share of the training tokens that a pair must have besides; 0 cuts none at any corpus size.
+SHARE = 0.0
+#: Most words and arcs that are broadcast; the rest are joined, with the same result.
+HOT_WORDS, HOT_ARCS = 1_000_000, 2_000_000
 #: Bytes of text that a worker turns into arrays at once.
 PART = 8 << 20
 #: The end token's hash.
@@ -70,74 +77,115 @@ def _index(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(table[at] == h, at, -1)
 
 
-def _count_pairs(words):
+def _pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A hash of each ordered pair of word hashes."""
+    return H.mix(first * np.uint64(0x9E3779B97F4A7C15) ^ H.mix(second ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
+
+
+def _count_pairs(batches):
+    for b in _parts(batches, 0, 2 * PART):
+        h, at = _tokens(b.column(0))
+        both = np.ones(len(h) - 1, bool)
+        both[at[1:-1] - 1] = False  # an end token begins no pair
+        first, second = h[:-1][both], h[1:][both]
+        _, place, n = np.unique(_pair_keys(first, second), return_index=True, return_counts=True)
+        order = np.argsort(first[place])  # neighbours that share a word shrink in the shuffle
+        place, n = place[order], n[order]
+        if len(n):
+            yield pa.record_batch([pa.array(first[place].view(np.int64)), pa.array(second[place].view(np.int64)), pa.array(n.astype(np.int64))], ["a", "b", "c"])
+
+
+def _key_arcs(batches):
+    for b in batches:
+        first, second = (b.column(k).to_numpy().view(np.uint64) for k in (0, 1))
+        yield pa.record_batch([pa.array(_pair_keys(first, second).view(np.int64)), b.column(2), b.column(3)], ["k", "c", "extra"])
+
+
+def _arc_filter(bits: int):
+    """Pair keys of a partition to blocks of 4 KB of their Bloom filter: (block, bits)."""
+
     def run(batches):
-        table = words.value
-        for b in _parts(batches, 0, 2 * PART):
-            h, at = _tokens(b.column(0))
-            i = _index(table, h)
-            both = (i[:-1] >= 0) & (i[1:] >= 0)
-            both[at[1:-1] - 1] = False  # an end token begins no pair
-            k, n = np.unique((i[:-1] << 32 | i[1:])[both], return_counts=True)
-            if len(k):
-                yield pa.record_batch([pa.array(k), pa.array(n.astype(np.int64))], ["pair", "c"])
+        out = np.zeros(bits // 8, np.uint8)
+        for b in batches:
+            for s in _slots(b.column(0).to_numpy().view(np.uint64), bits):
+                np.bitwise_or.at(out, (s >> np.uint64(3)).astype(np.int64), np.uint8(1) << (s & np.uint64(7)).astype(np.uint8))
+        blocks = out.reshape(-1, 4096)
+        for k in np.flatnonzero(blocks.any(1)):
+            yield pa.record_batch([pa.array([int(k)], pa.int64()), pa.array([blocks[k].tobytes()], pa.binary())], ["block", "bits"])
 
     return run
 
 
 class Automaton:
-    """words: sorted hashes; root: their log10 weights; arcs: sorted (state << 32 | word) and their log10 weights; fail:
-    log10 weight of each word state's failure arc (0 for a word without arcs, whose state is the root)."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, distinct: int, pairs: np.ndarray, pair_counts: np.ndarray):
-        order = np.argsort(words)
-        self.words, counts = words[order], counts[order].astype(float)
-        self.denominator = total + ALPHA * (distinct + 1)
-        p = (counts + ALPHA) / self.denominator
-        self.root = np.log10(p)
-        order = np.argsort(pairs)
-        self.arcs, c = pairs[order], pair_counts[order].astype(float)
-        state, word = self.arcs >> 32, self.arcs & 0xFFFFFFFF
-        q = (c - DISCOUNT) / counts[state]
-        self.weights = np.log10(q) if len(q) else np.zeros(0)
-        kept = np.bincount(state, weights=q, minlength=len(p)) if len(q) else np.zeros(len(p))
-        lower = np.bincount(state, weights=p[word], minlength=len(p)) if len(q) else np.zeros(len(p))
-        self.fail = np.where(kept > 0, np.log10(np.maximum(1 - kept, 1e-300) / np.maximum(1 - lower, 1e-300)), 0.0)
-
-    def unigram(self, count):
-        return np.log10((count + ALPHA) / self.denominator)
-
-    def traverse(self, tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For texts' tokens: the words' places (-1: not in the automaton), root weights and what the state before
-        adds to them (weights of words that are not in the automaton are left to the caller)."""
+    """The hot part. words: sorted hashes with log10 root weights and failure weights (0 for a word without arcs, whose
+    state is the root); arcs: sorted pair keys and what they add to those; others: a Bloom filter of all other arcs."""
+
+    def __init__(self, words: pa.Table, arcs: pa.Table, denominator: float, others: np.ndarray, bits: int):
+        h, k = (t.column(0).to_numpy().view(np.uint64) for t in (words, arcs))
+        order = np.argsort(h)
+        self.words, self.fail = h[order], words.column("fail").to_numpy()[order]
+        self.root = np.log10((words.column("c").to_numpy()[order] + ALPHA) / denominator)
+        order = np.argsort(k)
+        self.arcs, self.extra = k[order], arcs.column("extra").to_numpy()[order]
+        self.denominator, self.others, self.bits = denominator, others, bits
+
+    def traverse(self, tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For texts' tokens: the words' places (-1: not in the hot part), root weights and what the states add to
+        them, and the places and keys of tokens whose arc may be outside the hot part. Weights of words that are not
+        in the hot part are left to the caller."""
         i = _index(self.words, tokens)
-        root = np.where(i >= 0, self.root[np.maximum(i, 0)], 0.0) if len(self.words) else np.zeros(len(i))
-        extra = np.zeros(len(i))
-        if len(self.words):
-            before = np.concatenate([[-1], i[:-1]])
-            before[at[:-1]] = -1  # every text starts at the root
-            state = np.flatnonzero(before >= 0)
-            key = before[state] << 32 | np.maximum(i[state], 0)
-            arc = np.where(i[state] >= 0, _index(self.arcs, key), -1)
-            hit = arc >= 0
-            extra[state] = self.fail[before[state]]
-            extra[state[hit]] = self.weights[arc[hit]] - root[state[hit]]
-        return i, root, extra
-
-
-def fit(train: DataFrame) -> tuple[DataFrame, Automaton, int, int]:
-    """Word counts (h, c) of all training texts, the automaton, the number of tokens and of distinct tokens."""
-    spark = train.sparkSession
+        hot = np.flatnonzero(i >= 0)
+        root, extra = np.zeros(len(i)), np.zeros(len(i))
+        root[hot], extra[hot] = self.root[i[hot]], self.fail[i[hot]]  # the end token begins no pair, so its weight is 0
+        later = np.ones(len(i), bool)
+        later[at[:-1]] = False  # every text starts at the root
+        later = np.flatnonzero(later)
+        keys = _pair_keys(tokens[later - 1], tokens[later])
+        arc = _index(self.arcs, keys)
+        hit = arc >= 0
+        extra[later[hit]] += self.extra[arc[hit]]
+        later, keys = later[~hit], keys[~hit]
+        maybe = _in_filter(keys, self.others, self.bits)
+        return i, root, extra, later[maybe], keys[maybe]
+
+
+def _least_count(table: DataFrame, total: int, rows: int) -> int:
+    """The least count c that at most some rows of the table (c) reach; the counts sum to total at most."""
+    top = total // rows + 1  # fewer rows can have this count
+    least, n = top, 0
+    for r in sorted(table.groupBy(F.least("c", F.lit(top)).alias("c")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        n += r["n"]
+        if n > rows:
+            break
+        least = r["c"]
+    return least
+
+
+def fit(train: DataFrame) -> tuple[DataFrame, Automaton, int]:
+    """The weights (k, base, score) of words and arcs outside the hot part, the hot part and the number of tokens."""
     texts = train.select(text_or_empty(train).alias("text"))
     counts = staged(texts.mapInArrow(_count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).head()
-    often = counts.where(F.col("c") >= SHARE * total).toArrow()  # 1 / SHARE rows at most
-    words, n = often.column("h").to_numpy().view(np.uint64), often.column("c").to_numpy()
-    order = np.argsort(words)
-    words, n = words[order], n[order]
-    shared = spark.sparkContext.broadcast(words)
-    pairs = texts.mapInArrow(_count_pairs(shared), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).where(F.col("c") >= max(LEAST_PAIR, SHARE * total)).toArrow()  # so too
-    return counts, Automaton(words, n, total, distinct, pairs.column("pair").to_numpy(), pairs.column("c").to_numpy()), total, distinct
+    denominator = float(total + ALPHA * (distinct + 1))
+    pairs = texts.mapInArrow(_count_pairs, "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c")).where(F.col("c") >= max(LEAST_PAIR, SHARE * total))
+    pairs = staged(pairs.join(counts.select(F.col("h").alias("b"), F.col("c").alias("cb")), "b"), "pairs")
+    states = pairs.groupBy(F.col("a").alias("h")).agg(F.sum("c").alias("taken"), F.sum("cb").alias("lower"), F.count("*").alias("arcs"))
+    left = (F.col("c") - F.col("taken") + DISCOUNT * F.col("arcs")) / F.col("c")
+    lower = (F.lit(denominator) - F.col("lower") - ALPHA * F.col("arcs")) / F.lit(denominator)
+    words = staged(counts.join(states, "h", "left").select("h", "c", F.coalesce(F.log10(left) - F.log10(lower), F.lit(0.0)).alias("fail")), "states")
+    # written on both sides, so that Spark splits the exchange at a word with many arcs
+    begun = pairs.join(words.select(F.col("h").alias("a"), F.col("c").alias("ca"), "fail"), "a")
+    extra = F.log10((F.col("c") - DISCOUNT) / F.col("ca")) - F.col("fail") - F.log10((F.col("cb") + ALPHA) / F.lit(denominator))
+    arcs = staged(begun.select("a", "b", "c", extra.alias("extra")).mapInArrow(_key_arcs, "k long, c long, extra double"), "arcs")
+    hot = F.col("c") >= _least_count(arcs, total, HOT_ARCS)
+    often = F.col("c") >= _least_count(words, total, HOT_WORDS)
+    others = arcs.where(~hot)
+    bits = min(MAX_FILTER_BITS, max(MIN_FILTER_BITS, 1 << (max(others.count(), 1) * BITS_PER_ANCHOR - 1).bit_length()))
+    bloom = _or(others.select("k").coalesce(8).mapInArrow(_arc_filter(bits), "block long, bits binary"), bits)
+    automaton = Automaton(words.where(often).toArrow(), arcs.where(hot).select("k", "extra").toArrow(), denominator, bloom, bits)
+    base = F.log10((F.col("c") + ALPHA) / F.lit(denominator))
+    rest = words.where(~often).select(F.col("h").alias("k"), base.alias("base"), (base + F.col("fail")).alias("score"))
+    return rest.unionByName(others.select("k", F.lit(0.0).alias("base"), F.col("extra").alias("score"))), automaton, total
 
 
 def _score(model):
@@ -145,18 +193,20 @@ def _score(model):
         automaton = model.value
         for b in _parts(batches, 2):
             tokens, at = _tokens(b.column(2))
-            i, root, extra = automaton.traverse(tokens, at)
+            i, root, extra, place, keys = automaton.traverse(tokens, at)
             sums = lambda x: np.add.reduceat(x, at[:-1]) if len(at) > 1 else np.zeros(0)  # noqa: B023, E731
             rest = np.flatnonzero(i < 0)
-            doc = np.searchsorted(at, rest, side="right") - 1
-            order = np.lexsort((tokens[rest], doc))
-            d, h = doc[order], tokens[rest][order]
+            # words count up, pairs down
+            doc = np.searchsorted(at, np.concatenate([rest, place]), side="right") - 1
+            key, sign = np.concatenate([tokens[rest], keys]), np.repeat([1, -1], [len(rest), len(place)])
+            order = np.lexsort((key, doc))
+            d, k = doc[order], key[order]
             new = np.ones(len(d), bool)
-            new[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
+            new[1:] = (d[1:] != d[:-1]) | (k[1:] != k[:-1])
             first = np.flatnonzero(new)
-            n = np.diff(np.append(first, len(d)))
+            n = np.diff(np.append(first, len(d))) * sign[order][first]
             offsets = np.searchsorted(d[first], np.arange(b.num_rows + 1)).astype(np.int32)
-            tails = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(h[first].view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"]))
+            tails = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(k[first].view(np.int64)), pa.array(n.astype(np.int64))], ["k", "n"]))
             base, added = sums(root), sums(extra)
             yield pa.record_batch([b.column(0), b.column(1), pa.array(np.diff(at)), pa.array(sums((i >= 0).astype(np.int64)).astype(np.int64)), pa.array(base.astype(float)), pa.array((base + added).astype(float)), tails], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rest"])
 
@@ -171,22 +221,23 @@ def score_texts(docs: DataFrame, train: DataFrame, held_out=None) -> DataFrame:
     without training rows every token has the probability of an unseen one; an empty table gives none.
     """
     spark = docs.sparkSession
-    counts, automaton, total, distinct = fit(train)
+    weights, automaton, total = fit(train)
     model = spark.sparkContext.broadcast(automaton)
     held = F.coalesce(F.lit(False) if held_out is None else held_out, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), text_or_empty(docs).alias("text"))
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rest array<struct<h:long,n:long>>"
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rest array<struct<k:long,n:long>>"
     rows = staged(rows.mapInArrow(_score(model), schema).withColumn("rid", F.monotonically_increasing_id()), "scored")
-    rest = rows.select("rid", F.explode("rest").alias("x")).select("rid", "x.h", "x.n")
-    rare = counts.where(F.col("c") < SHARE * total)
-    met = rest.join(rare, "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    rest = rows.select("rid", F.explode("rest").alias("x")).select("rid", "x.k", "x.n")
+    met = rest.join(weights.withColumnsRenamed({"base": "b", "score": "s"}), "k", "left")
+    word, unseen = F.col("n") > 0, F.log10(F.lit(ALPHA / automaton.denominator))
     tail = met.groupBy("rid").agg(
-        F.sum(F.col("n") * F.log10((F.col("c") + ALPHA) / F.lit(float(automaton.denominator)))).alias("more"),
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"),
+        F.sum(F.when(word, F.col("n") * F.coalesce("b", unseen)).otherwise(0.0)).alias("more_base"),
+        F.sum(F.when(word, F.col("n") * F.coalesce("s", unseen)).otherwise(-F.col("n") * F.coalesce("s", F.lit(0.0)))).alias("more"),
+        F.sum(F.when(word & F.col("s").isNotNull(), F.col("n")).otherwise(0)).alias("known"),
     )
     out = rows.drop("rest").join(tail, "rid", "left")
-    more = F.coalesce("more", F.lit(0.0))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base_score") + more).alias("base_score"), (F.col("score") + more).alias("score"))
+    added = lambda c, more: (F.col(c) + F.coalesce(more, F.lit(0))).alias(c)
+    return out.select("doc_id", "held_out", "n_tokens", added("n_known", "known"), F.lit(int(total)).cast("long").alias("train_tokens"), added("base_score", "more_base"), added("score", "more"))
 
 
 def op10_lm_score(spark, sf_dir: str) -> DataFrame:

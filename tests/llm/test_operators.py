@@ -241,6 +241,28 @@ def test_lm_rare_words_join(spark, texts, monkeypatch):
         assert (r.n_tokens, r.n_known) == want[r.doc_id][:2] and abs(r.score - want[r.doc_id][3]) < 1e-6
 
 
+def test_lm_pairs_join(spark, texts, monkeypatch):
+    """With a small hot part nearly all words and pairs go through the join, and none is lost."""
+    monkeypatch.setattr(lm_score, "HOT_WORDS", 10)
+    monkeypatch.setattr(lm_score, "HOT_ARCS", 10)
+    rows = [*texts[:120], (10**6, None), (10**6 + 1, "never Seen-before wOrds")]
+    want, _, _ = brute.lm(rows, 0, lm_score.LEAST_PAIR, lm_score.DISCOUNT, lm_score.ALPHA)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in lm_score.score_texts(docs, docs.where(learned_crc("doc_id", 10) != 0)).collect():
+        tokens, known, base, score = want[r.doc_id]
+        assert (r.n_tokens, r.n_known) == (tokens, known) and abs(r.base_score - base) < 1e-8 * tokens and abs(r.score - score) < 1e-8 * tokens
+
+
+def test_lm_keeps_pairs_at_every_size(spark):
+    """A pair seen twice counts in a corpus of 3.2 million tokens too."""
+    ids = [i for i in range(1, 20) if zlib.crc32(str(i).encode()) % 10][:3]
+    rows = [(ids[0], "x y " * 1_600_000), (ids[1], "rare pair"), (ids[2], "rare pair")]
+    want, _, _ = brute.lm(rows, 0, lm_score.LEAST_PAIR, lm_score.DISCOUNT, lm_score.ALPHA)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.score for r in lm_score.score_texts(docs, docs).collect()}
+    assert all(abs(out[i] - want[i][3]) < 1e-8 * want[i][0] for i in ids)
+
+
 def _distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
