@@ -217,7 +217,7 @@ def _features_of(lexicon):
         lex = lexicon.value
         for b in batches:
             x = [features(lex, t or "")[0].tolist() for t in b.column(0).to_pylist()]
-            yield pa.record_batch([b.column(1), pa.array(x, pa.list_(pa.float64()))], ["toxic", "x"])
+            yield pa.record_batch([b.column(1), b.column(2), pa.array(x, pa.list_(pa.float64()))], ["toxic", "copies", "x"])
 
     return run
 
@@ -271,7 +271,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Model:
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     texts = docs.select(F.col("doc_id"), text_or_empty(docs).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
     parts = max(spark.sparkContext.defaultParallelism, 8)
-    sample = staged(texts.repartition(parts), "sample")
+    # copies of a text are one document for the terms; the regression has each of them
+    sample = staged(texts.groupBy("text", "toxic").agg(F.count("*").alias("copies")).repartition(parts), "sample")
     size = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = size.get(1, 0), size.get(0, 0)
     fixed = [(w, False) for w in INSULTS]
@@ -292,9 +293,9 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Model:
     variants = sample.where("toxic = 0").mapInArrow(_clean_matches(rough), "variant string").distinct()
     lexicon = Lexicon(terms, frozenset(r[0] for r in variants.toLocalIterator()))
     shared = spark.sparkContext.broadcast(lexicon)
-    table = sample.mapInArrow(_features_of(shared), "toxic int, x array<double>").toArrow()
-    x = np.array(table.column("x").to_pylist(), float).reshape(-1, FEATURES)
-    return lexicon, fit_logistic(x, table.column("toxic").to_numpy().astype(float))
+    table = sample.mapInArrow(_features_of(shared), "toxic int, copies long, x array<double>").toArrow()
+    x, copies = np.array(table.column("x").to_pylist(), float).reshape(-1, FEATURES), table.column("copies").to_numpy()
+    return lexicon, fit_logistic(np.repeat(x, copies, axis=0), np.repeat(table.column("toxic").to_numpy().astype(float), copies))
 
 
 def _score(texts, model: Model) -> np.ndarray:

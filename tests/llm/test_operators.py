@@ -309,6 +309,18 @@ def test_context_windows():
     assert quoted[3] > 0 == quoted[2] and aimed[2] > 0 == aimed[3]
 
 
+def test_copies_do_not_hide_a_term(spark):
+    """A term of 20 different toxic texts is found though one more text with it has 40 copies."""
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7))
+    text = lambda term: " ".join([*(word() for _ in range(5)), *term, *(word() for _ in range(5))])
+    toxic = [text(["glurbface"]) for _ in range(20)] + [text(["glurbface"])] * 40
+    rows = [(i, t, int(i < len(toxic))) for i, t in enumerate(toxic + [text([]) for _ in range(200)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lexicon, _ = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    assert lexicon.match("glurbface") is not None
+
+
 def test_no_labels(spark):
     docs = spark.createDataFrame([(1, "you idiot idiot moron scum"), (2, "fine")], "doc_id long, text string")
     model = toxicity.fit(docs, spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int"))
