@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 
 from recollex import consts as K
 from recollex.functions import text
+from recollex.llm._shared import staged
+
+#: So few pairs are folded by one task; more are first settled in rounds.
+FOLD_PAIRS = 200_000
 
 
 def scene_keywords(memories: DataFrame, body: str = "summary") -> DataFrame:
@@ -84,24 +88,43 @@ def keyword_pairs(memories: DataFrame, threshold: float = K.MERGE_JACCARD, least
     return met.withColumn("jaccard", F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).where(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
 
 
-def merge_groups(pairs: DataFrame, blocks: DataFrame, most: int = K.MERGE_GROUP) -> DataFrame:
-    """leader, memory_id, place of greedy leader groups within each block (memory_id, block): in order of id, a row joins
-    the first leader it pairs with; members past the group size are consumed but not merged."""
-    edges = pairs.join(blocks.select(F.col("memory_id").alias("a"), "block"), "a")
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        near = pdf.sort_values(["a", "b"]).groupby("a")["b"].apply(list)
-        used, out = set(), []
-        for leader, others in near.items():
-            if leader in used:
-                continue
-            group = [leader, *(b for b in others if b not in used)]
-            if len(group) > 1:
-                used.update(group)
-                out += [(leader, m, i) for i, m in enumerate(group[:most])]
-        return pd.DataFrame(out, columns=["leader", "memory_id", "place"])
-
-    return edges.groupBy("block").applyInPandas(greedy, "leader long, memory_id long, place int")
+def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Leaders by a pass over pairs in order of id."""
+    used, out = set(), []
+    for leader, others in pdf.sort_values("a").groupby("a")["b"]:
+        if leader not in used:
+            out.append(leader)
+            used.update(others)
+    return pd.DataFrame({"leader": out}, dtype="int64")
+
+
+def merge_leaders(pairs: DataFrame) -> DataFrame:
+    """leader: rows of pairs (a < b) that a greedy pass in order of id doesn't find in an earlier leader's group.
+
+    In each round the rows without an undecided earlier neighbour are leaders, and their neighbours are used; both need
+    no further look at their pairs. The last FOLD_PAIRS pairs are folded at once."""
+    live, out = pairs.select("a", "b"), []
+    while live.count() > FOLD_PAIRS:
+        heads = staged(live.select("a").distinct().join(live.select(F.col("b").alias("a")).distinct(), "a", "left_anti"), "leaders")
+        used = live.join(heads, "a", "left_semi").select(F.col("b").alias("a")).distinct()
+        live = staged(live.join(heads.union(used), "a", "left_anti"), "undecided")
+        out.append(heads.select(F.col("a").alias("leader")))
+    found = staged(live.groupBy().applyInPandas(_fold, "leader long"), "leaders")
+    for heads in out:
+        found = found.union(heads)
+    return found
+
+
+def merge_groups(pairs: DataFrame, memories: DataFrame, most: int = K.MERGE_GROUP) -> DataFrame:
+    """leader, memory_id, place of greedy leader groups among the pairs (a < b) of memories (memory_id): in order of id,
+    a row joins the first leader it pairs with; members past the group size are consumed but not merged."""
+    ids = memories.select("memory_id").distinct()
+    edges = pairs.select("a", "b").join(ids.withColumnRenamed("memory_id", "a"), "a", "left_semi").join(ids.withColumnRenamed("memory_id", "b"), "b", "left_semi")
+    edges = staged(edges, "pairs")
+    joined = edges.join(merge_leaders(edges).select(F.col("leader").alias("a")), "a").groupBy("b").agg(F.min("a").alias("leader"))
+    members = joined.groupBy("leader").agg(F.array_sort(F.collect_list("b")).alias("m"))
+    rows = members.select("leader", F.posexplode(F.slice(F.concat(F.array("leader"), "m"), 1, most)).alias("place", "memory_id"))
+    return rows.select("leader", "memory_id", "place")
 
 
 def merged_rows(groups: DataFrame, memories: DataFrame) -> DataFrame:

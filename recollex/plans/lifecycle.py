@@ -142,7 +142,7 @@ def merge_pairs_jaccard(spark, sf_dir):
 
 def _groups(spark, sf_dir):
     m = memories(spark, sf_dir)
-    return L.merge_groups(L.keyword_pairs(m), m.select("memory_id", F.col("source").alias("block")))
+    return L.merge_groups(L.keyword_pairs(m), m)
 
 
 @query("merge_groups")

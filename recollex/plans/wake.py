@@ -30,7 +30,7 @@ def wake(memories: DataFrame, access: DataFrame, as_of: Column, budget: int = 20
     trends = lifecycle.density_trend(access, "memory_id")
     decisions = lifecycle.forgetting_decisions(memories, hot, trends, as_of)
     active = memories.join(decisions.where(F.col("decision").isin("demote", "archive", "stays_demoted")).select("memory_id"), "memory_id", "left_anti")
-    groups = lifecycle.merge_groups(lifecycle.keyword_pairs(active), active.select("memory_id", F.col("scene").alias("block")))
+    groups = lifecycle.merge_groups(lifecycle.keyword_pairs(active), active)
     composites = lifecycle.merged_rows(groups, active)
     notes = active.select(F.col("memory_id").alias("id"), F.to_date("ts").alias("day"), text.topics(F.col("summary")).alias("topics"), text.sentiment(F.col("summary")).alias("mood"))
     against = reflection.contradictions(notes)

@@ -1,6 +1,7 @@
 """Golden rows, boundaries and empty inputs of single operators."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,6 +119,23 @@ def test_greedy_merge(spark):
     assert len([r for r in g if r.leader == 10]) == 5 and 3 not in {r.memory_id for r in g}
 
 
+@pytest.mark.parametrize("fold", [0, 10**6])
+def test_merge_consumes_once(spark, monkeypatch, fold):
+    """One pass over all rows, whatever their source; in rounds as in one fold."""
+    monkeypatch.setattr(lifecycle, "FOLD_PAIRS", fold)
+    rng = random.Random(5)
+    edges = {(1, 2), (1, 3), (2, 3), *(tuple(sorted(rng.sample(range(10, 60), 2))) for _ in range(120))}
+    used, want = set(), set()
+    for i in range(60):
+        near = [b for a, b in sorted(edges) if a == i and b not in used]
+        if i not in used and near:
+            used |= {i, *near}
+            want |= {(i, m, k) for k, m in enumerate([i, *near][: lifecycle.K.MERGE_GROUP])}
+    pairs = spark.createDataFrame(sorted(edges), "a long, b long")
+    blocks = spark.createDataFrame([(i, i % 3) for i in range(60)], "memory_id long, block int")
+    assert {tuple(r) for r in lifecycle.merge_groups(pairs, blocks).select("leader", "memory_id", "place").collect()} == want
+
+
 def test_few_active_are_kept(spark):
     def run(n):
         m = spark.createDataFrame([(i, "s", TS(2023, 1, 1), False) for i in range(n)], "memory_id long, scene string, last_accessed timestamp_ntz, demoted boolean")
