@@ -94,12 +94,16 @@ def _sets(batches, shingle: int):
             yield b.column(0).slice(lo, hi - lo), out
 
 
+def _set_hashes(sets) -> tuple[np.ndarray, np.ndarray]:
+    s1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
+    return s1, np.array([H.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) for s in sets], np.uint64)
+
+
 def _sketches(shingle: int):
     def run(batches):
         for ids, sets in _sets(batches, shingle):
             n = np.array([len(s) for s in sets], np.int64)
-            s1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
-            s2 = np.array([H.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) for s in sets], np.uint64)
+            s1, s2 = _set_hashes(sets)
             regs = [registers(s).tobytes() if len(s) else b"" for s in sets]
             yield pa.record_batch([ids, pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(regs, pa.binary())], ["doc_id", "n", "s1", "s2", "regs"])
 
@@ -134,8 +138,9 @@ def _likely(batches):
 
 def _set_rows(shingle: int):
     def run(batches):
-        for ids, sets in _sets(batches, shingle):
-            yield pa.record_batch([ids, pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "set"])
+        for _, sets in _sets(batches, shingle):
+            s1, s2 = _set_hashes(sets)
+            yield pa.record_batch([pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], ["s1", "s2", "set"])
 
     return run
 
@@ -237,7 +242,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Verified links (a, b) between classes (rep, n, regs) that join every component."""
+    """Verified links (a, b) between classes (rep, s1, s2, least, n, regs) that join every component."""
     keys = classes.select("rep", "regs").mapInArrow(_keys, "rep long, band int, key long")
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = staged(keys.join(shared, "key"), "members")
@@ -246,15 +251,17 @@ def near_links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int)
     hubs = ranked.groupBy("key").agg(F.max(F.struct("pop", (-F.col("rep")).alias("neg"))).alias("hub"))
     # each class with the best hub of its buckets; a class that is its own best hub waits for others
     best = ranked.join(hubs, "key").groupBy("rep").agg(F.max("hub").alias("hub")).select(F.col("rep").alias("a"), (-F.col("hub.neg")).alias("b")).where("a <> b")
-    needed = members.select("rep").distinct()
+    needed = classes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "s1", "s2", "least")
     side = lambda d, c: d.select(F.col("rep").alias(c), F.col("n").alias("n" + c), F.col("regs").alias("r" + c))
     likely = best.join(side(classes, "a"), "a").join(side(classes, "b"), "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_likely, "a long, b long, na long, nb long")
     needed = staged(needed, "needed")
-    needed = small(needed, needed.count())
-    # of rows that share a doc_id, each is looked at; the class of the smallest set hash stands for them
+    n = needed.count()
+    ids, needed = small(needed.select(F.col("least").alias("doc_id")).distinct(), n), small(needed, n)
+    # of rows that share a doc_id, each is looked at; a set goes to the class of its own hash
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), text_or_empty(docs).alias("text"))
-    texts = texts.join(needed, texts["doc_id"] == needed["rep"]).select("rep", "text")
-    sets = staged(texts.mapInArrow(_set_rows(shingle), "rep long, set binary").dropDuplicates(["rep"]), "sets")
+    texts = texts.join(ids, "doc_id", "left_semi").select("doc_id", "text")
+    found = texts.mapInArrow(_set_rows(shingle), "s1 long, s2 long, set binary").join(needed, ["s1", "s2"]).select("rep", "set")
+    sets = staged(found.dropDuplicates(["rep"]), "sets")
     of = lambda c: sets.select(F.col("rep").alias(c), F.col("set").alias("s" + c))
     first = staged(likely.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_verified(percent), "a long, b long"), "links")
 
@@ -270,6 +277,17 @@ def near_links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int)
     return staged(first.unionByName(second), "links")
 
 
+def _same_id(every: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of rows that share a doc_id. Null ids need none: each of their classes has the
+    smallest id anyway."""
+    by = every.where((F.col("n") > 0) & (F.col("doc_id") != NULL_ID)).select("doc_id", F.struct("s1", "s2").alias("s"))
+    shared = staged(by.groupBy("doc_id").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi").select("doc_id"), "shared")
+    rows = by.join(small(shared, shared.count()), "doc_id", "left_semi").select("doc_id", "s.s1", "s.s2").distinct()
+    rows = staged(rows.join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).select("doc_id", "rep"), "shared")
+    first = rows.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    return rows.join(first, "doc_id").where("a <> rep").select("a", F.col("rep").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
 
@@ -279,13 +297,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     are ignored; an empty table gives none.
     """
     every = staged(sketches(docs, shingle).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID))), "sketches")
-    classes = every.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("regs").alias("regs"))
-    classes = staged(classes, "classes")
-    # written, so that joins with it are plain exchanges on both sides, which Spark splits at a hot hub
-    nodes = staged(classes.select("rep", "n", "regs").dropDuplicates(["rep"]), "nodes")
-    links = near_links(docs, nodes, shingle, percent)
+    classes = every.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.max("regs").alias("regs"))
+    # numbered and written: the numbers stay, and joins are plain exchanges on both sides, which Spark splits at a hot hub
+    classes = staged(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    links = near_links(docs, classes, shingle, percent).unionByName(_same_id(every, classes))
     labels = components(links)
-    of_class = staged(classes.select("s1", "s2", "rep").join(labels.select(F.col("id").alias("rep"), "lab"), "rep", "left").select("s1", "s2", F.coalesce("lab", "rep").alias("lab")), "components")
+    named = labels.join(classes.select(F.col("rep").alias("id"), "least"), "id")
+    tops = staged(named.groupBy("lab").agg(F.min("least").alias("top")), "tops")
+    tops = labels.join(small(tops, tops.count()), "lab").select(F.col("id").alias("rep"), "top")
+    of_class = staged(classes.select("s1", "s2", "rep", "least").join(tops, "rep", "left").select("s1", "s2", F.coalesce("top", "least").alias("lab")), "components")
     of_class = small(of_class, of_class.count())
     out = every.join(of_class, ["s1", "s2"], "left").withColumn("lab", F.when(F.col("n") > 0, F.coalesce("lab", "doc_id")).otherwise(F.col("doc_id")))
     known = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))

@@ -219,6 +219,21 @@ def test_chat(spark):
     assert chat_format.format_conversations(df.limit(0)).count() == 0
 
 
+def test_near_rows_that_share_an_id(spark):
+    """Null ids and shared ids hide no class of texts: each text links its own near copies."""
+    text = lambda c, cut=60: " ".join([f"{c}{i}" for i in range(cut)] + ["x"] * (60 - cut))
+    rows, want = [], {}
+    for k in range(12):  # a null-id text, a copy and a near copy of it
+        rows += [(None, text(f"n{k}w")), (100 + 2 * k, text(f"n{k}w")), (101 + 2 * k, text(f"n{k}w", 57))]
+        want |= {100 + 2 * k: None, 101 + 2 * k: None}
+    for k in range(12):  # texts that share the id 7, and near copies of them
+        rows += [(7, text(f"s{k}w")), (200 + k, text(f"s{k}w", 57))]
+        want |= {7: 7, 200 + k: 7}
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == len(rows) and all(r.component_id == want.get(r.doc_id) for r in out)
+    assert {r.doc_id for r in out if r.kept} == {None, 7}
+
+
 def test_lm(spark, texts):
     rows = [*texts[:120], (10**6, None), (10**6 + 1, "never Seen-before wOrds")]
     want, n, sums = brute.lm(rows, lm_score.SHARE, lm_score.LEAST_PAIR, lm_score.DISCOUNT, lm_score.ALPHA)
