@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from recollex import consts as K
 from recollex.functions import text
-from recollex.llm._shared import staged
+from recollex.staging import staged
 
 #: So few pairs are folded by one task; more are first settled in rounds.
 FOLD_PAIRS = 200_000
