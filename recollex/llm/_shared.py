@@ -2,51 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import weakref
+import ctypes
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: A side is broadcast only if it was counted and has at most this many rows of a few numbers each.
-BROADCAST_ROWS = 1_000_000
-
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_local_dirs: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. In local mode, where that may be unset,
-    a temporary folder; on a cluster without the setting this raises."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    sc = spark.sparkContext
-    if sc not in _local_dirs:
-        _local_dirs[sc] = "file://" + tempfile.mkdtemp(prefix="recollex-")
-    return _local_dirs[sc]
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet in the shared folder and read back: later stages survive lost executors and scan
-    only the columns they need. The files go when the driver's JVM ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/recollex-{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+from recollex.staging import BROADCAST_ROWS, discard, shared_dir, small, staged, swept
 
+__all__ = ["BROADCAST_ROWS", "discard", "shared_dir", "small", "staged", "swept"]
 
-def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its counted rows are within the limit; else as it is, for a shuffle join."""
-    return F.broadcast(df) if rows <= limit else df
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def ascii_lower(c: Column) -> Column:
@@ -75,5 +41,20 @@ def same_row(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["row_key"] == b["row_key"])
 
 
-def schema(*fields: str) -> T.StructType:
-    return T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in (f.split(" ", 1) for f in fields)])
+def give_back() -> None:
+    """Memory that the allocators of C and Arrow hold on to goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run):
+    """A function for mapInArrow that gives memory back when a partition is done: Spark keeps Python workers for later
+    tasks, and what they hold would add up over stages."""
+
+    def freed(batches):
+        yield from run(batches)
+        give_back()
+
+    return freed

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollex.llm._shared import learned_crc, text_or_empty
+from recollex.llm._shared import lean, learned_crc, text_or_empty
 
 DIM, SEED = 256, 20240131
 #: Letter classes: 0 is the gap between words, 1 to 26 are a to z, other letters share the rest by a hash.
@@ -161,7 +161,7 @@ def _bundles(batches):
 
 def fit_prototypes(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and their prototypes from all rows of docs (text, lang). A task sends one sum per language."""
-    rows = docs.where("lang is not null").select(text_or_empty(docs).alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(_bundles, "lang string, bundle array<long>")
+    rows = docs.where("lang is not null").select(text_or_empty(docs).alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(lean(_bundles), "lang string, bundle array<long>")
     each = rows.select("lang", F.posexplode("bundle").alias("i", "v")).groupBy("lang", "i").agg(F.sum("v").alias("v")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("b"))
     found = sorted((r["lang"], [x["v"] for x in r["b"]]) for r in each.toLocalIterator())
     if not found:
@@ -196,7 +196,7 @@ def identify_languages(docs: DataFrame, model: tuple[list[str], np.ndarray], hel
     2. held_out is a column to carry (false by default). Without a learned language all are `und`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     held = F.lit(False) if held_out is None else held_out
-    return docs.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), text_or_empty(docs).alias("text")).mapInArrow(_predict(shared), "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), text_or_empty(docs).alias("text")).mapInArrow(lean(_predict(shared)), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:

@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollex.llm import _hashing as H
-from recollex.llm._shared import learned_crc, staged, text_or_empty
-from recollex.llm.substring_dedup import BITS_PER_ANCHOR, MAX_FILTER_BITS, MIN_FILTER_BITS, _in_filter, _or, _slots
+from recollex.llm._shared import lean, learned_crc, staged, text_or_empty
+from recollex.llm.substring_dedup import BITS_PER_ANCHOR, MAX_FILTER_BITS, MIN_FILTER_BITS, _in_filter, filter_of
 
 LEAST_PAIR, DISCOUNT, ALPHA = 2, 0.5, 0.1
 #: Share of the training tokens that a pair must have besides; 0 cuts none at any corpus size.
@@ -101,21 +101,6 @@ def _key_arcs(batches):
         yield pa.record_batch([pa.array(_pair_keys(first, second).view(np.int64)), b.column(2), b.column(3)], ["k", "c", "extra"])
 
 
-def _arc_filter(bits: int):
-    """Pair keys of a partition to blocks of 4 KB of their Bloom filter: (block, bits)."""
-
-    def run(batches):
-        out = np.zeros(bits // 8, np.uint8)
-        for b in batches:
-            for s in _slots(b.column(0).to_numpy().view(np.uint64), bits):
-                np.bitwise_or.at(out, (s >> np.uint64(3)).astype(np.int64), np.uint8(1) << (s & np.uint64(7)).astype(np.uint8))
-        blocks = out.reshape(-1, 4096)
-        for k in np.flatnonzero(blocks.any(1)):
-            yield pa.record_batch([pa.array([int(k)], pa.int64()), pa.array([blocks[k].tobytes()], pa.binary())], ["block", "bits"])
-
-    return run
-
-
 class Automaton:
     """The hot part. words: sorted hashes with log10 root weights and failure weights (0 for a word without arcs, whose
     state is the root); arcs: sorted pair keys and what they add to those; others: a Bloom filter of all other arcs."""
@@ -164,10 +149,10 @@ def _least_count(table: DataFrame, total: int, rows: int) -> int:
 def fit(train: DataFrame) -> tuple[DataFrame, Automaton, int]:
     """The weights (k, base, score) of words and arcs outside the hot part, the hot part and the number of tokens."""
     texts = train.select(text_or_empty(train).alias("text"))
-    counts = staged(texts.mapInArrow(_count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "words")
+    counts = staged(texts.mapInArrow(lean(_count_words), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).head()
     denominator = float(total + ALPHA * (distinct + 1))
-    pairs = texts.mapInArrow(_count_pairs, "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c")).where(F.col("c") >= max(LEAST_PAIR, SHARE * total))
+    pairs = texts.mapInArrow(lean(_count_pairs), "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c")).where(F.col("c") >= max(LEAST_PAIR, SHARE * total))
     pairs = staged(pairs.join(counts.select(F.col("h").alias("b"), F.col("c").alias("cb")), "b"), "pairs")
     states = pairs.groupBy(F.col("a").alias("h")).agg(F.sum("c").alias("taken"), F.sum("cb").alias("lower"), F.count("*").alias("arcs"))
     left = (F.col("c") - F.col("taken") + DISCOUNT * F.col("arcs")) / F.col("c")
@@ -176,12 +161,12 @@ def fit(train: DataFrame) -> tuple[DataFrame, Automaton, int]:
     # written on both sides, so that Spark splits the exchange at a word with many arcs
     begun = pairs.join(words.select(F.col("h").alias("a"), F.col("c").alias("ca"), "fail"), "a")
     extra = F.log10((F.col("c") - DISCOUNT) / F.col("ca")) - F.col("fail") - F.log10((F.col("cb") + ALPHA) / F.lit(denominator))
-    arcs = staged(begun.select("a", "b", "c", extra.alias("extra")).mapInArrow(_key_arcs, "k long, c long, extra double"), "arcs")
+    arcs = staged(begun.select("a", "b", "c", extra.alias("extra")).mapInArrow(lean(_key_arcs), "k long, c long, extra double"), "arcs")
     hot = F.col("c") >= _least_count(arcs, total, HOT_ARCS)
     often = F.col("c") >= _least_count(words, total, HOT_WORDS)
     others = arcs.where(~hot)
     bits = min(MAX_FILTER_BITS, max(MIN_FILTER_BITS, 1 << (max(others.count(), 1) * BITS_PER_ANCHOR - 1).bit_length()))
-    bloom = _or(others.select("k").coalesce(8).mapInArrow(_arc_filter(bits), "block long, bits binary"), bits)
+    bloom = filter_of(others.select("k"), bits)
     automaton = Automaton(words.where(often).toArrow(), arcs.where(hot).select("k", "extra").toArrow(), denominator, bloom, bits)
     base = F.log10((F.col("c") + ALPHA) / F.lit(denominator))
     rest = words.where(~often).select(F.col("h").alias("k"), base.alias("base"), (base + F.col("fail")).alias("score"))
@@ -226,7 +211,7 @@ def score_texts(docs: DataFrame, train: DataFrame, held_out=None) -> DataFrame:
     held = F.coalesce(F.lit(False) if held_out is None else held_out, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), text_or_empty(docs).alias("text"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rest array<struct<k:long,n:long>>"
-    rows = staged(rows.mapInArrow(_score(model), schema).withColumn("rid", F.monotonically_increasing_id()), "scored")
+    rows = staged(rows.mapInArrow(lean(_score(model)), schema).withColumn("rid", F.monotonically_increasing_id()), "scored")
     rest = rows.select("rid", F.explode("rest").alias("x")).select("rid", "x.k", "x.n")
     met = rest.join(weights.withColumnsRenamed({"base": "b", "score": "s"}), "k", "left")
     word, unseen = F.col("n") > 0, F.log10(F.lit(ALPHA / automaton.denominator))

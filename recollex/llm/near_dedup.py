@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollex.llm import _hashing as H
-from recollex.llm._shared import small, staged, text_or_empty
+from recollex.llm._shared import discard, lean, small, staged, text_or_empty
 
 ROWS, BANDS = 5, 32
 REGISTERS = ROWS * BANDS
@@ -112,7 +112,7 @@ def _sketches(shingle: int):
 
 def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n (shingles), s1 and s2 (hash of the set), regs (registers) of every row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(docs).alias("text")).mapInArrow(_sketches(shingle), "doc_id long, n long, s1 long, s2 long, regs binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(docs).alias("text")).mapInArrow(lean(_sketches(shingle)), "doc_id long, n long, s1 long, s2 long, regs binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -233,17 +233,19 @@ def components(links: DataFrame) -> DataFrame:
     labels = staged(both.groupBy("id").agg(F.least(F.min("to"), F.col("id")).alias("lab")), "labels")
     while True:
         seen = both.join(labels.select(F.col("id").alias("to"), F.col("lab").alias("far")), "to").groupBy("id").agg(F.min("far").alias("far"))
-        new = labels.join(seen, "id").select("id", F.col("lab").alias("old"), F.least("lab", "far").alias("lab"))
+        new = labels.select("id", "lab").join(seen, "id").select("id", F.col("lab").alias("old"), F.least("lab", "far").alias("lab"))
         jump = labels.select(F.col("id").alias("lab"), F.col("lab").alias("up"))
         new = staged(new.join(jump, "lab", "left").select("id", "old", F.least("lab", F.coalesce("up", F.col("lab"))).alias("lab")), "labels")
-        if new.where("lab <> old").limit(1).count() == 0:
-            return new.select("id", "lab")
-        labels = new.select("id", "lab")
+        discard(labels)
+        labels = new
+        if labels.where("lab <> old").limit(1).count() == 0:
+            discard(both)
+            return labels.select("id", "lab")
 
 
 def near_links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Verified links (a, b) between classes (rep, s1, s2, least, n, regs) that join every component."""
-    keys = classes.select("rep", "regs").mapInArrow(_keys, "rep long, band int, key long")
+    keys = classes.select("rep", "regs").mapInArrow(lean(_keys), "rep long, band int, key long")
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = staged(keys.join(shared, "key"), "members")
     popular = members.groupBy("rep").agg(F.sum("size").alias("pop"))
@@ -253,17 +255,17 @@ def near_links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int)
     best = ranked.join(hubs, "key").groupBy("rep").agg(F.max("hub").alias("hub")).select(F.col("rep").alias("a"), (-F.col("hub.neg")).alias("b")).where("a <> b")
     needed = classes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "s1", "s2", "least")
     side = lambda d, c: d.select(F.col("rep").alias(c), F.col("n").alias("n" + c), F.col("regs").alias("r" + c))
-    likely = best.join(side(classes, "a"), "a").join(side(classes, "b"), "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_likely, "a long, b long, na long, nb long")
+    likely = best.join(side(classes, "a"), "a").join(side(classes, "b"), "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(lean(_likely), "a long, b long, na long, nb long")
     needed = staged(needed, "needed")
     n = needed.count()
     ids, needed = small(needed.select(F.col("least").alias("doc_id")).distinct(), n), small(needed, n)
     # of rows that share a doc_id, each is looked at; a set goes to the class of its own hash
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), text_or_empty(docs).alias("text"))
     texts = texts.join(ids, "doc_id", "left_semi").select("doc_id", "text")
-    found = texts.mapInArrow(_set_rows(shingle), "s1 long, s2 long, set binary").join(needed, ["s1", "s2"]).select("rep", "set")
+    found = texts.mapInArrow(lean(_set_rows(shingle)), "s1 long, s2 long, set binary").join(needed, ["s1", "s2"]).select("rep", "set")
     sets = staged(found.dropDuplicates(["rep"]), "sets")
     of = lambda c: sets.select(F.col("rep").alias(c), F.col("set").alias("s" + c))
-    first = staged(likely.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_verified(percent), "a long, b long"), "links")
+    first = staged(likely.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(lean(_verified(percent)), "a long, b long"), "links")
 
     labels = components(first)
     named = members.join(labels.select(F.col("id").alias("rep"), "lab"), "rep", "left").withColumn("lab", F.coalesce("lab", "rep"))

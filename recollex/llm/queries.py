@@ -1,6 +1,5 @@
 """The queries of this subpackage and their DuckDB SQL (where SQL can express them)."""
 
-import corpus_pipeline
 from recollex.llm import chat_format, decontaminate, exact_dedup, language_id, lm_score, near_dedup, packing, substring_dedup, toxicity, url_filter
 
 QUERIES = {
@@ -14,7 +13,6 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_lm_score": lm_score.op10_lm_score,
-    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,

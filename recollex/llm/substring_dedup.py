@@ -4,8 +4,10 @@ maximal removal intervals.
 1. Every window has an anchor, the least hash of the ANCHOR-word grams in it. Equal windows have equal anchors, and
    neighbouring windows share theirs, so counting anchors moves about an eighth of the hashes. A Bloom filter of bounded
    size holds the anchors that occur twice.
-2. Only windows with such an anchor move, as (hash, doc_id, place), once per batch and hash (a map-side combine: a very
-   common window moves once per batch at most). Sorted by hash, doc_id and place, all but the first are repeats.
+2. Only windows with such an anchor move, as (hash, check, doc_id, place), once per batch and hash (a map-side combine:
+   a very common window moves once per batch at most). Sorted by hash, check, doc_id and place, all but the first are
+   repeats. hash and check are polynomials at two random bases, 93 bits together: two different windows are taken for
+   equal with a probability of 20 * 2**-61 * 2**-32 a pair.
 3. Repeats sorted by document merge into intervals, which meet the texts.
 """
 
@@ -19,22 +21,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollex.llm import _hashing as H
-from recollex.llm._shared import keyed, same_row, small, staged
+from recollex.llm._shared import keyed, lean, same_row, small, staged
 
 WINDOW, ANCHOR = 20, 6
 #: Bits of the anchor filter at most (32 MB). A fuller filter lets more windows move; the result stays exact.
 MAX_FILTER_BITS, MIN_FILTER_BITS, BITS_PER_ANCHOR = 1 << 28, 1 << 16, 16
+#: The random base of the windows' check.
+CHECK_BASE = 0x0B7E151628AED2A6
 
 
-def _anchors(words: np.ndarray, offs: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each window: document, place, window hash and anchor."""
+def _anchors(words: np.ndarray, offs: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window: document, place, its place among all words, window hash and anchor."""
     doc, place = H.starts_in_documents(offs, window)
     at = offs[:-1][doc] + place
     if not len(at):
         e = np.zeros(0, np.uint64)
-        return doc, place, e, e
+        return doc, place, at, e, e
     least = H.sliding_min(H.gram_hashes(words, anchor), window - anchor + 1)
-    return doc, place, H.gram_hashes(words, window)[at], least[at]
+    return doc, place, at, H.gram_hashes(words, window)[at], least[at]
+
+
+def _checks(words: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """32 more bits of the windows that begin at some places."""
+    return (H.gram_hashes(words, window, CHECK_BASE)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _text_chunks(batches, *columns):
@@ -53,7 +62,7 @@ def _text_chunks(batches, *columns):
 def _count_anchors(window: int, anchor: int):
     def run(batches):
         for _, words, offs in _text_chunks(batches):
-            doc, _, h, least = _anchors(words, offs, window, anchor)
+            doc, _, _, h, least = _anchors(words, offs, window, anchor)
             if len(h):
                 # a run of equal anchors within a document counts once, unless its windows repeat one another
                 new = np.ones(len(least), bool)
@@ -82,28 +91,28 @@ def _in_filter(h: np.ndarray, filt: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _filter_blocks(bits: int):
-    """Sorted anchors of a partition to blocks of 4 KB of the filter: (block, bits)."""
+    """Hashes of a partition to blocks of 4 KB of the filter: (block, bits)."""
 
     def run(batches):
-        seen: dict[int, np.ndarray] = {}
+        out = np.zeros(max(bits // 8, 4096), np.uint8)
         for b in batches:
             h = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for s in _slots(h, bits):
-                byte = (s >> np.uint64(3)).astype(np.int64)
-                for block in np.unique(byte >> 12):
-                    mine = byte >> 12 == block
-                    np.bitwise_or.at(seen.setdefault(int(block), np.zeros(4096, np.uint8)), byte[mine] & 4095, np.uint8(1) << (s[mine] & np.uint64(7)).astype(np.uint8))
-        if seen:
-            yield pa.record_batch([pa.array(list(seen), pa.int64()), pa.array([x.tobytes() for x in seen.values()], pa.binary())], ["block", "bits"])
+                np.bitwise_or.at(out, (s >> np.uint64(3)).astype(np.int64), np.uint8(1) << (s & np.uint64(7)).astype(np.uint8))
+        blocks = out.reshape(-1, 4096)
+        for k in np.flatnonzero(blocks.any(1)):
+            yield pa.record_batch([pa.array([int(k)], pa.int64()), pa.array([blocks[k].tobytes()], pa.binary())], ["block", "bits"])
 
     return run
 
 
-def _or(blocks: DataFrame, bits: int) -> np.ndarray:
-    """The filter on the driver: MAX_FILTER_BITS / 8 bytes at most, however large the input."""
+def filter_of(hashes: DataFrame, bits: int) -> np.ndarray:
+    """The Bloom filter of a column of hashes on the driver: MAX_FILTER_BITS / 8 bytes at most, however large the input.
+    Every task builds the blocks of its own rows, which Spark merges."""
+    blocks = hashes.mapInArrow(lean(_filter_blocks(bits)), "block long, bits binary").groupBy("block").agg(F.bitmap_or_agg("bits").alias("bits"))
     out = np.zeros(max(bits // 8, 4096), np.uint8)
     for r in blocks.toLocalIterator():
-        out[r["block"] * 4096 : r["block"] * 4096 + 4096] |= np.frombuffer(bytes(r["bits"]), np.uint8)
+        out[r["block"] * 4096 : r["block"] * 4096 + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return out
 
 
@@ -114,21 +123,21 @@ def _moving_windows(window: int, anchor: int, filt, bits: int):
     def run(batches):
         table = filt.value
         for (ids, keys), words, offs in _text_chunks(batches, "doc_id", "row_key"):
-            doc, place, h, least = _anchors(words, offs, window, anchor)
+            doc, place, at, h, least = _anchors(words, offs, window, anchor)
             move = np.flatnonzero(_in_filter(least, table, bits)) if len(h) else np.zeros(0, np.int64)
             if not len(move):
                 continue
-            doc, place, h = doc[move], place[move], h[move]
+            doc, place, h, check = doc[move], place[move], h[move], _checks(words, at[move], window)
             id_of, key_of = _ids(ids), keys.to_numpy(zero_copy_only=False)
-            order = np.lexsort((place, key_of[doc], id_of[doc], h))
-            doc, place, h = doc[order], place[order], h[order]
+            order = np.lexsort((place, key_of[doc], id_of[doc], check, h))
+            doc, place, h, check = doc[order], place[order], h[order], check[order]
             later = np.zeros(len(h), bool)
-            later[1:] = h[1:] == h[:-1]
+            later[1:] = (h[1:] == h[:-1]) & (check[1:] == check[:-1])
             # rows that repeat a whole (doc_id, text) are one document: the same place in it is not an earlier one
             first = np.maximum.accumulate(np.where(later, 0, np.arange(len(h))))
             same = later & (id_of[doc] == id_of[doc[first]]) & (key_of[doc] == key_of[doc[first]]) & (place == place[first])
             out = ~later
-            yield _rows(0, h[out], id_of[doc[out]], key_of[doc[out]], place[out], place[out])
+            yield _rows(0, h[out], check[out], id_of[doc[out]], key_of[doc[out]], place[out], place[out])
             gone = later & ~same
             d, p = doc[gone], place[gone]
             order = np.lexsort((p, d))
@@ -136,7 +145,7 @@ def _moving_windows(window: int, anchor: int, filt, bits: int):
             if len(d):
                 a, z = _runs(d, p, window)
                 key = H.mix(key_of[d[a]].view(np.uint64) ^ id_of[d[a]].view(np.uint64))
-                yield _rows(1, key, id_of[d[a]], key_of[d[a]], p[a], p[z] + window)
+                yield _rows(1, key, np.zeros(len(a), np.int32), id_of[d[a]], key_of[d[a]], p[a], p[z] + window)
 
     return run
 
@@ -156,29 +165,30 @@ def _runs(d: np.ndarray, p: np.ndarray, window: int) -> tuple[np.ndarray, np.nda
     return a, np.append(a[1:], len(d)) - 1
 
 
-def _rows(kind: int, h, ids, keys, place, stop) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(np.full(len(h), kind, np.int8)), pa.array(h.view(np.int64)), pa.array(ids.astype(np.int64)), pa.array(keys.astype(np.int64)), pa.array(place.astype(np.int32)), pa.array(stop.astype(np.int32))], ["kind", "h", "doc_id", "row_key", "place", "stop"])
+def _rows(kind: int, h, check, ids, keys, place, stop) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(np.full(len(h), kind, np.int8)), pa.array(h.view(np.int64)), pa.array(check), pa.array(ids.astype(np.int64)), pa.array(keys.astype(np.int64)), pa.array(place.astype(np.int32)), pa.array(stop.astype(np.int32))], ["kind", "h", "check", "doc_id", "row_key", "place", "stop"])
 
 
 def _later_windows(window: int):
-    """Rows sorted by hash, kind, doc_id, row_key and place: the later ones of each hash, and the intervals as they are."""
+    """Rows sorted by hash, check, kind, doc_id, row_key and place: the later ones of each hash and check, and the
+    intervals as they are."""
 
     def run(batches):
         last = None
         for b in batches:
-            kind, h, ids, keys, place, stop = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            kind, h, check, ids, keys, place, stop = (c.to_numpy(zero_copy_only=False) for c in b.columns)
             own = np.flatnonzero(kind == 0)
-            hh, ii, kk, pp = h[own], ids[own], keys[own], place[own]
+            hh, cc, ii, kk, pp = h[own], check[own], ids[own], keys[own], place[own]
             keep = np.zeros(len(h), bool)
             if len(own):
                 new = np.ones(len(own), bool)
-                new[1:] = hh[1:] != hh[:-1]
-                if last is not None and last[0] == hh[0]:
+                new[1:] = (hh[1:] != hh[:-1]) | (cc[1:] != cc[:-1])
+                if last is not None and last[:2] == (hh[0], cc[0]):
                     new[0] = False
                 at = np.maximum.accumulate(np.where(new, np.arange(len(own)), -1))
-                fi, fk, fp = (np.where(at >= 0, x[np.maximum(at, 0)], y) for x, y in zip((ii, kk, pp), last[1:] if last else (0, 0, 0), strict=True))
+                fi, fk, fp = (np.where(at >= 0, x[np.maximum(at, 0)], y) for x, y in zip((ii, kk, pp), last[2:] if last else (0, 0, 0), strict=True))
                 keep[own] = ~new & ~((ii == fi) & (kk == fk) & (pp == fp))
-                last = (hh[-1], fi[-1], fk[-1], fp[-1])
+                last = (hh[-1], cc[-1], fi[-1], fk[-1], fp[-1])
             stop = np.where(kind == 0, place + window, stop)
             keep |= kind == 1
             if keep.any():
@@ -221,16 +231,16 @@ def removal_intervals(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
     """Maximal word intervals [place, stop) of keyed documents whose windows also start earlier (in a smaller doc_id, or
     in the same document before). A null doc_id counts as smallest and is given as NULL_ID."""
     texts = docs.select("text")
-    counted = texts.mapInArrow(_count_anchors(window, anchor), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    counted = texts.mapInArrow(lean(_count_anchors(window, anchor)), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
     again = staged(counted, "anchors")
     n = again.count()
     bits = min(MAX_FILTER_BITS, max(MIN_FILTER_BITS, 1 << (max(n, 1) * BITS_PER_ANCHOR - 1).bit_length()))
     spark = docs.sparkSession
-    filt = spark.sparkContext.broadcast(_or(again.coalesce(8).mapInArrow(_filter_blocks(bits), "block long, bits binary"), bits))
-    moving = docs.mapInArrow(_moving_windows(window, anchor, filt, bits), "kind byte, h long, " + INTERVAL)
+    filt = spark.sparkContext.broadcast(filter_of(again, bits))
+    moving = docs.mapInArrow(lean(_moving_windows(window, anchor, filt, bits)), "kind byte, h long, check int, " + INTERVAL)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    later = moving.repartition(parts, "h").sortWithinPartitions("h", "kind", "doc_id", "row_key", "place").mapInArrow(_later_windows(window), INTERVAL)
-    return later.repartition(parts, "doc_id", "row_key").sortWithinPartitions("doc_id", "row_key", "place").mapInArrow(_merged, INTERVAL)
+    later = moving.repartition(parts, "h").sortWithinPartitions("h", "check", "kind", "doc_id", "row_key", "place").mapInArrow(lean(_later_windows(window)), INTERVAL)
+    return later.repartition(parts, "doc_id", "row_key").sortWithinPartitions("doc_id", "row_key", "place").mapInArrow(lean(_merged), INTERVAL)
 
 
 def _cut(batches):
@@ -274,12 +284,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     one space. A window of `window` words is repeated if the same words also start earlier (smaller doc_id, or same
     document, earlier start). Null, empty and short texts keep all; rows that repeat doc_id and text are judged as one
     document; extra columns are ignored; an empty table gives none."""
-    return _with_gaps(docs, window).mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_text string")
+    return _with_gaps(docs, window).mapInArrow(lean(_cut), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return _with_gaps(docs, WINDOW).mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _with_gaps(docs, WINDOW).mapInArrow(lean(_digest), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 OP7_SQL = r"""

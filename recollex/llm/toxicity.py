@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollex.llm._shared import learned_crc, staged, text_or_empty
+from recollex.llm._shared import give_back, lean, learned_crc, staged, text_or_empty
 
 #: Labelled documents that are learned from at most: those with the least hashes of their doc_id.
 TRAIN_DOCS = 16_000
@@ -30,8 +31,8 @@ MINERS = 2
 #: Terms of fewer letters are matched exactly, others with one error.
 FUZZY = 5
 WINDOW = 6
-#: Words known not to match that a Python worker remembers.
-REMEMBERED = 300_000
+#: Words known not to match that a Python worker remembers within a partition.
+REMEMBERED = 200_000
 
 #: General insults, words of reported speech, and words that address someone.
 INSULTS = "idiot idiots moron stupid loser pathetic worthless disgusting trash scum clown dumb fool jerk imbecile bastard freak filthy vermin".split()
@@ -73,6 +74,10 @@ class Lexicon:
     def __setstate__(self, state):
         self.__init__(*state)
 
+    def forget(self) -> None:
+        self._none.clear()
+        self._known.clear()
+
     def _may_match(self, w: str) -> bool:
         """One error leaves the first three letters or those after them intact, shifted by one place at most."""
         s = self.second
@@ -207,6 +212,7 @@ def _clean_matches(lexicon):
                     m = lex.match(w)
                     if m and m[1]:
                         out.add(m[2])
+        lex.forget()
         yield pa.record_batch([pa.array(sorted(out), pa.string())], ["variant"])
 
     return run
@@ -218,6 +224,7 @@ def _features_of(lexicon):
         for b in batches:
             x = [features(lex, t or "")[0].tolist() for t in b.column(0).to_pylist()]
             yield pa.record_batch([b.column(1), b.column(2), pa.array(x, pa.list_(pa.float64()))], ["toxic", "copies", "x"])
+        lex.forget()
 
     return run
 
@@ -280,20 +287,20 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Model:
         return Lexicon(fixed), np.array([2.0, 1.0, 1.0, -1.0, 1.0, 0.5, -3.0])
     cols = "term string, stem boolean, n long, contexts long"
     least = max(LEAST_DOCS, LEAST_SHARE * n_toxic)
-    counted = sample.where("toxic = 1").coalesce(MINERS).mapInArrow(_count_terms(None), cols).groupBy("term", "stem").agg(F.sum("n").alias("n"), F.sum("contexts").alias("contexts"))
+    counted = sample.where("toxic = 1").coalesce(MINERS).mapInArrow(lean(_count_terms(None)), cols).groupBy("term", "stem").agg(F.sum("n").alias("n"), F.sum("contexts").alias("contexts"))
     often = counted.where((F.col("n") >= least) & (F.col("contexts") >= VARIED * F.col("n")))
     tox = {(r["term"], r["stem"]): r["n"] for r in often.toLocalIterator()}
     wanted = spark.sparkContext.broadcast(frozenset(tox))
-    seen = sample.where("toxic = 0").mapInArrow(_count_terms(wanted), cols).groupBy("term", "stem").agg(F.sum("n").alias("n"))
+    seen = sample.where("toxic = 0").mapInArrow(lean(_count_terms(wanted)), cols).groupBy("term", "stem").agg(F.sum("n").alias("n"))
     clean = {(r["term"], r["stem"]): r["n"] for r in seen.toLocalIterator()}
     mined = choose_terms([(*t, n, clean.get(t, 0)) for t, n in tox.items()], n_toxic, n_clean)
     words = [t for t in fixed if clean.get(t, 0) * n_toxic <= tox.get(t, 0) * n_clean or t not in tox]
     terms = sorted({*words, *mined})
     rough = spark.sparkContext.broadcast(Lexicon(terms))
-    variants = sample.where("toxic = 0").mapInArrow(_clean_matches(rough), "variant string").distinct()
+    variants = sample.where("toxic = 0").mapInArrow(lean(_clean_matches(rough)), "variant string").distinct()
     lexicon = Lexicon(terms, frozenset(r[0] for r in variants.toLocalIterator()))
     shared = spark.sparkContext.broadcast(lexicon)
-    table = sample.mapInArrow(_features_of(shared), "toxic int, copies long, x array<double>").toArrow()
+    table = sample.mapInArrow(lean(_features_of(shared)), "toxic int, copies long, x array<double>").toArrow()
     x, copies = np.array(table.column("x").to_pylist(), float).reshape(-1, FEATURES), table.column("copies").to_numpy()
     return lexicon, fit_logistic(np.repeat(x, copies, axis=0), np.repeat(table.column("toxic").to_numpy().astype(float), copies))
 
@@ -308,6 +315,7 @@ def _scored(shared):
     def run(batches):
         for b in batches:
             yield pa.record_batch([b.column(0), b.column(1), pa.array(_score(b.column(2).to_pylist(), shared.value), pa.float64())], ["doc_id", "held_out", "score"])
+        shared.value[0].forget()
 
     return run
 
@@ -318,7 +326,7 @@ def score_toxicity(docs: DataFrame, model: Model, held_out=None, threshold: floa
     shared = docs.sparkSession.sparkContext.broadcast(model)
     held = F.coalesce(F.lit(False) if held_out is None else held_out, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), text_or_empty(docs).alias("text"))
-    return rows.mapInArrow(_scored(shared), "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return rows.mapInArrow(lean(_scored(shared)), "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
@@ -326,8 +334,11 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFra
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
-    def score(texts: pa.Array) -> pa.Array:
-        return pa.array(_score(texts.to_pylist(), shared.value), pa.float64())
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for t in texts:
+            yield pa.array(_score(t.to_pylist(), shared.value), pa.float64())
+        shared.value[0].forget()
+        give_back()
 
     return docs.where(score(text_or_empty(docs)) < threshold)
 
