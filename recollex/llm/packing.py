@@ -16,20 +16,17 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollex.llm._shared import staged, text_or_empty
+from recollex.llm import _hashing as H
+from recollex.llm._shared import lean, staged, text_or_empty
 
 CAPACITY, TOKENIZER, END_ID = 2048, "word_bpe_49k.json", 0
-#: Words whose ids a Python worker remembers, and their bytes at most, as longer ones rarely repeat; others are encoded
-#: when met.
-CACHED_WORDS, CACHED_BYTES = 600_000, 14
-#: ASCII marks that are cut off words; not those of contractions and special tokens.
-MARKS = b".,;:!?#$%&*()-\""
-#: Texts that are encoded at a time: so many rows, or fewer with about so many bytes.
-BLOCK_ROWS, BLOCK_BYTES = 256, 2_000_000
+#: Units that a Python worker remembers, and their ids, at most (some 40 MB); beyond it starts anew.
+CACHED_UNITS, CACHED_IDS = 1_000_000, 4_000_000
+#: Bytes of text that are encoded at a time, about; a longer text is encoded alone.
+BLOCK_BYTES = 2_000_000
 #: Pieces of one length that are ranked in one group, about; a common length has as many groups as it needs.
 RANK_GROUP = 200
 MAX_PATTERNS, NNLS_STEPS = 120_000, 200
@@ -37,78 +34,149 @@ MAX_PATTERNS, NNLS_STEPS = 120_000, 200
 
 # ---- tokens
 
+#: Classes of bytes: white space, letters, digits, marks, and what makes a word irregular: apostrophes (contractions),
+#: angles (special tokens), control characters and all that is outside ASCII, but for the letters of U+00C0 to U+00FF.
+SPACE, LETTER, DIGIT, MARK, ODD = range(5)
+_CLASS = np.full(256, ODD, np.uint8)
+_CLASS[0x21:0x7F] = MARK
+for _first, _last in (b"AZ", b"az"):
+    _CLASS[_first : _last + 1] = LETTER
+_CLASS[ord("0") : ord("9") + 1] = DIGIT
+_CLASS[[ord("'"), ord("<")]] = ODD
+_CLASS[[0x20, *range(0x09, 0x0E)]] = SPACE
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+
+
+def _latin_letters(data: np.ndarray) -> np.ndarray:
+    """First bytes of the letters U+00C0 to U+00FF (without the signs of times and division)."""
+    first = np.flatnonzero(data[:-1] == 0xC3)
+    second = data[first + 1]
+    return first[(second & 0xC0 == 0x80) & (second != 0x97) & (second != 0xB7)]
+
+
+def _units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What the tokenizer handles on its own: starts and ends of units, whether each is regular, and the bytes in lower
+    case where that is regular. A regular word is cut where the tokenizer's pattern cuts it: runs of letters, single
+    digits, runs of marks. An irregular word is one unit."""
+    kind = _CLASS[data]
+    low = _LOWER[data]
+    latin = _latin_letters(data)
+    kind[latin] = kind[latin + 1] = LETTER
+    upper = latin[(data[latin + 1] >= 0x80) & (data[latin + 1] <= 0x9E)]
+    low[upper + 1] += 32
+    ws, we = H.word_spans(data, offsets)
+    odd = np.zeros(len(ws), bool)
+    odd[np.searchsorted(ws, np.flatnonzero(kind == ODD), side="right") - 1] = True
+    cut = np.zeros(len(data) + 1, bool)
+    cut[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    cut[ws] = True
+    word = np.flatnonzero(odd)
+    inside = np.zeros(len(data) + 1, np.int8)  # places within an irregular word aren't cut
+    inside[ws[word] + 1] += 1
+    np.subtract.at(inside, we[word], 1)
+    cut[:-1] &= (kind != SPACE) & (np.cumsum(inside[:-1], dtype=np.int8) == 0)
+    starts = np.flatnonzero(cut[:-1])
+    of = np.searchsorted(ws, starts, side="right") - 1
+    ends = np.minimum(np.append(starts[1:], len(data)), we[of])
+    return starts, ends, ~odd[of], low
+
+
+def _gathered(source: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of source that begin at starts, one after the other."""
+    ends = np.cumsum(sizes)
+    return source[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
 
 class _Encoder:
-    """Ids (little-endian unsigned 32-bit) of texts. The tokenizer's pieces never reach over ASCII white space, so
-    ids of a text are the joined ids of its words; each distinct word is encoded once."""
+    """Ids of texts. The tokenizer's pieces never reach over ASCII white space, and a regular word falls into units that
+    it handles apart; so ids of a text are the joined ids of its units. Distinct units are encoded once a block, and
+    remembered by their hashes while there is room."""
 
     MARK = "<|endoftext|>"
+    SUFFIX = "</w>"
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self.tokenizer.token_to_id(self.MARK)
-        self.known: dict[bytes, bytes] = {}
+        # for regular units, which are in lower case and cut already
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False)])
+        vocab = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for t, i in vocab.items() if t.endswith(self.SUFFIX)]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.starts, self.sizes, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _ids(self, text: str) -> np.ndarray:
+    @staticmethod
+    def _ids(tokenizer, text: str) -> np.ndarray:
         """The text's ids; the batch call keeps no offsets, which saves time."""
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word. The words go to the tokenizer in one text, held apart by a special token; words that
-        hold `<|` go alone."""
-        out = [b""] * len(words)
-        plain = [i for i, w in enumerate(words) if b"<|" not in w] if self.mark is not None else []
-        for i in set(range(len(words))) - set(plain):
-            out[i] = self._ids(words[i].decode()).tobytes()
-        for a in range(0, len(plain), 4096):
-            part = plain[a : a + 4096]
-            ids = self._ids(self.MARK.join(words[i].decode() for i in part))
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _regular(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of regular units and how many each has: the units in one text, each of which ends with a token that has
+        the suffix of word ends."""
+        size = ends - starts
+        text = np.full(int(size.sum()) + len(size), 0x20, np.uint8)
+        to = np.cumsum(size + 1) - size - 1
+        text[np.repeat(to - (np.cumsum(size) - size), size) + np.arange(size.sum())] = _gathered(low, starts, size)
+        ids = self._ids(self.plain, text.tobytes().decode())
+        stops = np.flatnonzero(self.last[ids])
+        assert len(stops) == len(starts)
+        return ids, np.diff(stops, prepend=-1)
+
+    def _irregular(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of irregular words. They go to the tokenizer in one text, held apart by a special token; words that
+        may hold one go alone."""
+        out = [np.zeros(0, np.uint32)] * len(words)
+        together = [i for i, w in enumerate(words) if b"<|" not in w] if self.mark is not None else []
+        for i in set(range(len(words))) - set(together):
+            out[i] = self._ids(self.tokenizer, words[i].decode())
+        for a in range(0, len(together), 4096):
+            part = together[a : a + 4096]
+            ids = self._ids(self.tokenizer, self.MARK.join(words[i].decode() for i in part))
             cuts = np.flatnonzero(ids == self.mark)
             assert len(cuts) == len(part) - 1
-            raw = ids.tobytes()
-            at = [0, *(cuts + 1).tolist()]
-            for i, s, e in zip(part, at, [*cuts.tolist(), len(ids)], strict=True):
-                out[i] = raw[4 * s : 4 * e]
-        return out
-
-    def _joined(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of the words and of their parts that are not known yet. The tokenizer ignores case and parts marks from
-        letters and digits before them, so only parts are encoded, which words share."""
-        cut = {w: self._cut(w) for w in words}
-        parts = list({p for c in cut.values() for p in c if p not in self.known})
-        got = dict(zip(parts, self._encode(parts), strict=True))
-        for w, c in cut.items():
-            got[w] = b"".join(got[p] if p in got else self.known[p] for p in c)
-        return got
-
-    @staticmethod
-    def _cut(word: bytes) -> tuple[bytes, ...]:
-        """The word without ASCII marks at its end, and these; the whole word unless an ASCII letter or digit is before
-        them, or if it may hold a special token."""
-        if b"<|" in word:
-            return (word,)
-        head = word.rstrip(MARKS)
-        if len(head) == len(word) or not head[-1:].isalnum():
-            return (word.lower() if word.isascii() else word,)
-        return (head.lower() if head.isascii() else head, word[len(head) :])
-
-    def __call__(self, texts: list[list[bytes]]) -> list[bytes]:
-        known = self.known
-        new = {w for words in texts for w in words if w not in known}
-        extra = {}
-        if new:
-            got = self._joined(new)
-            kept = [w for w in got if len(w) <= CACHED_BYTES][: max(0, CACHED_WORDS - len(known))]
-            extra = got
-            for w in kept:
-                known[w] = got[w]
-        if extra:
-            return [b"".join([known[w] if w in known else extra[w] for w in words]) for words in texts]
-        get = known.__getitem__
-        return [b"".join(map(get, words)) for words in texts]
+            for i, x in zip(part, np.split(ids, cuts), strict=True):
+                out[i] = x[1:] if i != part[0] else x
+        return np.concatenate([np.zeros(0, np.uint32), *out]), np.array([len(x) for x in out], np.int64)
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, and n + 1 offsets."""
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        starts, ends, regular, low = _units(data, offsets)
+        h = np.empty(len(starts), np.uint64)
+        h[regular] = H.span_hashes(low, starts[regular], ends[regular])
+        h[~regular] = H.mix(H.span_hashes(data, starts[~regular], ends[~regular]) ^ np.uint64(0x452821E638D01377))
+        unique, first, which = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.keys) > CACHED_UNITS or len(self.flat) > CACHED_IDS:
+            self.forget()
+        at = np.minimum(np.searchsorted(self.keys, unique), max(len(self.keys) - 1, 0))
+        new = self.keys[at] != unique if len(self.keys) else np.ones(len(unique), bool)
+        if new.any():
+            at_new, key = first[new], unique[new]
+            plain = regular[at_new]
+            order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+            ids, sizes = zip(self._regular(low, starts[at_new[plain]], ends[at_new[plain]]), self._irregular([data[starts[k] : ends[k]].tobytes() for k in at_new[~plain]]), strict=True)
+            size = np.empty(len(key), np.int64)
+            size[order] = np.concatenate(sizes)
+            place = np.empty(len(key), np.int64)
+            place[order] = len(self.flat) + np.cumsum(size[order]) - size[order]
+            self.flat = np.concatenate([self.flat, *ids])
+            where = np.searchsorted(self.keys, key)
+            self.keys, self.starts, self.sizes = (np.insert(x, where, y) for x, y in ((self.keys, key), (self.starts, place), (self.sizes, size)))
+            at = np.searchsorted(self.keys, unique)
+        at = at[which]
+        sizes = self.sizes[at]
+        ids = _gathered(self.flat, self.starts[at], sizes)
+        return ids, np.append(0, np.cumsum(sizes))[np.searchsorted(starts, offsets)]
 
 
 @functools.cache
@@ -116,40 +184,31 @@ def _encoder(path: str) -> _Encoder:
     return _Encoder(path)
 
 
-def _blocks(texts: pa.Array):
-    """(first, end) of runs of rows: BLOCK_ROWS of them, or fewer once they have BLOCK_BYTES."""
-    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-    lo = held = 0
-    for hi, size in enumerate(sizes.tolist(), 1):
-        held += size
-        if hi - lo >= BLOCK_ROWS or held >= BLOCK_BYTES or hi == len(sizes):
-            yield lo, hi
-            lo, held = hi, 0
-
-
 def _pieces(path: str, capacity: int):
     def run(batches):
         encode = _encoder(path)
         for b in batches:
-            ids_col, texts = b.column(0), b.column(1)
-            for lo, hi in _blocks(texts):
-                rows = []
-                words = [(x.as_py() or "").encode().split() for x in texts.slice(lo, hi - lo)]
-                for doc, raw in zip(ids_col.slice(lo, hi - lo).to_pylist(), encode(words), strict=True):
-                    raw += END_ID.to_bytes(4, "little")
-                    n = len(raw) // 4
-                    for k, s in enumerate(range(0, n, capacity)):
-                        part = raw[4 * s : 4 * (s + capacity)]
-                        rows.append((doc, k, s, len(part) // 4, zlib.crc32(part)))
-                cols = list(zip(*rows, strict=True))
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            data, offs = H.text_buffers(b.column(1))
+            for lo, hi in H.chunks_of(offs, BLOCK_BYTES):
+                ids, at = encode(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+                raw = np.insert(ids, at[1:], END_ID).astype("<u4").tobytes()
+                at = at + np.arange(len(at))
+                n = -(-np.diff(at) // capacity)
+                doc = np.repeat(np.arange(hi - lo), n)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+                start = piece * capacity
+                length = np.minimum(capacity, np.diff(at)[doc] - start)
+                first = 4 * (at[:-1][doc] + start)
+                sums = [zlib.crc32(raw[s : s + k]) for s, k in zip(first.tolist(), (4 * length).tolist(), strict=True)]
+                yield pa.record_batch([b.column(0).slice(lo, hi - lo).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(sums, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        encode.forget()
 
     return run
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: the ids of each row's text and the end id, cut every capacity ids."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(docs).alias("text")).mapInArrow(_pieces(tokenizer_path, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(docs).alias("text")).mapInArrow(lean(_pieces(tokenizer_path, capacity)), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 # ---- plan
@@ -304,7 +363,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     before = groups.select("length", "salt", (F.expr("sum(n) OVER (PARTITION BY length ORDER BY salt)") - F.col("n")).alias("before"))
     ranked = salted.withColumn("own", F.expr("row_number() OVER (PARTITION BY length, salt ORDER BY doc_id, piece, ids_crc32) - 1"))
     ranked = ranked.join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("own"))
-    return ranked.mapInArrow(_placed(table), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(_placed(table)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
