@@ -16,10 +16,26 @@ from recollex.llm._shared import ascii_lower, keyed, same_row, small, staged, te
 WINDOW, K = 10, 5
 #: Letters, digits and everything outside ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The ASCII characters between words, once A-Z are lower-cased.
+BETWEEN = "".join(map(chr, [*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])).translate({c: None for c in range(0x41, 0x5B)})
+#: Buckets that a document's fingerprints are dealt to at most, for lookups.
+BUCKETS = 1024
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0))
+    """The words (WORD), A-Z lower-cased. What is between words becomes blanks and the text is split at these: a tenth of
+    the time of a regular expression's matches."""
+    return F.filter(F.split(F.translate(ascii_lower(text), BETWEEN, " " * len(BETWEEN)), " "), lambda w: w != "")
+
+
+def _dealt(values: Column) -> Column:
+    """The values by their rest modulo the number of buckets, about four in each."""
+    n = F.least(F.lit(BUCKETS), F.shiftright(F.size(values), 2) + 1)
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.filter(values, lambda v: F.pmod(v, n) == b))
+
+
+def _among(value: Column, dealt: Column) -> Column:
+    return F.array_contains(F.get(dealt, F.pmod(value, F.size(dealt)).cast("int")), value)
 
 
 def _places(array: Column, k: int) -> Column:
@@ -73,12 +89,12 @@ def overlap_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int
 
     near = small(met, met.agg(F.coalesce(F.sum(F.size("fps") + 2), F.lit(0))).head()[0])
     cand = docs.join(near, same_row(docs, near)).select(docs["doc_id"], docs["row_key"], words_of(docs["text"]).alias("words"), near["fps"])
-    cand = cand.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    cand = cand.withColumns({"hashes": F.transform("words", lambda w: F.xxhash64(w)), "dealt": _dealt(F.col("fps"))})
     cand = cand.withColumns({f"grams_{n}": _grams(F.col("hashes"), k if n == window else n) for n in [window, *short]})
     found = F.array().cast("array<struct<start:int,n:int,window:string>>")
     for n in [window, *short]:
         grams = F.col(f"grams_{n}")
-        own = F.filter(_places(grams, 1), lambda i: F.array_contains("fps", F.get(grams, i)))
+        own = F.filter(_places(grams, 1), lambda i: _among(F.get(grams, i), F.col("dealt")))
         cand = cand.withColumn(f"at_{n}", own)
         if n == window:
             spans = F.transform(F.col(f"at_{n}"), lambda i: F.sequence(F.greatest(F.lit(0), i - (window - k)), F.least(i, F.size("words") - window)))
