@@ -28,6 +28,21 @@ EN_RULES = (
 
 
 RULES = CN_RULES + EN_RULES
+#: For each rule a cheap test that every text it matches passes: (what it must contain, a short pattern).
+NEEDS = (
+    (None, r"1[3-9]\d"), (None, r"\d{18}"), (None, r"\d{17}"), (None, r"\d{16}"), (None, r"0\d{2}"), ("@", None), ("+", r"\+\d"), (")", r"\(\d{3}\)"), (None, r"\d{4}[-–—\s]?\d{4}"),
+    (".", r"\d\.\d"), (None, r"\d[-–—]\d\d[-–—]\d"), (None, "sk-|ark-|AK[IT]|gh[pou]_"),
+)
+
+
+def _matches(c: Column, i: int) -> Column:
+    """Whether rule i matches. Most texts fail the cheap test, so that the rule's own pattern, with its neighbours and
+    options, is rarely tried."""
+    word, short = NEEDS[i]
+    hit = c.rlike(RULES[i][0])
+    if short is not None:
+        hit = c.rlike(short) & hit
+    return F.contains(c, F.lit(word)) & hit if word is not None else hit
 
 
 def _rewrite(c: Column, i: int) -> Column:
@@ -49,12 +64,16 @@ def _rewrite(c: Column, i: int) -> Column:
     return F.regexp_replace(c, pattern, to)
 
 
-def _chain(rows: DataFrame, start: str, rules: range, tag: str) -> tuple[DataFrame, str, list[Column]]:
-    """Columns of the text before each rule, so that each is computed once; the last one's name; labels in rule order."""
+def _chain(rows: DataFrame, start: str, rules: range, tag: str, sparing: bool = False) -> tuple[DataFrame, str, list[Column]]:
+    """Columns of the text before each rule, so that each is computed once; the last one's name; labels in rule order.
+    If sparing, a text that a rule doesn't match is not rewritten; the plan then refers to each text more than once,
+    which joins above it would multiply, so this is for scans alone."""
     at, labels = start, []
     for i in rules:
-        labels.append(F.when(F.col(at).rlike(RULES[i][0]), F.lit(RULES[i][2])))
-        rows = rows.withColumn(f"__{tag}{i}", _rewrite(F.col(at), i))
+        hit, new = f"__{tag}hit{i}", _rewrite(F.col(at), i)
+        rows = rows.withColumn(hit, held(_matches(F.col(at), i)))
+        labels.append(F.when(F.col(hit), F.lit(RULES[i][2])))
+        rows = rows.withColumn(f"__{tag}{i}", held(F.when(F.col(hit), new).otherwise(F.col(at))) if sparing else new)
         at = f"__{tag}{i}"
     return rows, at, labels
 
@@ -73,8 +92,8 @@ def with_scan(rows: DataFrame, body: str = "text") -> DataFrame:
     """rows with types: the labels of the first list of rules and those of the second, which starts from the original
     text again. Within a list, each rule sees what those before left."""
     n = len(CN_RULES)
-    out, _, first = _chain(rows, body, range(n), "c")
-    out, _, second = _chain(out, body, range(n, len(RULES)), "e")
+    out, _, first = _chain(rows, body, range(n), "c", True)
+    out, _, second = _chain(out, body, range(n, len(RULES)), "e", True)
     return out.select(*rows.columns, held(_distinct(first + second)).alias("types"))
 
 

@@ -85,6 +85,53 @@ def prefill(turns: DataFrame, rejected: DataFrame) -> DataFrame:
     return each.select("session_id", F.to_json(F.flatten(F.transform("rows", lambda x: x["m"]))).alias("messages"))
 
 
+# ---- texts for a prompt
+
+
+def working_memory_text(todos: DataFrame, contexts: DataFrame) -> DataFrame:
+    """session_id, text: the task, the newest contexts and the open to-dos of a session as Markdown. todos: session_id, id,
+    todo, done; contexts: session_id, place, at, text (few a session)."""
+    t = todos.groupBy("session_id").agg(F.array_sort(F.collect_list(F.when(~F.col("done"), F.struct("id", "todo")))).alias("todos"), F.min_by("todo", "id").alias("task"))
+    c = contexts.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("place", "at", "text"))).alias("contexts"))
+    lines = F.concat(
+        F.array(F.concat(F.lit("**Task:** "), F.substring("task", 1, 60))),
+        F.transform(F.coalesce("contexts", F.array().cast("array<struct<place:long,at:string,text:string>>")), lambda x: F.concat(F.lit("- ["), x["at"], F.lit("] "), x["text"])),
+        F.transform("todos", lambda x: F.concat(F.lit("- [ ] "), x["todo"])),
+    )
+    return t.join(c, "session_id", "left").select("session_id", F.array_join(lines, "\n").alias("text"))
+
+
+def bridge_text(rounds: DataFrame, topics: DataFrame) -> DataFrame:
+    """session_id, summary: a session's topic and its last rounds (session_id, place, user, assistant), oldest first, both
+    sides cut to 80 characters."""
+    head = F.concat(F.lit("["), F.col("place").cast("string"), F.lit("] "))
+    said = F.concat(head, F.lit("user: "), F.substring("user", 1, 80), F.coalesce(F.concat(F.lit("\n"), head, F.lit("assistant: "), F.substring("assistant", 1, 80)), F.lit("")))
+    r = rounds.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("place")).alias("o"), said.alias("s")))).alias("r"))
+    return r.join(topics, "session_id").select("session_id", F.concat(F.lit("Topic: "), "topic", F.lit("\n"), F.array_join(F.transform("r", lambda x: x["s"]), "\n")).alias("summary"))
+
+
+def warning(provider: Column, pct: Column, deep: Column, lang: Column, warn: float = K.WARN) -> Column:
+    """A provider's warning in English or Chinese (zh); empty below the line."""
+    line = int(warn * 100)
+    at = F.concat(F.when(lang == "zh", F.concat(provider, F.lit("上下文 "))).otherwise(F.concat(provider, F.lit(" context at "))), pct.cast("string"), F.lit("%"))
+    zh = lang == "zh"
+    return (
+        F.when(deep, F.concat(at, F.when(zh, "，对话已深").otherwise(", deeply compressed")))
+        .when(pct >= line, F.concat(at, F.when(zh, f"，接近 {line}% 预警线").otherwise(f", near the {line}% line")))
+        .otherwise("")
+    )
+
+
+def report_message(events: DataFrame) -> DataFrame:
+    """key, message of each key's newest compression (key, event_id, before, after), unless it was reported already
+    (reported: the event last reported) or saved nothing."""
+    last = events.groupBy("key").agg(F.max_by(F.struct("event_id", "before", "after"), "event_id").alias("e"), F.max("reported").alias("reported"))
+    saved = F.col("e.before") - F.col("e.after")
+    fresh = last.where((saved > 0) & (F.col("reported").isNull() | (F.col("reported") != F.col("e.event_id"))))
+    left = F.bround(F.col("e.after") * 100.0 / F.col("e.before"), 1)
+    return fresh.select("key", F.concat(F.lit("saved ~"), F.floor(saved / 4).cast("string"), F.lit(" tokens ("), left.cast("string"), F.lit("% left)")).alias("message"))
+
+
 # ---- knowledge files
 
 
@@ -107,13 +154,6 @@ def kb_scores(files: DataFrame, query: str, most: int = K.KB_TOP) -> DataFrame:
     return s.where("score > 0").orderBy(F.desc("score"), "file_id").limit(most)
 
 
-def frontmatter(c: Column) -> Column:
-    """Map of the `key: value` lines between the first two `---` lines."""
-    head = F.regexp_extract(c, r"(?s)\A---\n(.*?)\n---", 1)
-    lines = F.filter(F.split(head, "\n"), lambda x: F.contains(x, F.lit(":")))
-    return F.map_from_entries(F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)), F.trim(F.regexp_replace(x, "^[^:]*:", "")))))
-
-
 # ---- integrity
 
 
@@ -124,6 +164,50 @@ def integrity_diff(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return j.select("path", F.when(F.col("have").isNull(), "missing").when(F.col("want").isNull(), "unknown").when(F.col("want") == F.col("have"), "ok").otherwise("changed").alias("status"))
 
 
+def integrity_verdicts(expected: DataFrame, actual: DataFrame, data_files: list[str], backups: DataFrame) -> DataFrame:
+    """path, status, recover_from of a manifest (path, sha256) against an inventory: ok, missing, data_changed (a file that
+    is meant to change) or tampered; for tampered files the newest backup (path, day, copy)."""
+    newest = backups.groupBy("path").agg(F.max_by("copy", "day").alias("copy"))
+    j = expected.withColumnRenamed("sha256", "want").join(actual.withColumnRenamed("sha256", "have"), "path", "left").join(newest, "path", "left")
+    status = F.when(F.col("have").isNull(), "missing").when(F.col("want") == F.col("have"), "ok").when(F.col("path").isin(*data_files), "data_changed").otherwise("tampered")
+    return j.withColumn("status", status).select("path", "status", F.when(F.col("status") == "tampered", F.col("copy")).alias("recover_from"))
+
+
+def alerts(verdicts: DataFrame, lines: int = 20) -> DataFrame:
+    """title, body of an alert on what is missing or tampered; no row if all is well. The body has the first lines."""
+    bad = verdicts.where(F.col("status").isin("missing", "tampered"))
+    n = bad.agg(F.count("*").alias("n"))
+    first = bad.orderBy("path").limit(lines).agg(F.array_join(F.array_sort(F.collect_list(F.concat("path", F.lit(": "), "status"))), "\n").alias("body"))
+    return n.crossJoin(first).where("n > 0").select(F.concat(F.lit("integrity: "), F.col("n").cast("string"), F.lit(" critical")).alias("title"), "body")
+
+
+def forensic_deltas(current: DataFrame, backup: DataFrame, limit: int = 500) -> DataFrame:
+    """path, delta, finding of files (path, content) against their backup: grown or shrunk by more than limit bytes, and
+    whether the content is JSON."""
+    j = current.join(backup.select("path", F.octet_length("content").alias("was")), "path")
+    delta = (F.octet_length("content") - F.col("was")).cast("long")
+    finding = F.when(delta > limit, "possible injection").when(delta < -limit, "possible deletion").otherwise("none")
+    return j.select("path", delta.alias("delta"), finding.alias("finding"), F.try_parse_json("content").isNotNull().alias("json"))
+
+
+def user_partition(rows: DataFrame, base: str, user: str = "user_id") -> DataFrame:
+    """rows with path, the folder of their user (base/user); rows without a user are the user `default`'s."""
+    name = F.coalesce(F.nullif(F.trim(F.col(user).cast("string")), F.lit("")), F.lit("default"))
+    return rows.withColumn("path", F.concat(F.lit(base + "/"), name))
+
+
+def of_user(rows: DataFrame, user_id) -> DataFrame:
+    """The rows of one user; there is no way to read without naming one."""
+    if user_id is None or not str(user_id).strip():
+        raise ValueError("name a user")
+    return rows.where(F.col("user_id") == user_id)
+
+
+def unescaped(c: Column) -> Column:
+    """JSON text with its \\u escapes replaced by the characters; text that is no JSON stays."""
+    return F.coalesce(F.to_json(F.try_parse_json(c)), c)
+
+
 def bounded_log(rows: DataFrame, order: list[Column], n: int, key: str | None = None) -> DataFrame:
     """The newest n rows, or the newest n of each key; over the whole log a limit under the sort, not a window."""
     if key is None:
@@ -147,6 +231,23 @@ def latest_session(sessions: DataFrame, limit_tokens: int) -> DataFrame:
     return s.select("provider", "s.session_id", F.col("s.input_tokens").alias("tokens"), F.col("s.api_calls").alias("calls"), pct.alias("pct"), ((F.col("s.api_calls") > 20) & (pct < 30)).alias("compressed"))
 
 
+def resolve(sessions: DataFrame, priority: list[str], forced: str | None = None) -> DataFrame:
+    """provider, n of the first provider by priority that has sessions; a forced one (set from outside) wins if it has."""
+    order = ([forced] if forced else []) + [p for p in priority if p != forced]
+    rank = F.coalesce(F.array_position(F.array(*[F.lit(p) for p in order]), F.col("provider")), F.lit(0))
+    n = sessions.groupBy("provider").agg(F.count("*").alias("n"))
+    return n.orderBy(F.when(rank > 0, rank).otherwise(len(order) + 1), "provider").limit(1)
+
+
+def json_sessions(files: DataFrame, context: int = 128_000) -> DataFrame:
+    """session_id, calls, tokens, pct, compressed of session files (session_id, content): JSON with a list of messages
+    (or history); fewer than two say nothing."""
+    j = F.from_json("content", "struct<messages:array<struct<role:string>>,history:array<struct<role:string>>>")
+    calls = F.size(F.coalesce(j["messages"], j["history"]))
+    s = files.select("session_id", calls.alias("calls")).where("calls >= 2").withColumn("tokens", F.col("calls") * 1000)
+    return s.select("session_id", "calls", "tokens", F.least(F.lit(100), F.bround(F.col("tokens") * 100.0 / context).cast("int")).alias("pct"), ((F.col("calls") > 40) | (F.col("tokens") > context)).alias("compressed"))
+
+
 def tail_tokens(rows: DataFrame, n: int = 20) -> DataFrame:
     """provider, tokens, calls over the last n rows of each provider (provider, seq, tokens); null tokens count nothing."""
     t = rows.withColumn("p", F.row_number().over(Window.partitionBy("provider").orderBy(F.desc("seq")))).where(F.col("p") <= n)

@@ -2,24 +2,70 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recollex import consts as K
 from recollex.functions import pii, text
+from recollex.functions.text import held
 from recollex.rules import RULE_PATTERNS, built_in_rules
+from recollex.staging import small, staged
+
+
+def needed_words(pattern: str) -> list[str]:
+    """Words of which a text must hold one for the pattern to match; empty if there are none to tell. These are the
+    alternatives of a group at the top that is not optional, each as far as it is literal; of such groups the one whose
+    shortest word is longest."""
+    if re.search(r"\\[()|]|\[[^\]]*[()|]", pattern) or len(_alternatives(pattern)) > 1:
+        return []
+    best: list[str] = []
+    depth, start = 0, 0
+    for i, c in enumerate(pattern):
+        if c == "(":
+            depth += 1
+            start = i + 1 if depth == 1 else start
+        elif c == ")":
+            depth -= 1
+            if depth == 0 and pattern[i + 1 : i + 2] not in ("?", "*", "{"):
+                words = [re.match(r"(?:[a-z ](?![?*{]))*", w.removeprefix("?:")).group() for w in _alternatives(pattern[start:i])]
+                if min(map(len, words)) > min(map(len, best), default=2):
+                    best = words
+    return sorted(w for w in set(best) if not any(o != w and o in w for o in best))
+
+
+def _alternatives(group: str) -> list[str]:
+    out, depth = [""], 0
+    for c in group:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and depth == 0:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
+def any_of(c: Column, words) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | F.contains(c, F.lit(w))
+    return out
 
 
 def label_places(low: Column, rules, has_cjk: Column) -> dict[str, Column]:
     """For each label, the number of its first rule that matches a lower-cased text, else null. Literal rules are a chain
-    of contains, regular expressions stay apart: no join, no alternation. The built-in patterns that need a CJK
-    character are tried on texts that have one."""
+    of contains; a regular expression is tried only on texts that hold what it needs (a CJK character for the built-in
+    ones of Chinese labels, else one of a few words), so most texts meet none."""
     guarded = {p for p, label in RULE_PATTERNS if label.endswith("·中文")}
 
     def matches(p: str, regex: bool) -> Column:
         if not regex:
             return F.contains(low, F.lit(p))
-        return has_cjk & low.rlike(p) if p in guarded else low.rlike(p)
+        if p in guarded:
+            return has_cjk & low.rlike(p)
+        needs = needed_words(p)
+        return any_of(low, needs) & low.rlike(p) if needs else low.rlike(p)
 
     places: dict[str, list[Column]] = {}
     for i, (p, regex, label) in enumerate(rules):
@@ -52,3 +98,23 @@ def ingest(new: DataFrame, known: DataFrame, rules=None) -> DataFrame:
 def quarantine(new: DataFrame, rules=None) -> DataFrame:
     """Rows that the gate rejects, with their labels."""
     return with_labels(new, rules).where(F.size("labels") > 0)
+
+
+def containing(docs: DataFrame, passages: DataFrame, words: int = 4) -> DataFrame:
+    """doc_id, item_id of docs (doc_id, t) that hold the whole text of passages (item_id, passage). Both are cut into
+    words; a text that holds a passage of so many whole words and two more holds the run of words after its first, so one
+    run of each passage, the rarest by hash, is looked up among the documents' runs, and the hits are verified. Shorter
+    passages are few and compared with all texts, behind a count."""
+    cut = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    p = passages.withColumn("w", cut(F.col("passage")))
+    long = p.where(F.size("w") >= words + 2)
+    run = lambda w, i: F.xxhash64(F.slice(w, i, words))
+    inner = F.transform(F.sequence(F.lit(2), F.size("w") - words), lambda i: run(F.col("w"), i))
+    keys = staged(long.select("item_id", "passage", F.array_min(inner).alias("key")), "passages")
+    d = docs.withColumn("w", held(cut(F.col("t"))))
+    runs = d.where(F.size("w") >= words).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: run(F.col("w"), i)))).alias("key"))
+    met = staged(runs.join(small(keys, keys.count()), "key").select("doc_id", "item_id"), "met")
+    hits = met.join(keys.select("item_id", "passage"), "item_id").join(docs.select("doc_id", "t"), "doc_id").where(F.contains(F.col("t"), F.col("passage")))
+    rest = staged(p.where(F.size("w") < words + 2).select("item_id", "passage"), "short")
+    n = rest.count()
+    return hits.select("doc_id", "item_id").distinct().unionByName(docs.join(small(rest, n, 1000), F.contains(F.col("t"), F.col("passage"))).select("doc_id", "item_id")) if n else hits.select("doc_id", "item_id").distinct()

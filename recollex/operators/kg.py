@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollex import consts as K
@@ -96,6 +98,34 @@ def relation_text(source: Column, relation: Column, target: Column, until: Colum
     return F.concat(source, F.lit(" "), relation_label(relation), F.lit(" "), target, ended)
 
 
+def search(relations: DataFrame, query: str, at: Column | None = None, mode: str = "current", most: int = 8) -> DataFrame:
+    """entity, rn, text: relations of the entities whose name shares a token with the query, under a snapshot, at most
+    `most` an entity (by key). relations: source, relation, target, key, valid_from, valid_until."""
+    wanted = [w for w in re.findall(r"[\u4e00-\u9fff]|[a-z0-9]+", query.lower())]
+    valid = snapshot(relations, mode, at)
+    names = valid.select(F.col("source").alias("entity")).union(valid.select("target")).distinct()
+    tokens = text.find_all(text.normal_name(F.col("entity")), f"{text.CJK}|[a-z0-9]+")
+    hits = names.where(F.arrays_overlap(tokens, text.constant_list(wanted)))
+    met = touching(valid, hits)
+    return _first(met, most).select("entity", "rn", relation_text(F.col("source"), F.col("relation"), F.col("target"), F.col("valid_until")).alias("text"))
+
+
+def _first(rows: DataFrame, most: int) -> DataFrame:
+    """The first rows of each entity by key; Spark keeps only so many a task before the shuffle."""
+    rn = F.row_number().over(Window.partitionBy("entity").orderBy("key"))
+    return rows.withColumn("rn", rn).where(F.col("rn") <= most).withColumn("rn", F.col("rn").cast("long"))
+
+
+def add_triples(found: DataFrame, entities: DataFrame | None, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The entities and the new relations that triples (source, relation, target, ts) bring into a graph: ends are
+    normalised, mentions counted, and a relation is added unless the graph has it, open or closed."""
+    ends = found.select(F.col("source").alias("name"), "ts").unionByName(found.select(F.col("target").alias("name"), "ts"))
+    norm = found.select(text.normal_name(F.col("source")).alias("source"), "relation", text.normal_name(F.col("target")).alias("target"), "ts")
+    fresh = norm.groupBy("source", "relation", "target").agg(F.min("ts").alias("valid_from"))
+    key = ["source", "relation", "target"]
+    return upsert_entities(ends, entities), fresh.join(relations.select(*key).distinct(), key, "left_anti")
+
+
 def cross_scene_tunnels(scenes: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """source, target, entity: pairs of scenes that share an entity (rows: scene, entity), one row a pair, without those known."""
     each = scenes.select("entity", "scene").distinct()

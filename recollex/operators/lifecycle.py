@@ -68,7 +68,7 @@ def track_access(memories: DataFrame, access: DataFrame) -> DataFrame:
 def forgetting_decisions(memories: DataFrame, hot: DataFrame, trends: DataFrame, as_of: Column, pressure: bool = False) -> DataFrame:
     """memory_id, decision of memories (memory_id, scene, last_accessed, demoted): with few active memories and no
     pressure all are kept; else archive, kept_window, protected (hot scene), kept_density or demote."""
-    m = memories.join(F.broadcast(hot.select("scene").withColumn("hot", F.lit(True))), "scene", "left").join(trends.select("memory_id", "trend"), "memory_id", "left")
+    m = memories.join(hot.select("scene").withColumn("hot", F.lit(True)), "scene", "left").join(trends.select("memory_id", "trend"), "memory_id", "left")
     active = memories.agg(F.count_if(~F.coalesce("demoted", F.lit(False))).alias("active"))
     m = m.crossJoin(F.broadcast(active)).withColumn("days", (F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("last_accessed").cast("timestamp"))) / 86_400_000_000)
     decision = F.when(F.coalesce("demoted", F.lit(False)), F.when(F.col("days") >= K.ARCHIVE_DAYS, "archive").otherwise("stays_demoted"))
@@ -79,13 +79,42 @@ def forgetting_decisions(memories: DataFrame, hot: DataFrame, trends: DataFrame,
 
 
 def keyword_pairs(memories: DataFrame, threshold: float = K.MERGE_JACCARD, least: int = K.MERGE_MIN_KEYWORDS) -> DataFrame:
-    """a, b, jaccard of pairs a < b with enough keywords in common: an equi join on keywords, then sizes."""
-    sets = memories.select("memory_id", text.keywords(F.col("summary")).alias("k")).where(F.size("k") >= least)
-    words = sets.select("memory_id", F.size("k").alias("n"), F.explode("k").alias("w"))
-    a, b = words.alias("a"), words.alias("b")
-    met = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.memory_id") < F.col("b.memory_id")))
-    met = met.groupBy(F.col("a.memory_id").alias("a"), F.col("b.memory_id").alias("b")).agg(F.count("*").alias("i"), F.first("a.n").alias("na"), F.first("b.n").alias("nb"))
-    return met.withColumn("jaccard", F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).where(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
+    """a, b, jaccard of pairs a < b of memories (memory_id, summary) whose keyword sets are similar enough."""
+    sets = memories.select("memory_id", text.held(text.keywords(F.col("summary"))).alias("k")).where(F.size("k") >= least)
+    return similar_sets(sets, threshold)
+
+
+def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
+    """a, b, jaccard of pairs a < b of sets (memory_id, k: distinct words) with a Jaccard similarity of at least
+    threshold.
+
+    Words are ranked, rare ones first. Two similar sets of n words share one of the first n - ceil(threshold * n) + 1 of
+    each, so only these prefixes are joined and the commonest words, whose join would be quadratic, mostly stay out.
+    Equal sets are one class: pairs are sought between classes, and class members pair by a join on the class."""
+    t = float(threshold)
+    classes = sets.groupBy(F.array_sort("k").alias("k")).agg(F.min("memory_id").alias("rep"))
+    named = staged(classes.select("rep", "k", F.size("k").alias("n")), "sets")
+    members = sets.select("memory_id", F.array_sort("k").alias("k")).join(named.select("rep", "k"), "k").select("memory_id", "rep")
+    members = staged(members, "members")
+    words = named.select("rep", "n", F.explode("k").alias("w"))
+    ranks = words.groupBy("w").agg(F.count("*").alias("df"))
+    ranked = words.join(ranks, "w").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"))
+    prefix = ranked.select("rep", "n", F.posexplode(F.slice("o", 1, F.col("n") - F.ceil(F.col("n") * t - 1e-9).cast("int") + 1)).alias("p", "x")).select("rep", "n", "p", F.xxhash64("x.w").alias("w"))
+    prefix = staged(prefix, "prefixes")
+    a, b = prefix.alias("a"), prefix.alias("b")
+    # of sizes too different, or too few words left after this one, no pair can be similar enough
+    left = F.least(F.col("a.n") - F.col("a.p"), F.col("b.n") - F.col("b.p"))
+    close = (F.col("a.n") >= t * F.col("b.n") - 1e-9) & (F.col("b.n") >= t * F.col("a.n") - 1e-9) & ((left + F.least("a.p", "b.p")) * (1 + t) >= t * (F.col("a.n") + F.col("b.n")) - 1e-9)
+    met = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.rep") < F.col("b.rep")) & close).select(F.col("a.rep").alias("ra"), F.col("b.rep").alias("rb")).distinct()
+    side = lambda c: named.select(F.col("rep").alias("r" + c), F.transform("k", lambda w: F.xxhash64(w)).alias("h" + c), F.col("k").alias("k" + c))
+    both = met.join(side("a"), "ra").join(side("b"), "rb")
+    rough = both.withColumn("m", F.size(F.array_intersect("ha", "hb"))).where(F.col("m") >= t * (F.size("ka") + F.size("kb") - F.col("m")))
+    inter = rough.withColumn("i", F.size(F.array_intersect("ka", "kb")))
+    similar = staged(inter.withColumn("jaccard", F.col("i") / (F.size("ka") + F.size("kb") - F.col("i"))).where(F.col("jaccard") >= t).select("ra", "rb", "jaccard"), "similar")
+    of = lambda r, c: members.select(F.col("rep").alias(r), F.col("memory_id").alias(c))
+    across = similar.join(of("ra", "x"), "ra").join(of("rb", "y"), "rb").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
+    same = of("r", "a").join(of("r", "b"), "r").where("a < b").select("a", "b", F.lit(1.0).alias("jaccard"))
+    return across.unionByName(same)
 
 
 def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -127,10 +156,45 @@ def merge_groups(pairs: DataFrame, memories: DataFrame, most: int = K.MERGE_GROU
     return rows.select("leader", "memory_id", "place")
 
 
-def merged_rows(groups: DataFrame, memories: DataFrame) -> DataFrame:
-    """A composite row for each group: id from its members, the newest member's source, the summaries joined."""
+def merge_candidates(memories: DataFrame) -> DataFrame:
+    """The memories that may be merged: not demoted, not merged before, no composite."""
+    return memories.where(~F.coalesce("demoted", F.lit(False)) & F.col("merged_into").isNull() & ~F.coalesce("is_merged", F.lit(False)))
+
+
+def _titled(groups: DataFrame, memories: DataFrame) -> DataFrame:
+    """leader, items (by place: memory_id, ts, source, summary) and the least keywords of all the summaries."""
     m = groups.join(memories.select("memory_id", "ts", "source", "summary"), "memory_id")
-    ids = F.array_sort(F.collect_list("memory_id"))
-    g = m.groupBy("leader").agg(ids.alias("merged_ids"), F.max_by("source", F.struct("ts", "memory_id")).alias("source"), F.max("ts").alias("ts"), F.array_sort(F.collect_list(F.struct("place", F.substring("summary", 1, 120).alias("s")))).alias("s"))
-    key = F.array_join(F.transform("merged_ids", lambda x: x.cast("string")), ",")
-    return g.select(F.concat(F.lit("MERGE-"), F.substring(F.sha2(key, 256), 1, 16)).alias("id"), "ts", "source", key.alias("merged_ids"), F.array_join(F.transform("s", lambda x: x["s"]), " | ").alias("summary"))
+    g = m.groupBy("leader").agg(F.array_sort(F.collect_list(F.struct("place", "memory_id", "ts", "source", "summary"))).alias("items"))
+    words = text.keywords(F.array_join(F.transform("items", lambda x: x["summary"]), " "))
+    return g.withColumn("words", F.array_sort(words))
+
+
+def merge_key(ids: Column) -> Column:
+    """The id of a composite: it depends on its members alone, so a run that is repeated makes the same one."""
+    return F.concat(F.lit("MERGE-"), F.substring(F.sha2(F.array_join(F.transform(F.array_sort(ids), lambda x: x.cast("string")), ","), 256), 1, 16))
+
+
+def merged_rows(groups: DataFrame, memories: DataFrame) -> DataFrame:
+    """A composite row for each group: id, ts (the newest member's), source `merge`, summary (a title of three keywords
+    and the number of members), merged_ids, expandable (a line for each member, newest first), is_merged."""
+    g = _titled(groups, memories)
+    ids = F.transform("items", lambda x: x["memory_id"])
+    newest = F.reverse(F.array_sort(F.transform("items", lambda x: F.struct(x["ts"], (-x["place"]).alias("o"), x["source"], x["summary"]))))
+    line = lambda x: F.concat(F.lit("• ["), F.date_format(x["ts"], "yyyy-MM-dd"), F.lit("] ("), F.coalesce(x["source"], F.lit("?")), F.lit(") "), F.substring(x["summary"], 1, 150))
+    title = F.concat(F.lit("[merged] "), F.array_join(F.slice("words", 1, 3), ", "), F.lit(" - "), F.size("items").cast("string"), F.lit(" related"))
+    return g.select(
+        merge_key(ids).alias("id"), newest[0]["ts"].alias("ts"), F.lit("merge").alias("source"), title.alias("summary"), F.array_join(F.transform(F.array_sort(ids), lambda x: x.cast("string")), ",").alias("merged_ids"),
+        F.array_join(F.transform(newest, line), "\n").alias("expandable"), F.lit(True).alias("is_merged"),
+    )
+
+
+def merge_marks(groups: DataFrame) -> DataFrame:
+    """memory_id, merged_into of the members of all groups: what a merge writes into the originals."""
+    keys = groups.groupBy("leader").agg(merge_key(F.collect_list("memory_id")).alias("merged_into"))  # a few members each
+    return groups.join(keys, "leader").select("memory_id", "merged_into")
+
+
+def merge_dry_run(groups: DataFrame, memories: DataFrame) -> DataFrame:
+    """leader, count, ids, topics (five keywords): what a merge would do, without doing it."""
+    g = _titled(groups, memories)
+    return g.select("leader", F.size("items").alias("count"), F.array_join(F.transform("items", lambda x: x["memory_id"].cast("string")), ",").alias("ids"), F.array_join(F.slice("words", 1, 5), "|").alias("topics"))

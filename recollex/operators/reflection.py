@@ -12,9 +12,11 @@ from recollex.functions import text
 
 def contradictions(notes: DataFrame) -> DataFrame:
     """topic, id_a, id_b, day_a, day_b: notes (id, day, topics, mood) of different days that share a topic and have
-    opposite moods; the alphabetically first shared topic, and of equal (topic, days) the least ids. An equi join on
-    topics; the residual conditions follow."""
-    n = notes.where(F.col("mood") != "neutral").select("id", "day", "mood", F.explode("topics").alias("topic"))
+    opposite moods; the alphabetically first shared topic, and of equal (topic, days) the least ids. Notes that agree in
+    day, mood and topics give the same, so the least of them stands for all. An equi join on topics; the residual
+    conditions follow."""
+    same = notes.where(F.col("mood") != "neutral").groupBy("day", "mood", F.array_sort(F.array_distinct("topics")).alias("topics")).agg(F.min("id").alias("id"))
+    n = same.select("id", "day", "mood", F.explode("topics").alias("topic"))
     a, b = n.alias("a"), n.alias("b")
     met = a.join(b, (F.col("a.topic") == F.col("b.topic")) & (F.col("a.day") < F.col("b.day")) & (F.col("a.mood") != F.col("b.mood")))
     first = met.groupBy(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.col("a.day").alias("day_a"), F.col("b.day").alias("day_b")).agg(F.min("a.topic").alias("topic"))
@@ -37,6 +39,29 @@ def lesson_pairs(lessons: DataFrame, least: float = K.LESSON_OVERLAP) -> DataFra
     return met.where(F.col("overlap") > least)
 
 
+#: Heads of messages that are no trigger words.
+TRIGGER_STOP = (
+    "这个 那个 什么 怎么 这样 就是 不是 没有 如果 因为 所以 然后 但是 还是 或者 可以 一个 我觉 你说 要么 the a an it is i you he she we they this that are was were be been have "
+    "has had do does did will would could should may might can shall to of in for on with at by from as and or but if so about up out all just not no"
+).split()
+
+
+def trigger_words(messages: DataFrame, known: list[str]) -> DataFrame:
+    """signal: heads of at most ten characters before the first punctuation of messages (text), that are no stop words
+    and not known."""
+    head = F.regexp_extract(F.substring("text", 1, 30), r"^\s*([^\s，。！？、!?.]{1,10})[，。！？、!?.]", 1)
+    return messages.select(head.alias("signal")).where((F.col("signal") != "") & ~F.col("signal").isin(*TRIGGER_STOP, *known)).distinct()
+
+
+def behavior_rules(lessons: DataFrame) -> DataFrame:
+    """kind, line of lessons (lesson, count, promoted): the promoted ones, or if there are none those seen
+    LESSON_PENDING times, one row each."""
+    promoted = lessons.where("promoted").select(F.lit("rule").alias("kind"), F.concat(F.lit("- "), "lesson").alias("line"))
+    none = promoted.agg((F.count("*") == 0).alias("none"))  # one row
+    waiting = lessons.where(~F.col("promoted") & (F.col("count") >= K.LESSON_PENDING)).crossJoin(F.broadcast(none)).where("none")
+    return promoted.unionByName(waiting.select(F.lit("pending").alias("kind"), F.concat(F.lit("- "), "lesson", F.lit(" ("), F.col("count").cast("string"), F.lit(" times)")).alias("line")))
+
+
 def lesson_counts(seen: DataFrame) -> DataFrame:
     """lesson, count, promoted of lessons as they were seen."""
     return seen.groupBy("lesson").agg(F.count("*").alias("count")).withColumn("promoted", F.col("count") >= K.LESSON_PROMOTE)

@@ -11,9 +11,13 @@ from recollex.functions import text
 
 def term_frequencies(docs: DataFrame, terms: list[str], id_col: str = "memory_id", body: str = "summary") -> DataFrame:
     """id, dl and tf_<i> of each query term: one narrow pass, no explode."""
-    t = docs.select(id_col, text.tokens(F.col(body)).alias("tokens"))
-    tf = [F.size(F.filter("tokens", lambda x: x == term)).alias(f"tf_{i}") for i, term in ((i, F.lit(w)) for i, w in enumerate(terms))]
-    return t.select(id_col, F.size("tokens").alias("dl"), *tf)
+    t = docs.select(id_col, text.held(text.tokens(F.col(body))).alias("tokens"))
+    return t.select(id_col, F.size("tokens").alias("dl"), *frequencies("tokens", terms))
+
+
+def frequencies(tokens: str, terms: list[str]) -> list[Column]:
+    """tf_<i>: how often each term is among the tokens."""
+    return [(F.size(tokens) - F.size(F.array_remove(tokens, w))).alias(f"tf_{i}") for i, w in enumerate(terms)]
 
 
 def corpus_stats(freqs: DataFrame, terms: list[str]) -> DataFrame:
@@ -109,9 +113,8 @@ def hybrid_search(memories: DataFrame, query: str, as_of: Column, k: int = 5, ga
     words = query.lower().split()
     signal = next((n for n, ws in K.TEMPORAL_SIGNALS.items() if any(w in query.lower() for w in ws)), None)
     terms = list(dict.fromkeys(words))
-    base = memories.select("memory_id", "ts", "source", "summary", text.tokens(F.col("summary")).alias("tokens"), text.trigram_buckets(F.col("summary")).alias("b"), text.trigram_buckets(F.lit(query)).alias("q"))
-    tf = [F.size(F.filter("tokens", lambda x: x == term)).alias(f"tf_{i}") for i, term in ((i, F.lit(w)) for i, w in enumerate(terms))]
-    freqs = base.select("memory_id", "ts", "source", "summary", "b", "q", F.size("tokens").alias("dl"), *tf)
+    base = memories.select("memory_id", "ts", "source", "summary", text.held(text.tokens(F.col("summary"))).alias("tokens"), text.held(text.trigram_buckets(F.col("summary"))).alias("b"), text.trigram_buckets(F.lit(query)).alias("q"))
+    freqs = base.select("memory_id", "ts", "source", "summary", "b", "q", F.size("tokens").alias("dl"), *frequencies("tokens", terms))
     both = freqs.crossJoin(F.broadcast(corpus_stats(freqs, terms)))
     key = F.lit(0.0)
     for i in range(len(terms)):

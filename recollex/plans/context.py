@@ -40,16 +40,6 @@ def truncation_running_budget(spark, sf_dir):
     return C.running_truncation(_sections(spark, sf_dir), 1400, K.MILD_KEEP, K.MILD_MIN)
 
 
-_WARN = "CASE level WHEN 'over' THEN 'Context over budget: ' || CAST(total AS VARCHAR) || ' chars' WHEN 'ok' THEN '' ELSE 'Context ' || level || ' at ' || CAST(total AS VARCHAR) || ' chars' END"
-
-
-@query("context_warnings", f"WITH {_SEC}, t AS (SELECT payload_id, CAST(sum(length(content)) AS BIGINT) AS total FROM sec GROUP BY 1), l AS (SELECT *, {_LEVEL} AS level FROM t) SELECT payload_id, {_WARN} AS message FROM l")
-def context_warnings(spark, sf_dir):
-    p, total = C.payload_levels(_sections(spark, sf_dir)), F.col("total").cast("string")
-    msg = F.when(F.col("level") == "over", F.concat(F.lit("Context over budget: "), total, F.lit(" chars"))).when(F.col("level") == "ok", "").otherwise(F.concat(F.lit("Context "), "level", F.lit(" at "), total, F.lit(" chars")))
-    return p.select("payload_id", msg.alias("message"))
-
-
 def _turns(spark, sf_dir):
     return table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "session_id")
 
@@ -117,13 +107,6 @@ def kb_stats(spark, sf_dir):
     return table(spark, sf_dir, "pages").agg(F.count("*").alias("files"), F.sum(F.length("html")).cast("long").alias("chars"), F.count_if(F.contains("url", F.lit("en"))).alias("matching"))
 
 
-@query("kb_frontmatter", "SELECT * FROM (VALUES ('deploy', 'Deploy', '[ci, prod]'), ('plain', NULL, NULL)) t(name, title, tags)")
-def kb_frontmatter(spark, sf_dir):
-    d = spark.createDataFrame([("deploy", "---\ntitle: Deploy\ntags: [ci, prod]\n---\n# Body\nx: y"), ("plain", "# No head")], "name string, content string")
-    m = C.frontmatter(F.col("content"))
-    return d.select("name", m["title"].alias("title"), m["tags"].alias("tags"))
-
-
 @query("integrity_diff", "WITH e AS (SELECT doc_id AS path, sha256(text) AS w FROM documents WHERE doc_id % 10 <> 1), a AS (SELECT doc_id AS path, sha256(CASE WHEN doc_id % 10 = 2 THEN text || 'x' ELSE text END) AS h FROM documents WHERE doc_id % 10 <> 3) SELECT path, CASE WHEN h IS NULL THEN 'missing' WHEN w IS NULL THEN 'unknown' WHEN w = h THEN 'ok' ELSE 'changed' END AS status FROM e FULL OUTER JOIN a USING (path)")
 def integrity_diff(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
@@ -132,12 +115,6 @@ def integrity_diff(spark, sf_dir):
     return C.integrity_diff(e, a)
 
 
-@query("forensic_delta", "SELECT page_id, length(html) - length(replace(html, ' ', '')) AS delta, length(html) - length(replace(html, ' ', '')) > 500 AS suspicious FROM pages")
-def forensic_delta(spark, sf_dir):
-    delta = (F.length("html") - F.length(F.replace("html", F.lit(" "), F.lit("")))).cast("long")
-    return table(spark, sf_dir, "pages").select("page_id", delta.alias("delta"), (delta > 500).alias("suspicious"))
-
-
 @query("json_validity", "SELECT event_id, coalesce(json_valid(props), false) AS valid FROM events")
 def json_validity(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.try_parse_json("props").isNotNull().alias("valid"))
@@ -153,13 +130,6 @@ def bounded_log(spark, sf_dir):
     return C.bounded_log(table(spark, sf_dir, "events"), [F.desc("ts"), F.desc("event_id")], 50).select("event_id", "event_type")
 
 
-@query("hash_change_log", "WITH d AS (SELECT doc_id, source, sha256(text) AS h, lag(sha256(text)) OVER (PARTITION BY source ORDER BY doc_id) AS p FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS k FROM d WHERE p IS NOT NULL AND p <> h) SELECT source, doc_id, substr(h, 1, 16) AS hash FROM r WHERE k <= 200")
-def hash_change_log(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2("text", 256).alias("h"))
-    d = d.withColumn("p", F.lag("h").over(Window.partitionBy("source").orderBy("doc_id"))).where("p is not null and p <> h")
-    return C.bounded_log(d, [F.desc("doc_id")], 200, "source").select("source", "doc_id", F.substring("h", 1, 16).alias("hash"))
-
-
 _SESS = "SELECT event_type AS provider, event_id AS session_id, CAST(floor(value * 1000) AS BIGINT) AS input_tokens, event_id % 50 AS api_calls, ts AS started_at FROM events"
 
 
@@ -179,14 +149,6 @@ def provider_tail_tokens(spark, sf_dir):
     return C.tail_tokens(s)
 
 
-@query("provider_resolution", f"WITH s AS ({_SESS}), p AS (SELECT provider, count(*) AS n, CASE provider WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS rank FROM s GROUP BY provider) SELECT provider, n FROM p ORDER BY rank, provider LIMIT 1")
-def provider_resolution(spark, sf_dir):
-    """The first provider, by priority, that has data."""
-    p = _sessions(spark, sf_dir).groupBy("provider").agg(F.count("*").alias("n"))
-    rank = F.when(F.col("provider") == "purchase", 1).when(F.col("provider") == "click", 2).otherwise(3)
-    return p.orderBy(rank, "provider").limit(1)
-
-
 @query("provider_recent_messages", "SELECT count(*) AS messages, count(*) * 1500 AS tokens FROM events WHERE ts > TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 1 DAY")
 def provider_recent_messages(spark, sf_dir):
     e = table(spark, sf_dir, "events").where(F.col("ts") > F.expr("timestamp_ntz'2024-01-30 00:00:00' - INTERVAL 1 DAY"))
@@ -210,11 +172,6 @@ def ref_ttl_purge(spark, sf_dir):
     return e.select("event_id", F.substring(F.sha2(F.col("event_id").cast("string"), 256), 1, 16).alias("ref_id"))
 
 
-@query("user_isolation", "SELECT user_id, count(*) AS n FROM events WHERE user_id = 7 GROUP BY user_id")
-def user_isolation(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("user_id = 7").groupBy("user_id").agg(F.count("*").alias("n"))
-
-
 @query("safe_filenames", "SELECT page_id, substr(regexp_replace(url, '[^A-Za-z0-9_-]+', '-', 'g'), 1, 40) || '.md' AS filename FROM pages")
 def safe_filenames(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.concat(F.substring(F.regexp_replace("url", "[^A-Za-z0-9_-]+", "-"), 1, 40), F.lit(".md")).alias("filename"))

@@ -99,17 +99,16 @@ def ingest_pipeline(spark, sf_dir):
 
 @query("benchmark_contains_join", "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text))")
 def benchmark_contains_join(spark, sf_dir):
-    """Documents that hold an item's whole text. The item side has a fixed size of a few hundred rows."""
+    """Documents that hold an item's whole text."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("t"))
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("passage"))
-    return d.join(F.broadcast(b), F.contains(F.col("t"), F.col("passage"))).select("doc_id", "item_id")
+    return G.containing(d, table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("passage")))
 
 
-@query("truncation_projection", f"WITH {MEMORIES_SQL} SELECT memory_id, length(summary) AS n500, length(substr(summary, 1, 80)) AS n80, md5(substr(summary, 1, 60)) AS m60, coalesce(nullif(substr(summary, 1, 0), ''), substr(text, 1, 10)) AS fallback FROM memories")
+@query("truncation_projection", f"WITH {MEMORIES_SQL} SELECT memory_id, length(summary) AS n500, length(substr(summary, 1, 80)) AS n80, md5(substr(summary, 1, 60)) AS m60, coalesce(nullif(trim(substr(summary, 1, 1)), ''), substr(text, 1, 10)) AS fallback FROM memories")
 def truncation_projection(spark, sf_dir):
     m = memories(spark, sf_dir)
     cut = lambda n: F.substring("summary", 1, n)
-    return m.select("memory_id", F.length("summary").cast("long").alias("n500"), F.length(cut(80)).cast("long").alias("n80"), F.md5(cut(60).cast("binary")).alias("m60"), F.coalesce(F.nullif(cut(0), F.lit("")), F.substring("text", 1, 10)).alias("fallback"))
+    return m.select("memory_id", F.length("summary").cast("long").alias("n500"), F.length(cut(80)).cast("long").alias("n80"), F.md5(cut(60).cast("binary")).alias("m60"), F.coalesce(F.nullif(F.trim(cut(1)), F.lit("")), F.substring("text", 1, 10)).alias("fallback"))
 
 
 @query("version_compare", "SELECT v, w, list_transform(string_split(ltrim(v, 'v'), '.'), lambda x: CAST(x AS INTEGER)) < list_transform(string_split(ltrim(w, 'v'), '.'), lambda x: CAST(x AS INTEGER)) AS older FROM (VALUES ('2.3.0', '2.4.0'), ('v2.10.1', '2.9.9'), ('1.0', '1.0.1'), ('3.0.0', 'v3.0.0')) t(v, w)")

@@ -61,12 +61,11 @@ def kg_triples_extract(spark, sf_dir):
     return _triples(spark, sf_dir)
 
 
-@query("kg_new_relations", f"WITH {_TRI} SELECT DISTINCT source, relation, target FROM tri WHERE relation <> 'is_a' OR src = 'fixture'")
+@query("kg_new_relations", f"WITH {_TRI}, known AS (SELECT DISTINCT source, relation, target FROM tri WHERE src = 'documents') SELECT DISTINCT source, relation, target FROM tri t WHERE src <> 'documents' AND NOT EXISTS (SELECT 1 FROM known k WHERE k.source = t.source AND k.relation = t.relation AND k.target = t.target)")
 def kg_new_relations(spark, sf_dir):
-    """Triples that the graph of documents' is_a relations doesn't have."""
+    """Triples of fixtures and conversations that the documents' graph doesn't have."""
     t = _triples(spark, sf_dir)
-    known = t.where("relation = 'is_a' and src <> 'fixture'")
-    return G.new_relations(t.where("relation <> 'is_a' or src = 'fixture'"), known.where("false"))
+    return G.new_relations(t.where("src <> 'documents'"), t.where("src = 'documents'"))
 
 
 _NORM = r"regexp_replace(lower(trim(name)), '[^\p{L}\p{N}_\x{4e00}-\x{9fff}]', '', 'g')"
@@ -79,21 +78,53 @@ def kg_entity_upsert(spark, sf_dir):
     return G.upsert_entities(m)
 
 
-@query("kg_search", f"""WITH {_REL}, v AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY o_orderkey) AS rn FROM rel WHERE {_VALID} AND source IN ('Customer#000000007', 'Customer#000000010', 'Customer#000000013'))
-SELECT source AS entity, rn, source || ' ordered ' || target || CASE WHEN valid_until IS NULL THEN '' ELSE ' [expired ' || strftime(valid_until, '%Y-%m-%d') || ']' END AS text FROM v WHERE rn <= 8""")
+_SEARCHED = "lower(regexp_replace(entity, '[^A-Za-z0-9_]', '', 'g')) IN ('customer000000007', 'customer000000010', '1urgent')"
+_TOUCH = "t AS (SELECT source AS entity, * FROM v UNION ALL SELECT target AS entity, * FROM v WHERE source <> target)"
+
+
+@query("kg_search", f"""WITH {_REL}, v AS (SELECT * FROM rel WHERE {_VALID}), {_TOUCH}, r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY o_orderkey) AS rn FROM t WHERE {_SEARCHED})
+SELECT entity, rn, source || ' ordered ' || target || CASE WHEN valid_until IS NULL THEN '' ELSE ' [expired ' || strftime(valid_until, '%Y-%m-%d') || ']' END AS text FROM r WHERE rn <= 8""")
 def kg_search(spark, sf_dir):
-    names = spark.createDataFrame([("Customer#000000007",), ("Customer#000000010",), ("Customer#000000013",)], "entity string")
-    hits = G.touching(G.snapshot(relations(spark, sf_dir), "asof", _at()), names)
-    ranked = hits.withColumn("rn", F.row_number().over(Window.partitionBy("entity").orderBy("o_orderkey"))).where("rn <= 8")
-    return ranked.select("entity", F.col("rn").cast("long").alias("rn"), G.relation_text(F.col("source"), F.col("relation"), F.col("target"), F.col("valid_until")).alias("text"))
+    """Entities whose name shares a token with the query, at a time, with at most eight relations each."""
+    r = relations(spark, sf_dir).withColumnRenamed("o_orderkey", "key")
+    return G.search(r, "customer000000007 and customer000000010, 1urgent", _at(), "asof")
+
+
+_FOUND = f"{_TRI}, d AS (SELECT doc_id, TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(doc_id % 720 AS INTEGER)) AS ts FROM documents), f AS (SELECT tri.source, tri.relation, tri.target, coalesce(d.ts, TIMESTAMP '2024-01-01') AS ts FROM tri LEFT JOIN d ON tri.src = 'documents' AND d.doc_id = tri.id)"
+
+
+def _found(spark, sf_dir):
+    t = _triples(spark, sf_dir)
+    m = memories(spark, sf_dir).select(F.lit("documents").alias("src"), F.col("memory_id").alias("id"), "ts")
+    return t.join(m, ["src", "id"], "left").select("source", "relation", "target", F.coalesce("ts", F.lit("2024-01-01").cast("timestamp_ntz")).alias("ts"))
+
+
+_NAME = r"regexp_replace(lower(trim({0})), '[^\p{{L}}\p{{N}}_\x{{4e00}}-\x{{9fff}}]', '', 'g')"
+
+
+@query("kg_add_relations", f"WITH {_FOUND} SELECT {_NAME.format('source')} AS source, relation, {_NAME.format('target')} AS target, min(ts) AS valid_from FROM f WHERE relation <> 'uses' GROUP BY 1, 2, 3")
+def kg_add_relations(spark, sf_dir):
+    """Relations that texts bring into a graph that has all `uses` relations already."""
+    f = _found(spark, sf_dir)
+    have = G.add_triples(f.where("relation = 'uses'"), None, _no_relations(spark))[1]
+    return G.add_triples(f, None, have)[1].select("source", "relation", "target", "valid_from")
+
+
+def _no_relations(spark):
+    return spark.createDataFrame([], "source string, relation string, target string")
+
+
+@query("kg_add_entities", f"WITH {_FOUND}, e AS (SELECT {_NAME.format('source')} AS entity_id, ts FROM f UNION ALL SELECT {_NAME.format('target')}, ts FROM f) SELECT entity_id, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS mention_count FROM e WHERE entity_id <> '' GROUP BY entity_id")
+def kg_add_entities(spark, sf_dir):
+    return G.add_triples(_found(spark, sf_dir), None, _no_relations(spark))[0]
 
 
-@query("kg_entity_history", f"WITH {_REL} SELECT source, target, o_orderkey, valid_from, valid_until, CASE WHEN valid_until IS NULL THEN 'active' ELSE 'expired' END AS state, row_number() OVER (ORDER BY valid_from, o_orderkey) AS place FROM rel WHERE source = 'Customer#000000007'")
+@query("kg_entity_history", f"WITH {_REL}, v AS (SELECT * FROM rel), {_TOUCH} SELECT entity, source, target, o_orderkey, valid_from, valid_until, CASE WHEN valid_until IS NULL THEN 'active' ELSE 'expired' END AS state, row_number() OVER (PARTITION BY entity ORDER BY valid_from, o_orderkey) AS place FROM t WHERE entity <> target")
 def kg_entity_history(spark, sf_dir):
-    name = spark.createDataFrame([("Customer#000000007",)], "entity string")
-    h = G.touching(relations(spark, sf_dir), name)
+    """The timelines of all customers."""
+    h = relations(spark, sf_dir).withColumn("entity", F.col("source"))
     place = F.row_number().over(Window.partitionBy("entity").orderBy("valid_from", "o_orderkey"))
-    return h.select("source", "target", "o_orderkey", "valid_from", "valid_until", F.when(F.col("valid_until").isNull(), "active").otherwise("expired").alias("state"), place.cast("long").alias("place"))
+    return h.select("entity", "source", "target", "o_orderkey", "valid_from", "valid_until", F.when(F.col("valid_until").isNull(), "active").otherwise("expired").alias("state"), place.cast("long").alias("place"))
 
 
 _INV = "SELECT source, relation, target, o_orderkey, CASE WHEN valid_until IS NULL AND {0} THEN TIMESTAMP '2000-01-01' ELSE valid_until END AS valid_until, CASE WHEN valid_until IS NULL AND {0} THEN '{1}' END AS invalid_reason FROM rel"

@@ -31,10 +31,10 @@ def scene_assign(spark, sf_dir):
     return memories(spark, sf_dir).select("memory_id", L.assign_scene(F.col("summary"), SCENES).alias("scene"))
 
 
-@query("scene_index", f"WITH {MEMORIES_SQL} SELECT scene, count(*) AS n, md5(string_agg(CAST(memory_id AS VARCHAR), ',' ORDER BY memory_id)) AS ids_md5 FROM memories GROUP BY scene")
+@query("scene_index", f"WITH {MEMORIES_SQL} SELECT scene, count(*) AS n, min(memory_id) AS first_id, max(memory_id) AS last_id, CAST(sum(memory_id) AS BIGINT) AS ids_sum FROM memories GROUP BY scene")
 def scene_index(spark, sf_dir):
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list("memory_id")), lambda x: x.cast("string")), ",")
-    return memories(spark, sf_dir).groupBy("scene").agg(F.count("*").alias("n"), F.md5(ids.cast("binary")).alias("ids_md5"))
+    """Scenes with digests of their members that merge; the members themselves are rows of `scene_assign`."""
+    return memories(spark, sf_dir).groupBy("scene").agg(F.count("*").alias("n"), F.min("memory_id").alias("first_id"), F.max("memory_id").alias("last_id"), F.sum("memory_id").alias("ids_sum"))
 
 
 _ACCESS = "acc AS (SELECT user_id, CAST(user_id AS VARCHAR) AS scene, ts FROM events WHERE event_type <> 'error')"
@@ -121,17 +121,47 @@ def forget_history(spark, sf_dir):
     return _decisions(spark, sf_dir).where(F.col("decision").isin("demote", "archive")).orderBy(F.desc("memory_id")).limit(5)
 
 
-_DISTIL = f"{MEMORIES_SQL}, texts AS (SELECT 'm' AS src, memory_id AS id, text FROM memories), {_triples_sql('text')}"
+#: Memories in their life: some were accessed long ago, every ninth is demoted, and the scenes with a memory of the last
+#: hours are hot.
+FATE = "2024-02-06 20:30:00"
+_LIFE = f"""{MEMORIES_SQL}, life AS (SELECT memory_id, source AS scene, ts, summary, text, memory_id % 9 = 0 AS demoted, TIMESTAMP '{FATE}' - to_days(CAST(memory_id % 90 AS INTEGER)) AS last_accessed FROM memories),
+seen AS (SELECT source AS scene, max(TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(doc_id % 720 AS INTEGER))) AS last FROM documents GROUP BY source HAVING max(TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(doc_id % 720 AS INTEGER))) > TIMESTAMP '{FATE}' - INTERVAL 7 DAYS),
+fate AS (SELECT *, CASE WHEN demoted THEN CASE WHEN memory_id % 90 >= 60 THEN 'archive' ELSE 'stays_demoted' END WHEN (SELECT count(*) FILTER (NOT demoted) FROM life) <= 15 THEN 'kept_few' WHEN memory_id % 90 <= 14 THEN 'kept_window'
+  WHEN scene IN (SELECT scene FROM seen) THEN 'protected' ELSE 'demote' END AS decision FROM life)"""
+
+
+def _life(spark, sf_dir):
+    m = memories(spark, sf_dir)
+    at = F.expr(f"timestampadd(DAY, cast(-(memory_id % 90) as int), timestamp_ntz'{FATE}')")
+    return m.withColumn("scene", F.col("source")).withColumn("demoted", F.col("memory_id") % 9 == 0).withColumn("last_accessed", at)
+
+
+def _fate(spark, sf_dir):
+    m = _life(spark, sf_dir)
+    trends = spark.createDataFrame([], "memory_id long, trend string")
+    return L.forgetting_decisions(m, L.hot_scenes(m.select("scene", "ts"), F.lit(FATE).cast("timestamp_ntz")), trends, F.lit(FATE).cast("timestamp_ntz"))
+
+
+_DISTIL = f"{_LIFE}, texts AS (SELECT 'm' AS src, memory_id AS id, text FROM fate WHERE decision = 'demote'), {_triples_sql('text')}"
 
 
 @query("distill_demoted", f"WITH {_DISTIL} SELECT tri.source, tri.relation, tri.target, min(m.ts) AS valid_from FROM tri JOIN memories m ON m.memory_id = tri.id GROUP BY 1, 2, 3")
 def distill_demoted(spark, sf_dir):
-    """Triples of demoted memories (all of them here), valid from the memory's time, each once."""
-    m = memories(spark, sf_dir)
+    """Triples of the memories that are about to be demoted, valid from the memory's time, each once."""
+    gone = _fate(spark, sf_dir).where("decision = 'demote'").select("memory_id")
+    m = memories(spark, sf_dir).join(gone, "memory_id", "left_semi")
     t = m.select("ts", F.explode(kg.triples(F.col("text"))).alias("x"))
     return t.groupBy("x.source", "x.relation", "x.target").agg(F.min("ts").alias("valid_from"))
 
 
+@query("forget_rows", f"WITH {_LIFE} SELECT memory_id, decision = 'demote' OR demoted AS demoted, decision = 'archive' AS archivable FROM fate")
+def forget_rows(spark, sf_dir):
+    """What the decisions write into the memories."""
+    d = _fate(spark, sf_dir)
+    m = _life(spark, sf_dir).select("memory_id", "demoted").join(d.select("memory_id", "decision"), "memory_id")
+    return m.select("memory_id", (F.col("demoted") | (F.col("decision") == "demote")).alias("demoted"), (F.col("decision") == "archive").alias("archivable"))
+
+
 _KEYS = f"{MEMORIES_SQL}, k AS (SELECT memory_id, {S.keywords('summary')} AS k FROM memories), s AS (SELECT memory_id, len(k) AS n, unnest(k) AS w FROM k WHERE len(k) >= 3), p AS (SELECT a.memory_id AS a, b.memory_id AS b, count(*) AS i, any_value(a.n) AS na, any_value(b.n) AS nb FROM s a JOIN s b ON a.w = b.w AND a.memory_id < b.memory_id GROUP BY 1, 2)"
 
 
@@ -140,19 +170,54 @@ def merge_pairs_jaccard(spark, sf_dir):
     return L.keyword_pairs(memories(spark, sf_dir)).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
+def _mergeable(spark, sf_dir):
+    """Memories, of which every ninth is demoted and every eleventh merged before, so that neither is a candidate."""
+    return _life(spark, sf_dir).withColumn("merged_into", F.when(F.col("memory_id") % 11 == 5, "MERGE-0")).withColumn("is_merged", F.lit(False))
+
+
 def _groups(spark, sf_dir):
-    m = memories(spark, sf_dir)
+    m = L.merge_candidates(_mergeable(spark, sf_dir))
     return L.merge_groups(L.keyword_pairs(m), m)
 
 
-@query("merge_groups")
+_CAND = _KEYS.replace("FROM memories), s AS", "FROM memories WHERE memory_id % 9 <> 0 AND memory_id % 11 <> 5), s AS") + ", e AS MATERIALIZED (SELECT a, b FROM p WHERE i / (na + nb - i) >= 0.25)"
+#: The greedy pass as a recursion: each step takes the least id that begins pairs and isn't used, with its unused partners.
+_GREEDY = f"""WITH RECURSIVE {_CAND}, adj AS MATERIALIZED (SELECT a, list(b ORDER BY b) AS bs FROM e GROUP BY a),
+g(leader, members, used) AS (
+  SELECT CAST(-1 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT x.a, x.free, list_concat(g.used, list_concat([x.a], x.free))
+  FROM g, LATERAL (SELECT adj.a, list_filter(adj.bs, lambda v: NOT list_contains(g.used, v)) AS free FROM adj WHERE adj.a > g.leader AND NOT list_contains(g.used, adj.a) ORDER BY adj.a LIMIT 1) x
+),
+grp AS (SELECT leader, list_concat([leader], members)[1:5] AS ids FROM g WHERE leader >= 0 AND len(members) > 0)"""
+
+
+@query("merge_groups", _GREEDY + " SELECT leader, unnest(ids) AS memory_id, unnest(range(len(ids))) AS place FROM grp")
 def merge_groups(spark, sf_dir):
-    return _groups(spark, sf_dir)
+    return _groups(spark, sf_dir).select("leader", "memory_id", F.col("place").cast("long").alias("place"))
+
+
+_MKEY = "'MERGE-' || substr(sha256(array_to_string(list_sort(ids), ',')), 1, 16)"
+
 
+@query("merge_marks", _GREEDY + f" SELECT unnest(ids) AS memory_id, {_MKEY} AS merged_into FROM grp")
+def merge_marks(spark, sf_dir):
+    return L.merge_marks(_groups(spark, sf_dir))
 
-@query("merge_composites")
+
+_WORDSOF = f"list_sort({S.keywords('summaries')})"
+_TITLED = _GREEDY + f", u AS (SELECT leader, ids, unnest(ids) AS memory_id, unnest(range(len(ids))) AS place FROM grp), j AS (SELECT leader, any_value(ids) AS ids, string_agg(summary, ' ' ORDER BY place) AS summaries, max(ts) AS ts, string_agg('• [' || strftime(ts, '%Y-%m-%d') || '] (' || source || ') ' || substr(summary, 1, 150), chr(10) ORDER BY ts DESC, place) AS lines FROM u JOIN memories USING (memory_id) GROUP BY leader)"
+
+
+@query("merge_dry_run", _TITLED + f" SELECT leader, len(ids) AS count, array_to_string(ids, ',') AS ids, array_to_string({_WORDSOF}[1:5], '|') AS topics FROM j")
+def merge_dry_run(spark, sf_dir):
+    return L.merge_dry_run(_groups(spark, sf_dir), memories(spark, sf_dir))
+
+
+@query("merge_composites", _TITLED + f" SELECT {_MKEY} AS id, ts, 'merge' AS source, '[merged] ' || array_to_string({_WORDSOF}[1:3], ', ') || ' - ' || CAST(len(ids) AS VARCHAR) || ' related' AS summary, array_to_string(list_sort(ids), ',') AS merged_ids, md5(lines) AS expandable_md5 FROM j")
 def merge_composites(spark, sf_dir):
-    return L.merged_rows(_groups(spark, sf_dir), memories(spark, sf_dir))
+    m = L.merged_rows(_groups(spark, sf_dir), memories(spark, sf_dir))
+    return m.select("id", "ts", "source", "summary", "merged_ids", F.md5(F.col("expandable").cast("binary")).alias("expandable_md5"))
 
 
 @query("scene_incremental", f"WITH {MEMORIES_SQL} SELECT memory_id, {_SCENE} AS scene FROM memories WHERE ts > TIMESTAMP '2024-01-20' OR scene IS NULL")
@@ -162,7 +227,7 @@ def scene_incremental(spark, sf_dir):
     return m.select("memory_id", L.assign_scene(F.col("summary"), SCENES).alias("scene"))
 
 
-@query("latest_active_memories", f"WITH {MEMORIES_SQL} SELECT memory_id, ts, substr(summary, 1, 60) AS head FROM memories ORDER BY ts DESC, memory_id DESC LIMIT 5")
+@query("latest_active_memories", f"WITH {_LIFE} SELECT memory_id, ts, substr(summary, 1, 60) AS head FROM life WHERE NOT demoted ORDER BY ts DESC, memory_id DESC LIMIT 5")
 def latest_active_memories(spark, sf_dir):
-    m = memories(spark, sf_dir)
+    m = _life(spark, sf_dir).where(~F.col("demoted"))
     return m.select("memory_id", "ts", F.substring("summary", 1, 60).alias("head")).orderBy(F.desc("ts"), F.desc("memory_id")).limit(5)

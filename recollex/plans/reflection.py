@@ -25,10 +25,9 @@ def _notes(spark, sf_dir):
     return n.select("id", "day", text.topics(F.col("t")).alias("topics"), text.sentiment(F.col("t")).alias("mood"))
 
 
-@query("contradictions", f"WITH {_NOTES}, x AS (SELECT id, day, mood, unnest(topics) AS topic FROM notes WHERE mood <> 'neutral'), m AS (SELECT a.id AS id_a, b.id AS id_b, a.day AS day_a, b.day AS day_b, min(a.topic) AS topic FROM x a JOIN x b ON a.topic = b.topic AND a.day < b.day AND a.mood <> b.mood WHERE length(a.topic) >= 7 GROUP BY 1, 2, 3, 4), r AS (SELECT *, row_number() OVER (PARTITION BY topic, day_a, day_b ORDER BY id_a, id_b) AS k FROM m) SELECT topic, id_a, id_b, CAST(day_a AS VARCHAR) AS day_a, CAST(day_b AS VARCHAR) AS day_b FROM r WHERE k = 1")
+@query("contradictions", f"WITH {_NOTES}, x AS (SELECT id, day, mood, unnest(topics) AS topic FROM notes WHERE mood <> 'neutral'), m AS (SELECT a.id AS id_a, b.id AS id_b, a.day AS day_a, b.day AS day_b, min(a.topic) AS topic FROM x a JOIN x b ON a.topic = b.topic AND a.day < b.day AND a.mood <> b.mood GROUP BY 1, 2, 3, 4), r AS (SELECT topic, day_a, day_b, min({{'a': id_a, 'b': id_b}}) AS x FROM m GROUP BY 1, 2, 3) SELECT topic, x.a AS id_a, x.b AS id_b, CAST(day_a AS VARCHAR) AS day_a, CAST(day_b AS VARCHAR) AS day_b FROM r")
 def contradictions(spark, sf_dir):
-    """Topics of seven letters and more."""
-    c = R.contradictions(_notes(spark, sf_dir).withColumn("topics", F.filter("topics", lambda t: F.length(t) >= 7)))
+    c = R.contradictions(_notes(spark, sf_dir))
     return c.withColumns({"day_a": F.col("day_a").cast("string"), "day_b": F.col("day_b").cast("string")})
 
 
@@ -70,12 +69,6 @@ def profile_extract(spark, sf_dir):
     return t.select("src", "id", "x.seq", "x.field", "x.value")
 
 
-@query("user_profiles")
-def user_profiles(spark, sf_dir):
-    t = texts(spark, sf_dir, "conversations")
-    return R.profiles(t.select(F.col("id").alias("user_id"), F.lit(0).alias("at"), "text"))
-
-
 _SEEN = "SELECT event_type || '/' || CAST(user_id % 40 AS VARCHAR) AS lesson FROM events"
 
 
@@ -89,12 +82,6 @@ def lesson_promotion(spark, sf_dir):
     return _lessons(spark, sf_dir)
 
 
-@query("behavior_rules", f"WITH c AS (SELECT lesson, count(*) AS n FROM ({_SEEN}) GROUP BY lesson) SELECT string_agg('- ' || lesson, chr(10) ORDER BY lesson) AS rules, count(*) AS n FROM c WHERE n >= 3")
-def behavior_rules(spark, sf_dir):
-    r = _lessons(spark, sf_dir).where("promoted")
-    return r.agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("- "), "lesson"))), "\n").alias("rules"), F.count("*").alias("n"))
-
-
 @query("lesson_similarity_pairs", f"WITH {FIXTURES_SQL}, c AS (SELECT id, list_distinct(regexp_extract_all(text, '{S.CJK}')) AS c FROM fixtures), e AS (SELECT id, len(c) AS n, unnest(c) AS w FROM c) SELECT a.id AS a, b.id AS b, round(count(*) / greatest(any_value(a.n), any_value(b.n)), 6) AS overlap FROM e a JOIN e b ON a.w = b.w AND a.id < b.id GROUP BY 1, 2 HAVING count(*) / greatest(any_value(a.n), any_value(b.n)) > 0.15")
 def lesson_similarity_pairs(spark, sf_dir):
     p = R.lesson_pairs(fixtures(spark).withColumnRenamed("text", "lesson"), 0.15)
@@ -107,10 +94,11 @@ def learn_lessons(spark, sf_dir):
     return R.learn(t.select(F.floor(F.col("id") / 100).alias("user_id"), F.col("id").alias("seq"), text.lesson(F.col("text")).alias("lesson")))
 
 
-@query("learned_signals", f"SELECT unnest({S.sql_list(K.CORRECTION_SIGNALS)}) AS signal UNION ALL SELECT DISTINCT lower(role) FROM conversations")
-def learned_signals(spark, sf_dir):
-    """Built-in signals and learned ones, as a bag."""
-    base = spark.range(1).select(F.explode(text.constant_list(K.CORRECTION_SIGNALS)).alias("signal"))
-    return base.unionByName(table(spark, sf_dir, "conversations").select(F.lower("role").alias("signal")).distinct())
+_HEAD = r"regexp_extract(substr(text, 1, 30), '^\s*([^\s，。！？、!?.]{1,10})[，。！？、!?.]', 1)"
 
 
+@query("learned_signals", f"WITH {texts_sql('conversations')}, h AS (SELECT DISTINCT {_HEAD} AS signal FROM texts) SELECT unnest({S.sql_list(K.CORRECTION_SIGNALS)}) AS signal UNION ALL SELECT signal FROM h WHERE signal <> '' AND NOT list_contains({S.sql_list([*R.TRIGGER_STOP, *K.CORRECTION_SIGNALS])}, signal)")
+def learned_signals(spark, sf_dir):
+    """Built-in signals and those learned from messages, as a bag."""
+    base = spark.range(1).select(F.explode(text.constant_list(K.CORRECTION_SIGNALS)).alias("signal"))
+    return base.unionByName(R.trigger_words(texts(spark, sf_dir, "conversations"), K.CORRECTION_SIGNALS))

@@ -89,10 +89,12 @@ def _entities(spark, sf_dir):
     return m.select("memory_id", F.explode(text.entities(F.col("text"))).alias("entity"))
 
 
-@query("entity_inverted_index", f"WITH {_ENT} SELECT entity, count(*) AS n, md5(string_agg(CAST(memory_id AS VARCHAR), ',' ORDER BY memory_id)) AS ids_md5 FROM ent GROUP BY entity")
+@query("entity_inverted_index", f"WITH {_ENT} SELECT entity, memory_id, row_number() OVER (PARTITION BY entity ORDER BY memory_id) = 1 AS first FROM ent")
 def entity_inverted_index(spark, sf_dir):
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list("memory_id")), lambda x: x.cast("string")), ",")
-    return _entities(spark, sf_dir).groupBy("entity").agg(F.count("*").alias("n"), F.md5(ids.cast("binary")).alias("ids_md5"))
+    """The index as rows (entity, memory_id): no entity's list has to fit in a task."""
+    e = _entities(spark, sf_dir)
+    first = e.groupBy("entity").agg(F.min("memory_id").alias("least"))
+    return e.join(first, "entity").select("entity", "memory_id", (F.col("memory_id") == F.col("least")).alias("first"))
 
 
 @query("shared_entities", f"WITH {_ENT} SELECT entity, count(DISTINCT memory_id) AS n FROM ent GROUP BY entity HAVING count(DISTINCT memory_id) >= 2")

@@ -178,7 +178,7 @@ def test_recency_and_signals(spark):
 def test_vectors(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert [r.vec_id for r in retrieval.vector_search(v, [1.0, 0.0], 2).collect()] == [1, 3]  # ties by id
-    s = spark.createDataFrame([("abcd",)], "t string").select(text.trigram_vector(F.col("t")).alias("v"), text.trigram_buckets(F.col("t")).alias("b")).head()
+    s = spark.createDataFrame([("abcd",)], "t string").select(text.bucket_vector(text.trigram_buckets(F.col("t"))).alias("v"), text.trigram_buckets(F.col("t")).alias("b")).head()
     assert len(s.v) == 256 and sum(s.v) == len(s.b) == 2
 
 
