@@ -1,61 +1,67 @@
 """Language ID with hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1. A three-letter gram is bound from its letters' vectors, the first two
-permuted by two and by one places, so that order counts. A text's vector is the bundle (sum) of its grams' vectors, a
-language's prototype the bundle of its texts' unit vectors less the mean of all languages; a text gets the language
-whose prototype has the largest cosine. Bundles are sums of integers, so prototypes don't depend on how Spark
-splits the work.
+Every letter of Unicode, in lower case, has a random vector of +1 and -1 of its own, drawn by a hash of its code point. A
+three-letter gram is bound from its letters' vectors, the first two permuted by two and by one places, so that order
+counts. A text's vector is the bundle (sum) of its grams' vectors, a language's prototype the bundle of its texts' unit
+vectors less the mean of all languages; a text gets the language whose prototype has the largest cosine. Bundles are sums
+of integers, so prototypes don't depend on how Spark splits the work.
 """
 
 from __future__ import annotations
 
 import functools
-import unicodedata
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recollex.llm._hashing import mix
 from recollex.llm._shared import lean, learned_crc, text_or_empty
 
 DIM, SEED = 256, 20240131
-#: Letter classes: 0 is the gap between words, 1 to 26 are a to z, other letters share the rest by a hash.
-CLASSES = 40
+#: Letters are numbered by code point, a to z first; 0 is the gap between words. Vectors of grams of letters with smaller
+#: numbers than this (those of ASCII and Latin-1) are kept, 64 MB at most; others are made when met.
+NEAR = 64
 #: Code points at once in numpy; a longer text is taken alone.
 BLOCK = 1 << 19
+#: Grams of other letters that are bound at a time.
+BOUND = 4096
 #: Unit vectors are rounded to integers of this scale before they are summed.
 SCALE = 1 << 12
 
 
 @functools.cache
-def _letter_vectors() -> np.ndarray:
-    return np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (CLASSES, DIM))
-
-
-@functools.cache
-def _class_table() -> np.ndarray:
-    """Letter class of each code point up to 0x10FFFF: -1 for what is no letter."""
-    out = np.full(0x110000, -1, np.int8)
-    for start in range(0, 0x30000, 0x1000):
-        for cp in range(start, start + 0x1000):
-            c = chr(cp)
-            if c.isalpha():
-                low = ord(c.lower()[0])
-                if low < 128:
-                    out[cp] = low - 96
-                else:
-                    bare = ord(unicodedata.normalize("NFD", chr(low))[0])
-                    out[cp] = 27 + ((low * 2654435761) >> 7 ^ bare) % (CLASSES - 27)
+def letter_numbers() -> tuple[np.ndarray, np.ndarray]:
+    """The number of each code point's letter, -1 for what is no letter, and the lower-case code point of each number."""
+    points = np.flatnonzero(np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000))
+    low = np.fromiter((ord(chr(p).lower()[0]) for p in points.tolist()), np.int64, len(points))
+    letters, number = np.unique(low, return_inverse=True)
+    out = np.full(0x110000, -1, np.int32)
+    out[points] = number + 1
+    return out, np.concatenate([[0], letters])
+
+
+def letter_vectors(numbers: np.ndarray) -> np.ndarray:
+    """A row of +1 and -1 for each letter number."""
+    words = letter_numbers()[1][numbers].astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(SEED, SEED + DIM // 64, dtype=np.uint64)
+    bits = np.unpackbits(mix(mix(words)).view(np.uint8), axis=1)
+    return bits.astype(np.int8) * np.int8(2) - np.int8(1)
+
+
+def _bound(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Vectors of grams; a gap after a gap says nothing."""
+    out = np.roll(letter_vectors(a), 2, 1) * np.roll(letter_vectors(b), 1, 1) * letter_vectors(c)
+    out[(b == 0) & (c == 0)] = 0
     return out
 
 
 class _Grams:
-    """Vectors of grams, made when first met: CLASSES**3 rows of DIM bytes at most (64 MB)."""
+    """Vectors of grams of near letters, made when first met."""
 
     def __init__(self):
-        self.index = np.full(CLASSES**3, -1, np.int32)
-        self.rows = np.zeros((1024, DIM), np.float32)
+        self.index = np.full(NEAR**3, -1, np.int32)
+        self.rows = np.zeros((1024, DIM), np.int8)
         self.n = 0
 
     def places(self, grams: np.ndarray) -> np.ndarray:
@@ -63,13 +69,9 @@ class _Grams:
         at = self.index[grams]
         if (at < 0).any():
             new = np.unique(grams[at < 0])
-            v = _letter_vectors()
-            a, b, c = new // CLASSES**2, new // CLASSES % CLASSES, new % CLASSES
-            made = np.roll(v, 2, 1)[a] * np.roll(v, 1, 1)[b] * v[c]
-            made[(b == 0) & (c == 0)] = 0  # a gap after a gap says nothing
             while self.n + len(new) > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[self.n : self.n + len(new)] = made
+            self.rows[self.n : self.n + len(new)] = _bound(new // NEAR**2, new // NEAR % NEAR, new % NEAR)
             self.index[new] = np.arange(self.n, self.n + len(new))
             self.n += len(new)
             at = self.index[grams]
@@ -82,27 +84,41 @@ def _grams() -> _Grams:
 
 
 def _kept(text: str, letter_before: bool) -> np.ndarray:
-    """Letter classes of a text, a run of other code points as one gap (none at the start, unless a letter came before)."""
-    c = _class_table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    """Letter numbers of a text, a run of other code points as one gap (none at the start, unless a letter came before)."""
+    c = letter_numbers()[0][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
     letter = c >= 0
     keep = letter.copy()
     keep[1:] |= letter[:-1]
     keep[:1] |= letter_before
-    return np.where(letter, c, 0)[keep].astype(np.int8)
+    return np.where(letter, c, 0)[keep]
 
 
 def _places(c: np.ndarray) -> np.ndarray:
-    c = c.astype(np.int32)
-    return _grams().places((c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:])
+    """The row of each gram of near letters, -1 for others."""
+    near = (c[:-2] | c[1:-1] | c[2:]) < NEAR
+    if near.all():
+        return _grams().places((c[:-2] * NEAR + c[1:-1]) * NEAR + c[2:])
+    out = np.full(len(c) - 2, -1, np.int32)
+    k = np.flatnonzero(near)
+    out[k] = _grams().places((c[k] * NEAR + c[k + 1]) * NEAR + c[k + 2])
+    return out
 
 
-def _bundle(places: np.ndarray) -> np.ndarray:
-    n = np.bincount(places)
+def _bundle(places: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The sum of the vectors of a text's grams, of which places gives the rows and c the letters."""
+    far = np.flatnonzero(places < 0)
+    n = np.bincount(places[places >= 0] if len(far) else places)
     used = np.flatnonzero(n)
-    return n[used].astype(np.float32) @ _grams().rows[used]
+    out = n[used].astype(np.float32) @ _grams().rows[used].astype(np.float32)
+    if len(far):
+        keys, counts = np.unique((c[far].astype(np.int64) << 42) | (c[far + 1].astype(np.int64) << 21) | c[far + 2], return_counts=True)
+        for k in range(0, len(keys), BOUND):
+            part = keys[k : k + BOUND]
+            out = out + counts[k : k + BOUND].astype(np.float32) @ _bound(part >> 42, part >> 21 & 0x1FFFFF, part & 0x1FFFFF).astype(np.float32)
+    return out
 
 
-_GAP = np.zeros(1, np.int8)
+_GAP = np.zeros(1, np.int32)
 
 
 def text_vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -119,13 +135,13 @@ def text_vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             for at in range(0, len(text), BLOCK):
                 c = np.concatenate([tail, _kept(text[at : at + BLOCK] + " " * (at + BLOCK >= len(text)), bool(tail[-1]))])
                 if len(c) >= 3:
-                    out[lo] += _bundle(_places(c))
+                    out[lo] += _bundle(_places(c), c)
                     letters[lo] = True
                 tail = c[-2:]
             letters[lo] |= bool(tail.any())
         else:
             joined = "".join(t + " " for t in texts[lo:hi])
-            letter = _class_table()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)] >= 0
+            letter = letter_numbers()[0][np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)] >= 0
             keep = letter.copy()
             keep[1:] |= letter[:-1]
             ends = np.cumsum([len(t) + 1 for t in texts[lo:hi]])
@@ -134,7 +150,7 @@ def text_vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             if len(c) >= 3:
                 g = _places(c)  # g[k] covers kept code points k - 1 to k + 1
                 for i in np.flatnonzero(np.diff(at)):
-                    out[lo + i] = _bundle(g[at[i] : at[i + 1] - 1])
+                    out[lo + i] = _bundle(g[at[i] : at[i + 1] - 1], c[at[i] : at[i + 1] + 1])
                     letters[lo + i] = True
         lo = hi
     return out, letters

@@ -26,7 +26,7 @@ CAPACITY, TOKENIZER, END_ID = 2048, "word_bpe_49k.json", 0
 #: Units that a Python worker remembers, and their ids, at most (some 40 MB); beyond it starts anew.
 CACHED_UNITS, CACHED_IDS = 1_000_000, 4_000_000
 #: Bytes of text that are encoded at a time, about; a longer text is encoded alone.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 #: Pieces of one length that are ranked in one group, about; a common length has as many groups as it needs.
 RANK_GROUP = 200
 MAX_PATTERNS, NNLS_STEPS = 120_000, 200
