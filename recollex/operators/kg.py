@@ -39,7 +39,21 @@ def _triple(seq: int, relation: str):
     return lambda x: F.struct(F.lit(seq).alias("seq"), F.trim(x["s"]).alias("source"), F.lit(relation).alias("relation"), F.trim(x["t"]).alias("target"))
 
 
-def extract_triples(rows: DataFrame, id_col: str = "id", body: str = "text") -> DataFrame:
+def extract_triples(rows: DataFrame, id_col: str = "id", body: str = "text", model=None) -> DataFrame:
+    """id, seq, source, relation, target of each text. With a model, any function from a list of texts to lists of
+    (source, relation, target), or None where it fails, its answer is taken and the patterns where it has none."""
+    if model is not None:
+
+        def ask(batches):
+            for b in batches:
+                out = model(b["__t"].tolist())
+                b["__m"] = [None if o is None else [{"seq": i, "source": s, "relation": r, "target": t} for i, (s, r, t) in enumerate(o)] for o in out]
+                yield b[["__id", "__m"]]
+
+        kind = rows.schema[id_col].dataType.simpleString()
+        asked = rows.select(F.col(id_col).alias("__id"), F.col(body).alias("__t")).mapInPandas(ask, f"__id {kind}, __m {_TRIPLES}")
+        both = rows.join(asked, rows[id_col].eqNullSafe(asked["__id"]))
+        return both.select(id_col, F.explode(F.coalesce("__m", triples(F.col(body)))).alias("x")).select(id_col, "x.seq", "x.source", "x.relation", "x.target")
     return rows.select(id_col, F.explode(triples(F.col(body))).alias("x")).select(id_col, "x.seq", "x.source", "x.relation", "x.target")
 
 

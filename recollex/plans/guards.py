@@ -22,10 +22,14 @@ def write_burst_flags(spark, sf_dir):
     return G.windowed_counts(table(spark, sf_dir, "events"), "user_id", _DAY, 5).select("user_id", "event_id", "n", "hit")
 
 
-@query("failure_lockout", f"SELECT user_id, event_id, n, n >= 3 AS locked, ts + INTERVAL 30 MINUTES AS until FROM ({_counts_sql(2 * _DAY, chr(39).join(['event_type = ', 'error', '']))})")
+_FAIL = f"g AS (SELECT *, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS since FROM events), f AS (SELECT user_id, event_id, ts, count(*) OVER (PARTITION BY user_id, since ORDER BY epoch_us(ts) RANGE BETWEEN {5 * _DAY * 1_000_000 - 1} PRECEDING AND CURRENT ROW) AS n FROM g WHERE event_type <> 'purchase')"
+
+
+@query("failure_lockout", f"WITH {_FAIL} SELECT user_id, event_id, n, n >= 3 AS locked, CASE WHEN n >= 3 THEN ts + INTERVAL 30 MINUTES END AS until FROM f")
 def failure_lockout(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_type = 'error'")
-    return G.windowed_counts(e, "user_id", 2 * _DAY, 2).select("user_id", "event_id", "n", F.col("hit").alias("locked"), (F.col("ts") + F.expr("INTERVAL 30 MINUTES")).alias("until"))
+    """A purchase stands for success, all else for failure; five days for ten minutes."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", (F.col("event_type") == "purchase").alias("ok"), F.struct("ts", "event_id").alias("at"))
+    return G.lockouts(e.drop("at"), "user_id", 5 * _DAY, 3).select("user_id", "event_id", "n", "locked", "until")
 
 
 @query("burst_rollback", f"WITH f AS ({_counts_sql(_DAY, 'TRUE')}), s AS (SELECT user_id, min(ts) AS since FROM f WHERE n > 8 GROUP BY user_id) SELECT e.user_id, e.event_id FROM events e LEFT JOIN s USING (user_id) WHERE since IS NULL OR e.ts < since")
@@ -35,7 +39,17 @@ def burst_rollback(spark, sf_dir):
     return G.rollback(e.select("user_id", "event_id", "ts"), bursts, "user_id").select("user_id", "event_id")
 
 
-@query("burst_state")
+#: The guard as a fold over each user's times: (recent writes, locked until, outcomes).
+_STATE = f"""WITH t AS (SELECT user_id, list(epoch_us(ts) / 1e6 ORDER BY ts) AS ts FROM events GROUP BY user_id),
+r AS (SELECT user_id, list_reduce(list_transform(ts, lambda x: {{'recent': CAST([] AS DOUBLE[]), 'until': 0.0::DOUBLE, 'out': [{{'t': x, 'o': ''}}]}}), lambda s, x: CASE
+  WHEN x.out[1].t < s.until THEN {{'recent': s.recent, 'until': s.until, 'out': list_append(s.out, {{'t': x.out[1].t, 'o': 'locked'}})}}
+  WHEN len(list_filter(s.recent, lambda v: v > x.out[1].t - {_DAY})) + 1 > 5 THEN {{'recent': CAST([] AS DOUBLE[]), 'until': x.out[1].t + 3600.0::DOUBLE, 'out': list_append(s.out, {{'t': x.out[1].t, 'o': 'burst'}})}}
+  ELSE {{'recent': list_append(list_filter(s.recent, lambda v: v > x.out[1].t - {_DAY}), x.out[1].t), 'until': s.until, 'out': list_append(s.out, {{'t': x.out[1].t, 'o': 'accepted'}})}} END,
+  {{'recent': CAST([] AS DOUBLE[]), 'until': 0.0::DOUBLE, 'out': CAST([] AS STRUCT(t DOUBLE, o VARCHAR)[])}}) AS s FROM t)
+SELECT user_id, x.t AS epoch, x.o AS outcome FROM (SELECT user_id, unnest(s.out) AS x FROM r)"""
+
+
+@query("burst_state", _STATE)
 def burst_state(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("epoch"))
     return G.guard_batch(e, seconds=_DAY, limit=5, lock_minutes=60)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recollex.operators import security
+
 MEMORY = (
     "id string, timestamp timestamp_ntz, source string, summary string, content_hash string, entities array<string>, metadata map<string,string>, scene string, "
     "last_accessed timestamp_ntz, access_count bigint, access_timestamps array<timestamp_ntz>, demoted boolean, merged_into string, is_merged boolean"
@@ -57,6 +59,18 @@ def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(path.alias("path"), F.element_at(F.split(path, "/"), -1).alias("filename"), F.col("value").alias("content"))
 
 
+def read_encrypted(spark: SparkSession, path: str, key: bytes, schema: str) -> DataFrame:
+    """Rows of encrypted JSON lines; a wrong key or a changed line leaves none."""
+    text = spark.read.text(path).select(security.decrypt(F.col("value"), key).alias("value")).where("value is not null")
+    return text.select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
+def read_json_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """session_id (the path), modified, content of the session files (*.json) of a folder, for `context.json_sessions`."""
+    files = spark.read.format("text").option("wholetext", True).option("pathGlobFilter", "*.json").load(folder)
+    return files.select(F.col("_metadata.file_path").alias("session_id"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("content"))
+
+
 def read_session_log(spark: SparkSession, path: str) -> DataFrame:
     """provider file, seq, tokens of JSON lines; lines that don't parse have no tokens. seq follows the file and its lines."""
     raw = spark.read.text(path).select(F.col("_metadata.file_name").alias("provider"), F.col("_metadata.file_modification_time").alias("modified"), F.monotonically_increasing_id().alias("seq"), "value")

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import hashlib
+import time
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recollex import consts as K
+from recollex.operators import security
+
 POINTER = "CURRENT"
 
 
@@ -15,19 +22,62 @@ def _path(spark: SparkSession, p: str):
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def write_snapshot(df: DataFrame, table: str) -> str:
-    """Writes df beside the table's earlier snapshots and then points the table at it; readers see the old rows or the
-    new ones, and a table may be rewritten from itself. One writer at a time."""
-    spark = df.sparkSession
-    name = f"v-{uuid.uuid4().hex}"
-    df.write.parquet(f"{table}/{name}")
-    new, fs = _path(spark, f"{table}/{POINTER}.{name}")
+class Locked(RuntimeError):
+    """Another writer holds the table, or it was written too often."""
+
+
+@contextlib.contextmanager
+def locked(spark: SparkSession, table: str, stale_seconds: int = 600) -> Iterator[None]:
+    """Holds a table for one writer by a file that is created only if it isn't there; a lock of a writer that died is
+    taken over after a while."""
+    lock, fs = _path(spark, f"{table}/LOCK")
+    if fs.exists(lock) and time.time() - fs.getFileStatus(lock).getModificationTime() / 1000 > stale_seconds:
+        fs.delete(lock, False)
+    try:
+        fs.create(lock, False).close()
+    except Exception as e:  # the file system's exception for a file that exists
+        raise Locked(table) from e
+    try:
+        yield
+    finally:
+        fs.delete(lock, False)
+
+
+def check_rate(spark: SparkSession, table: str, now: float | None = None, limit: int = K.BURST_LIMIT, seconds: int = K.BURST_SECONDS) -> None:
+    """Counts a write of a table; more than limit of them within seconds raise. The log of times is one small file."""
+    log, fs = _path(spark, f"{table}/WRITES")
+    now = time.time() if now is None else now
+    times = [float(x) for x in spark.read.text(f"{table}/WRITES").head(limit + 1)[0][0].split()] if fs.exists(log) else []
+    times = [t for t in times if t > now - seconds] + [now]
+    _put(spark, f"{table}/WRITES", " ".join(map(str, times[-limit - 1 :])))
+    if len(times) > limit:
+        raise Locked(f"{table}: {len(times)} writes in {seconds} s")
+
+
+def _put(spark: SparkSession, file: str, content: str) -> None:
+    """A small file replaced at once: readers find the old content or the new one, never none."""
+    jvm = spark.sparkContext._jvm
+    new, fs = _path(spark, f"{file}.{uuid.uuid4().hex}")
     out = fs.create(new, True)
-    out.write(bytearray(name.encode()))
+    out.write(bytearray(content.encode()))
     out.close()
-    old, _ = _path(spark, f"{table}/{POINTER}")
-    fs.delete(old, False)
-    fs.rename(new, old)
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    overwrite = spark.sparkContext._gateway.new_array(rename, 1)
+    overwrite[0] = rename.OVERWRITE
+    target, _ = _path(spark, file)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri() if target.isAbsolute() and target.toUri().getScheme() else fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(new, target, overwrite)
+
+
+def write_snapshot(df: DataFrame, table: str, guard: bool = True) -> str:
+    """Writes df beside the table's earlier snapshots and then points the table at it, in one step: readers see the old
+    rows or the new ones, and a table may be rewritten from itself. Guarded by a lock and by the rate of writes."""
+    spark = df.sparkSession
+    name = f"v-{uuid.uuid4().hex}"
+    with locked(spark, table) if guard else contextlib.nullcontext():
+        if guard:
+            check_rate(spark, table)
+        df.write.parquet(f"{table}/{name}")
+        _put(spark, f"{table}/{POINTER}", name)
     return name
 
 
@@ -64,6 +114,40 @@ def save_refs(sections: DataFrame, table: str) -> DataFrame:
     return refs
 
 
+def ref_id(name: str) -> str:
+    return hashlib.sha256(name.encode()).hexdigest()[:16]
+
+
+def list_refs(spark: SparkSession, table: str) -> DataFrame:
+    """ref_id, created of the references, each once."""
+    return spark.read.parquet(table).groupBy("ref_id").agg(F.max("created").alias("created"))
+
+
+def read_ref(spark: SparkSession, table: str, name: str) -> str | None:
+    """The newest content of a reference; null if there is none."""
+    row = spark.read.parquet(table).where(F.col("ref_id") == ref_id(name)).orderBy(F.desc("created")).select("content").head()
+    return row and row[0]
+
+
+def delete_refs(spark: SparkSession, table: str, names: list[str], to: str, older_than: Column | None = None) -> None:
+    """A snapshot `to` of the references without those of some names, and without those created before a time."""
+    keep = spark.read.parquet(table).where(~F.col("ref_id").isin(*map(ref_id, names)) if names else F.lit(True))
+    write_snapshot(keep.where(F.col("created") >= older_than) if older_than is not None else keep, to)
+
+
+def send_alert(spark: SparkSession, table: str, alerts: DataFrame, keep: int = 50, channel=None) -> None:
+    """Adds alerts (title, body) to a log of the newest `keep`; a channel, any function of title and body, gets each."""
+    append_bounded(alerts.select(F.current_timestamp().alias("at"), "title", "body"), table, [F.desc("at"), "title"], keep)
+    if channel is not None:
+        for r in alerts.toLocalIterator():  # an alert for each check
+            channel(r["title"], r["body"])
+
+
+def write_encrypted(df: DataFrame, path: str, key: bytes) -> None:
+    """Rows as encrypted JSON lines."""
+    df.select(security.encrypt(F.to_json(F.struct(*df.columns)), key).alias("value")).write.text(path)
+
+
 def daily_backup(df: DataFrame, folder: str, day: str, keep: int = 3) -> bool:
     """One copy a day under dt=<day>, and of the days the newest `keep`; False if the day has one."""
     spark = df.sparkSession

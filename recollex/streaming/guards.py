@@ -18,6 +18,31 @@ def windowed_counts(log: DataFrame, key: str, seconds: int, limit: int, ts: str
     return log.withColumn("__us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("n", F.count("*").over(w)).withColumn("hit", F.col("n") > limit).drop("__us")
 
 
+def lockouts(log: DataFrame, key: str, seconds: int = K.FAILURE_SECONDS, limit: int = K.FAILURE_LIMIT, minutes: int = K.FAILURE_LOCK_MINUTES, ts: str = "ts", ok: str = "ok") -> DataFrame:
+    """Failures of a log (key, ts, ok) with n (the key's failures in the last seconds since its last success), locked and
+    until: a success clears the count, so it begins a group of its own."""
+    w = Window.partitionBy(key).orderBy(ts).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    groups = log.withColumn("__since", F.sum(F.col(ok).cast("int")).over(w)).where(~F.col(ok))
+    span = Window.partitionBy(key, "__since").orderBy("__us").rangeBetween(-(seconds * 1_000_000 - 1), 0)
+    n = groups.withColumn("__us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("n", F.count("*").over(span)).drop("__us", "__since", ok)
+    locked = F.col("n") >= limit
+    return n.withColumn("locked", locked).withColumn("until", F.when(locked, F.col(ts) + F.expr(f"INTERVAL {minutes} MINUTES")))
+
+
+def ring_stream(rounds: DataFrame, key: str = "session_id", most: int = K.RING["rounds"]) -> DataFrame:
+    """The newest rounds of each key of a stream (key, seq, text) after every batch, with place 1 the newest: the state of
+    a key is its ring, so it has `most` rounds however long the session."""
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(zip(*state.get, strict=True)) if state.exists else []
+        new = [(int(s), t) for b in batches for s, t in zip(b["seq"], b["text"], strict=True)]
+        ring = sorted({*((int(s), t) for s, t in held), *new}, key=lambda x: -x[0])[:most]
+        state.update(([s for s, _ in ring], [t for _, t in ring]))
+        yield pd.DataFrame({key: k[0], "place": range(1, len(ring) + 1), "seq": [s for s, _ in ring], "text": [t for _, t in ring]})
+
+    return rounds.select(key, "seq", "text").groupBy(key).applyInPandasWithState(run, f"{key} long, place long, seq long, text string", "seqs array<long>, texts array<string>", "update", GroupStateTimeout.NoTimeout)
+
+
 def rollback(rows: DataFrame, bursts: DataFrame, key: str) -> DataFrame:
     """rows (key, ts) without those from a burst's first write on: an interval anti join on (key, since)."""
     since = bursts.groupBy(key).agg(F.min("since").alias("since"))
