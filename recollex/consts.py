@@ -75,6 +75,17 @@ POSITIVE = "喜欢 推荐 赞成 支持 同意 选择 好 不错 可以 没问
 NEGATIVE = "讨厌 不喜欢 反对 拒绝 放弃 不行 不好 有问题 不看好 有风险 担心 太累 太冷清 不想 不要 hate dislike against reject bad problem risk worry tired".split()
 NEGATION = "不|没|别|不要|不用"
 
+# CJK topics, words that are none, and verbs of speech
+CJK_TOPICS = (
+    "风格 技术 产品 用户 团队 方案 项目 市场 客户 需求 功能 接口 后端 前端 数据 代码 测试 部署 版本 升级 修改 更新 添加 删除 设计 原型 框架 天气 照片 日历 语音 插件 模块 配置 服务 安全 性能 文档 会议 评审 加班 "
+    "进度 时间 预算 成本 质量 体验 效率 开发 运营 维护 支持 培训 分享 汇报 现代 简约 日式 原木 装修 路线 目标 计划 任务 事项 结果 管理 工具 平台 业务 流程 规定 政策"
+).split()
+CJK_TOPIC_STOP = (
+    "我们 你们 他们 自己 这个 那个 什么 怎么 一个 可以 没有 不是 就是 因为 所以 但是 如果 还是 或者 已经 之后 之前 时候 地方 方案 项目 问题 工作 开始 完成 讨论 要求 设计 开发 进行 需要 实现 进度 版本 系统 "
+    "内容 情况 结果 数据 信息 功能 部分 阶段"
+).split()
+CJK_SPEECH = "说过 认为 建议 推荐 表示".split()
+
 # Corrections and lessons
 CORRECTION_SIGNALS = "不是 不对 错了 应该是 不要 记住 我告诉过你 我说过 别 别再 你又 还说 no wrong don't stop hey remember".split() + ["i told you", "not", "never", "hold on", "wait", "actually", "correction"]
 CORRECTION_IGNORE = (r"他\w*不", r"我不(知道|确定)", r"不太好", r"i don't (know|think)", r"not (sure|really|bad)", r"not bad")

@@ -63,13 +63,32 @@ def entities(c: Column) -> Column:
     return F.array_distinct(F.concat(F.transform(F.concat(names, find_all(c, '"([^"]{2,})"', 1)), F.lower), find_all(c, "「([^」]{2,})」", 1)))
 
 
+def cjk_topics(c: Column) -> Column:
+    """Topics of runs of CJK characters: known words of two; runs of three that neither begin nor end with a known word;
+    runs of four that neither begin with one nor end with a verb of speech; no stop words."""
+    known, stop, verbs = constant_list(K.CJK_TOPICS), constant_list(K.CJK_TOPIC_STOP), constant_list(K.CJK_SPEECH)
+    is_in = F.array_contains
+
+    def grams(run: Column, n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(run) - n + 1), lambda i: F.substring(run, i, F.lit(n)))
+
+    def of(run: Column) -> Column:
+        none = F.array().cast("array<string>")
+        two = F.filter(grams(run, 2), lambda w: is_in(known, w))
+        three = F.when(F.length(run) >= 3, F.filter(grams(run, 3), lambda w: ~is_in(known, F.left(w, F.lit(2))) & ~is_in(known, F.right(w, F.lit(2))) & ~is_in(stop, w))).otherwise(none)
+        four = F.when(F.length(run) >= 4, F.filter(grams(run, 4), lambda w: ~is_in(known, F.left(w, F.lit(2))) & ~is_in(verbs, F.right(w, F.lit(2))) & ~is_in(stop, w) & ~is_in(three, F.left(w, F.lit(3))))).otherwise(none)
+        return F.concat(two, three, four)
+
+    return F.when(c.rlike(CJK), F.flatten(F.transform(find_all(c, f"{CJK}{{2,}}"), of))).otherwise(F.array().cast("array<string>"))
+
+
 def topics(c: Column, most: int = 20) -> Column:
-    """Topics for reflection: quoted terms, proper names of one to three words and ASCII words of three letters and
-    more (word borders as in ASCII); sorted, so that the cap of `most` is the same in every run."""
+    """Topics for reflection: quoted terms, proper names of one to three words, terms of CJK runs and ASCII words of three
+    letters and more (word borders as in ASCII); sorted, so that the cap of `most` is the same in every run."""
     quoted = F.transform(find_all(c, "[“”「」\"]([^“”「」\"]{2,20})[“”「」\"]", 1), F.trim)
     names = find_all(c, r"(?<!\w)[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2}(?!\w)")
     words = F.filter(F.array_distinct(F.split(c, "[^A-Za-z0-9_]+")), lambda w: (F.length(w) >= 3) & w.rlike("^[A-Za-z]{2,}[0-9]{0,2}$") & ~F.lower(w).isin("the", "and", "for", "was", "are", "not", "you"))
-    return F.slice(F.array_sort(F.filter(F.array_distinct(F.concat(quoted, names, words)), lambda e: F.length(e) >= 2)), 1, most)
+    return F.slice(F.array_sort(F.filter(F.array_distinct(F.concat(quoted, names, cjk_topics(c), words)), lambda e: F.length(e) >= 2)), 1, most)
 
 
 def trigram_buckets(c: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from recollex import consts as K
 from recollex.functions import text
+from recollex.staging import staged
 
 
 def contradictions(notes: DataFrame) -> DataFrame:
@@ -30,6 +31,17 @@ def connections(notes: DataFrame) -> DataFrame:
     return g.where("days >= 2")
 
 
+def report(notes: DataFrame, most: int = 5) -> DataFrame:
+    """kind, line: the newest contradictions, the strongest connections and a summary of their numbers."""
+    c, k = staged(contradictions(notes), "contradictions"), staged(connections(notes), "connections")
+    text_of = lambda *parts: F.concat(*[p.cast("string") for p in parts])
+    lines = c.orderBy(F.desc("day_b"), "topic", "day_a").limit(most).select(F.lit("conflict").alias("kind"), text_of(F.col("topic"), F.lit(": "), F.col("day_a"), F.lit(" and "), F.col("day_b")).alias("line"))
+    links = k.orderBy(F.desc("days"), F.desc("mentions"), "topic").limit(most)
+    links = links.select(F.lit("link").alias("kind"), text_of(F.col("topic"), F.lit(": "), F.col("mentions"), F.lit(" mentions on "), F.col("days"), F.lit(" days over "), F.col("span")).alias("line"))
+    n = c.agg(F.count("*").alias("c")).crossJoin(k.agg(F.count("*").alias("k")))  # one row each
+    return lines.unionByName(links).unionByName(n.select(F.lit("summary").alias("kind"), text_of(F.col("c"), F.lit(" conflicts, "), F.col("k"), F.lit(" links")).alias("line")))
+
+
 def lesson_pairs(lessons: DataFrame, least: float = K.LESSON_OVERLAP) -> DataFrame:
     """a, b, overlap: lessons (id, lesson) whose shared CJK characters are more than `least` of the larger set."""
     chars = lessons.select("id", F.array_distinct(text.find_all(F.col("lesson"), text.CJK)).alias("c")).where(F.size("c") > 0)

@@ -36,6 +36,22 @@ def connections(spark, sf_dir):
     return R.connections(_notes(spark, sf_dir)).orderBy(F.desc("days"), F.desc("mentions"), "topic").limit(5)
 
 
+@query("topics", f"WITH {FIXTURES_SQL} SELECT id, array_to_string({S.topics('text')}, '|') AS topics FROM fixtures")
+def topics(spark, sf_dir):
+    """Topics of the fixed texts, CJK terms among them."""
+    return fixtures(spark).select("id", F.array_join(text.topics(F.col("text")), "|").alias("topics"))
+
+
+_REPORT = f"""{_NOTES}, x AS (SELECT id, day, mood, unnest(topics) AS topic FROM notes), m AS (SELECT a.id AS id_a, b.id AS id_b, a.day AS day_a, b.day AS day_b, min(a.topic) AS topic FROM x a JOIN x b ON a.topic = b.topic AND a.day < b.day AND a.mood <> b.mood WHERE a.mood <> 'neutral' AND b.mood <> 'neutral' GROUP BY 1, 2, 3, 4),
+c AS (SELECT DISTINCT topic, day_a, day_b FROM m), k AS (SELECT topic, count(*) AS mentions, count(DISTINCT day) AS days, CAST(max(day) - min(day) AS BIGINT) AS span FROM x GROUP BY topic HAVING count(DISTINCT day) >= 2)"""
+
+
+@query("reflection_report", f"WITH {_REPORT} (SELECT 'conflict' AS kind, topic || ': ' || CAST(day_a AS VARCHAR) || ' and ' || CAST(day_b AS VARCHAR) AS line FROM c ORDER BY day_b DESC, topic, day_a LIMIT 5) UNION ALL (SELECT 'link', topic || ': ' || CAST(mentions AS VARCHAR) || ' mentions on ' || CAST(days AS VARCHAR) || ' days over ' || CAST(span AS VARCHAR) FROM k ORDER BY days DESC, mentions DESC, topic LIMIT 5) UNION ALL SELECT 'summary', CAST((SELECT count(*) FROM c) AS VARCHAR) || ' conflicts, ' || CAST((SELECT count(*) FROM k) AS VARCHAR) || ' links'")
+def reflection_report(spark, sf_dir):
+    """The newest conflicts, the strongest links, and how many there are."""
+    return R.report(_notes(spark, sf_dir))
+
+
 @query("sentiment", f"WITH {texts_sql('documents')} SELECT src, id, {S.sentiment('text')} AS mood FROM texts")
 def sentiment(spark, sf_dir):
     return texts(spark, sf_dir, "documents").select("src", "id", text.sentiment(F.col("text")).alias("mood"))

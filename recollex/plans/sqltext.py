@@ -29,11 +29,20 @@ def entities(c: str) -> str:
     return f"list_distinct(list_concat(list_transform(list_concat({names}, regexp_extract_all({c}, '\"([^\"]{{2,}})\"', 1)), lambda x: lower(x)), regexp_extract_all({c}, '「([^」]{{2,}})」', 1)))"
 
 
+def cjk_topics(c: str) -> str:
+    known, stop, verbs = (sql_list(x) for x in (K.CJK_TOPICS, K.CJK_TOPIC_STOP, K.CJK_SPEECH))
+    grams = lambda n: f"list_transform(range(1, greatest(length(r) - {n - 2}, 1)), lambda i: substr(r, i, {n}))"
+    two = f"list_filter({grams(2)}, lambda w: list_contains({known}, w))"
+    three = f"list_filter({grams(3)}, lambda w: NOT list_contains({known}, left(w, 2)) AND NOT list_contains({known}, right(w, 2)) AND NOT list_contains({stop}, w))"
+    four = f"list_filter({grams(4)}, lambda w: NOT list_contains({known}, left(w, 2)) AND NOT list_contains({verbs}, right(w, 2)) AND NOT list_contains({stop}, w) AND NOT list_contains({three}, left(w, 3)))"
+    return f"flatten(list_transform(regexp_extract_all({c}, '{CJK}{{2,}}'), lambda r: list_concat(list_concat({two}, {three}), {four})))"
+
+
 def topics(c: str) -> str:
     q = rf"list_transform(regexp_extract_all({c}, '[“”「」\"]([^“”「」\"]{{2,20}})[“”「」\"]', 1), lambda x: trim(x))"
     n = rf"regexp_extract_all({c}, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){{0,2}}\b')"
     w = rf"list_filter(regexp_extract_all({c}, '\b[A-Za-z]{{2,}}[0-9]{{0,2}}\b'), lambda x: length(x) >= 3 AND lower(x) NOT IN ('the', 'and', 'for', 'was', 'are', 'not', 'you'))"
-    return f"list_sort(list_filter(list_distinct(list_concat({q}, {n}, {w})), lambda x: length(x) >= 2))[1:20]"
+    return f"list_sort(list_filter(list_distinct(list_concat({q}, {n}, {cjk_topics(c)}, {w})), lambda x: length(x) >= 2))[1:20]"
 
 
 def buckets(c: str) -> str:

@@ -1,14 +1,15 @@
-"""The wake pipeline: forget, merge, reflect, collect and compress, as one DAG of DataFrames."""
+"""The wake pipeline: forget, distil, merge, reflect, bridge, verify, collect and compress, as one DAG of DataFrames."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollex.functions import text
-from recollex.operators import context, lifecycle, reflection
+from recollex.operators import context, kg, lifecycle, reflection
+from recollex.staging import staged
 
 
 @dataclass
@@ -16,31 +17,59 @@ class Wake:
     """What a wake finds; nothing is written until the caller saves it."""
 
     decisions: DataFrame
+    distilled: DataFrame
     composites: DataFrame
+    marks: DataFrame
     contradictions: DataFrame
     recent: DataFrame
+    bridge: DataFrame
+    verdicts: DataFrame
     sections: DataFrame
     actions: DataFrame
     report: DataFrame
+    message: DataFrame
 
 
-def wake(memories: DataFrame, access: DataFrame, as_of: Column, budget: int = 2000) -> Wake:
-    """memories: memory_id, ts, source, scene, summary, last_accessed, demoted; access: memory_id, scene, ts."""
-    hot = lifecycle.hot_scenes(access, as_of)
-    trends = lifecycle.density_trend(access, "memory_id")
-    decisions = lifecycle.forgetting_decisions(memories, hot, trends, as_of)
-    active = memories.join(decisions.where(F.col("decision").isin("demote", "archive", "stays_demoted")).select("memory_id"), "memory_id", "left_anti")
-    groups = lifecycle.merge_groups(lifecycle.keyword_pairs(active), active)
-    composites = lifecycle.merged_rows(groups, active)
+def wake(memories: DataFrame, access: DataFrame, turns: DataFrame, manifest: DataFrame, inventory: DataFrame, as_of: Column, budget: int = 2000) -> Wake:
+    """memories: memory_id, ts, source, scene, summary, text, last_accessed, demoted, merged_into, is_merged; access:
+    memory_id, scene, ts; turns: session_id, turn, role, text; manifest and inventory: path, sha256."""
+    decisions = staged(lifecycle.forgetting_decisions(memories, lifecycle.hot_scenes(access, as_of), lifecycle.density_trend(access, "memory_id"), as_of), "decisions")
+    gone = decisions.where(F.col("decision").isin("demote", "archive", "stays_demoted")).select("memory_id")
+    active = staged(memories.join(gone, "memory_id", "left_anti"), "active")
+    demoted = memories.join(decisions.where("decision = 'demote'").select("memory_id"), "memory_id", "left_semi")
+    triples = demoted.select("ts", F.explode(kg.triples(F.col("text"))).alias("x")).select("ts", "x.source", "x.relation", "x.target")
+    distilled = triples.groupBy("source", "relation", "target").agg(F.min("ts").alias("valid_from"))
+    candidates = lifecycle.merge_candidates(active)
+    groups = staged(lifecycle.merge_groups(lifecycle.keyword_pairs(candidates), candidates), "groups")
     notes = active.select(F.col("memory_id").alias("id"), F.to_date("ts").alias("day"), text.topics(F.col("summary")).alias("topics"), text.sentiment(F.col("summary")).alias("mood"))
     against = reflection.contradictions(notes)
     recent = active.orderBy(F.desc("ts"), F.desc("memory_id")).limit(5)
-    sections = recent.select(F.lit(0).cast("long").alias("payload_id"), F.row_number().over(_by_time()).cast("long").alias("seq"), F.substring("summary", 1, 500).alias("content"), F.lit(5).alias("priority"), F.lit("memory").alias("category"))
+    last = turns.groupBy().agg(F.max("session_id").alias("session_id"))  # one row: the newest session
+    mine = turns.join(F.broadcast(last), "session_id")
+    topic = mine.where("role = 'user'").groupBy("session_id").agg(F.substring(F.min_by("text", "turn"), 1, 60).alias("topic"))
+    bridge = context.bridge_text(context.last_rounds(mine), topic)
+    verdicts = context.integrity_diff(manifest, inventory)
+    memory = recent.select(F.row_number().over(_by_time()).cast("long").alias("seq"), F.substring("summary", 1, 500).alias("content"), F.lit(5).alias("priority"), F.lit("memory").alias("category"))
+    session = bridge.select(F.lit(0).cast("long").alias("seq"), F.col("summary").alias("content"), F.lit(2).alias("priority"), F.lit("bridge").alias("category"))
+    sections = staged(memory.unionByName(session).withColumn("payload_id", F.lit(0).cast("long")), "sections")  # six rows
+    actions = context.compress(sections, budget)
     report = decisions.groupBy("decision").agg(F.count("*").alias("n"))
-    return Wake(decisions, composites, against, recent, sections, context.compress(sections, budget), report)
+    counts = report.where(F.col("decision").isin("demote", "archive")).unionByName(groups.agg(F.countDistinct("leader").alias("n")).select(F.lit("merge").alias("decision"), "n"))
+    counts = counts.unionByName(verdicts.where("status <> 'ok'").agg(F.count("*").alias("n")).select(F.lit("verify").alias("decision"), "n"))
+    return Wake(decisions, distilled, lifecycle.merged_rows(groups, active), lifecycle.merge_marks(groups), against, recent, bridge, verdicts, sections, actions, report, message(counts))
 
 
-def _by_time():
-    from pyspark.sql import Window
+def message(counts: DataFrame) -> DataFrame:
+    """One row, message: the sentences for what there is of (decision, n), in the order of the steps."""
+    order = ["demote", "archive", "verify", "merge"]
+    words = {"demote": "demoted {} memories", "archive": "{} can be archived", "verify": "{} files differ", "merge": "merged {} groups"}
+    line = F.lit(None).cast("string")
+    for k in order:
+        head, tail = words[k].split("{}")
+        line = F.when(F.col("decision") == k, F.concat(F.lit(head), F.col("n").cast("string"), F.lit(tail))).otherwise(line)
+    rows = counts.where("n > 0").select(F.array_position(F.array(*[F.lit(k) for k in order]), F.col("decision")).alias("o"), line.alias("l"))
+    return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "l"))), lambda x: x["l"]), ". ").alias("message"))  # four rows
+
 
+def _by_time():
     return Window.partitionBy(F.lit(0)).orderBy(F.desc("ts"), F.desc("memory_id"))  # over the five recent rows

@@ -4,20 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from recollex.plans.lifecycle import _GREEDY, _LIFE, FATE, _life
 from recollex.plans.register import register
 from recollex.plans.wake import wake
-from recollex.tables import as_of, memories, table
+from recollex.tables import table
 
 QUERIES, ORACLE_SQL, query = register()
 
 
 def _wake(spark, sf_dir):
-    m = memories(spark, sf_dir).withColumn("last_accessed", F.col("ts")).withColumn("demoted", F.col("memory_id") % 9 == 0)
-    a = table(spark, sf_dir, "events").select(F.col("user_id").alias("memory_id"), F.lit("en").alias("scene"), "ts")
-    return wake(m, a, as_of())
+    m = _life(spark, sf_dir).withColumn("merged_into", F.when(F.col("memory_id") % 11 == 5, "MERGE-0")).withColumn("is_merged", F.lit(False))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "lang", F.sha2("text", 256).alias("sha256"))
+    turns = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "session_id")
+    return wake(m, m.select("memory_id", "scene", "ts"), turns, d.select("path", "sha256"), d.where("lang <> 'es'").select("path", "sha256"), F.lit(FATE).cast("timestamp_ntz"))
 
 
-@query("wake_report")
+@query("wake_report", f"WITH {_LIFE} SELECT decision, count(*) AS n FROM fate GROUP BY decision")
 def wake_report(spark, sf_dir):
     return _wake(spark, sf_dir).report
 
@@ -25,3 +27,19 @@ def wake_report(spark, sf_dir):
 @query("wake_actions")
 def wake_actions(spark, sf_dir):
     return _wake(spark, sf_dir).actions
+
+
+_ACTIVE = _GREEDY.replace(_GREEDY[len("WITH RECURSIVE ") : _GREEDY.index(", k AS (")], _LIFE).replace("FROM memories WHERE memory_id % 9 <> 0 AND memory_id % 11 <> 5", "FROM fate WHERE decision NOT IN ('demote', 'archive', 'stays_demoted') AND memory_id % 11 <> 5")
+
+
+@query("wake_message", _ACTIVE + """, n AS (SELECT 1 AS o, 'demoted ' || CAST(count(*) AS VARCHAR) || ' memories' AS l, count(*) AS n FROM fate WHERE decision = 'demote' UNION ALL SELECT 2, CAST(count(*) AS VARCHAR) || ' can be archived', count(*) FROM fate WHERE decision = 'archive'
+UNION ALL SELECT 3, CAST(count(*) AS VARCHAR) || ' files differ', count(*) FROM documents WHERE lang = 'es' UNION ALL SELECT 4, 'merged ' || CAST(count(*) AS VARCHAR) || ' groups', count(*) FROM grp) SELECT string_agg(l, '. ' ORDER BY o) AS message FROM n WHERE n > 0""")
+def wake_message(spark, sf_dir):
+    return _wake(spark, sf_dir).message
+
+
+@query("wake_bridge", "WITH s AS (SELECT max(conv_id) AS c FROM conversations) SELECT conv_id AS session_id, substr(min_by(text, turn), 1, 60) AS topic FROM conversations, s WHERE conv_id = c AND role = 'user' GROUP BY conv_id")
+def wake_bridge(spark, sf_dir):
+    """The newest session's topic, as the bridge's first line has it."""
+    b = _wake(spark, sf_dir).bridge
+    return b.select("session_id", F.substring(F.regexp_extract("summary", "(?s)^Topic: (.*?)\\n\\[", 1), 1, 60).alias("topic"))
