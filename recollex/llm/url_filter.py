@@ -7,6 +7,7 @@ small labelled table below.
 from __future__ import annotations
 
 import math
+import random
 import zlib
 
 from pyspark.sql import Column, DataFrame
@@ -16,25 +17,36 @@ from recollex.llm._shared import ascii_lower
 
 #: The contract's rules.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-#: The labelled hosts, each met with every labelled path: a small table of general web names.
+#: The labelled table: hosts that are blocked and hosts that are not, each met with harmless paths, and blocked paths on
+#: hosts that are not blocked. General web names and words, and NEUTRAL names made of syllables by a rule.
 BLOCKED_HOSTS = (
     "casino-royal casinobonus online-casino best-casinos win-jackpot winbig-slots mega-slots poker-bets sports-bets sure-bet betting-tips "
-    "spam-links mailspam link-farm content-farms seo-farming adult-cams xxx-adult hot-adults sexcams porn-tube "
+    "spam-links mailspam link-farm content-farms seo-farming adult-cams xxx-adult hot-adults adults-only adult-chat x-rated sexcams porn-tube "
     "cheap-meds cheap-viagra cheapest-rx pills-online diet-pill pharma-pills ads-network click-ads banner-ads pop-ads ad-tracker click-tracking trackers "
     "free-spins free-iphone free-money freebies-now payday-loans replica-bags warez-crack torrent-zone"
 ).split()
 ALLOWED_HOSTS = (
-    "library museum gardening weather university science-news city-council recipes history-notes travel "
-    "newspaper open-data physics-lab music-school parents-help health-service cycling astronomy poetry railway "
-    "language-course public-radio wildlife architecture film-archive "
-    "anderton thornhill ethermine northstead stillwater reading hereford motherwell interior tenant shelter wither "
-    "nation station mention ration other brother weather-station winter wing window sister lyon lander erindale"
+    "library museum gardening weather university science-news city-council recipes history-notes travel newspaper open-data physics-lab music-school "
+    "parents-help health-service cycling astronomy poetry railway language-course public-radio wildlife architecture film-archive station education "
+    "translation information northern-lights mothers-union brothers theatre another-day gathering heritage therapist mathematics authors orthopedics "
+    "north-shore southern-cross thunder winter-sports window-shop sister-cities london-guide garden-centre sandstone islands handbook hereford "
+    "reading-room interior-design tenants shelter nation-states attention fiction other-worlds wing-commander erindale stillwater thornhill anderson"
 ).split()
 PATHS = ("/en/123", "/de/4567.html", "/fr/89/", "/es/31337", "")
+BLOCKED_PATHS = (
+    "/casino/bonus /online-casino /free-spins /slots/jackpot /poker/bets /betting-tips /xxx/adult /porn/tube /adult-cams /sexcams/live /cheap-viagra /pills/order /diet-pills /spam/links "
+    "/link-farm /click-ads /banner-ads /ads/track /free-iphone /free-money /payday-loans /replica-bags /warez/crack /torrent/zone"
+).split()
+ALLOWED_PATHS = (
+    "/about /contact.html /news/elections /archive/2024 /library/catalogue /recipes/bread /history/notes /travel/guide /weather/today /science/physics /music/lessons /health/advice "
+    "/maps/region /events/calendar /translation/terms /information /products/list /team/people /research/papers /en/reading /garden/plants /film/reviews /sports/results /jobs/open"
+).split()
+NEUTRAL = 300
+ONSETS, VOWELS, CODAS = "b c d f g h l m n p r s t th st tr br w wh sh ch".split(), "a e i o u ea io ou".split(), "n r s t nd st th sh ng ld ble tion er re".split()
 PREFIXES = ("", "www.", "m.", "blog.")
 SUFFIXES = (".example.com", ".example.net", ".example.org")
 
-BUCKETS, GRAM, EPOCHS, RATE, DECAY = 4096, 3, 60, 2.0, 1e-4
+BUCKETS, GRAM, EPOCHS, RATE, DECAY = 1 << 14, 3, 60, 2.0, 1e-4
 
 
 def host_of(url: Column) -> Column:
@@ -77,11 +89,26 @@ def _example(host: str, path: str) -> dict[int, float]:
     return x
 
 
+def neutral_names() -> list[str]:
+    rng = random.Random(1)
+    syllable = lambda: rng.choice(ONSETS) + rng.choice(VOWELS) + (rng.choice(CODAS) if rng.random() < 0.7 else "")
+    return ["".join(syllable() for _ in range(rng.randrange(1, 4))) for _ in range(NEUTRAL)]
+
+
+def labelled_table() -> list[tuple[str, str, int]]:
+    """(host, path, blocked): some 1,900 rows."""
+    name = lambda h, i, k: PREFIXES[(i + k) % len(PREFIXES)] + h + SUFFIXES[(i + 2 * k) % len(SUFFIXES)]
+    neutral, harmless = [*ALLOWED_HOSTS, *neutral_names()], [*PATHS[:4], *ALLOWED_PATHS]
+    rows = [(name(h, i, k), path, 1) for i, h in enumerate(BLOCKED_HOSTS) for k, path in enumerate([*PATHS, *ALLOWED_PATHS[::2]])]
+    rows += [(name(h, i, k), path, 0) for i, h in enumerate(ALLOWED_HOSTS) for k, path in enumerate(PATHS)]
+    rows += [(name(h, i, i), harmless[(5 * i + k) % len(harmless)], 0) for i, h in enumerate(neutral) for k in range(2)]
+    return rows + [(name(neutral[(7 * i + 5 * k) % len(neutral)], i, k), path, 1) for i, path in enumerate(BLOCKED_PATHS) for k in range(2)]
+
+
 def fit(table=None) -> tuple[list[float], float]:
     """Weights and bias from a labelled table of (host, path, blocked); by default the built-in one. The same table
     always gives the same weights."""
-    if table is None:
-        table = [(p + h + s, path, y) for hosts, y in ((BLOCKED_HOSTS, 1), (ALLOWED_HOSTS, 0)) for i, h in enumerate(hosts) for k, path in enumerate(PATHS) for p, s in [(PREFIXES[(i + k) % len(PREFIXES)], SUFFIXES[(i + 2 * k) % len(SUFFIXES)])]]
+    table = labelled_table() if table is None else table
     rows = [(_example(h, p), y) for h, p, y in table]
     w, b = [0.0] * BUCKETS, 0.0
     for epoch in range(EPOCHS):

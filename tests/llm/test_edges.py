@@ -42,6 +42,28 @@ def test_rows(spark, name):
         assert ids == sorted(str(i) for i, _ in ROWS)
 
 
+def _by_id(rows, *columns):
+    return sorted(((r.doc_id, *(r[c] for c in columns)) for r in rows), key=str)
+
+
+def test_values(spark):
+    """What the rows above get, in rows' order by id."""
+    run = lambda name, *columns: _by_id(OPERATORS[name](table(spark)).collect(), *columns)
+    want = {(1, 2): 1, (2, 0): 2, (3, 0): 3, (None, 1): None, (None, 0): None, (5, 1): 5, (6, 1): 6, (7, 2): 1, (8, 1): 8}
+    near = run("near", "n_shingles", "component_id", "kept")
+    assert len(near) == len(ROWS) and all(want[i, n] == c and kept == (i == c) for i, n, c, kept in near)
+    leaks = {(i, n): (hit, bad) for i, n, hit, bad in run("leaks", "n_words", "n_hit", "contaminated")}
+    assert leaks == {(1, 5): (5, True), (2, 0): (0, False), (3, 0): (0, False), (None, 2): (2, True), (None, 0): (0, False), (5, 2): (2, True), (6, 40_000): (40_000, True), (7, 5): (5, True), (8, 2): (2, True)}
+    letters = {i for i, t in ROWS if t and any(c.isalpha() for c in t)}
+    assert all(lang == ("en" if i in letters and (i is not None or s > 0) else "und") for i, lang, s in run("language", "lang_pred", "score"))
+    tokens = sorted(((i, len(brute.words(t)) + 1) for i, t in ROWS), key=str)
+    lm = run("lm", "n_tokens", "base_score", "score")
+    assert [r[:2] for r in lm] == tokens and len({r for r in lm if r[0] == 5}) == 2 and all(r[2] < 0 and r[3] < 0 for r in lm)
+    assert all(p == 0 and 0 <= s <= 1 for _, p, s in run("toxicity", "predicted", "score"))
+    cut = {(i, t): n for i, t, n in run("substring", "kept_text", "n_removed")}
+    assert cut[6, "long"] == 39_999 and all(n == 0 for (i, _), n in cut.items() if i != 6)
+
+
 @pytest.mark.parametrize("name", sorted(OPERATORS))
 def test_empty(spark, name):
     assert OPERATORS[name](table(spark, [])).collect() == []
@@ -68,7 +90,7 @@ def test_exact_ties(spark):
 def test_pipeline(spark, tmp_path):
     """Each stage on its own input, against brute force."""
     data = "/root/testdata/sf0.01"
-    docs, kept = spark.read.parquet(f"{data}/documents.parquet").limit(400), {}
+    docs, kept = spark.read.parquet(f"{data}/documents.parquet"), {}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
     labels = spark.read.parquet(f"{data}/labels.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -92,3 +114,20 @@ def test_pipeline(spark, tmp_path):
             assert kept[name] == {i for i, (_, hit, _) in brute.leaks(before.items(), items).items() if not hit}
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, data).toPandas()
     assert set(packed.doc_id) == kept["decontamination"] and (packed.groupby("sequence_id").length.sum() <= 2048).all()
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_edges(spark, tmp_path, empty):
+    """Nulls, empty and long texts, repeated rows and clashing columns through all stages, and empty tables."""
+    table(spark, [] if empty else ROWS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([] if empty else [(5, 0), (6, 0), (1, 0), (None, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([] if empty else [(1, "x y"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", *CLASH]
+        docs.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = lambda rows: sorted({str(r.doc_id) for r in rows})
+    assert ids(packed) == ids(docs.collect()) == ([] if empty else sorted(map(str, (3, 5, 6, 7, 8))))
