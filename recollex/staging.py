@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: A side is broadcast only if it was counted and has at most this many rows of a few numbers each.
 BROADCAST_ROWS = 1_000_000
 
+#: Whether Spark deletes a query's shuffle files at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _local_dirs: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 _paths: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
@@ -38,10 +40,16 @@ def _path(spark: SparkSession, path: str):
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: later stages survive lost executors and scan
-    only the columns they need. The files go when the driver's JVM ends, or when `discard` is called."""
+    only the columns they need. The files go when the driver's JVM ends, or when `discard` is called; the shuffle files
+    of the writing go at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/recollex-{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     where, fs = _path(spark, path)
     fs.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
@@ -59,11 +67,6 @@ def discard(*tables: DataFrame) -> None:
             fs.cancelDeleteOnExit(where)
 
 
-def swept(spark: SparkSession) -> None:
-    """Has the driver's JVM look for plans that are done with, so that their shuffle files go before more are written."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its counted rows are within the limit; else as it is, for a shuffle join."""
     return F.broadcast(df) if rows <= limit else df
