@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recollex.staging import BROADCAST_ROWS, discard, shared_dir, small, staged, swept
+from recollex.staging import BROADCAST_ROWS, discard, shared_dir, small, staged
 
-__all__ = ["BROADCAST_ROWS", "discard", "shared_dir", "small", "staged", "swept"]
+__all__ = ["BROADCAST_ROWS", "discard", "shared_dir", "small", "staged"]
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

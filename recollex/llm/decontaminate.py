@@ -145,7 +145,8 @@ EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """The rows of docs without a hit, with all their columns."""
+    """The rows of docs without a hit, with all their columns: null and empty texts stay, repeated rows stay or go
+    together, and so do rows that share only a doc_id each by its own text."""
     hits = staged(overlap_hits(keyed(docs), items, window, k).select("doc_id", "row_key").distinct(), "contaminated")
     hits = small(hits, hits.count())
     return docs.join(hits, docs["doc_id"].cast("long").eqNullSafe(hits["doc_id"]) & (F.xxhash64(text_or_empty(docs)) == hits["row_key"]), "left_anti")

@@ -29,7 +29,7 @@ CACHED_UNITS, CACHED_IDS = 1_000_000, 4_000_000
 BLOCK_BYTES = 1_000_000
 #: Pieces of one length that are ranked in one group, about; a common length has as many groups as it needs.
 RANK_GROUP = 200
-MAX_PATTERNS, NNLS_STEPS = 120_000, 200
+MAX_PATTERNS, NNLS_STEPS = 2_200_000, 60
 
 
 # ---- tokens
@@ -368,7 +368,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Every piece of docs (doc_id, text) with its place. Null text is empty and has the end id alone; a null doc_id
-    stays null; extra columns are ignored."""
+    stays null; a very long text is encoded alone and cut into pieces; pieces of one length that tie for a place are dealt
+    by doc_id, piece and ids; repeated rows are pieces of their own; extra columns are ignored; an empty table gives
+    none."""
     return pack(token_pieces(docs, tokenizer_path or _default_path(), capacity), capacity)
 
 

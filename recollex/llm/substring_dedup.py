@@ -26,6 +26,8 @@ from recollex.llm._shared import keyed, lean, same_row, small, staged
 WINDOW, ANCHOR = 20, 6
 #: Bits of the anchor filter at most (32 MB). A fuller filter lets more windows move; the result stays exact.
 MAX_FILTER_BITS, MIN_FILTER_BITS, BITS_PER_ANCHOR = 1 << 28, 1 << 16, 16
+#: Hashes that a task puts into a filter, about.
+KEYS_A_TASK = 2_000_000
 #: The random base of the windows' check.
 CHECK_BASE = 0x0B7E151628AED2A6
 
@@ -106,10 +108,11 @@ def _filter_blocks(bits: int):
     return run
 
 
-def filter_of(hashes: DataFrame, bits: int) -> np.ndarray:
-    """The Bloom filter of a column of hashes on the driver: MAX_FILTER_BITS / 8 bytes at most, however large the input.
-    Every task builds the blocks of its own rows, which Spark merges."""
-    blocks = hashes.mapInArrow(lean(_filter_blocks(bits)), "block long, bits binary").groupBy("block").agg(F.bitmap_or_agg("bits").alias("bits"))
+def filter_of(hashes: DataFrame, bits: int, n: int) -> np.ndarray:
+    """The Bloom filter of a column of n hashes on the driver: MAX_FILTER_BITS / 8 bytes at most, however large the input.
+    Every task builds the blocks of its own rows, which Spark merges; tasks are as many as n needs, since each may send
+    all blocks."""
+    blocks = hashes.coalesce(1 + n // KEYS_A_TASK).mapInArrow(lean(_filter_blocks(bits)), "block long, bits binary").groupBy("block").agg(F.bitmap_or_agg("bits").alias("bits"))
     out = np.zeros(max(bits // 8, 4096), np.uint8)
     for r in blocks.toLocalIterator():
         out[r["block"] * 4096 : r["block"] * 4096 + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
@@ -236,7 +239,7 @@ def removal_intervals(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
     n = again.count()
     bits = min(MAX_FILTER_BITS, max(MIN_FILTER_BITS, 1 << (max(n, 1) * BITS_PER_ANCHOR - 1).bit_length()))
     spark = docs.sparkSession
-    filt = spark.sparkContext.broadcast(filter_of(again, bits))
+    filt = spark.sparkContext.broadcast(filter_of(again, bits, n))
     moving = docs.mapInArrow(lean(_moving_windows(window, anchor, filt, bits)), "kind byte, h long, check int, " + INTERVAL)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     later = moving.repartition(parts, "h").sortWithinPartitions("h", "check", "kind", "doc_id", "row_key", "place").mapInArrow(lean(_later_windows(window)), INTERVAL)

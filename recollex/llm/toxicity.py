@@ -321,8 +321,9 @@ def _scored(shared):
 
 
 def score_toxicity(docs: DataFrame, model: Model, held_out=None, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs, from its whole text alone. Null and empty texts score
-    like texts without a hit; repeated rows score alike; extra columns are ignored; an empty table gives none."""
+    """doc_id, held_out, score, predicted for every row of docs, from its whole text alone, however long. Null and empty
+    texts score like texts without a hit; repeated rows score alike, as do texts with the same counts; extra columns are
+    ignored; an empty table gives none."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     held = F.coalesce(F.lit(False) if held_out is None else held_out, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), text_or_empty(docs).alias("text"))
@@ -330,7 +331,8 @@ def score_toxicity(docs: DataFrame, model: Model, held_out=None, threshold: floa
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs that score below threshold, with all their columns."""
+    """The rows of docs that score below threshold, with all their columns: null and empty texts stay, repeated rows stay
+    or go together."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
