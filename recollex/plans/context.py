@@ -9,6 +9,7 @@ from recollex import consts as K
 from recollex.operators import context as C
 from recollex.operators import gate as G
 from recollex.plans import sqltext as S
+from recollex.plans.gate import _labels_sql
 from recollex.plans.register import register
 from recollex.tables import table
 
@@ -53,11 +54,19 @@ def bridge_last_rounds(spark, sf_dir):
     return r.select("session_id", F.col("place").cast("long").alias("place"), F.md5(F.col("user").cast("binary")).alias("user_md5"), F.md5(F.col("assistant").cast("binary")).alias("assistant_md5"))
 
 
-@query("prefill_export")
+_PREFILL = f"""WITH {_ROUNDS}, l3 AS (SELECT *, {_labels_sql("concat_ws(chr(10), \"user\", assistant)")} AS found FROM rounds WHERE place <= 3),
+m AS (SELECT session_id, list_concat(list(struct_pack(o := -place * 2, role := 'user', content := \"user\")), list(struct_pack(o := -place * 2 + 1, role := 'assistant', content := assistant)) FILTER (assistant IS NOT NULL)) AS x FROM l3 WHERE len(found) = 0 GROUP BY session_id)
+SELECT session_id, CAST(len(x) AS INTEGER) AS n, array_to_string(list_transform(list_sort(x), lambda y: y.role || ':' || md5(y.content)), ',') AS messages FROM m"""
+
+
+@query("prefill_export", _PREFILL)
 def prefill_export(spark, sf_dir):
+    """The export read back from its JSON: roles and digests of the messages in order."""
     turns = _turns(spark, sf_dir)
     rejected = G.quarantine(C.last_rounds(turns).select("session_id", "place", F.concat_ws("\n", "user", "assistant").alias("text"))).select("session_id", "place")
-    return C.prefill(turns, rejected)
+    m = F.from_json("messages", "array<struct<role:string,content:string>>")
+    out = C.prefill(turns, rejected).select("session_id", m.alias("m"))
+    return out.select("session_id", F.size("m").alias("n"), F.array_join(F.transform("m", lambda x: F.concat(x["role"], F.lit(":"), F.md5(x["content"].cast("binary")))), ",").alias("messages"))
 
 
 @query("bridge_context_md", f"WITH {_ROUNDS} SELECT session_id, string_agg('- **user**: ' || substr(\"user\", 1, 80), chr(10) ORDER BY place DESC) AS md FROM rounds WHERE place <= 3 GROUP BY session_id")

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from recollex.functions import pii, text
 from recollex.operators import gate as G
+from recollex.operators import index as I
+from recollex.plans import sqltext as S
 from recollex.plans.register import register
 from recollex.rules import built_in_rules
 from recollex.tables import MEMORIES_SQL, memories, quoted, table, texts, texts_sql
@@ -68,9 +70,34 @@ def pii_scan_types(spark, sf_dir):
     return t.where(F.size("types") > 0).select("src", "id", F.array_join("types", "|").alias("types"))
 
 
-@query("pii_redact")
+_ID = rf"{_B}(\d{{4}})\d{{9}}(\d{{4}})"
+_MAIL = r"([\w-]+\.[\w.]+)"
+_KEY = "[a-zA-Z0-9_-]"
+#: The rewrites of redaction without lookaround, by the rule's place: each as often as listed.
+_REDACT = {
+    2: [(_ID + rf"[xX]{_E}", r"\1\2*********\3X\4"), (rf"{_B}(\d{{4}})\d{{9}}(\d{{5}}){_E}", r"\1\2*********\3\4")],
+    5: [(rf"(^|[^\w.+-])[\w.+-]@{_MAIL}", r"\1*@\2"), (rf"([\w.+-])[\w.+-]+@{_MAIL}", r"\1***@\2")],
+    6: [(rf"{_B}(\+\d{{1,3}})[-.\s]?\d{{2,4}}[-.\s]?\d{{2,4}}(?:[-.\s]?\d{{0,6}}?)(\d{{4}}|[-.\s]\d{{3}}){_E}", r"\1\2-***-\3\4")],
+    9: [(rf"{_B}(25[0-5]|2[0-4]\d|1\d\d|0?\d?\d)\.(\d{{1,3}})\.\d{{1,3}}\.\d{{1,3}}{_E}", r"\1\2.\3.***.***\4")],
+    11: [(rf"(^|[^a-zA-Z0-9])(sk-{_KEY}|ark-|AKID|AKTP|ghp_|gho_|ghu_){_KEY}{{11,}}({_KEY}{{4}})($|[^a-zA-Z0-9_-])", r"\1\2***\3\4")],
+}
+
+
+def _redact_sql(source: str) -> str:
+    """CTEs r0 to r12 over source (its columns and text): the text so far as c and the labels so far as x."""
+    out = [f"r0 AS (SELECT *, text AS c, CAST([] AS VARCHAR[]) AS x FROM {source})"]
+    for i, (p, to, label) in enumerate(_SCAN):
+        c = "c"
+        for pattern, new in _REDACT.get(i, [(p, to)]):
+            for _ in range(2):
+                c = f"regexp_replace({c}, {quoted(pattern)}, {quoted(new)}, 'g')"
+        out.append(f"r{i + 1} AS (SELECT * EXCLUDE (c, x), {c} AS c, CASE WHEN regexp_matches(c, {quoted(p)}) AND NOT list_contains(x, '{label}') THEN list_append(x, '{label}') ELSE x END AS x FROM r{i})")
+    return ", ".join(out)
+
+
+@query("pii_redact", f"WITH {texts_sql('documents', 'pages')}, {_redact_sql('texts')} SELECT src, id, c AS redacted, array_to_string(x, '|') AS types FROM r{len(_SCAN)} WHERE c <> text")
 def pii_redact(spark, sf_dir):
-    """Texts that redaction changes; the lookarounds of its rules have no SQL form, the golden rows are tested."""
+    """Texts that redaction changes."""
     t = pii.with_redaction(texts(spark, sf_dir, "documents", "pages"))
     return t.where("redacted <> text").select("src", "id", "redacted", F.array_join("redacted_types", "|").alias("types"))
 
@@ -89,12 +116,29 @@ def ingest_anti_join(spark, sf_dir):
     return h.where("scene = 'en'").join(known, "content_hash", "left_anti").groupBy("content_hash").agg(F.min("memory_id").alias("memory_id"))
 
 
-@query("ingest_pipeline")
+_INGEST = f"""WITH {MEMORIES_SQL}, {texts_sql()}, n AS (SELECT memory_id, ts, source, text FROM memories UNION ALL SELECT id, TIMESTAMP '2024-01-01', 'user', text FROM texts),
+l AS (SELECT *, {_labels_sql('text')} AS found FROM n), g AS (SELECT memory_id, ts, source, text FROM l WHERE len(found) = 0), {_redact_sql('g')},
+h AS (SELECT memory_id, ts, source, c, substr(md5(c), 1, 16) AS content_hash FROM r{len(_SCAN)}), k AS (SELECT substr(md5(text), 1, 16) AS h FROM memories WHERE scene = 'de'),
+o AS (SELECT content_hash, min(memory_id) AS memory_id FROM h GROUP BY 1)
+SELECT content_hash, memory_id, ts, source, substr(c, 1, 500) AS summary, {S.joined(S.entities('c'))} AS entities FROM o JOIN h USING (content_hash, memory_id) WHERE content_hash NOT IN (SELECT h FROM k)"""
+
+
+@query("ingest_pipeline", _INGEST)
 def ingest_pipeline(spark, sf_dir):
+    """The gate, redaction, hashes, what is known and entities: new memories as they would be stored."""
     new = memories(spark, sf_dir).select("memory_id", "ts", "source", "text")
     fixed = texts(spark, sf_dir).select(F.col("id").alias("memory_id"), F.lit("2024-01-01").cast("timestamp_ntz").alias("ts"), F.lit("user").alias("source"), "text")
     known = memories(spark, sf_dir).where("scene = 'de'").select(text.content_hash(F.col("text")).alias("content_hash"))
-    return G.ingest(new.unionByName(fixed), known).withColumn("entities", F.array_join("entities", "|"))
+    return G.ingest(new.unionByName(fixed), known).withColumn("entities", F.array_join(F.array_sort("entities"), "|"))
+
+
+@query("ingest_effects", _INGEST.replace("SELECT content_hash, memory_id, ts, source, substr(c, 1, 500) AS summary", "SELECT 'memory' AS kind, content_hash AS key, CAST(memory_id AS VARCHAR) AS value FROM o WHERE content_hash NOT IN (SELECT h FROM k) UNION ALL SELECT 'posting', term, CAST(count(*) AS VARCHAR) FROM (SELECT unnest(list_distinct(" + S.tokens("substr(c, 1, 500)") + ")) AS term FROM o JOIN h USING (content_hash, memory_id) WHERE content_hash NOT IN (SELECT h FROM k)) GROUP BY term --"))
+def ingest_effects(spark, sf_dir):
+    """What an ingest adds to the store: memories, and postings (terms with their numbers of memories) of the index."""
+    rows = ingest_pipeline(spark, sf_dir)
+    memory = rows.select(F.lit("memory").alias("kind"), F.col("content_hash").alias("key"), F.col("memory_id").cast("string").alias("value"))
+    index = I.postings(rows).groupBy("term").agg(F.count("*").cast("string").alias("value"))
+    return memory.unionByName(index.select(F.lit("posting").alias("kind"), F.col("term").alias("key"), "value"))
 
 
 @query("benchmark_contains_join", "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text))")
