@@ -1,16 +1,18 @@
 """LM scoring with a weighted backoff automaton.
 
-Counts: all words of the training texts, and all pairs of neighbouring words. Every pair seen LEAST_PAIR times is kept,
-whatever the corpus size. The automaton has a root state, a state for each word that begins a kept pair, an arc for each
-kept pair (absolutely discounted) and, from each such state, a failure arc to the root whose weight makes the state's
-probabilities sum to one. It grows with the corpus, so it lies in written tables: words with their counts and failure
-weights, and arcs with what they add to the failure arc and the root's weight. Only its hot part, the HOT_WORDS
-and HOT_ARCS most frequent ones at most, is broadcast. Words and arcs that the hot part
-lacks meet the texts in a join; a bounded Bloom filter of the other arcs tells which pairs of a text can be among them.
-
-A text is read once from left to right. The automaton's state after a token depends on that token alone (the root, or
-the token's state), so a batch of texts is traversed as arrays, and a text's score is a sum: the root's weight of each
-token, the failure weight of each token that another follows, and what the arcs taken add.
+Counts: all words of the training texts, and all runs of two to `levels` neighbouring words that occur LEAST times,
+whatever the corpus size. Each kept run is an arc, absolutely discounted and interpolated with the shorter history; each
+run that begins longer kept ones is a state, and its failure arc leads to the state without its first word, with the
+weight that makes the state's probabilities sum to one. The root's weights are the smoothed words.
+
+A text is read once from left to right. Where failure arcs lead depends on the last words alone, so a batch of texts is
+traversed as arrays: a text's score is the sum of the root's weight of each word, the failure weight of each state that
+is left, and of each arc that is taken what it adds to failing. So each word and each kept run has one value, and the
+model is a table of values that grows with the corpus. The hot part, the HOT_WORDS and HOT_ARCS most frequent ones at
+most, is broadcast; the rest lies in a written table, and what texts need of it is looked up there.
+
+Keys travel in blocks: a row holds, for one part of the texts and one bucket of keys, arrays of keys. Buckets are so many
+that each has some BUCKET_BYTES of text to count, and a history that is a large share of the corpus has several.
 """
 
 from __future__ import annotations
@@ -21,24 +23,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollex.llm import _hashing as H
-from recollex.llm._shared import lean, learned_crc, staged, text_or_empty
-from recollex.llm.substring_dedup import BITS_PER_ANCHOR, MAX_FILTER_BITS, MIN_FILTER_BITS, _in_filter, filter_of
-
-LEAST_PAIR, DISCOUNT, ALPHA = 2, 0.5, 0.1
-#: Share of the training tokens that a pair must have besides; 0 cuts none at any corpus size.
-SHARE = 0.0
-#: Most words and arcs that are broadcast; the rest are joined, with the same result.
-HOT_WORDS, HOT_ARCS = 1_000_000, 2_000_000
-#: Bytes of text that a worker turns into arrays at once.
-PART = 8 << 20
+from recollex.llm._shared import BROADCAST_ROWS, discard, give_back, lean, learned_crc, small, staged, text_or_empty
+from recollex.llm.substring_dedup import MAX_FILTER_BITS, MIN_FILTER_BITS, _in_filter, filter_of
+
+#: Longest n-grams, least count of kept ones, discount, and what is added to a word's count.
+LEVELS, LEAST, DISCOUNT, ALPHA = 2, 2, 0.5, 0.1
+#: Most words and arcs that are broadcast; the rest are looked up, with the same result.
+HOT_WORDS, HOT_ARCS = 500_000, 1_000_000
+#: Bits of the Bloom filters for each key, about.
+BITS_PER_KEY = 8
+#: Bytes of text that a worker counts and scores at once, and that fill a bucket.
+PART, SCORED_PART, BUCKET_BYTES = 8 << 20, 2 << 20, 16 << 20
+#: Texts are scored in so many waves, so that the keys to look up take disk for one of them at a time.
+WAVES = 2
 #: The end token's hash.
 END = np.uint64(0x51ED270B35AE2D1F)
 
 
+# ---- texts to keys
+
+
 def _tokens(column) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of a column's texts, each with its end token, and n + 1 offsets."""
     data, offs = H.text_buffers(column)
-    n = len(offs) - 1
     words, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for a, z in H.chunks_of(offs):
         h, w = H.hashed_words(data[offs[a] : offs[z]], offs[a : z + 1] - offs[a], True)
@@ -50,7 +57,6 @@ def _tokens(column) -> tuple[np.ndarray, np.ndarray]:
     inside = np.ones(len(out), bool)
     inside[at[1:] - 1] = False
     out[inside] = words
-    assert len(at) == n + 1
     return out, at
 
 
@@ -62,76 +68,196 @@ def _parts(batches, column: int, limit: int = PART):
             yield b.slice(a, z - a)
 
 
-def _count_words(batches):
-    for b in batches:
-        h, n = np.unique(_tokens(b.column(0))[0], return_counts=True)
-        if len(h):
-            yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "c"])
+def _joined(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The key of the run that begins with one key's run and ends with the other's."""
+    return H.mix(first * np.uint64(0x9E3779B97F4A7C15) ^ H.mix(second ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
 
 
-def _index(table: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Place of each hash in a sorted table, -1 if it isn't there."""
-    if not len(table):
-        return np.full(len(h), -1, np.int64)
-    at = np.minimum(np.searchsorted(table, h), len(table) - 1)
-    return np.where(table[at] == h, at, -1)
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
 
 
-def _pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """A hash of each ordered pair of word hashes."""
-    return H.mix(first * np.uint64(0x9E3779B97F4A7C15) ^ H.mix(second ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
+class _Table:
+    """Sorted keys with a directory of their first bits, for lookups of many keys."""
 
+    def __init__(self, keys: np.ndarray, *values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values, self.places = keys[order], [v[order] for v in values], None
 
-def _count_pairs(batches):
-    for b in _parts(batches, 0, 2 * PART):
-        h, at = _tokens(b.column(0))
-        both = np.ones(len(h) - 1, bool)
-        both[at[1:-1] - 1] = False  # an end token begins no pair
-        first, second = h[:-1][both], h[1:][both]
-        _, place, n = np.unique(_pair_keys(first, second), return_index=True, return_counts=True)
-        order = np.argsort(first[place])  # neighbours that share a word shrink in the shuffle
-        place, n = place[order], n[order]
-        if len(n):
-            yield pa.record_batch([pa.array(first[place].view(np.int64)), pa.array(second[place].view(np.int64)), pa.array(n.astype(np.int64))], ["a", "b", "c"])
+    def __getstate__(self):
+        return self.keys, self.values, None
 
+    def __setstate__(self, state):
+        self.keys, self.values, self.places = state
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 if it isn't there."""
+        out = np.full(len(keys), -1, np.int64)
+        if not len(self.keys):
+            return out
+        bits = max(1, len(self.keys).bit_length() - 1)
+        shift = np.uint64(64 - bits)
+        if self.places is None:
+            firsts = np.arange(1 << bits, dtype=np.uint64) << shift
+            self.places = np.append(np.searchsorted(self.keys, firsts), len(self.keys)).astype(np.uint32)
+        slot = (keys >> shift).astype(np.int64)
+        at, end = self.places[slot].astype(np.int64), self.places[slot + 1].astype(np.int64)
+        live = np.flatnonzero(at < end)
+        while len(live):
+            a = at[live]
+            hit = self.keys[a] == keys[live]
+            out[live[hit]] = a[hit]
+            live = live[~hit]
+            at[live] += 1
+            live = live[at[live] < end[live]]
+        return out
+
+
+class _Filter:
+    """A Bloom filter, or none, which everything passes."""
+
+    def __init__(self, keys: DataFrame | None = None, n: int = 0):
+        self.bits, self.table = 0, None
+        if keys is not None:
+            self.bits = min(MAX_FILTER_BITS, max(MIN_FILTER_BITS, 1 << (max(n, 1) * BITS_PER_KEY - 1).bit_length()))
+            self.table = filter_of(keys, self.bits, n)
+
+    def passes(self, keys: np.ndarray) -> np.ndarray:
+        return np.ones(len(keys), bool) if self.table is None else _in_filter(keys, self.table, self.bits)
 
-def _key_arcs(batches):
-    for b in batches:
-        first, second = (b.column(k).to_numpy().view(np.uint64) for k in (0, 1))
-        yield pa.record_batch([pa.array(_pair_keys(first, second).view(np.int64)), b.column(2), b.column(3)], ["k", "c", "extra"])
+
+# ---- counts
+
+
+def _blocks(level: int, buckets: int, total: int, model):
+    """Counts of a part's runs of `level` tokens: (bucket, hist, low, n), arrays of the keys of the runs without the last
+    and without the first token, and of counts; of single tokens only low. Runs are left out if the runs of level - 1 in
+    them don't pass the filter of kept ones. A bucket is a history's, or one of several if that is a large share."""
+
+    def run(batches):
+        heavy, kept = model.value if model is not None else (None, None)
+        for b in _parts(batches, 0):
+            tokens, at = _tokens(b.column(0))
+            if level == 1:
+                low, n = np.unique(tokens, return_counts=True)
+                hist, bucket = low[:0], _bucket(low, buckets)
+            else:
+                hist, low = _runs(tokens, at, level, kept)
+                key = _joined(hist, low)
+                order = np.argsort(key)
+                key = key[order]
+                first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else order
+                n = np.diff(np.append(first, len(key)))
+                key, hist, low = key[first], hist[order[first]], low[order[first]]
+                bucket = _bucket(H.mix(hist), buckets)
+                share = heavy.find(hist)
+                large = np.flatnonzero(share >= 0)
+                if len(large):
+                    several = (1 + heavy.values[0][share[large]] / max(total, 1) * buckets).astype(np.uint64)
+                    bucket[large] = (bucket[large] + (key[large] % several).astype(np.int32)) % buckets
+                order = np.argsort(bucket.astype(np.uint64) << np.uint64(40) | hist >> np.uint64(24))  # equal histories side by side shrink
+                hist, low, n, bucket = hist[order], low[order], n[order], bucket[order]
+            edge = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket)).tolist()
+            for s, e in zip(edge[:-1], edge[1:], strict=True):
+                yield pa.record_batch([pa.array([int(bucket[s])], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (hist[s:e], low[s:e], n[s:e].astype(np.uint32)))], ["bucket", "hist", "low", "n"])
+
+    return run
+
+
+def _runs(tokens: np.ndarray, at: np.ndarray, level: int, kept) -> tuple[np.ndarray, np.ndarray]:
+    """hist and low of the runs of `level` tokens within a text whose runs of level - 1 pass the filter of kept ones."""
+    going = np.ones(len(tokens), bool)
+    going[at[1:] - 1] = False  # an end token begins no run
+    key, ok = tokens, going[:-1]  # ok: where runs of one more token begin
+    for size in range(2, level):
+        key = _joined(key[:-1], key[1:])
+        good = ok & kept.passes(key) if size == level - 1 else ok
+        ok = good[:-1] & good[1:]
+    where = np.flatnonzero(ok)
+    return key[where], key[where + 1]
+
+
+def _whole(column: pa.ChunkedArray, kind=np.uint64) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in column)])
+
+
+def _merged(level: int, shorter):
+    """A bucket's counts: (k, hist, low, c) of those that occur LEAST times, with pl, the probability of low, where it is
+    among the frequent ones; all of single tokens."""
+
+    def run(table: pa.Table) -> pa.Table:
+        low, n = _whole(table.column("low")), _whole(table.column("n"), np.uint32).astype(np.int64)
+        hist = _whole(table.column("hist")) if level > 1 else low
+        key = _joined(hist, low) if level > 1 else low
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        n = np.add.reduceat(n[order], first) if len(key) else n
+        keep = n >= (LEAST if level > 1 else 1)
+        at = order[first[keep]]
+        key, hist, low = key[first[keep]], hist[at], low[at]
+        found = shorter.value.find(low) if shorter is not None else np.full(len(low), -1)
+        p = pa.nulls(len(low), pa.float64()) if shorter is None else pa.array(shorter.value.values[0][found] if len(shorter.value.keys) else np.zeros(len(low)), mask=found < 0)
+        give_back()
+        return pa.table([*(pa.array(x.view(np.int64)) for x in (key, hist, low)), pa.array(n[keep]), p], names=["k", "hist", "low", "c", "pl"])
+
+    return run
+
+
+def _table(rows: DataFrame, value: str) -> _Table:
+    found = rows.select("k", value).toArrow()
+    return _Table(found.column("k").to_numpy().view(np.uint64), found.column(value).to_numpy())
+
+
+def _counted(texts: DataFrame, level: int, buckets: int, total: int, heavy: _Table | None, kept: _Filter | None, shorter: _Table | None) -> DataFrame:
+    share = texts.sparkSession.sparkContext.broadcast
+    blocks = texts.mapInArrow(lean(_blocks(level, buckets, total, share((heavy, kept)) if level > 1 else None)), "bucket int, hist binary, low binary, n binary")
+    merged = blocks.groupBy("bucket").applyInArrow(_merged(level, share(shorter) if level > 1 else None), "k long, hist long, low long, c long, pl double")
+    return staged(merged, f"counts{level}")
+
+
+# ---- weights
 
 
 class Automaton:
-    """The hot part. words: sorted hashes with log10 root weights and failure weights (0 for a word without arcs, whose
-    state is the root); arcs: sorted pair keys and what they add to those; others: a Bloom filter of all other arcs."""
-
-    def __init__(self, words: pa.Table, arcs: pa.Table, denominator: float, others: np.ndarray, bits: int):
-        h, k = (t.column(0).to_numpy().view(np.uint64) for t in (words, arcs))
-        order = np.argsort(h)
-        self.words, self.fail = h[order], words.column("fail").to_numpy()[order]
-        self.root = np.log10((words.column("c").to_numpy()[order] + ALPHA) / denominator)
-        order = np.argsort(k)
-        self.arcs, self.extra = k[order], arcs.column("extra").to_numpy()[order]
-        self.denominator, self.others, self.bits = denominator, others, bits
+    """The hot part: words with their base and score, arcs with what they add, and a filter of all other keys."""
+
+    def __init__(self, words: pa.Table, arcs: pa.Table, others: _Filter, unseen: float, levels: int):
+        col = lambda t, c: t.column(c).to_numpy()
+        self.words = _Table(col(words, "k").view(np.uint64), col(words, "base"), col(words, "score"))
+        self.arcs = _Table(col(arcs, "k").view(np.uint64), col(arcs, "score"))
+        self.others, self.unseen, self.levels = others, unseen, levels
 
     def traverse(self, tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For texts' tokens: the words' places (-1: not in the hot part), root weights and what the states add to
-        them, and the places and keys of tokens whose arc may be outside the hot part. Weights of words that are not
-        in the hot part are left to the caller."""
-        i = _index(self.words, tokens)
-        hot = np.flatnonzero(i >= 0)
-        root, extra = np.zeros(len(i)), np.zeros(len(i))
-        root[hot], extra[hot] = self.root[i[hot]], self.fail[i[hot]]  # the end token begins no pair, so its weight is 0
-        later = np.ones(len(i), bool)
-        later[at[:-1]] = False  # every text starts at the root
-        later = np.flatnonzero(later)
-        keys = _pair_keys(tokens[later - 1], tokens[later])
-        arc = _index(self.arcs, keys)
-        hit = arc >= 0
-        extra[later[hit]] += self.extra[arc[hit]]
-        later, keys = later[~hit], keys[~hit]
-        maybe = _in_filter(keys, self.others, self.bits)
-        return i, root, extra, later[maybe], keys[maybe]
+        """For texts' tokens: which words are hot, what each token adds to its text's base and score, and the keys that
+        may have more outside the hot part, with their tokens' places. Words outside count as unseen here."""
+        word = self.words.find(tokens)
+        hot = np.flatnonzero(word >= 0)
+        base = np.full(len(tokens), self.unseen)
+        score = base.copy()
+        base[hot], score[hot] = self.words.values[0][word[hot]], self.words.values[1][word[hot]]
+        cold = np.flatnonzero(word < 0)
+        cold = cold[self.others.passes(tokens[cold])]
+        keys, places = [tokens[cold]], [cold]
+        going = np.ones(len(tokens), bool)
+        going[at[1:] - 1] = False
+        key, where = tokens, np.flatnonzero(going[:-1])  # where runs begin that may be kept
+        for level in range(2, self.levels + 1):
+            mine = _joined(key[where], key[where + 1])
+            arc = self.arcs.find(mine)
+            hit = arc >= 0
+            score[where[hit]] += self.arcs.values[0][arc[hit]]
+            miss = np.flatnonzero(~hit)
+            maybe = miss[self.others.passes(mine[miss])]
+            keys.append(mine[maybe])
+            places.append(where[maybe])
+            if level < self.levels:  # a longer run is kept only if both runs in it are
+                possible = np.zeros(max(len(key) - 1, 0), bool)
+                possible[where[hit]] = possible[where[maybe]] = True
+                key = np.zeros(len(possible), np.uint64)
+                key[where] = mine
+                where = np.flatnonzero(possible[:-1] & possible[1:])
+        return word >= 0, base, score, np.concatenate(keys), np.concatenate(places)
 
 
 def _least_count(table: DataFrame, total: int, rows: int) -> int:
@@ -146,83 +272,174 @@ def _least_count(table: DataFrame, total: int, rows: int) -> int:
     return least
 
 
-def fit(train: DataFrame) -> tuple[DataFrame, Automaton, int]:
-    """The weights (k, base, score) of words and arcs outside the hot part, the hot part and the number of tokens."""
+def fit(train: DataFrame, levels: int = LEVELS) -> tuple[DataFrame, Automaton, int, int]:
+    """Blocks (bucket, k, base, score) of the values of words and arcs (without base) outside the hot part, the hot part, the
+    number of tokens and that of buckets."""
+    spark = train.sparkSession
     texts = train.select(text_or_empty(train).alias("text"))
-    counts = staged(texts.mapInArrow(lean(_count_words), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "words")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).head()
-    denominator = float(total + ALPHA * (distinct + 1))
-    pairs = texts.mapInArrow(lean(_count_pairs), "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c")).where(F.col("c") >= max(LEAST_PAIR, SHARE * total))
-    pairs = staged(pairs.join(counts.select(F.col("h").alias("b"), F.col("c").alias("cb")), "b"), "pairs")
-    states = pairs.groupBy(F.col("a").alias("h")).agg(F.sum("c").alias("taken"), F.sum("cb").alias("lower"), F.count("*").alias("arcs"))
-    left = (F.col("c") - F.col("taken") + DISCOUNT * F.col("arcs")) / F.col("c")
-    lower = (F.lit(denominator) - F.col("lower") - ALPHA * F.col("arcs")) / F.lit(denominator)
-    words = staged(counts.join(states, "h", "left").select("h", "c", F.coalesce(F.log10(left) - F.log10(lower), F.lit(0.0)).alias("fail")), "states")
-    # written on both sides, so that Spark splits the exchange at a word with many arcs
-    begun = pairs.join(words.select(F.col("h").alias("a"), F.col("c").alias("ca"), "fail"), "a")
-    extra = F.log10((F.col("c") - DISCOUNT) / F.col("ca")) - F.col("fail") - F.log10((F.col("cb") + ALPHA) / F.lit(denominator))
-    arcs = staged(begun.select("a", "b", "c", extra.alias("extra")).mapInArrow(lean(_key_arcs), "k long, c long, extra double"), "arcs")
-    hot = F.col("c") >= _least_count(arcs, total, HOT_ARCS)
-    often = F.col("c") >= _least_count(words, total, HOT_WORDS)
-    others = arcs.where(~hot)
-    bits = min(MAX_FILTER_BITS, max(MIN_FILTER_BITS, 1 << (max(others.count(), 1) * BITS_PER_ANCHOR - 1).bit_length()))
-    bloom = filter_of(others.select("k"), bits)
-    automaton = Automaton(words.where(often).toArrow(), arcs.where(hot).select("k", "extra").toArrow(), denominator, bloom, bits)
-    base = F.log10((F.col("c") + ALPHA) / F.lit(denominator))
-    rest = words.where(~often).select(F.col("h").alias("k"), base.alias("base"), (base + F.col("fail")).alias("score"))
-    return rest.unionByName(others.select("k", F.lit(0.0).alias("base"), F.col("extra").alias("score"))), automaton, total
-
-
-def _score(model):
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).head()[0]
+    buckets = 1 + size // BUCKET_BYTES
+    words = _counted(texts, 1, buckets, 0, None, None, None)
+    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).head()
+    denominator, unseen = float(total + ALPHA * (distinct + 1)), float(np.log10(ALPHA / (total + ALPHA * (distinct + 1))))
+    p = (F.col("c") + ALPHA) / F.lit(denominator)
+    shorter, kept, done = words.select("k", "c", p.alias("p"), F.log10(p).alias("own")), None, []
+    used = [words]
+    for level in range(2, levels + 1):
+        heavy = _table(shorter.where(F.col("c") * buckets >= total) if buckets > 1 else shorter.limit(0), "c")  # a row a bucket at most
+        frequent = _table(shorter.where(F.col("c") >= _least_count(shorter, total, HOT_WORDS)), "p")
+        raw = _counted(texts, level, buckets, total, heavy, kept, frequent)
+        held = raw.groupBy(F.col("hist").alias("k")).agg((F.sum("c") - DISCOUNT * F.count("*")).alias("held"))
+        left = (F.col("c") - F.col("held")) / F.col("c")
+        with_states = staged(shorter.join(held, "k", "left").select("k", "c", "own", left.alias("left")), f"states{level}")
+        done.append(with_states)
+        # the probability of low: known of frequent ones, joined for others
+        others = raw.where("pl is null").drop("pl").join(shorter.where(F.col("c") >= LEAST).select(F.col("k").alias("low"), F.col("p").alias("pl")), "low")
+        below = staged(others.select("k", "hist", "c", "pl"), f"below{level}").unionByName(raw.where("pl is not null").select("k", "hist", "c", "pl"))
+        states = with_states.where("left is not null").select(F.col("k").alias("hist"), F.col("c").alias("ch"), "left")
+        fails = F.col("left") * F.col("pl")
+        taken = (F.col("c") - DISCOUNT) / F.col("ch") + fails
+        arcs = below.join(small(states, states.count(), 2 * BROADCAST_ROWS), "hist").select("k", "c", taken.alias("p"), (F.log10(taken) - F.log10(fails)).alias("own"))
+        shorter = staged(arcs, f"arcs{level}")
+        discard(raw, *used)
+        used = [shorter]
+        if level < levels:
+            kept = _Filter(shorter.select("k"), shorter.count())
+    value = F.col("own") + F.coalesce(F.log10("left"), F.lit(0.0))
+    words = done[0].select("k", "c", F.col("own").alias("base"), value.alias("score"))
+    arcs = shorter.select("k", "c", F.col("own").alias("score"))  # nothing is longer, so these begin no arcs
+    for d in done[1:]:
+        arcs = arcs.unionByName(d.select("k", "c", value.alias("score")))
+    often, hot = F.col("c") >= _least_count(words, total, HOT_WORDS), F.col("c") >= _least_count(arcs, total * levels, HOT_ARCS)
+    rare = words.where(~often).select("k", (F.col("base") - unseen).alias("base"), (F.col("score") - unseen).alias("score"))
+    cold = arcs.where(~hot).select("k", F.lit(None).cast("double").alias("base"), "score")
+    blocks = "bucket int, k binary, base binary, score binary"
+    rest = staged(rare.mapInArrow(lean(_packed(buckets)), blocks).unionByName(cold.mapInArrow(lean(_packed(buckets)), blocks)), "rest")
+    keys = rare.select("k").unionByName(cold.select("k"))
+    others = _Filter(keys, keys.count())
+    automaton = Automaton(words.where(often).select("k", "base", "score").toArrow(), arcs.where(hot).select("k", "score").toArrow(), others, unseen, levels)
+    discard(*done, shorter)
+    return rest, automaton, total, buckets
+
+
+def _packed(buckets: int, rows: int = 1 << 19):
+    """Values (k, base, score) of a partition as blocks of buckets; base is null for all or none of them."""
+
+    def run(batches):
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= rows:
+                yield from _packed_blocks(held, buckets)
+                held, n = [], 0
+        if n:
+            yield from _packed_blocks(held, buckets)
+
+    return run
+
+
+def _packed_blocks(batches, buckets: int):
+    t = pa.Table.from_batches(batches)
+    key = t.column("k").to_numpy().view(np.uint64)
+    order = np.argsort(key)
+    base = np.zeros(0) if t.column("base").null_count else t.column("base").to_numpy()[order]
+    key, score = key[order], t.column("score").to_numpy()[order]
+    bucket = _bucket(key, buckets)
+    edge = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket)).tolist()
+    for s, e in zip(edge[:-1], edge[1:], strict=True):
+        yield pa.record_batch([pa.array([int(bucket[s])], pa.int32()), *(pa.array([x[s:e].tobytes()], pa.binary()) for x in (key, base, score))], ["bucket", "k", "base", "score"])
+
+
+# ---- scores
+
+_SCORED = "part long, place int, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, bucket int, keys binary, docs binary"
+_NAMES = [f.split()[0] for f in _SCORED.split(", ")]
+
+
+def _score(model, buckets: int):
+    """Rows of texts (place in their part) with what the hot part gives, and blocks of keys to look up for a part."""
+
     def run(batches):
         automaton = model.value
-        for b in _parts(batches, 2):
-            tokens, at = _tokens(b.column(2))
-            i, root, extra, place, keys = automaton.traverse(tokens, at)
-            sums = lambda x: np.add.reduceat(x, at[:-1]) if len(at) > 1 else np.zeros(0)  # noqa: B023, E731
-            rest = np.flatnonzero(i < 0)
-            # words count up, pairs down
-            doc = np.searchsorted(at, np.concatenate([rest, place]), side="right") - 1
-            key, sign = np.concatenate([tokens[rest], keys]), np.repeat([1, -1], [len(rest), len(place)])
-            order = np.lexsort((key, doc))
-            d, k = doc[order], key[order]
-            new = np.ones(len(d), bool)
-            new[1:] = (d[1:] != d[:-1]) | (k[1:] != k[:-1])
-            first = np.flatnonzero(new)
-            n = np.diff(np.append(first, len(d))) * sign[order][first]
-            offsets = np.searchsorted(d[first], np.arange(b.num_rows + 1)).astype(np.int32)
-            tails = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(k[first].view(np.int64)), pa.array(n.astype(np.int64))], ["k", "n"]))
-            base, added = sums(root), sums(extra)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(np.diff(at)), pa.array(sums((i >= 0).astype(np.int64)).astype(np.int64)), pa.array(base.astype(float)), pa.array((base + added).astype(float)), tails], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rest"])
+        for b in _parts(batches, 3, SCORED_PART):
+            tokens, at = _tokens(b.column(3))
+            hot, base, score, keys, places = automaton.traverse(tokens, at)
+            n, part = b.num_rows, b.column(0)[0].as_py()
+            sums = lambda x: np.add.reduceat(x, at[:-1]).astype(float)  # noqa: B023, E731
+            none = lambda kind, size: pa.nulls(size, kind)
+            yield pa.record_batch([
+                pa.array(np.full(n, part)), pa.array(np.arange(n, dtype=np.int32)), b.column(1), b.column(2), pa.array(np.diff(at)), pa.array(sums(hot.astype(np.int64)).astype(np.int64)), pa.array(sums(base)), pa.array(sums(score)),
+                pa.array(np.full(n, -1, np.int32)), none(pa.binary(), n), none(pa.binary(), n),
+            ], _NAMES)
+            order = np.argsort(keys)
+            keys, docs = keys[order], (np.searchsorted(at, places[order], side="right") - 1).astype(np.uint32)
+            bucket = _bucket(keys, buckets)
+            edge = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket)).tolist()
+            for s, e in zip(edge[:-1], edge[1:], strict=True):
+                yield pa.record_batch([
+                    pa.array([part]), none(pa.int32(), 1), none(pa.int64(), 1), none(pa.bool_(), 1), none(pa.int64(), 1), none(pa.int64(), 1), none(pa.float64(), 1), none(pa.float64(), 1),
+                    pa.array([int(bucket[s])], pa.int32()), pa.array([keys[s:e].tobytes()], pa.binary()), pa.array([docs[s:e].tobytes()], pa.binary()),
+                ], _NAMES)
 
     return run
 
 
-def score_texts(docs: DataFrame, train: DataFrame, held_out=None) -> DataFrame:
+def _look(asked: pa.Table, known: pa.Table) -> pa.Table:
+    """For each part of a bucket: the texts that have more, and how much of base, score and known words."""
+    base = [np.frombuffer(x.as_buffer()) for x in known.column("base")]
+    sizes = [len(x.as_buffer()) // 8 for x in known.column("k")]
+    word = np.concatenate([np.zeros(0), *(np.full(n, float(len(b) > 0)) for b, n in zip(base, sizes, strict=True))])
+    base = np.concatenate([np.zeros(0), *(b if len(b) else np.zeros(n) for b, n in zip(base, sizes, strict=True))])
+    table = _Table(_whole(known.column("k")), base, _whole(known.column("score"), np.float64), word)
+    out = []
+    for part, keys, docs in zip(asked.column("part").to_pylist(), asked.column("keys"), asked.column("docs"), strict=True):
+        at = table.find(np.frombuffer(keys.as_buffer(), np.uint64))
+        hit = at >= 0
+        docs, which = np.unique(np.frombuffer(docs.as_buffer(), np.uint32)[hit], return_inverse=True)
+        base, score, n = (np.bincount(which, weights=v[at[hit]], minlength=len(docs)) for v in table.values)
+        if len(docs):
+            out.append((part, docs.tobytes(), base.tobytes(), score.tobytes(), n.astype(np.uint32).tobytes()))
+    cols = list(zip(*out, strict=True)) or [()] * 5
+    return pa.table([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["part", "docs", "base", "score", "known"])
+
+
+def _added(rows: pa.Table, more: pa.Table) -> pa.Table:
+    """A part's rows with what the lookups found."""
+    place = rows.column("place").to_numpy()
+    docs = _whole(more.column("docs"), np.uint32)
+    size = int(max(place.max(initial=-1), docs.max(initial=0)) + 1) if len(docs) else int(place.max(initial=-1) + 1)
+    add = {c: np.bincount(docs, weights=_whole(more.column(c), kind).astype(float), minlength=size)[place] if len(docs) else np.zeros(len(place)) for c, kind in (("base", np.float64), ("score", np.float64), ("known", np.uint32))}
+    known = rows.column("n_known").to_numpy() + add["known"].astype(np.int64)
+    return pa.table([rows.column("doc_id"), rows.column("held_out"), rows.column("n_tokens"), pa.array(known), pa.array(rows.column("base").to_numpy() + add["base"]), pa.array(rows.column("score").to_numpy() + add["score"])], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+
+def score_texts(docs: DataFrame, train: DataFrame, held_out=None, levels: int = LEVELS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text).
 
-    Tokens are the words, A-Z lower-cased, and one end; a null text has the end alone. base_score is the smoothed
-    unigram log10 probability, score the automaton's. Rows that repeat are scored alike; extra columns are ignored;
-    without training rows every token has the probability of an unseen one; an empty table gives none.
+    Tokens are the words, A-Z lower-cased, and one end; a null text has the end alone, and a text of any length is read
+    whole. base_score is the smoothed unigram log10 probability, score the automaton's with n-grams of up to `levels`
+    tokens. Rows that repeat are scored
+    alike; extra columns are ignored; without training rows every token has the probability of an unseen one; an empty
+    table gives none.
     """
     spark = docs.sparkSession
-    weights, automaton, total = fit(train)
+    rest, automaton, total, buckets = fit(train, levels)
     model = spark.sparkContext.broadcast(automaton)
     held = F.coalesce(F.lit(False) if held_out is None else held_out, F.lit(False))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), text_or_empty(docs).alias("text"))
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rest array<struct<k:long,n:long>>"
-    rows = staged(rows.mapInArrow(lean(_score(model)), schema).withColumn("rid", F.monotonically_increasing_id()), "scored")
-    rest = rows.select("rid", F.explode("rest").alias("x")).select("rid", "x.k", "x.n")
-    met = rest.join(weights.withColumnsRenamed({"base": "b", "score": "s"}), "k", "left")
-    word, unseen = F.col("n") > 0, F.log10(F.lit(ALPHA / automaton.denominator))
-    tail = met.groupBy("rid").agg(
-        F.sum(F.when(word, F.col("n") * F.coalesce("b", unseen)).otherwise(0.0)).alias("more_base"),
-        F.sum(F.when(word, F.col("n") * F.coalesce("s", unseen)).otherwise(-F.col("n") * F.coalesce("s", F.lit(0.0)))).alias("more"),
-        F.sum(F.when(word & F.col("s").isNotNull(), F.col("n")).otherwise(0)).alias("known"),
-    )
-    out = rows.drop("rest").join(tail, "rid", "left")
-    added = lambda c, more: (F.col(c) + F.coalesce(more, F.lit(0))).alias(c)
-    return out.select("doc_id", "held_out", "n_tokens", added("n_known", "known"), F.lit(int(total)).cast("long").alias("train_tokens"), added("base_score", "more_base"), added("score", "more"))
+    text = text_or_empty(docs)
+    every = docs.select(F.pmod(F.xxhash64("doc_id", text), F.lit(WAVES)).alias("wave"), F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), text.alias("text"))
+    out = None
+    for wave in range(WAVES):
+        rows = every.where(F.col("wave") == wave).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "text")
+        scored = staged(rows.mapInArrow(lean(_score(model, buckets)), _SCORED), "scored")
+        asked = scored.where("bucket >= 0").select("part", "bucket", "keys", "docs")
+        found = staged(asked.groupBy("bucket").cogroup(rest.groupBy("bucket")).applyInArrow(_look, "part long, docs binary, base binary, score binary, known binary"), "found")
+        done = scored.where("bucket < 0").drop("bucket", "keys", "docs").groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_added, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+        done = staged(done, "wave")
+        discard(scored, found)
+        out = done if out is None else out.unionByName(done)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op10_lm_score(spark, sf_dir: str) -> DataFrame:
