@@ -1,6 +1,6 @@
 """The queries of this subpackage and their DuckDB SQL (where SQL can express them)."""
 
-from recollex.llm import chat_format, decontaminate, exact_dedup, language_id, lm_score, near_dedup, packing, substring_dedup, toxicity, url_filter
+from recollex.llm import bpe, chat_format, decontaminate, exact_dedup, hard_negatives, language_id, lm_score, near_dedup, packing, periodic_runs, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_lm_score": lm_score.op10_lm_score,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_bpe": bpe.op12_bpe,
+    "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 ORACLE_SQL = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,

@@ -4,11 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from recollex.llm import decontaminate, exact_dedup, language_id, lm_score, near_dedup, packing, substring_dedup, toxicity
+from recollex.llm import bpe, decontaminate, exact_dedup, language_id, lm_score, near_dedup, packing, periodic_runs, substring_dedup, toxicity
 from tests.llm import brute
 
 ROWS = [(1, "a b c d e"), (2, None), (3, ""), (None, "x y"), (None, None), (5, "dup dup"), (5, "dup dup"), (5, "other text"), (6, "long " * 40_000), (7, "a b c d e"), (8, "\u00e9\u0301 \U0001f600")]
-CLASH = "kept score n n_words row_key gaps rid h fp fps text_sha256 keep_id rep lab regs held_out length salt maybe sha __row".split()
+CLASH = "kept score n n_words row_key gaps rid h fp fps text_sha256 keep_id rep lab regs held_out length salt maybe sha __row ids decoded runs collapsed".split()
 
 OPERATORS = {
     "exact": lambda d: exact_dedup.exact_duplicates(d),
@@ -18,6 +18,8 @@ OPERATORS = {
     "packing": lambda d: packing.pack_documents(d),
     "language": lambda d: language_id.identify_languages(d, language_id.fit_prototypes(d.withColumn("lang", F.lit("en")))),
     "lm": lambda d: lm_score.score_texts(d, d.where("doc_id > 2")),
+    "bpe": lambda d: bpe.decode_documents(bpe.encode_documents(d)),
+    "runs": lambda d: periodic_runs.periodic_runs(d),
     "toxicity": lambda d: toxicity.score_toxicity(d, toxicity.fit(d, d.select("doc_id", F.lit(0).alias("toxic")))),
 }
 FILTERS = {
@@ -60,6 +62,8 @@ def test_values(spark):
     lm = run("lm", "n_tokens", "base_score", "score")
     assert [r[:2] for r in lm] == tokens and len({r for r in lm if r[0] == 5}) == 2 and all(r[2] < 0 and r[3] < 0 for r in lm)
     assert all(p == 0 and 0 <= s <= 1 for _, p, s in run("toxicity", "predicted", "score"))
+    assert [(i, n, t) for i, n, t in run("runs", "n_words", "collapsed")] == sorted(((i, len(brute.words(t)), "long" if i == 6 else " ".join(brute.words(t))) for i, t in ROWS), key=str)
+    assert all(len(ids) == len(t.split()) and (i is None or i in (2, 3) or ids) for i, ids, t in run("bpe", "ids", "decoded"))
     cut = {(i, t): n for i, t, n in run("substring", "kept_text", "n_removed")}
     assert cut[6, "long"] == 39_999 and all(n == 0 for (i, _), n in cut.items() if i != 6)
 
