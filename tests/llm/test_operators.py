@@ -111,6 +111,25 @@ def test_bloom_finds_repeats(spark):
     assert by[True].again == 2000 and by[False].again == 0 and by[True].n < 2400
 
 
+def test_exact_with_full_filters(spark, texts, monkeypatch):
+    """Filters far too small for the rows: no row that passes straight through is shuffled, and results stay the same."""
+    monkeypatch.setattr(exact_dedup, "FILTER_BITS", 1)
+    rows = [(10 * k + i % 7, t) for k in range(30) for i, t in texts] + [(10**6 + i, f"only {i}") for i in range(20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    last = {}
+    for i, t in rows:
+        last[t or ""] = max(i, last.get(t or "", i))
+    got = exact_dedup.exact_duplicates(docs).collect()
+    assert len(got) == len(rows) and sum(r.kept for r in got) == len(last)
+    assert sorted(r.doc_id for r in got if r.kept) == sorted(last.values())
+    kept = exact_dedup.drop_exact_duplicates(docs)
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == sorted((i, t) for t, i in last.items())
+    hashes = docs.select(F.xxhash64("text").alias("h"))
+    blocks, bits = exact_dedup.repeat_filter(hashes, "h", len(rows))
+    plan = exact_dedup.with_maybe(docs.withColumn("h", F.xxhash64("text")), "h", exact_dedup.staged(blocks, "filter"), bits).where("not maybe")._jdf.queryExecution().executedPlan().toString()
+    assert bits == exact_dedup.BLOCK and "Exchange hashpartitioning" not in plan and plan.count("BroadcastHashJoin") == 2
+
+
 def test_near(spark, texts):
     w = [f"w{i}" for i in range(60)]
     extra = [(10**6, " ".join(w)), (10**6 + 1, " ".join(w[:55] + ["x"] * 5)), (10**6 + 2, " ".join(w).upper()), (10**6 + 3, "one two"), (10**6 + 4, "ONE  two"), (10**6 + 5, None), (10**6 + 6, " \t\n")]
