@@ -64,16 +64,35 @@ def safe_name(title: Column) -> Column:
     return F.coalesce(F.nullif(F.lower(F.regexp_replace(name, "^_+|_+$", "")), F.lit("")), F.lit("workflow"))
 
 
+def _number(c: Column) -> Column:
+    """A file's number as its name has it: two digits at least; 0 has none."""
+    digits = c.cast("string")
+    return F.when(c == 0, "").otherwise(F.concat(F.lit("_"), F.when(c < 10, F.concat(F.lit("0"), digits)).otherwise(digits)))
+
+
 def record(notes: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """note_id, filename, content of notes (note_id, title, triggers, body) as Markdown with front matter. A name that is
-    taken, by an earlier note or a known file (filename), gets a number."""
+    """note_id, filename, content of notes (note_id, title, triggers, body) as Markdown with front matter. In order of
+    note_id every note takes its title's name if that is free, else the least free number behind it. Taken are known files
+    (filename), names given before, and the plain names of all titles, which stay with their own notes."""
     n = notes.withColumn("safe", safe_name(F.col("title"))).withColumn("place", F.row_number().over(Window.partitionBy("safe").orderBy("note_id")) - 1)
+    taken = n.where("place = 0").select(F.col("safe").alias("name"))
     if known is not None:
-        taken = known.select(F.regexp_extract("filename", r"^(.*?)(_\d{2,})?\.md$", 1).alias("safe")).groupBy("safe").agg(F.count("*").alias("taken"))
-        n = n.join(taken, "safe", "left").withColumn("place", F.col("place") + F.coalesce("taken", F.lit(0)))
-    number = F.when(F.col("place") == 0, "").otherwise(F.concat(F.lit("_"), F.lpad(F.col("place").cast("string"), 2, "0")))
+        taken = taken.union(known.where(F.col("filename").endswith(".md")).select(F.regexp_replace("filename", r"\.md$", "")))
+        plain = known.select(F.regexp_replace("filename", r"\.md$", "").alias("safe"), F.lit(0).cast("long").alias("t"))
+    else:
+        plain = n.limit(0).select("safe", F.lit(0).cast("long").alias("t"))
+    numbered = r"^(.*)_(0[1-9]|[1-9]\d{1,17})$"
+    taken = taken.where(F.col("name").rlike(numbered)).select(F.regexp_extract("name", numbered, 1).alias("safe"), F.regexp_extract("name", numbered, 2).cast("long").alias("t"))
+    # below the i-th taken number t of a name, t - i are free: the k-th free one has as many taken before it as have t - i <= k
+    taken = taken.union(plain).distinct().withColumn("k", F.col("t") - F.row_number().over(Window.partitionBy("safe").orderBy("t")) + 1)
+    names = taken.select("safe").distinct()
+    some = n.join(names, "safe", "left_semi").select("safe", F.col("place").cast("long").alias("k"), "note_id", F.lit(0).alias("taken"))
+    both = some.unionByName(taken.select("safe", "k", F.lit(None).cast(n.schema["note_id"].dataType).alias("note_id"), F.lit(1).alias("taken")))
+    before = F.sum("taken").over(Window.partitionBy("safe").orderBy("k", F.desc("taken")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    moved = both.withColumn("before", before).where("taken = 0").select("safe", F.col("k").alias("place"), "before")
+    n = n.join(moved, ["safe", "place"], "left").withColumn("number", F.col("place") + F.coalesce("before", F.lit(0)))
     content = F.concat(F.lit("---\ntitle: "), "title", F.lit("\ntriggers: "), F.to_json("triggers"), F.lit("\n---\n\n"), F.trim("body"), F.lit("\n"))
-    return n.select("note_id", F.concat("safe", number, F.lit(".md")).alias("filename"), content.alias("content"))
+    return n.select("note_id", F.concat("safe", _number(F.col("number")), F.lit(".md")).alias("filename"), content.alias("content"))
 
 
 def read(files: DataFrame, name: str) -> DataFrame:

@@ -28,8 +28,8 @@ _FAIL = f"g AS (SELECT *, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 EN
 @query("failure_lockout", f"WITH {_FAIL} SELECT user_id, event_id, n, n >= 3 AS locked, CASE WHEN n >= 3 THEN ts + INTERVAL 30 MINUTES END AS until FROM f")
 def failure_lockout(spark, sf_dir):
     """A purchase stands for success, all else for failure; five days for ten minutes."""
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", (F.col("event_type") == "purchase").alias("ok"), F.struct("ts", "event_id").alias("at"))
-    return G.lockouts(e.drop("at"), "user_id", 5 * _DAY, 3).select("user_id", "event_id", "n", "locked", "until")
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", (F.col("event_type") == "purchase").alias("ok"))
+    return G.lockouts(e, "user_id", 5 * _DAY, 3, order=("event_id",)).select("user_id", "event_id", "n", "locked", "until")
 
 
 @query("burst_rollback", f"WITH f AS ({_counts_sql(_DAY, 'TRUE')}), s AS (SELECT user_id, min(ts) AS since FROM f WHERE n > 8 GROUP BY user_id) SELECT e.user_id, e.event_id FROM events e LEFT JOIN s USING (user_id) WHERE since IS NULL OR e.ts < since")

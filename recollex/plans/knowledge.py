@@ -49,7 +49,10 @@ def kb_markdown_index(spark, sf_dir):
 
 _SAFE = r"coalesce(nullif(lower(regexp_replace(substr(regexp_replace(title, '[^\p{L}\p{N}_-]', '_', 'g'), 1, 30), '^_+|_+$', '', 'g')), ''), 'workflow')"
 _NOTES = f"n AS (SELECT doc_id, substr(text, 1, 12) AS title, source, lang, text FROM documents WHERE text IS NOT NULL), s AS (SELECT *, {_SAFE} AS safe FROM n), r AS (SELECT *, row_number() OVER (PARTITION BY safe ORDER BY doc_id) - 1 AS k FROM s)"
-_NAME = "safe || CASE WHEN k = 0 THEN '' WHEN k < 10 THEN '_0' || CAST(k AS VARCHAR) WHEN k < 100 THEN '_' || CAST(k AS VARCHAR) ELSE '_' || CAST(k AS VARCHAR)[1:2] END || '.md'"
+#: Every note takes the first name of its title that is neither another title's plain name nor given: the k-th that is free.
+_NAMED = f"""{_NOTES}, plain AS (SELECT list(DISTINCT safe) AS names FROM s),
+m AS (SELECT r.*, list_filter(list_transform(range(0, k + 1 + len(names)), lambda i: safe || CASE WHEN i = 0 THEN '' ELSE printf('_%02d', i) END), lambda v: v = safe OR NOT list_contains(names, v)) AS free FROM r, (SELECT safe AS base, list_filter(any_value(names), lambda v: starts_with(v, safe || '_')) AS names FROM s, plain GROUP BY safe) o WHERE r.safe = o.base)"""
+_NAME = "free[k + 1] || '.md'"
 
 
 def _records(spark, sf_dir):
@@ -57,7 +60,7 @@ def _records(spark, sf_dir):
     return N.record(d.select(F.col("doc_id").alias("note_id"), F.substring("text", 1, 12).alias("title"), F.array("source", "lang").alias("triggers"), F.col("text").alias("body")))
 
 
-@query("kb_record", f"WITH {_NOTES} SELECT doc_id AS note_id, {_NAME} AS filename, md5('---' || chr(10) || 'title: ' || title || chr(10) || 'triggers: [\"' || source || '\",\"' || lang || '\"]' || chr(10) || '---' || chr(10) || chr(10) || trim(text) || chr(10)) AS content_md5 FROM r")
+@query("kb_record", f"WITH {_NAMED} SELECT doc_id AS note_id, {_NAME} AS filename, md5('---' || chr(10) || 'title: ' || title || chr(10) || 'triggers: [\"' || source || '\",\"' || lang || '\"]' || chr(10) || '---' || chr(10) || chr(10) || trim(text) || chr(10)) AS content_md5 FROM m")
 def kb_record(spark, sf_dir):
     return _records(spark, sf_dir).select("note_id", "filename", F.md5(F.col("content").cast("binary")).alias("content_md5"))
 

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import contextlib
 import hashlib
 import time
 import uuid
-from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollex import consts as K
 from recollex.operators import security
-
-POINTER = "CURRENT"
+from recollex.sources import commits
 
 
 def _path(spark: SparkSession, p: str):
@@ -23,24 +20,7 @@ def _path(spark: SparkSession, p: str):
 
 
 class Locked(RuntimeError):
-    """Another writer holds the table, or it was written too often."""
-
-
-@contextlib.contextmanager
-def locked(spark: SparkSession, table: str, stale_seconds: int = 600) -> Iterator[None]:
-    """Holds a table for one writer by a file that is created only if it isn't there; a lock of a writer that died is
-    taken over after a while."""
-    lock, fs = _path(spark, f"{table}/LOCK")
-    if fs.exists(lock) and time.time() - fs.getFileStatus(lock).getModificationTime() / 1000 > stale_seconds:
-        fs.delete(lock, False)
-    try:
-        fs.create(lock, False).close()
-    except Exception as e:  # the file system's exception for a file that exists
-        raise Locked(table) from e
-    try:
-        yield
-    finally:
-        fs.delete(lock, False)
+    """The table was written too often."""
 
 
 def check_rate(spark: SparkSession, table: str, now: float | None = None, limit: int = K.BURST_LIMIT, seconds: int = K.BURST_SECONDS) -> None:
@@ -68,28 +48,17 @@ def _put(spark: SparkSession, file: str, content: str) -> None:
     jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri() if target.isAbsolute() and target.toUri().getScheme() else fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(new, target, overwrite)
 
 
-def write_snapshot(df: DataFrame, table: str, guard: bool = True) -> str:
-    """Writes df beside the table's earlier snapshots and then points the table at it, in one step: readers see the old
-    rows or the new ones, and a table may be rewritten from itself. Guarded by a lock and by the rate of writes."""
-    spark = df.sparkSession
-    name = f"v-{uuid.uuid4().hex}"
-    with locked(spark, table) if guard else contextlib.nullcontext():
-        if guard:
-            check_rate(spark, table)
-        df.write.parquet(f"{table}/{name}")
-        _put(spark, f"{table}/{POINTER}", name)
-    return name
-
-
-def read_snapshot(spark: SparkSession, table: str, schema: str | None = None) -> DataFrame:
-    """The table's current rows; with a schema, a table that isn't there is empty."""
-    pointer, fs = _path(spark, f"{table}/{POINTER}")
-    if not fs.exists(pointer):
-        if schema is None:
-            raise FileNotFoundError(table)
-        return spark.createDataFrame([], schema)
-    name = spark.read.text(f"{table}/{POINTER}").head()[0]
-    return spark.read.parquet(f"{table}/{name}")
+def write_snapshot(df: DataFrame, table: str, guard: bool = True) -> int:
+    """Replaces the table's rows by df's in one commit: readers see the old rows or the new ones, and a table may be
+    rewritten from itself. Guarded by the rate of writes. Returns the version."""
+    if guard:
+        check_rate(df.sparkSession, table)
+    return commits.write(df, table, "overwrite")
+
+
+def read_snapshot(spark: SparkSession, table: str, schema: str | None = None, version: int | None = None) -> DataFrame:
+    """The table's rows, at a version if one is given; with a schema, a table that isn't there is empty."""
+    return commits.read(spark, table, version, schema)
 
 
 def append(df: DataFrame, table: str) -> None:
@@ -97,14 +66,9 @@ def append(df: DataFrame, table: str) -> None:
 
 
 def append_bounded(df: DataFrame, table: str, order: list[Column], n: int) -> None:
-    """Adds rows to a log of which the newest n stay."""
-    every = read_snapshot(df.sparkSession, table).unionByName(df) if _has(df.sparkSession, table) else df
-    write_snapshot(every.orderBy(*order).limit(n), table)
-
-
-def _has(spark: SparkSession, table: str) -> bool:
-    p, fs = _path(spark, f"{table}/{POINTER}")
-    return fs.exists(p)
+    """Adds rows to a log of which the newest n stay; writers at the same time lose nothing."""
+    kind = df.schema.simpleString().removeprefix("struct<").removesuffix(">")
+    commits.update(df.sparkSession, table, lambda rows: rows.select(*df.columns).unionByName(df).orderBy(*order).limit(n), schema=kind)
 
 
 def save_refs(sections: DataFrame, table: str) -> DataFrame:

@@ -18,10 +18,11 @@ def windowed_counts(log: DataFrame, key: str, seconds: int, limit: int, ts: str
     return log.withColumn("__us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("n", F.count("*").over(w)).withColumn("hit", F.col("n") > limit).drop("__us")
 
 
-def lockouts(log: DataFrame, key: str, seconds: int = K.FAILURE_SECONDS, limit: int = K.FAILURE_LIMIT, minutes: int = K.FAILURE_LOCK_MINUTES, ts: str = "ts", ok: str = "ok") -> DataFrame:
+def lockouts(log: DataFrame, key: str, seconds: int = K.FAILURE_SECONDS, limit: int = K.FAILURE_LIMIT, minutes: int = K.FAILURE_LOCK_MINUTES, ts: str = "ts", ok: str = "ok", order: tuple[str, ...] = ()) -> DataFrame:
     """Failures of a log (key, ts, ok) with n (the key's failures in the last seconds since its last success), locked and
-    until: a success clears the count, so it begins a group of its own."""
-    w = Window.partitionBy(key).orderBy(ts).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    until: a success clears the count, so it begins a group of its own. order: columns that put rows of one time in order;
+    without them a success comes before the failures of its time. Failures of one time all count one another."""
+    w = Window.partitionBy(key).orderBy(ts, *(order or [F.desc(ok)])).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     groups = log.withColumn("__since", F.sum(F.col(ok).cast("int")).over(w)).where(~F.col(ok))
     span = Window.partitionBy(key, "__since").orderBy("__us").rangeBetween(-(seconds * 1_000_000 - 1), 0)
     n = groups.withColumn("__us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("n", F.count("*").over(span)).drop("__us", "__since", ok)

@@ -70,11 +70,25 @@ def test_knowledge_records(spark):
     assert {r.filename: r.triggers for r in knowledge.index(files).collect()}["workflow.md"] == []
 
 
-def test_lock_and_rate(spark, tmp_path):
+def test_a_thousand_equal_titles(spark):
+    """Every note gets a name of its own, the first that is free, whatever files and other titles there are."""
+    titles = ["Same"] * 1000 + ["same_07", "other", "same_150", "same_07"]
+    notes = spark.createDataFrame([(i, t, ["a"], "x") for i, t in enumerate(titles)], "note_id long, title string, triggers array<string>, body string")
+    known = ["same.md", "same_03.md", "same_0003.md", "same_12.txt", "other_01.md", "same_1003.md"]
+    out = {r.note_id: r.filename for r in knowledge.record(notes, spark.createDataFrame([(k,) for k in known], "filename string")).collect()}
+    used, want, plain = set(known), {}, {t.lower() for t in titles}
+    for i, t in enumerate(titles):
+        base = t.lower()
+        names = [f"{base}.md"] + [f"{base}_{k:02d}.md" for k in range(1, 1200)]
+        want[i] = next(n for n in names if n not in used and (n == f"{base}.md" or n[:-3] not in plain))
+        used.add(want[i])
+    assert out == want and len(set(out.values())) == len(titles)
+
+
+def test_snapshots_and_rate(spark, tmp_path):
     t = f"file://{tmp_path}/t"
-    with sinks.locked(spark, t), pytest.raises(sinks.Locked):
-        sinks.write_snapshot(spark.range(1), t)
-    sinks.write_snapshot(spark.range(1), t)
+    assert sinks.write_snapshot(spark.range(1), t) == 1 and sinks.write_snapshot(spark.range(2), t) == 2
+    assert sinks.read_snapshot(spark, t, version=1).count() == 1
     for k in range(3):
         sinks.check_rate(spark, f"{t}2", now=100.0 + k, limit=3)
     with pytest.raises(sinks.Locked):
