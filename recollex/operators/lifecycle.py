@@ -80,17 +80,35 @@ def forgetting_decisions(memories: DataFrame, hot: DataFrame, trends: DataFrame,
 
 def keyword_pairs(memories: DataFrame, threshold: float = K.MERGE_JACCARD, least: int = K.MERGE_MIN_KEYWORDS) -> DataFrame:
     """a, b, jaccard of pairs a < b of memories (memory_id, summary) whose keyword sets are similar enough."""
-    sets = memories.select("memory_id", text.held(text.keywords(F.col("summary"))).alias("k")).where(F.size("k") >= least)
-    return similar_sets(sets, threshold)
+    return similar_sets(_keyword_sets(memories, least), threshold)
+
+
+def keyword_classes(memories: DataFrame, threshold: float = K.MERGE_JACCARD, least: int = K.MERGE_MIN_KEYWORDS) -> tuple[DataFrame, DataFrame]:
+    """`similar_classes` of the keyword sets of memories (memory_id, summary)."""
+    return similar_classes(_keyword_sets(memories, least), threshold)
+
+
+def _keyword_sets(memories: DataFrame, least: int) -> DataFrame:
+    return memories.select("memory_id", text.held(text.keywords(F.col("summary"))).alias("k")).where(F.size("k") >= least)
 
 
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
-    """a, b, jaccard of pairs a < b of sets (memory_id, k: distinct words) with a Jaccard similarity of at least
-    threshold.
+    """a, b, jaccard of all pairs a < b of sets (memory_id, k: distinct words) with a Jaccard similarity of at least
+    threshold. Of a class of n equal sets these are n (n - 1) / 2; what needs no pairs takes `similar_classes`."""
+    members, similar = similar_classes(sets, threshold)
+    of = lambda r, c: members.select(F.col("rep").alias(r), F.col("memory_id").alias(c))
+    across = similar.join(of("ra", "x"), "ra").join(of("rb", "y"), "rb").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
+    same = of("r", "a").join(of("r", "b"), "r").where("a < b").select("a", "b", F.lit(1.0).alias("jaccard"))
+    return across.unionByName(same)
+
+
+def similar_classes(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal sets (memory_id, k: distinct words), named by their least memory_id: (memory_id, rep) of all sets,
+    and (ra, rb, jaccard) of pairs ra < rb of classes with a Jaccard similarity of at least threshold.
 
     Words are ranked, rare ones first. Two similar sets of n words share one of the first n - ceil(threshold * n) + 1 of
     each, so only these prefixes are joined and the commonest words, whose join would be quadratic, mostly stay out.
-    Equal sets are one class: pairs are sought between classes, and class members pair by a join on the class."""
+    So a text with any number of copies is one class in all joins."""
     t = float(threshold)
     classes = sets.groupBy(F.array_sort("k").alias("k")).agg(F.min("memory_id").alias("rep"))
     named = staged(classes.select("rep", "k", F.size("k").alias("n")), "sets")
@@ -111,10 +129,7 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     rough = both.withColumn("m", F.size(F.array_intersect("ha", "hb"))).where(F.col("m") >= t * (F.size("ka") + F.size("kb") - F.col("m")))
     inter = rough.withColumn("i", F.size(F.array_intersect("ka", "kb")))
     similar = staged(inter.withColumn("jaccard", F.col("i") / (F.size("ka") + F.size("kb") - F.col("i"))).where(F.col("jaccard") >= t).select("ra", "rb", "jaccard"), "similar")
-    of = lambda r, c: members.select(F.col("rep").alias(r), F.col("memory_id").alias(c))
-    across = similar.join(of("ra", "x"), "ra").join(of("rb", "y"), "rb").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
-    same = of("r", "a").join(of("r", "b"), "r").where("a < b").select("a", "b", F.lit(1.0).alias("jaccard"))
-    return across.unionByName(same)
+    return members, similar
 
 
 def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -156,6 +171,21 @@ def merge_groups(pairs: DataFrame, memories: DataFrame, most: int = K.MERGE_GROU
     return rows.select("leader", "memory_id", "place")
 
 
+def class_groups(members: DataFrame, similar: DataFrame, most: int = K.MERGE_GROUP) -> DataFrame:
+    """`merge_groups` on classes: members (memory_id, rep) and similar (ra, rb) of `similar_classes`.
+
+    The pass in order of id treats a class as a whole: when its least member is reached and free, it takes all others of
+    the class and of each similar class that is still free, for a similar class with an earlier member is used or would
+    have taken this one. So the pass runs over the classes, by their least ids, and members are only ranked at the end."""
+    pairs = staged(similar.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")), "pairs")
+    taken = pairs.join(merge_leaders(pairs).select(F.col("leader").alias("a")), "a").groupBy("b").agg(F.min("a").alias("leader"))
+    rows = members.join(taken.withColumnRenamed("b", "rep"), "rep", "left").select(F.coalesce("leader", "rep").alias("leader"), "memory_id")
+    place = F.row_number().over(Window.partitionBy("leader").orderBy("memory_id")) - 1  # the leader has the least id
+    ranked = rows.withColumn("place", place).where(F.col("place") < most)
+    groups = ranked.groupBy("leader").agg(F.array_sort(F.collect_list(F.struct("place", "memory_id"))).alias("m")).where(F.size("m") > 1)
+    return groups.select("leader", F.explode("m").alias("x")).select("leader", "x.memory_id", "x.place")
+
+
 def merge_candidates(memories: DataFrame) -> DataFrame:
     """The memories that may be merged: not demoted, not merged before, no composite."""
     return memories.where(~F.coalesce("demoted", F.lit(False)) & F.col("merged_into").isNull() & ~F.coalesce("is_merged", F.lit(False)))

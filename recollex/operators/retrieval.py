@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollex import consts as K
@@ -135,3 +135,15 @@ def connectivity(entities_by_memory: DataFrame) -> DataFrame:
     pairs = a.join(b, (F.col("a.entity") == F.col("b.entity")) & (F.col("a.memory_id") != F.col("b.memory_id"))).select(F.col("a.memory_id").alias("memory_id"), F.col("b.memory_id").alias("other")).distinct()
     n = pairs.groupBy("memory_id").agg(F.count("*").alias("neighbours"))
     return n.withColumn("bonus", F.least(F.col("neighbours") * K.CONNECTIVITY_STEP, F.lit(K.CONNECTIVITY_CAP)))
+
+
+def connectivity_bonus(entities_by_memory: DataFrame) -> DataFrame:
+    """memory_id, bonus, as `connectivity` gives it, without its pairs: as the bonus stops at some neighbours, it is enough
+    to know of each entity one more than so many of its memories, the least ids. An entity with all its memories among
+    them hides none; one with more shows enough. So a memory meets a few rows for each of its entities, however hot."""
+    most = round(K.CONNECTIVITY_CAP / K.CONNECTIVITY_STEP) + 1
+    place = F.row_number().over(Window.partitionBy("entity").orderBy("memory_id"))
+    some = entities_by_memory.select("entity", "memory_id").withColumn("place", place).where(F.col("place") <= most).groupBy("entity").agg(F.collect_list("memory_id").alias("some"))
+    met = entities_by_memory.join(some, "entity").select("memory_id", F.explode("some").alias("other")).where("memory_id <> other").distinct()
+    n = met.groupBy("memory_id").agg(F.count("*").alias("n"))
+    return n.select("memory_id", F.least(F.col("n") * K.CONNECTIVITY_STEP, F.lit(K.CONNECTIVITY_CAP)).alias("bonus"))

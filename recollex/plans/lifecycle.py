@@ -177,7 +177,7 @@ def _mergeable(spark, sf_dir):
 
 def _groups(spark, sf_dir):
     m = L.merge_candidates(_mergeable(spark, sf_dir))
-    return L.merge_groups(L.keyword_pairs(m), m)
+    return L.class_groups(*L.keyword_classes(m))
 
 
 _CAND = _KEYS.replace("FROM memories), s AS", "FROM memories WHERE memory_id % 9 <> 0 AND memory_id % 11 <> 5), s AS") + ", e AS MATERIALIZED (SELECT a, b FROM p WHERE i / (na + nb - i) >= 0.25)"

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from recollex import consts as K
 from recollex.functions import text
+from recollex.operators import blockindex
 from recollex.operators import retrieval as R
 from recollex.plans import sqltext as S
 from recollex.plans.register import register
+from recollex.plans.stored import features_of, index_of
 from recollex.tables import AS_OF, FIXTURES_SQL, MEMORIES_SQL, as_of, memories, quoted, table, texts, texts_sql
 
 QUERIES, ORACLE_SQL, query = register()
@@ -172,6 +174,13 @@ SELECT memory_id, round(least((sem + key + rec) * CAST({_SW} AS DOUBLE) / 3.5, 1
 
 @query("hybrid_search_topk", _HYBRID)
 def hybrid_search_topk(spark, sf_dir):
+    """From the stored index and features; no text is read."""
+    return blockindex.hybrid(spark, index_of(spark, sf_dir), features_of(spark, sf_dir), _HQ, as_of())
+
+
+@query("hybrid_search_scan", _HYBRID)
+def hybrid_search_scan(spark, sf_dir):
+    """The same from the texts, where there is no index."""
     return R.hybrid_search(memories(spark, sf_dir), _HQ, as_of())
 
 

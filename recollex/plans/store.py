@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recollex.functions import text
+from recollex.operators import blockindex
 from recollex.operators import index as I
 from recollex.operators import retrieval as R
 from recollex.plans import sqltext as S
 from recollex.plans.register import register
 from recollex.plans.retrieval import _COSQL, _ENT, _SW, QUERY, TERMS, _bm25_sql, _cosines, _entities
+from recollex.plans.stored import index_of, new_table
+from recollex.sources import commits
 from recollex.tables import AS_OF, MEMORIES_SQL, as_of, memories, table
 
 QUERIES, ORACLE_SQL, query = register()
@@ -17,8 +20,7 @@ _HITS = f"{_bm25_sql(TERMS)}, hits AS (SELECT memory_id, round(bm25, 6) AS bm25,
 
 
 def _lookup(spark, sf_dir, most=20):
-    m = memories(spark, sf_dir)
-    return I.lookup(I.postings(m), I.totals(m), QUERY, most)
+    return blockindex.search(spark, index_of(spark, sf_dir), QUERY, most)
 
 
 @query("fts_index_search", f"WITH {_HITS} SELECT memory_id, source, bm25, matched FROM hits JOIN memories USING (memory_id)")
@@ -84,7 +86,13 @@ def rank_fusion_gate(spark, sf_dir):
 
 @query("rank_fusion_resort", f"WITH {_RANK} SELECT memory_id, least(round(score + coalesce(bonus, 0.0), 6), 1.0) AS score FROM t LEFT JOIN bonus USING (memory_id)")
 def rank_fusion_resort(spark, sf_dir):
-    return _ranked(spark, sf_dir, R.connectivity(_entities(spark, sf_dir)))
+    return _ranked(spark, sf_dir, R.connectivity_bonus(_entities(spark, sf_dir)))
+
+
+@query("entity_bonus", f"WITH {_BONUS} SELECT memory_id, round(bonus, 6) AS bonus FROM bonus")
+def entity_bonus(spark, sf_dir):
+    """The bonus for neighbours, without listing them."""
+    return R.connectivity_bonus(_entities(spark, sf_dir)).select("memory_id", F.round("bonus", 6).alias("bonus"))
 
 
 _NEW = "SELECT doc_id AS memory_id, min(substr(text, 1, 80)) AS summary FROM (SELECT * FROM documents UNION ALL SELECT * FROM documents WHERE lang = 'en') GROUP BY doc_id"
@@ -102,8 +110,11 @@ def fts_index_maintain(spark, sf_dir):
     """German memories were changed and Spanish ones deleted: the kept-up index equals one that is built anew."""
     m = memories(spark, sf_dir).select("memory_id", "scene", "summary")
     changed = m.where("scene = 'de'").select("memory_id", F.concat("summary", F.lit(" changed today")).alias("summary"))
-    kept = I.maintain(I.postings(m), changed, m.where("scene = 'es'"))
-    return kept.groupBy("memory_id").agg(F.count("*").alias("terms"), F.sum("tf").alias("words"), F.min("term").alias("first"))
+    at = new_table(spark, "kept")
+    blockindex.build(m, at)
+    blockindex.maintain(spark, at, changed, m.where("scene = 'es'"))
+    kept = commits.read(spark, at).where("term <> ''").select("term", F.explode("postings").alias("p"))
+    return kept.groupBy("p.memory_id").agg(F.count("*").alias("terms"), F.sum("p.tf").alias("words"), F.min("term").alias("first"))
 
 
 @query("vector_dim_guard", "SELECT vec_id, CASE WHEN len(embedding[1:CASE WHEN label = 0 THEN 32 ELSE 64 END]) = 64 THEN 'vector' ELSE 'ngram' END AS method FROM embeddings")

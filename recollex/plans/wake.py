@@ -40,7 +40,7 @@ def wake(memories: DataFrame, access: DataFrame, turns: DataFrame, manifest: Dat
     triples = demoted.select("ts", F.explode(kg.triples(F.col("text"))).alias("x")).select("ts", "x.source", "x.relation", "x.target")
     distilled = triples.groupBy("source", "relation", "target").agg(F.min("ts").alias("valid_from"))
     candidates = lifecycle.merge_candidates(active)
-    groups = staged(lifecycle.merge_groups(lifecycle.keyword_pairs(candidates), candidates), "groups")
+    groups = staged(lifecycle.class_groups(*lifecycle.keyword_classes(candidates)), "groups")
     notes = active.select(F.col("memory_id").alias("id"), F.to_date("ts").alias("day"), text.topics(F.col("summary")).alias("topics"), text.sentiment(F.col("summary")).alias("mood"))
     against = reflection.contradictions(notes)
     recent = active.orderBy(F.desc("ts"), F.desc("memory_id")).limit(5)
