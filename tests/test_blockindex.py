@@ -67,8 +67,8 @@ def test_bounds_hold_and_spare_reading(spark, built):
     kth = every[4][2]
     assert sum(b >= kth for b in bound.values()) < 0.7 * len(bound)  # the ranges whose postings a search for five reads
     # the terms are a pushed filter
-    plan = blockindex.scores(spark, table, "rare common")._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [In(term, [common,rare])]" in plan
+    plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(blockindex.scores(spark, table, "rare common")._jdf.queryExecution(), "formatted")
+    assert "In(term, [common,rare])" in plan.split("PushedFilters")[1].split("\n")[0]
     files = commits.read(spark, table).select("term", F.input_file_name().alias("f"))
     assert files.where("term = 'rare'").select("f").distinct().count() < files.select("f").distinct().count()
 
