@@ -47,7 +47,9 @@ def built(spark, tmp_path_factory):
     texts = corpus(3000)
     texts |= {9000: None, 9001: "", 9002: "common"}
     table = f"file://{tmp_path_factory.mktemp('index')}/t"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small as it is, the table has several files
     blockindex.build(frame(spark, texts), table, range_rows=50)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     return table, texts
 
 
