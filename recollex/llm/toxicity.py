@@ -3,11 +3,12 @@
 The lexicon has a short fixed list and the words and word beginnings (stems) that labelled texts show to be toxic. A
 word of a text is matched by running its bit-parallel Levenshtein automaton down the trie, so one walk compares it with
 every term. The words around a hit say whether it is quoted or aimed at someone. A logistic regression over the counts
-gives the score.
+gives the score. Where the labelled texts have no quoted hit, quoted hits get a fixed discount.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -135,6 +136,7 @@ class Lexicon:
 
 
 FEATURES = 6
+EXACT, QUOTED, TERMS = 0, 3, 4
 
 
 def features(lexicon: Lexicon, text: str) -> tuple[np.ndarray, int]:
@@ -174,8 +176,8 @@ def _term_candidates(word: str) -> list[tuple[str, bool]]:
 
 
 def _count_terms(wanted):
-    """(term, stem, n, contexts) of a partition: in how many documents a term is, and between how many different pairs
-    of neighbours. With wanted, of these terms only, and without contexts."""
+    """(term, stem, n, contexts) of a partition: in how many documents a term is, and hashes of the different pairs of
+    neighbours that it is between. With wanted, of these terms only, and without contexts."""
 
     def run(batches):
         only = None if wanted is None else wanted.value
@@ -189,14 +191,14 @@ def _count_terms(wanted):
                     continue
                 seen = set()
                 for left, w, right in zip([""] + words, words, words[1:] + [""], strict=False):
-                    place = hash((left, right))
+                    place = int.from_bytes(hashlib.blake2b(f"{left} {right}".encode(), digest_size=8).digest(), "little", signed=True)
                     for t in _term_candidates(w):
                         seen.add(t)
                         contexts.setdefault(t, set()).add(place)
                 counts.update(seen)
         if counts:
             keys = list(counts)
-            yield pa.record_batch([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array([counts[k] for k in keys], pa.int64()), pa.array([len(contexts.get(k, ())) for k in keys], pa.int64())], ["term", "stem", "n", "contexts"])
+            yield pa.record_batch([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array([counts[k] for k in keys], pa.int64()), pa.array([sorted(contexts.get(k, ())) for k in keys], pa.list_(pa.int64()))], ["term", "stem", "n", "contexts"])
 
     return run
 
@@ -285,9 +287,9 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Model:
     fixed = [(w, False) for w in INSULTS]
     if not n_toxic or not n_clean:
         return Lexicon(fixed), np.array([2.0, 1.0, 1.0, -1.0, 1.0, 0.5, -3.0])
-    cols = "term string, stem boolean, n long, contexts long"
+    cols = "term string, stem boolean, n long, contexts array<long>"
     least = max(LEAST_DOCS, LEAST_SHARE * n_toxic)
-    counted = sample.where("toxic = 1").coalesce(MINERS).mapInArrow(lean(_count_terms(None)), cols).groupBy("term", "stem").agg(F.sum("n").alias("n"), F.sum("contexts").alias("contexts"))
+    counted = sample.where("toxic = 1").coalesce(MINERS).mapInArrow(lean(_count_terms(None)), cols).groupBy("term", "stem").agg(F.sum("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("contexts")))).alias("contexts"))
     often = counted.where((F.col("n") >= least) & (F.col("contexts") >= VARIED * F.col("n")))
     tox = {(r["term"], r["stem"]): r["n"] for r in often.toLocalIterator()}
     wanted = spark.sparkContext.broadcast(frozenset(tox))
@@ -302,7 +304,16 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Model:
     shared = spark.sparkContext.broadcast(lexicon)
     table = sample.mapInArrow(lean(_features_of(shared)), "toxic int, copies long, x array<double>").toArrow()
     x, copies = np.array(table.column("x").to_pylist(), float).reshape(-1, FEATURES), table.column("copies").to_numpy()
-    return lexicon, fit_logistic(np.repeat(x, copies, axis=0), np.repeat(table.column("toxic").to_numpy().astype(float), copies))
+    return lexicon, discounted(fit_logistic(np.repeat(x, copies, axis=0), np.repeat(table.column("toxic").to_numpy().astype(float), copies)), x)
+
+
+def discounted(w: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The weights; if no text that they were learned from quotes a hit, the weight of quoted hits is such that they take
+    back what as many exact hits of different terms add."""
+    if not x[:, QUOTED].any():
+        w = w.copy()
+        w[QUOTED] = -(max(w[EXACT], 0) + max(w[TERMS], 0))
+    return w
 
 
 def _score(texts, model: Model) -> np.ndarray:

@@ -232,6 +232,19 @@ def test_packing(spark, texts):
     assert got.sequence_id.nunique() <= least + 2
 
 
+def test_packing_ranks_in_ranges(spark, texts, monkeypatch):
+    """Ranks of a common length over many groups and ranges of groups: each place is taken once."""
+    monkeypatch.setattr(packing, "RANK_GROUP", 3)
+    monkeypatch.setattr(packing, "RANGE_GROUPS", 2)
+    docs = spark.createDataFrame([(i, f"word {i % 5}") for i in range(3000)] + [(10_000 + i, t) for i, t in texts], "doc_id long, text string")
+    rows = packing.pack_documents(docs).select("doc_id", "length", "sequence_id", "offset").collect()
+    assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(sum(n for _, n in v) <= 2048 and all(a + n == b for (a, n), (b, _) in zip(sorted(v), sorted(v)[1:], strict=False)) and min(v)[0] == 0 for v in by.values())
+
+
 def test_plan_fills():
     rng = np.random.default_rng(1)
     for hist in (np.bincount(rng.integers(1, 2049, 3000), minlength=2049), np.bincount(np.minimum(2048, rng.exponential(400, 20000).astype(int) + 1), minlength=2049), np.bincount([2048] * 50, minlength=2049), np.zeros(2049, int)):
@@ -414,6 +427,9 @@ def test_toxicity(spark):
     r = {x.doc_id: x for x in toxicity.score_toxicity(odd, model).collect()}
     assert r[3].predicted == 1 and r[1].predicted == r[2].predicted == r[4].predicted == 0 and all(0 <= x.score <= 1 for x in r.values())
     assert {x.doc_id for x in toxicity.drop_toxic(odd, model).collect()} == {1, 2, 4}
+    # quotation isn't abuse
+    quoted, bare, aimed = toxicity._score(['he wrote "idiot" in the report', "that idiot in the report went home again", "you idiot in the report went home again"], model)
+    assert quoted < 0.7 and quoted < bare < aimed
 
 
 def test_toxicity_brute_force():
@@ -451,7 +467,7 @@ def test_toxicity_brute_force():
 def test_mining_brute_force():
     """Documents and contexts of every term, counted plainly."""
     texts = ["red hen runs", "a red hen sits", "red", "hens red hen"]
-    out = {(r["term"], r["stem"]): (r["n"], r["contexts"]) for b in toxicity._count_terms(None)([pa.record_batch([pa.array(texts)], ["text"])]) for r in b.to_pylist()}
+    out = {(r["term"], r["stem"]): (r["n"], len(r["contexts"])) for b in toxicity._count_terms(None)([pa.record_batch([pa.array(texts)], ["text"])]) for r in b.to_pylist()}
     docs, contexts = {}, {}
     for i, t in enumerate(texts):
         w = t.split()
@@ -469,6 +485,14 @@ def test_context_windows():
     assert quoted[3] > 0 == quoted[2] and aimed[2] > 0 == aimed[3]
 
 
+def test_unlearnt_quotation_takes_hits_back():
+    w = np.array([2.0, 1.0, 1.0, 0.0, 1.5, 4.0, -5.0])
+    x = np.zeros((3, 6))
+    assert toxicity.discounted(w, x).tolist() == [2.0, 1.0, 1.0, -3.5, 1.5, 4.0, -5.0] and w[3] == 0
+    x[1, 3] = 0.7  # learnt: as it is
+    assert toxicity.discounted(w, x) is w
+
+
 def test_copies_do_not_hide_a_term(spark):
     """A term of 20 different toxic texts is found though one more text with it has 40 copies."""
     rng = np.random.default_rng(3)
