@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollex.llm import _hashing as H
-from recollex.llm._shared import lean, staged, text_or_empty
+from recollex.llm._shared import lean, small, staged, text_or_empty
 
 CAPACITY, TOKENIZER, END_ID = 2048, "word_bpe_49k.json", 0
 #: Units that a Python worker remembers, and their ids, at most (some 40 MB); beyond it starts anew.
@@ -29,6 +29,8 @@ CACHED_UNITS, CACHED_IDS = 1_000_000, 4_000_000
 BLOCK_BYTES = 1_000_000
 #: Pieces of one length that are ranked in one group, about; a common length has as many groups as it needs.
 RANK_GROUP = 200
+#: Groups whose counts are added up together; the sums of such ranges are added up once more.
+RANGE_GROUPS = 1024
 MAX_PATTERNS, NNLS_STEPS = 2_200_000, 60
 
 
@@ -358,9 +360,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         hist[r["length"]] = r["n"]
     salts = F.get(F.split(F.lit(",".join(map(str, 1 + hist // RANK_GROUP))), ",").cast("array<long>"), F.col("length").cast("int"))
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), salts))
-    groups = staged(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "groups")
+    groups = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).withColumn("range", F.expr(f"salt div {RANGE_GROUPS}"))
+    groups = staged(groups, "groups")
     table = spark.sparkContext.broadcast(segments(plan(hist, capacity)))
-    before = groups.select("length", "salt", (F.expr("sum(n) OVER (PARTITION BY length ORDER BY salt)") - F.col("n")).alias("before"))
+    # pieces of a length in earlier ranges, and in earlier groups of the range: no task has a length's groups alone
+    ranges = groups.groupBy("length", "range").agg(F.sum("n").alias("n"))
+    ranges = staged(ranges.select("length", "range", (F.expr("sum(n) OVER (PARTITION BY length ORDER BY range)") - F.col("n")).alias("first")), "ranges")
+    within = F.expr("sum(n) OVER (PARTITION BY length, range ORDER BY salt)") - F.col("n")
+    before = groups.withColumn("within", within).join(small(ranges, ranges.count()), ["length", "range"]).select("length", "salt", (F.col("first") + F.col("within")).alias("before"))
     ranked = salted.withColumn("own", F.expr("row_number() OVER (PARTITION BY length, salt ORDER BY doc_id, piece, ids_crc32) - 1"))
     ranked = ranked.join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("own"))
     return ranked.mapInArrow(lean(_placed(table)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
