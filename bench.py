@@ -7,6 +7,7 @@ import os
 import time
 from pathlib import Path
 
+from recollex.plans import stored
 from recollex.plans.catalogue import QUERIES
 from recollex.session import session
 
@@ -23,6 +24,10 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     QUERIES["kg_stats"](spark, data).collect()  # starts the JVM's code paths
     took = {}
+    began = time.perf_counter()  # what the retrieval queries read; once for all of them
+    stored.index_of(spark, data)
+    stored.features_of(spark, data)
+    took["index_build"] = round(time.perf_counter() - began, 3)
     for name in HEADLINE:
         began = time.perf_counter()
         QUERIES[name](spark, data).write.format("noop").mode("overwrite").save()
