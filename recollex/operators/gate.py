@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from recollex import consts as K
 from recollex.functions import pii, text
 from recollex.functions.text import held
+from recollex.operators.automaton import held_phrases
 from recollex.rules import RULE_PATTERNS, built_in_rules
 from recollex.staging import small, staged
 
@@ -54,14 +55,12 @@ def any_of(c: Column, words) -> Column:
 
 
 def label_places(low: Column, rules, has_cjk: Column) -> dict[str, Column]:
-    """For each label, the number of its first rule that matches a lower-cased text, else null. Literal rules are a chain
-    of contains; a regular expression is tried only on texts that hold what it needs (a CJK character for the built-in
-    ones of Chinese labels, else one of a few words), so most texts meet none."""
+    """For each label that has regular expressions, the number of its first one that matches a lower-cased text, else null.
+    One is tried only on texts that hold what it needs (a CJK character for the built-in ones of Chinese labels, else one
+    of a few words), so most texts meet none."""
     guarded = {p for p, label in RULE_PATTERNS if label.endswith("·中文")}
 
-    def matches(p: str, regex: bool) -> Column:
-        if not regex:
-            return F.contains(low, F.lit(p))
+    def matches(p: str) -> Column:
         if p in guarded:
             return has_cjk & low.rlike(p)
         needs = needed_words(p)
@@ -69,19 +68,25 @@ def label_places(low: Column, rules, has_cjk: Column) -> dict[str, Column]:
 
     places: dict[str, list[Column]] = {}
     for i, (p, regex, label) in enumerate(rules):
-        places.setdefault(label, []).append(F.when(matches(p, regex), F.lit(i)))
+        if regex:
+            places.setdefault(label, []).append(F.when(matches(p), F.lit(i)))
     return {label: F.coalesce(*found) for label, found in places.items()}
 
 
 def with_labels(rows: DataFrame, rules=None, body: str = "text") -> DataFrame:
-    """rows with labels: those of the rules that match, each once, in the order of its first rule that matches. The
-    lower-cased text and each label's place are columns of their own, so that each is computed once."""
+    """rows with labels: those of the rules that match, each once, in the order of its first rule that matches. All literal
+    phrases are found in one pass of an automaton. The lower-cased text, the phrases and each label's place are columns of
+    their own, so that each is computed once."""
+    rules = list(rules or built_in_rules())
     low = rows.withColumn("__low", F.lower(body)).withColumn("__cjk", F.col("__low").rlike(text.CJK))
-    places = label_places(F.col("__low"), list(rules or built_in_rules()), F.col("__cjk"))
+    phrases = [(i, p) for i, (p, regex, _) in enumerate(rules) if not regex]
+    low = low.withColumn("__phrases", held_phrases(F.col("__low"), phrases) if phrases else F.array().cast("array<int>"))
+    places = label_places(F.col("__low"), rules, F.col("__cjk"))
     names = {label: f"__at{k}" for k, label in enumerate(places)}
     found = low.withColumns({names[label]: place for label, place in places.items()})
-    at = F.array(*[F.when(F.col(n).isNotNull(), F.struct(F.col(n).alias("at"), F.lit(label).alias("label"))) for label, n in names.items()])
-    labels = F.transform(F.array_sort(F.filter(at, lambda x: x.isNotNull())), lambda x: x["label"])
+    at = F.concat(F.array(*[F.col(n) for n in names.values()]).cast("array<int>"), F.col("__phrases"))
+    label_of = text.constant_list([label for *_, label in rules])
+    labels = F.array_distinct(F.transform(F.array_sort(F.filter(at, lambda x: x.isNotNull())), lambda i: F.element_at(label_of, i + 1)))
     return found.select(*rows.columns, text.held(labels).alias("labels"))
 
 

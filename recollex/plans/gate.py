@@ -155,7 +155,14 @@ def truncation_projection(spark, sf_dir):
     return m.select("memory_id", F.length("summary").cast("long").alias("n500"), F.length(cut(80)).cast("long").alias("n80"), F.md5(cut(60).cast("binary")).alias("m60"), F.coalesce(F.nullif(F.trim(cut(1)), F.lit("")), F.substring("text", 1, 10)).alias("fallback"))
 
 
-@query("version_compare", "SELECT v, w, list_transform(string_split(ltrim(v, 'v'), '.'), lambda x: CAST(x AS INTEGER)) < list_transform(string_split(ltrim(w, 'v'), '.'), lambda x: CAST(x AS INTEGER)) AS older FROM (VALUES ('2.3.0', '2.4.0'), ('v2.10.1', '2.9.9'), ('1.0', '1.0.1'), ('3.0.0', 'v3.0.0')) t(v, w)")
+_PARTS = "list_transform(string_split(ltrim({0}, 'v'), '.'), lambda x: CAST(x AS INTEGER))"
+_VERSIONS = "SELECT o_orderkey, 'v' || CAST(o_orderkey % 3 AS VARCHAR) || '.' || CAST(o_custkey % 20 AS VARCHAR) || '.' || CAST(day(o_orderdate) AS VARCHAR) AS v, CAST(o_custkey % 3 AS VARCHAR) || '.' || CAST(o_orderkey % 20 AS VARCHAR) AS w FROM orders"
+
+
+@query("version_compare", f"SELECT o_orderkey, v, w, {_PARTS.format('v')} < {_PARTS.format('w')} AS older FROM ({_VERSIONS})")
 def version_compare(spark, sf_dir):
-    v = spark.createDataFrame([("2.3.0", "2.4.0"), ("v2.10.1", "2.9.9"), ("1.0", "1.0.1"), ("3.0.0", "v3.0.0")], "v string, w string")
-    return v.select("v", "w", (text.version_parts(F.col("v")) < text.version_parts(F.col("w"))).alias("older"))
+    """Orders stand for installed and offered versions, of three and of two numbers."""
+    o, t = table(spark, sf_dir, "orders"), lambda c: c.cast("string")
+    v = F.concat(F.lit("v"), t(F.col("o_orderkey") % 3), F.lit("."), t(F.col("o_custkey") % 20), F.lit("."), t(F.dayofmonth("o_orderdate")))
+    w = F.concat(t(F.col("o_custkey") % 3), F.lit("."), t(F.col("o_orderkey") % 20))
+    return o.select("o_orderkey", v.alias("v"), w.alias("w")).withColumn("older", text.version_parts(F.col("v")) < text.version_parts(F.col("w")))

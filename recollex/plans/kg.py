@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from recollex import consts as K
+from recollex.operators import asof
 from recollex.operators import kg as G
 from recollex.plans import sqltext as S
 from recollex.plans.register import register
@@ -165,3 +166,43 @@ def kg_top_entities(spark, sf_dir):
 def kg_backfill(spark, sf_dir):
     r = relations(spark, sf_dir).select("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("valid_from")).alias("valid_from"), F.lit("1990-01-01").cast("timestamp_ntz").alias("created"))
     return G.backfill(r, "created").select("o_orderkey", "valid_from")
+
+
+#: Events look back from their own year to those of the orders.
+_BACK = "(event_id % 7 + 25)"
+_EVENTS = f"ev AS (SELECT event_id, user_id, ts - to_years(CAST({_BACK} AS INTEGER)) AS at FROM events)"
+_HOLDS = "(r.valid_from IS NULL OR (r.valid_from <= ev.at AND (r.valid_until IS NULL OR r.valid_until > ev.at)))"
+
+
+def _times(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", "user_id", F.expr(f"cast(ts as timestamp_ntz) - make_ym_interval(cast({_BACK} as int), 0)").alias("at"))
+
+
+def _some_unknown(spark, sf_dir):
+    """Relations by customer; of every eleventh order the start is unknown."""
+    o = table(spark, sf_dir, "orders")
+    until = F.lead("o_orderdate").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    known = F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderdate"))
+    return o.select(F.col("o_custkey").alias("user_id"), "o_orderkey", "o_orderpriority", known.alias("valid_from"), until.alias("valid_until"))
+
+
+_UNKNOWN = "r AS (SELECT o_custkey AS user_id, o_orderkey, o_orderpriority, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderdate END AS valid_from, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS valid_until FROM orders)"
+
+
+@query("kg_asof_events", f"WITH {_EVENTS}, {_UNKNOWN} SELECT event_id, o_orderkey, o_orderpriority FROM ev JOIN r ON ev.user_id = r.user_id AND {_HOLDS}")
+def kg_asof_events(spark, sf_dir):
+    """The relations of each event's user that held at its time."""
+    return asof.join(_times(spark, sf_dir), _some_unknown(spark, sf_dir), ["user_id"]).select("event_id", "o_orderkey", "o_orderpriority")
+
+
+@query("kg_asof_counts", f"WITH {_EVENTS}, {_UNKNOWN} SELECT event_id, (SELECT count(*) FROM r WHERE r.valid_from IS NULL) + coalesce(n, 0) AS valid FROM ev LEFT JOIN (SELECT event_id, count(*) AS n FROM ev JOIN r ON r.valid_from <= ev.at AND coalesce(r.valid_until, TIMESTAMP '9999-01-01') > ev.at GROUP BY 1) USING (event_id)")
+def kg_asof_counts(spark, sf_dir):
+    """How many relations of all customers held at each event's time."""
+    return asof.counts(_times(spark, sf_dir), _some_unknown(spark, sf_dir)).select("event_id", "valid")
+
+
+@query("kg_asof_user_counts", f"WITH {_EVENTS}, {_UNKNOWN} SELECT event_id, count(r.o_orderkey) AS valid FROM ev LEFT JOIN r ON ev.user_id = r.user_id AND {_HOLDS} GROUP BY event_id")
+def kg_asof_user_counts(spark, sf_dir):
+    """The same for the event's user alone."""
+    return asof.counts(_times(spark, sf_dir), _some_unknown(spark, sf_dir), ["user_id"]).select("event_id", "valid")

@@ -12,7 +12,7 @@ from recollex.tables import table
 QUERIES, ORACLE_SQL, query = register()
 
 _CONTENT = """'---' || chr(10) || 'Title: "Note ' || CAST(doc_id AS VARCHAR) || '"' || chr(10) || 'triggers: ["' || source || '", ' || lang || ']' || chr(10) || 'tags: [' || upper(lang) || ', Memo]' || chr(10) || '---' || chr(10) || chr(10)
- || '# ' || replace(substr(text, 1, 60), chr(10), ' ') || chr(10) || '- ' || replace(substr(text, 61, 80), chr(10), ' ') || chr(10) || 'plain **' || replace(replace(substr(text, 141, 30), chr(10), ' '), '*', ' ') || '** end' || chr(10) || '```Rust' || chr(10) || 'x' || chr(10) || '```' || chr(10) || '```bash' || chr(10) || '```'"""
+ || '# ' || replace(substr(text, 1, 60), chr(10), ' ') || chr(10) || '- ' || replace(substr(text, 61, 80), chr(10), ' ') || chr(10) || 'plain **' || replace(replace(substr(text, 141, 30), chr(10), ' '), '*', ' ') || '** end' || chr(10) || '```Rust' || chr(10) || 'x' || chr(10) || '```' || chr(10) || '```bash' || chr(10) || '```' || chr(10) || substr(text, 171)"""
 _FILES = f"files AS (SELECT doc_id, 'note-' || CAST(doc_id AS VARCHAR) || '.md' AS filename, {_CONTENT} AS content FROM documents WHERE text IS NOT NULL)"
 
 
@@ -21,7 +21,7 @@ def _files(spark, sf_dir):
     line = lambda a, n: F.replace(F.substring("text", a, n), F.lit("\n"), F.lit(" "))
     content = F.concat(
         F.lit('---\nTitle: "Note '), F.col("doc_id").cast("string"), F.lit('"\ntriggers: ["'), "source", F.lit('", '), "lang", F.lit("]\ntags: ["), F.upper("lang"), F.lit(", Memo]\n---\n\n# "), line(1, 60), F.lit("\n- "), line(61, 80),
-        F.lit("\nplain **"), F.replace(line(141, 30), F.lit("*"), F.lit(" ")), F.lit("** end\n```Rust\nx\n```\n```bash\n```"),
+        F.lit("\nplain **"), F.replace(line(141, 30), F.lit("*"), F.lit(" ")), F.lit("** end\n```Rust\nx\n```\n```bash\n```\n"), F.expr("substring(text, 171)"),
     )
     return d.select("doc_id", F.concat(F.lit("note-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("filename"), content.alias("content"))
 
@@ -29,7 +29,7 @@ def _files(spark, sf_dir):
 _HEAD = r"regexp_extract(content, '(?s)^---\n(.*?)\n---', 1)"
 _VALUE = r"regexp_extract(" + _HEAD + r", '(?i)(?:^|\n)\s*{0}\s*:\s*([^\n]*)', 1)"
 _ITEMS = r"list_filter(list_transform(string_split(regexp_extract(" + _VALUE + r", '^\[(.*)\]$', 1), ','), lambda x: trim(trim(x), chr(34) || chr(39))), lambda x: x <> '')"
-_BODY = r"trim(regexp_replace(content, '(?s)^---\n.*?\n---', ''), chr(10) || ' ')"
+_BODY = r"trim(regexp_replace(content, '(?s)^---\n.*?\n---', ''), chr(10) || chr(9) || ' ')"
 _WORDS = rf"list_transform(regexp_extract_all(x, '{S.CJK}{{2,}}|[A-Za-z]{{3,}}'), lambda w: lower(w))"
 _KEYS = rf"""list_concat(list_concat(flatten(list_transform(list_concat(regexp_extract_all(b, '(?m)^#{{1,4}}\s+(.+)$', 1), regexp_extract_all(b, '\*\*(.+?)\*\*', 1)), lambda x: {_WORDS})),
  flatten(list_transform(regexp_extract_all(b, '(?m)^[*-]\s+(.+)$', 1), lambda x: {_WORDS}[1:3]))),

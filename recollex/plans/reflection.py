@@ -36,10 +36,10 @@ def connections(spark, sf_dir):
     return R.connections(_notes(spark, sf_dir)).orderBy(F.desc("days"), F.desc("mentions"), "topic").limit(5)
 
 
-@query("topics", f"WITH {FIXTURES_SQL} SELECT id, array_to_string({S.topics('text')}, '|') AS topics FROM fixtures")
+@query("topics", f"WITH {texts_sql('documents', 'conversations')} SELECT src, id, array_to_string({S.topics('text')}, '|') AS topics FROM texts")
 def topics(spark, sf_dir):
-    """Topics of the fixed texts, CJK terms among them."""
-    return fixtures(spark).select("id", F.array_join(text.topics(F.col("text")), "|").alias("topics"))
+    """Topics of whole texts, CJK terms among them."""
+    return texts(spark, sf_dir, "documents", "conversations").select("src", "id", F.array_join(text.topics(F.col("text")), "|").alias("topics"))
 
 
 _REPORT = f"""{_NOTES}, x AS (SELECT id, day, mood, unnest(topics) AS topic FROM notes), m AS (SELECT a.id AS id_a, b.id AS id_b, a.day AS day_a, b.day AS day_b, min(a.topic) AS topic FROM x a JOIN x b ON a.topic = b.topic AND a.day < b.day AND a.mood <> b.mood WHERE a.mood <> 'neutral' AND b.mood <> 'neutral' GROUP BY 1, 2, 3, 4),

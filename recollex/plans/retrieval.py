@@ -11,7 +11,7 @@ from recollex.operators import retrieval as R
 from recollex.plans import sqltext as S
 from recollex.plans.register import register
 from recollex.plans.stored import features_of, index_of
-from recollex.tables import AS_OF, FIXTURES_SQL, MEMORIES_SQL, as_of, memories, quoted, table, texts, texts_sql
+from recollex.tables import AS_OF, MEMORIES_SQL, as_of, memories, quoted, table, texts, texts_sql
 
 QUERIES, ORACLE_SQL, query = register()
 QUERY, TERMS = "the and of er", ["the", "and", "of", "er"]
@@ -202,8 +202,7 @@ def fts_index_sync(spark, sf_dir):
     return m.join(done, "memory_id", "left_anti").select("memory_id", F.explode(F.array_distinct(text.tokens(F.col("summary")))).alias("term"))
 
 
-@query("query_language_route", f"WITH {FIXTURES_SQL} SELECT id, len(regexp_extract_all(text, '{S.CJK}')) > 0.3 * length(text) AS cjk FROM fixtures")
+@query("query_language_route", f"WITH {texts_sql('documents', 'conversations')} SELECT src, id, len(regexp_extract_all(text, '{S.CJK}')) > 0.3 * length(text) AS cjk FROM texts")
 def query_language_route(spark, sf_dir):
-    from recollex.tables import fixtures
-
-    return fixtures(spark).select("id", (F.regexp_count("text", F.lit(text.CJK)) > 0.3 * F.length("text")).alias("cjk"))
+    """Whether a text, asked as a query, goes the way for CJK."""
+    return texts(spark, sf_dir, "documents", "conversations").select("src", "id", (F.regexp_count("text", F.lit(text.CJK)) > 0.3 * F.length("text")).alias("cjk"))

@@ -152,8 +152,8 @@ def global_stats(spark, sf_dir):
     return one.crossJoin(e.agg(F.count("*").alias("vectors"), F.max(F.size("embedding")).alias("dims")))
 
 
-@query("entities_batch", f"WITH {MEMORIES_SQL}, b AS (SELECT memory_id, [substr(text, 1, 1000), substr(text, 1001, 1000)] AS parts FROM memories) SELECT memory_id, len(parts) AS n, array_to_string(list_transform(parts, lambda p: {S.joined(S.entities('p'))}), '#') AS entities FROM b")
+@query("entities_batch", f"WITH {MEMORIES_SQL}, b AS (SELECT memory_id, [substr(text, 1, 1000), substr(text, 1001)] AS parts FROM memories) SELECT memory_id, len(parts) AS n, array_to_string(list_transform(parts, lambda p: {S.joined(S.entities('p'))}), '#') AS entities FROM b")
 def entities_batch(spark, sf_dir):
-    """Entities of each text of a batch (an array of texts)."""
-    m = memories(spark, sf_dir).select("memory_id", F.array(F.substring("text", 1, 1000), F.substring("text", 1001, 1000)).alias("parts"))
+    """Entities of each text of a batch (an array of texts): a text's first thousand characters and the rest."""
+    m = memories(spark, sf_dir).select("memory_id", F.array(F.substring("text", 1, 1000), F.expr("substring(text, 1001)")).alias("parts"))
     return m.select("memory_id", F.size("parts").alias("n"), F.array_join(F.transform("parts", lambda p: F.array_join(F.array_sort(text.entities(p)), "|")), "#").alias("entities"))
