@@ -91,15 +91,21 @@ class Automaton:
         columns = np.lib.stride_tricks.as_strided(padded, (lead + part, lanes), (padded.strides[0], part * padded.strides[0]))
         state = np.zeros(lanes, np.int64)
         table, width = self.next.ravel(), self.width
+        places, states = [], []
         for step in range(lead + part):
             state = table[state * width + columns[step]]
             if step >= lead:
                 found = np.flatnonzero(self.hit[state])
                 if len(found):
-                    place = found * part + (step - lead)
-                    for p, s in zip(place.tolist(), state[found].tolist(), strict=True):
-                        if p >= skip:
-                            out[group[int(np.searchsorted(bounds, p + offset, side="right")) - 1]].update(self.ends[s])
+                    places.append(found * part + (step - lead))
+                    states.append(state[found])
+        if not places:
+            return
+        place, state = np.concatenate(places), np.concatenate(states).astype(np.int64)
+        own = place >= skip
+        where = np.searchsorted(bounds, place[own] + offset, side="right") - 1
+        for key in np.unique(where * len(self.ends) + state[own]).tolist():  # each state once a text
+            out[group[key // len(self.ends)]].update(self.ends[key % len(self.ends)])
 
 
 def held_phrases(c: Column, phrases: list[tuple[int, str]]) -> Column:

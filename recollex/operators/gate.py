@@ -47,44 +47,34 @@ def _alternatives(group: str) -> list[str]:
     return out
 
 
-def any_of(c: Column, words) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | F.contains(c, F.lit(w))
-    return out
-
+def with_labels(rows: DataFrame, rules=None, body: str = "text") -> DataFrame:
+    """rows with labels: those of the rules that match, each once, in the order of its first rule that matches.
 
-def label_places(low: Column, rules, has_cjk: Column) -> dict[str, Column]:
-    """For each label that has regular expressions, the number of its first one that matches a lower-cased text, else null.
-    One is tried only on texts that hold what it needs (a CJK character for the built-in ones of Chinese labels, else one
-    of a few words), so most texts meet none."""
+    One pass of an automaton finds all literal phrases, and the words that the regular expressions need. An expression is
+    tried only on texts that hold what it needs (a CJK character for the built-in ones of Chinese labels, else one of its
+    words), so most texts meet none. The lower-cased text, the phrases and each label's place are columns of their own, so
+    that each is computed once."""
+    rules = list(rules or built_in_rules())
     guarded = {p for p, label in RULE_PATTERNS if label.endswith("·中文")}
+    needs = {p: needed_words(p) for p, regex, _ in rules if regex and p not in guarded}
+    word = {w: len(rules) + k for k, w in enumerate(sorted({w for ws in needs.values() for w in ws}))}
+    phrases = [(i, p) for i, (p, regex, _) in enumerate(rules) if not regex] + [(k, w) for w, k in word.items()]
+    low = rows.withColumn("__low", F.lower(body)).withColumn("__cjk", F.col("__low").rlike(text.CJK))
+    low = low.withColumn("__held", held_phrases(F.col("__low"), phrases) if phrases else F.array().cast("array<int>"))
 
     def matches(p: str) -> Column:
+        hit = F.col("__low").rlike(p)
         if p in guarded:
-            return has_cjk & low.rlike(p)
-        needs = needed_words(p)
-        return any_of(low, needs) & low.rlike(p) if needs else low.rlike(p)
+            return F.col("__cjk") & hit
+        return F.arrays_overlap("__held", F.array(*[F.lit(word[w]) for w in needs[p]])) & hit if needs[p] else hit
 
     places: dict[str, list[Column]] = {}
     for i, (p, regex, label) in enumerate(rules):
         if regex:
             places.setdefault(label, []).append(F.when(matches(p), F.lit(i)))
-    return {label: F.coalesce(*found) for label, found in places.items()}
-
-
-def with_labels(rows: DataFrame, rules=None, body: str = "text") -> DataFrame:
-    """rows with labels: those of the rules that match, each once, in the order of its first rule that matches. All literal
-    phrases are found in one pass of an automaton. The lower-cased text, the phrases and each label's place are columns of
-    their own, so that each is computed once."""
-    rules = list(rules or built_in_rules())
-    low = rows.withColumn("__low", F.lower(body)).withColumn("__cjk", F.col("__low").rlike(text.CJK))
-    phrases = [(i, p) for i, (p, regex, _) in enumerate(rules) if not regex]
-    low = low.withColumn("__phrases", held_phrases(F.col("__low"), phrases) if phrases else F.array().cast("array<int>"))
-    places = label_places(F.col("__low"), rules, F.col("__cjk"))
-    names = {label: f"__at{k}" for k, label in enumerate(places)}
-    found = low.withColumns({names[label]: place for label, place in places.items()})
-    at = F.concat(F.array(*[F.col(n) for n in names.values()]).cast("array<int>"), F.col("__phrases"))
+    names = {f"__at{k}": F.coalesce(*found) for k, found in enumerate(places.values())}
+    found = low.withColumns(names)
+    at = F.concat(F.array(*[F.col(n) for n in names]).cast("array<int>"), F.filter("__held", lambda i: i < len(rules)))
     label_of = text.constant_list([label for *_, label in rules])
     labels = F.array_distinct(F.transform(F.array_sort(F.filter(at, lambda x: x.isNotNull())), lambda i: F.element_at(label_of, i + 1)))
     return found.select(*rows.columns, text.held(labels).alias("labels"))
