@@ -8,6 +8,7 @@ from recollex.functions import text
 from recollex.operators import blockindex
 from recollex.operators import index as I
 from recollex.operators import retrieval as R
+from recollex.operators import tunnels
 from recollex.plans import sqltext as S
 from recollex.plans.register import register
 from recollex.plans.retrieval import _COSQL, _ENT, _SW, QUERY, TERMS, _bm25_sql, _cosines, _entities
@@ -157,3 +158,13 @@ def entities_batch(spark, sf_dir):
     """Entities of each text of a batch (an array of texts): a text's first thousand characters and the rest."""
     m = memories(spark, sf_dir).select("memory_id", F.array(F.substring("text", 1, 1000), F.expr("substring(text, 1001)")).alias("parts"))
     return m.select("memory_id", F.size("parts").alias("n"), F.array_join(F.transform("parts", lambda p: F.array_join(F.array_sort(text.entities(p)), "|")), "#").alias("entities"))
+
+
+@query("tunnels_ingest", f"WITH {MEMORIES_SQL}, e AS (SELECT DISTINCT source AS scene, unnest({S.scene_tokens('summary')}) AS entity FROM memories) SELECT a.scene AS source, b.scene AS target, min(a.entity) AS entity FROM e a JOIN e b ON a.entity = b.entity AND a.scene < b.scene GROUP BY 1, 2")
+def tunnels_ingest(spark, sf_dir):
+    """Memories arrive in two parts, by time, some of them twice: the tunnels are those of all memories at once."""
+    m = memories(spark, sf_dir).select("ts", F.col("source").alias("scene"), F.explode(text.scene_tokens(F.col("summary"))).alias("entity"))
+    scenes, kept = new_table(spark, "scenes"), new_table(spark, "tunnels")
+    tunnels.ingest(spark, scenes, kept, m.where("ts < timestamp_ntz'2024-01-26 00:00:00'"))
+    tunnels.ingest(spark, scenes, kept, m.where("ts >= timestamp_ntz'2024-01-25 00:00:00'"))
+    return commits.read(spark, kept).select("source", "target", "entity")
