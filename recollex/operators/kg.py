@@ -112,9 +112,20 @@ def relation_text(source: Column, relation: Column, target: Column, until: Colum
     return F.concat(source, F.lit(" "), relation_label(relation), F.lit(" "), target, ended)
 
 
-def search(relations: DataFrame, query: str, at: Column | None = None, mode: str = "current", most: int = 8) -> DataFrame:
+def named(relations: DataFrame, names: DataFrame) -> DataFrame:
+    """relations with display names for ends: names has entity_id and name, each id once; an end it lacks stays as it is."""
+    out = relations
+    for end in ("source", "target"):
+        n = names.select(F.col("entity_id").alias(end), F.col("name").alias("__name"))
+        out = out.join(n, end, "left").withColumn(end, F.coalesce("__name", end)).drop("__name")
+    return out.select(*relations.columns)
+
+
+def search(relations: DataFrame, query: str, at: Column | None = None, mode: str = "current", most: int = 8, names: DataFrame | None = None) -> DataFrame:
     """entity, rn, text: relations of the entities whose name shares a token with the query, under a snapshot, at most
-    `most` an entity (by key). relations: source, relation, target, key, valid_from, valid_until."""
+    `most` an entity (by key). relations: source, relation, target, key, valid_from, valid_until. With names (entity_id,
+    name) the ends are ids, and shown and searched by their names."""
+    relations = relations if names is None else named(relations, names)
     wanted = [w for w in re.findall(r"[\u4e00-\u9fff]|[a-z0-9]+", query.lower())]
     valid = snapshot(relations, mode, at)
     names = valid.select(F.col("source").alias("entity")).union(valid.select("target")).distinct()

@@ -197,3 +197,12 @@ def test_config():
             Config().changed(**bad)
     with pytest.raises(TypeError):
         Config().changed(budget_chars="many")
+
+
+def test_search_by_display_names(spark):
+    rel = spark.createDataFrame([("mara", "works_at", "lumen", 1, None, None), ("x1", "works_at", "mara", 2, None, None), ("mara", "works_at", None, 3, None, None)], "source string, relation string, target string, key int, valid_from timestamp, valid_until timestamp")
+    names = spark.createDataFrame([("mara", "Mara Lind"), ("lumen", "Lumen Ltd")], "entity_id string, name string")
+    assert sorted(map(tuple, kg.named(rel, names).select("key", "source", "target").collect())) == [(1, "Mara Lind", "Lumen Ltd"), (2, "x1", "Mara Lind"), (3, "Mara Lind", None)]
+    found = kg.search(rel.where("target is not null"), "about lumenltd", names=names).collect()
+    assert [(r.entity, r.rn) for r in found] == [("Lumen Ltd", 1)]
+    assert found[0].text.startswith("Mara Lind ") and found[0].text.endswith(" Lumen Ltd")
