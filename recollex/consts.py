@@ -26,7 +26,7 @@ FAILURE_LIMIT, FAILURE_SECONDS, FAILURE_LOCK_MINUTES = 3, 600, 30
 
 # context
 BUDGET_CHARS, MILD, AUTO, WARN, BUDGET_MIN = 2000, 0.7, 0.85, 0.7, 500
-MILD_KEEP, MILD_MIN, HARD_KEEP, HARD_MIN = 0.6, 200, 0.3, 100
+MILD_KEEP, MILD_CAP, HARD_KEEP, HARD_CAP = 0.6, 200, 0.3, 100
 RING = {"access": 20, "contexts": 5, "rounds": 3, "turns": 10}
 
 # learning

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,41 +23,87 @@ def payload_levels(sections: DataFrame, budget: int = K.BUDGET_CHARS) -> DataFra
     return t.select("payload_id", "total", F.floor(F.col("total") / 4).alias("tokens"), F.bround(F.least(F.col("total") * 100.0 / budget, F.lit(100.0)), 1).alias("pct"), level(F.col("total"), budget).alias("level"))
 
 
-def compress(sections: DataFrame, budget: int = K.BUDGET_CHARS) -> DataFrame:
-    """payload_id, seq, action, kept: sections (payload_id, seq, content, priority, category) under a budget. Over the
-    mild limit, sections of priority 9 and more are deferred unless they fit and memory sections of priority 5 and more
-    are cut; over the hard limit, priority 7 and more go and memory is cut harder. In order, so one task per payload."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [{"seq": r.seq, "n": len(r.content), "p": r.priority, "memory": r.category == "memory", "action": "keep"} for r in pdf.sort_values(["priority", "seq"]).itertuples()]
-        total = lambda: sum(r["n"] for r in rows if r["action"] not in ("defer", "demote"))
-        for limit, floor, drop, keep, least in ((K.MILD, 9, "defer", K.MILD_KEEP, K.MILD_MIN), (K.AUTO, 7, "demote", K.HARD_KEEP, K.HARD_MIN)):
-            top = budget * limit
-            if total() <= top:
-                break
-            kept = sum(r["n"] for r in rows if r["p"] < floor and r["action"] not in ("defer", "demote"))
-            for r in rows:
-                if r["p"] >= floor and r["action"] != "defer":
-                    if kept <= top:
-                        kept += r["n"]
-                    else:
-                        r["action"] = drop
-            for r in rows:
-                if total() <= top:
-                    break
-                if r["memory"] and (r["p"] >= 5 or floor == 7) and r["action"] in ("keep", "cut"):
-                    most = max(least, int(r["n"] * keep))
-                    if r["n"] > most:
-                        r["n"], r["action"] = most, "cut"
-        return pd.DataFrame({"payload_id": pdf["payload_id"].iloc[0], "seq": [r["seq"] for r in rows], "action": [r["action"] for r in rows], "kept": [0 if r["action"] in ("defer", "demote") else r["n"] for r in rows]})
-
-    return sections.groupBy("payload_id").applyInPandas(fold, "payload_id long, seq long, action string, kept long")
-
-
-def running_truncation(sections: DataFrame, limit: int, keep: float, least: int) -> DataFrame:
+#: Fixed value: what stands at the end of a cut section, around its name.
+REF_HEAD, REF_TAIL = "… [↩ ref:", "]"
+
+
+def _planned(sections: DataFrame, budget: int, mild: float, auto: float) -> DataFrame:
+    """sections with place (their order in the prompt), n (characters), action, cut (characters kept of a cut section) and
+    kept (characters with the mark). Each loop of the two tiers is a running sum: a section is admitted while what stands
+    before it fits, and once one doesn't fit none after it does; cuts stop at the first section that the total before it
+    is within the limit. So one shuffle of the payloads' sections, no task state beyond a window's."""
+    names = F.col("name") if "name" in sections.columns else F.lit(None).cast("string")
+    s = sections.select(
+        "payload_id", "seq", F.coalesce(names, F.col("seq").cast("string"), F.lit("")).alias("name"), F.coalesce("content", F.lit("")).alias("content"),
+        F.coalesce("priority", F.lit(5)).alias("p"), (F.coalesce("category", F.lit("memory")) == "memory").alias("memory"),
+    ).withColumn("n", F.length("content").cast("long"))
+    payload = Window.partitionBy("payload_id")
+    order = payload.orderBy("p", "seq", "name", "n")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    mark = F.length("name") + len(REF_HEAD) + len(REF_TAIL)
+    most = lambda share, cap: F.least(F.floor(F.col("n") * F.lit(share)), F.lit(cap)).cast("long")
+
+    def ahead(c: Column) -> Column:
+        return F.coalesce(F.sum(c).over(before), F.lit(0))
+
+    def cuts(s: DataFrame, able: Column, to: str, stays: str, limit: int, name: str) -> DataFrame:
+        """name: whether a section that can be cut is, before the total is within the limit."""
+        s = s.withColumn("able", able).withColumn("saves", F.when(F.col("able"), F.col("n") - F.col(to) - mark).otherwise(0))
+        s = s.withColumn("left", F.sum(F.when(F.col(stays), F.col("n")).otherwise(0)).over(payload) - ahead(F.col("saves")))
+        return s.withColumn(name, F.col("able") & ~F.max(F.col("left") <= limit).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+
+    s = s.withColumns({"m1": most(K.MILD_KEEP, K.MILD_CAP), "m2": most(K.HARD_KEEP, K.HARD_CAP), "first": F.sum("n").over(payload) > int(budget * mild)})
+    s = s.withColumn("in1", ~F.col("first") | (F.col("p") < 9) | (ahead(F.col("n")) <= budget))
+    s = cuts(s, F.col("first") & F.col("in1") & F.col("memory") & (F.col("p") >= 5) & (F.col("n") > F.col("m1")), "m1", "in1", int(budget * mild), "cut1")
+    s = s.withColumn("size", F.when(F.col("cut1"), F.col("m1") + mark).otherwise(F.col("n")))
+    s = s.withColumn("second", F.col("first") & (F.sum(F.when(F.col("in1"), F.col("size")).otherwise(0)).over(payload) > int(budget * auto)))
+    s = s.withColumn("in2", F.col("in1") & (~F.col("second") | (F.col("p") < 7) | (ahead(F.when(F.col("in1"), F.col("n")).otherwise(0)) <= budget)))
+    s = cuts(s, F.col("second") & F.col("in2") & F.col("memory") & (F.col("size") > F.col("m2")), "m2", "in2", budget, "cut2")
+    action = F.when(~F.col("in1"), "deferred").when(~F.col("in2"), "demoted").when(F.col("cut2"), "truncated_aggressive").when(F.col("cut1"), "truncated").otherwise("keep")
+    s = s.withColumn("action", action).withColumn("cut", F.when(~F.col("in2"), F.lit(0)).when(F.col("cut2"), F.col("m2")).when(F.col("cut1"), F.col("m1")))
+    kept = F.when(~F.col("in2"), F.lit(0)).otherwise(F.coalesce(F.col("cut") + mark, F.col("n"))).cast("long")
+    place = F.struct(F.when(F.col("first"), F.col("p")).alias("p"), "seq", "name", "n")
+    return s.select("payload_id", "seq", "name", "content", "n", "action", "cut", kept.alias("kept"), place.alias("place"))
+
+
+def compress(sections: DataFrame, budget: int = K.BUDGET_CHARS, mild: float = K.MILD, auto: float = K.AUTO) -> DataFrame:
+    """payload_id, seq, action, kept: sections (payload_id, seq, content, priority, category, perhaps name) under a budget.
+
+    In order of priority (ties by seq). Over the mild limit, sections of priority 9 and more are deferred once what stands
+    before them is over the budget, and memory sections of priority 5 and more are cut, to the lesser of a share and a cap,
+    until the total fits. If it is still over the auto limit, the same is done to priority 7 and more, and memory of any
+    priority is cut harder, until the budget is met; sizes count as they were before the first cuts. A cut section ends in
+    a mark with its name, so cutting a short one can make it longer. Null content is empty, a null priority 5, a null
+    category memory, a null name the seq; payloads that fit keep all."""
+    return _planned(sections, budget, mild, auto).select("payload_id", "seq", "action", "kept")
+
+
+def injection(sections: DataFrame, budget: int = K.BUDGET_CHARS, mild: float = K.MILD, auto: float = K.AUTO) -> DataFrame:
+    """payload_id, text, injected, pct, sections, saved, actions: the prompt of each payload after compression, blank
+    sections left out, with its report. injected and pct count what stays by its size before cutting; saved is what the
+    actions took off. A payload without any section that stays has an empty text."""
+    s = _planned(sections, budget, mild, auto)
+    stays = ~F.col("action").isin("deferred", "demoted")
+    part = F.when(F.col("cut").isNull(), F.col("content")).otherwise(F.concat(F.expr("left(content, cast(cut AS int))"), F.lit(REF_HEAD), "name", F.lit(REF_TAIL)))
+    part = F.when(stays & part.rlike(r"\S"), F.struct("place", part.alias("part")))
+    g = s.groupBy("payload_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["part"]), "\n\n").alias("text"),
+        F.sum(F.when(stays, F.col("n")).otherwise(0)).alias("injected"), F.count_if(stays).alias("sections"),
+        F.sum(F.col("n") - F.col("kept")).alias("saved"), F.count_if(F.col("action") != "keep").alias("actions"),
+    )
+    return g.withColumn("pct", F.bround(F.least(F.col("injected") * 100.0 / budget, F.lit(100.0)), 1))
+
+
+def cut_originals(sections: DataFrame, budget: int = K.BUDGET_CHARS, mild: float = K.MILD, auto: float = K.AUTO) -> DataFrame:
+    """payload_id, name, content: the whole texts of the sections that were cut, for `sinks.save_refs`; the marks name them."""
+    s = _planned(sections, budget, mild, auto)
+    return s.where(F.col("action").isin("truncated", "truncated_aggressive")).select("payload_id", "name", "content")
+
+
+def running_truncation(sections: DataFrame, limit: int, keep: float, cap: int) -> DataFrame:
     """payload_id, seq, cut_to: sections in order of (priority, seq) are cut while the total without what earlier cuts
-    saved is over the limit; a running sum instead of a loop."""
-    cut = F.greatest(F.lit(least), F.floor(F.length("content") * keep)).cast("long")
+    saved is over the limit, to the lesser of a share and a cap; a running sum instead of a loop."""
+    cut = F.least(F.lit(cap), F.floor(F.length("content") * keep)).cast("long")
     s = sections.withColumn("n", F.length("content").cast("long")).withColumn("saved", F.greatest(F.col("n") - cut, F.lit(0)))
     order = Window.partitionBy("payload_id").orderBy("priority", "seq")
     s = s.withColumn("total", F.sum("n").over(Window.partitionBy("payload_id"))).withColumn("before", F.coalesce(F.sum("saved").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

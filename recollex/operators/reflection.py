@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollex import consts as K
@@ -80,22 +79,29 @@ def lesson_counts(seen: DataFrame) -> DataFrame:
 
 
 def learn(seen: DataFrame, least: float = K.LESSON_OVERLAP) -> DataFrame:
-    """user_id, lesson_id, lesson, count, promoted: per user, lessons (user_id, seq, lesson) fold in order into the first
-    similar one. A user's lessons are short and few; users are dealt apart."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[list] = []
-        for r in pdf.sort_values("seq").itertuples():
-            mine = {c for c in r.lesson if "一" <= c <= "鿿"}
-            for k in kept:
-                if k[0] == r.lesson or (mine and k[1] and len(mine & k[1]) / max(len(mine), len(k[1])) > least):
-                    k[2] += 1
-                    break
-            else:
-                kept.append([r.lesson, mine, 1])
-        return pd.DataFrame([(pdf.user_id.iloc[0], f"LSN-{i + 1:03d}", k[0], k[2], k[2] >= K.LESSON_PROMOTE) for i, k in enumerate(kept)], columns=["user_id", "lesson_id", "lesson", "count", "promoted"])
-
-    return seen.groupBy("user_id").applyInPandas(fold, "user_id long, lesson_id string, lesson string, count long, promoted boolean")
+    """user_id, lesson_id, lesson, count, promoted: per user, lessons (user_id, seq, lesson; ties by lesson) fold in order
+    into the first kept one whose CJK characters they share by more than `least` of the larger set; the rest are kept.
+
+    Lessons of the same characters have the same fate, so they are counted before the shuffle and folded once; those
+    without CJK characters are like equal ones only, and need no fold. What is folded per user is one row per distinct set
+    of characters, in the JVM. Null lessons teach nothing."""
+    chars = F.array_sort(F.array_distinct(text.find_all(F.col("lesson"), text.CJK)))
+    s = seen.where("lesson IS NOT NULL").select("user_id", "seq", "lesson", chars.alias("chars"))
+    s = s.withColumn("same", F.when(F.size("chars") == 0, F.col("lesson")))
+    sets = s.groupBy("user_id", "chars", "same").agg(F.min(F.struct("seq", "lesson")).alias("at"), F.count("*").alias("n"))
+    sets = sets.select("user_id", F.struct("at", "chars", "n").alias("x"))
+
+    def fold(kept, x):
+        shared = lambda k: F.size(F.array_intersect(k["chars"], x["chars"])) / F.greatest(F.size(k["chars"]), F.size(x["chars"]))
+        hit = F.coalesce(F.array_position(F.transform(kept, lambda k: shared(k) > least), F.lit(True)), F.lit(0))
+        more = F.transform(kept, lambda k, i: F.struct(k["at"].alias("at"), k["chars"].alias("chars"), F.when(i + 1 == hit, k["n"] + x["n"]).otherwise(k["n"]).alias("n")))
+        return F.when(hit == 0, F.concat(kept, F.array(x))).otherwise(more)
+
+    cjk = sets.where(F.size("x.chars") > 0).groupBy("user_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    folded = cjk.select("user_id", F.explode(F.aggregate("xs", F.slice("xs", 1, 0), fold)).alias("x"))
+    kept = sets.where(F.size("x.chars") == 0).unionByName(folded)
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("x.at"))
+    return kept.select("user_id", F.format_string("LSN-%03d", place).alias("lesson_id"), "x.at.lesson", F.col("x.n").alias("count"), (F.col("x.n") >= K.LESSON_PROMOTE).alias("promoted"))
 
 
 def profiles(messages: DataFrame) -> DataFrame:

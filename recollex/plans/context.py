@@ -15,12 +15,12 @@ from recollex.tables import table
 
 QUERIES, ORACLE_SQL, query = register()
 
-_SEC = "sec AS (SELECT conv_id AS payload_id, turn AS seq, text AS content, (turn * 3) % 11 AS priority, CASE role WHEN 'assistant' THEN 'memory' ELSE role END AS category FROM conversations)"
+_SEC = "sec AS (SELECT conv_id AS payload_id, turn AS seq, text AS content, (turn * 3) % 11 AS priority, CASE role WHEN 'assistant' THEN 'memory' ELSE role END AS category, role || '-' || CAST(turn AS VARCHAR) AS name FROM conversations)"
 
 
 def _sections(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    return c.select(F.col("conv_id").alias("payload_id"), F.col("turn").alias("seq"), F.col("text").alias("content"), (F.col("turn") * 3 % 11).alias("priority"), F.when(F.col("role") == "assistant", "memory").otherwise(F.col("role")).alias("category"))
+    return c.select(F.col("conv_id").alias("payload_id"), F.col("turn").alias("seq"), F.col("text").alias("content"), (F.col("turn") * 3 % 11).alias("priority"), F.when(F.col("role") == "assistant", "memory").otherwise(F.col("role")).alias("category"), F.concat("role", F.lit("-"), F.col("turn").cast("string")).alias("name"))
 
 
 _LEVEL = "CASE WHEN total / 2000.0 >= 1 THEN 'over' WHEN total / 2000.0 >= 0.85 THEN 'auto' WHEN total / 2000.0 >= 0.7 THEN 'mild' ELSE 'ok' END"
@@ -31,14 +31,53 @@ def context_levels(spark, sf_dir):
     return C.payload_levels(_sections(spark, sf_dir))
 
 
-@query("context_compress")
+def compress_sql(sec: str, budget: int = 2000) -> str:
+    """CTEs that walk the two tiers section by section: `done` has payload_id, seq, k, n, action, kept, txt of a CTE `sec`."""
+    mild, auto = budget * 7 // 10, budget * 85 // 100
+
+    def admitted(name: str, rows: str, yes: str) -> str:
+        """name: payload_id, k, kept, yes; a section joins what is kept so far if `yes` holds."""
+        return f"""{name} AS (SELECT DISTINCT payload_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS kept, true AS yes FROM {rows}
+ UNION ALL SELECT x.payload_id, x.k, CASE WHEN x.ok THEN x.kept + x.n ELSE x.kept END, x.ok FROM (SELECT r.*, w.kept, {yes.format("w.kept")} AS ok FROM {name} w JOIN {rows} r ON r.payload_id = w.payload_id AND r.k = w.k + 1) x)"""
+
+    def cut(name: str, rows: str, admit: str, most: str, does: str) -> str:
+        """name: payload_id, k, total, cut; a section is cut to `most` if `does` holds, and the total falls by what that saves."""
+        return f"""{name} AS (SELECT payload_id, CAST(0 AS BIGINT) AS k, CAST(max(kept) AS BIGINT) AS total, CAST(NULL AS BIGINT) AS cut FROM {admit} GROUP BY payload_id
+ UNION ALL SELECT x.payload_id, x.k, CASE WHEN x.does THEN x.total - (x.n - x.m - x.mark) ELSE x.total END, CASE WHEN x.does THEN x.m END
+ FROM (SELECT r.*, w.total, {most} AS m, y.yes AND r.category = 'memory' AND {does.format("w.total")} AS does FROM {name} w JOIN {rows} r ON r.payload_id = w.payload_id AND r.k = w.k + 1 JOIN {admit} y ON y.payload_id = r.payload_id AND y.k = r.k) x)"""
+
+    return f"""{sec}, o AS (SELECT *, length(content) AS n, 10 + length(name) AS mark, CAST(floor(length(content) * 0.6::DOUBLE) AS BIGINT) AS share1, CAST(floor(length(content) * 0.3::DOUBLE) AS BIGINT) AS share2,
+ row_number() OVER (PARTITION BY payload_id ORDER BY priority, seq) AS k, sum(length(content)) OVER (PARTITION BY payload_id) > {mild} AS first FROM sec),
+{admitted("a1", "o", "r.priority < 9 OR NOT r.first OR {0} <= " + str(budget))},
+{cut("c1", "o", "a1", "least(r.share1, 200)", "r.first AND r.priority >= 5 AND {0} > " + str(mild) + " AND r.n > least(r.share1, 200)")},
+t AS (SELECT o.*, c1.cut AS cut1, a1.yes AS in1, coalesce(c1.cut + o.mark, o.n) AS size, o.first AND last_value(c1.total) OVER (PARTITION BY o.payload_id ORDER BY o.k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) > {auto} AS second FROM o JOIN c1 USING (payload_id, k) JOIN a1 USING (payload_id, k)),
+{admitted("a2", "t", "r.in1 AND (r.priority < 7 OR NOT r.second OR {0} <= " + str(budget) + ")")},
+{cut("c2", "t", "a2", "least(r.share2, 100)", "r.second AND {0} > " + str(budget) + " AND r.size > least(r.share2, 100)")},
+done AS (SELECT payload_id, seq, k, n, first, CASE WHEN NOT in1 THEN 'deferred' WHEN NOT a2.yes THEN 'demoted' WHEN c2.cut IS NOT NULL THEN 'truncated_aggressive' WHEN cut1 IS NOT NULL THEN 'truncated' ELSE 'keep' END AS action,
+ CASE WHEN NOT a2.yes THEN 0 ELSE coalesce(coalesce(c2.cut, cut1) + mark, n) END AS kept,
+ CASE WHEN NOT a2.yes THEN NULL WHEN coalesce(c2.cut, cut1) IS NULL THEN content ELSE substr(content, 1, coalesce(c2.cut, cut1)) || '… [↩ ref:' || name || ']' END AS txt
+ FROM t JOIN a2 USING (payload_id, k) JOIN c2 USING (payload_id, k))"""
+
+
+@query("context_compress", f"WITH RECURSIVE {compress_sql(_SEC)} SELECT payload_id, seq, action, kept FROM done")
 def context_compress(spark, sf_dir):
     return C.compress(_sections(spark, sf_dir))
 
 
-@query("truncation_running_budget", f"WITH {_SEC}, n AS (SELECT *, length(content) AS n, greatest(length(content) - greatest(200, CAST(floor(length(content) * 0.6) AS BIGINT)), 0) AS saved FROM sec), b AS (SELECT *, sum(n) OVER (PARTITION BY payload_id) AS total, coalesce(sum(saved) OVER (PARTITION BY payload_id ORDER BY priority, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n) SELECT payload_id, seq, CAST(CASE WHEN total - before > 1400 AND saved > 0 THEN n - saved ELSE n END AS BIGINT) AS cut_to FROM b")
+_PARTS = "coalesce(string_agg(txt, chr(10) || chr(10) ORDER BY CASE WHEN first THEN k ELSE seq END) FILTER (regexp_matches(txt, '\\S')), '')"
+_STAYS = "coalesce(sum(n) FILTER (txt IS NOT NULL), 0)"
+
+
+@query("context_injection", f"WITH RECURSIVE {compress_sql(_SEC, 600)} SELECT payload_id, sha256({_PARTS}) AS text_sha256, CAST({_STAYS} AS BIGINT) AS injected, round_even(least({_STAYS} * 100.0 / 600, 100.0), 1) AS pct, count(txt) AS sections, CAST(sum(n - kept) AS BIGINT) AS saved, count(*) FILTER (action <> 'keep') AS actions FROM done GROUP BY payload_id")
+def context_injection(spark, sf_dir):
+    """Each conversation as a prompt of 600 characters, with the report of what was cut."""
+    i = C.injection(_sections(spark, sf_dir), 600)
+    return i.select("payload_id", F.sha2("text", 256).alias("text_sha256"), "injected", "pct", "sections", "saved", "actions")
+
+
+@query("truncation_running_budget", f"WITH {_SEC}, n AS (SELECT *, length(content) AS n, greatest(length(content) - least(200, CAST(floor(length(content) * 0.6) AS BIGINT)), 0) AS saved FROM sec), b AS (SELECT *, sum(n) OVER (PARTITION BY payload_id) AS total, coalesce(sum(saved) OVER (PARTITION BY payload_id ORDER BY priority, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n) SELECT payload_id, seq, CAST(CASE WHEN total - before > 1400 AND saved > 0 THEN n - saved ELSE n END AS BIGINT) AS cut_to FROM b")
 def truncation_running_budget(spark, sf_dir):
-    return C.running_truncation(_sections(spark, sf_dir), 1400, K.MILD_KEEP, K.MILD_MIN)
+    return C.running_truncation(_sections(spark, sf_dir), 1400, K.MILD_KEEP, K.MILD_CAP)
 
 
 def _turns(spark, sf_dir):

@@ -104,7 +104,16 @@ def lesson_similarity_pairs(spark, sf_dir):
     return p.select("a", "b", F.round("overlap", 6).alias("overlap"))
 
 
-@query("learn_lessons")
+#: One user turn after the other: a list of kept lessons grows, or one of them is counted again.
+_LEARN = f"""seen AS (SELECT CAST(floor(id / 100) AS BIGINT) AS user_id, id AS seq, {_LESSON} AS lesson FROM (SELECT id, text, {_HITS} AS h FROM (SELECT id, text, {_LAST} AS l FROM texts)) WHERE len(h) > 0),
+ls AS (SELECT *, list_distinct(regexp_extract_all(lesson, '{S.CJK}')) AS c, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS k FROM seen),
+w AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(lesson VARCHAR, c VARCHAR[], n BIGINT)[]) AS kept FROM ls
+ UNION ALL SELECT user_id, k, CASE WHEN hit IS NULL OR hit = 0 THEN list_append(kept, {{'lesson': lesson, 'c': c, 'n': CAST(1 AS BIGINT)}}) ELSE list_transform(kept, lambda v, i: {{'lesson': v.lesson, 'c': v.c, 'n': v.n + CASE WHEN i = hit THEN 1 ELSE 0 END}}) END
+ FROM (SELECT ls.*, w.kept, list_position(list_transform(w.kept, lambda v: v.lesson = ls.lesson OR CASE WHEN len(v.c) > 0 AND len(ls.c) > 0 THEN len(list_intersect(v.c, ls.c)) / greatest(len(v.c), len(ls.c)) > 0.3 ELSE false END), true) AS hit FROM w JOIN ls ON ls.user_id = w.user_id AND ls.k = w.k + 1)),
+fin AS (SELECT user_id, max_by(kept, k) AS kept FROM w GROUP BY user_id), one AS (SELECT user_id, unnest(range(1, len(kept) + 1)) AS i, unnest(kept) AS x FROM fin)"""
+
+
+@query("learn_lessons", f"WITH RECURSIVE {texts_sql('conversations')}, {_LEARN} SELECT user_id, printf('LSN-%03d', i) AS lesson_id, x.lesson AS lesson, x.n AS count, x.n >= 3 AS promoted FROM one")
 def learn_lessons(spark, sf_dir):
     t = texts(spark, sf_dir, "conversations").where(F.size(text.correction_signals(F.col("text"))) > 0)
     return R.learn(t.select(F.floor(F.col("id") / 100).alias("user_id"), F.col("id").alias("seq"), text.lesson(F.col("text")).alias("lesson")))

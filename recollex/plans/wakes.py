@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from recollex.plans.context import _ROUNDS, compress_sql
 from recollex.plans.lifecycle import _GREEDY, _LIFE, FATE, _life
 from recollex.plans.register import register
 from recollex.plans.wake import wake
@@ -24,7 +25,15 @@ def wake_report(spark, sf_dir):
     return _wake(spark, sf_dir).report
 
 
-@query("wake_actions")
+#: The five newest active memories and the newest session's bridge, as sections of one prompt.
+_SECTIONS = f"""{_LIFE}, {_ROUNDS}, lines AS (SELECT r.*, '[' || CAST(place AS VARCHAR) || '] ' AS head FROM rounds r WHERE place <= 3 AND session_id = (SELECT max(conv_id) FROM conversations)),
+bridge AS (SELECT 'Topic: ' || (SELECT substr(min_by(text, turn), 1, 60) FROM conversations WHERE role = 'user' AND conv_id = (SELECT max(conv_id) FROM conversations)) || chr(10)
+ || string_agg(head || 'user: ' || substr("user", 1, 80) || coalesce(chr(10) || head || 'assistant: ' || substr(assistant, 1, 80), ''), chr(10) ORDER BY place DESC) AS content FROM lines),
+newest AS (SELECT substr(summary, 1, 500) AS content, row_number() OVER (ORDER BY ts DESC, memory_id DESC) AS seq FROM fate WHERE decision NOT IN ('demote', 'archive', 'stays_demoted')),
+sec AS (SELECT CAST(0 AS BIGINT) AS payload_id, seq, content, 5 AS priority, 'memory' AS category, CAST(seq AS VARCHAR) AS name FROM newest WHERE seq <= 5 UNION ALL SELECT 0, 0, content, 2, 'bridge', '0' FROM bridge WHERE content IS NOT NULL)"""
+
+
+@query("wake_actions", f"WITH RECURSIVE {compress_sql(_SECTIONS)} SELECT payload_id, seq, action, kept FROM done")
 def wake_actions(spark, sf_dir):
     return _wake(spark, sf_dir).actions
 

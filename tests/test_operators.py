@@ -152,7 +152,10 @@ def test_compress_levels(spark):
 
     assert run([(700, 1, "rules"), (700, 9, "memory")]) == {0: ("keep", 700), 1: ("keep", 700)}
     out = run([(900, 1, "rules"), (600, 5, "memory"), (300, 10, "extra"), (500, 9, "extra")])
-    assert sum(k for _, k in out.values()) <= 0.85 * 2000 and out[0] == ("keep", 900)
+    assert out == {0: ("keep", 900), 1: ("truncated_aggressive", 111), 2: ("keep", 300), 3: ("keep", 500)}
+    out = run([(900, 1, "rules"), (700, 5, "memory"), (600, 9, "extra"), (50, 10, "extra")])
+    assert out == {0: ("keep", 900), 1: ("truncated_aggressive", 111), 2: ("keep", 600), 3: ("deferred", 0)}
+    assert run([(1500, 1, "rules"), (3, 6, "memory"), (9, 6, "rules")])[1] == ("truncated", 12)  # the mark is longer than what it saves
 
 
 def test_levels(spark):
