@@ -41,13 +41,41 @@ def report(notes: DataFrame, most: int = 5) -> DataFrame:
     return lines.unionByName(links).unionByName(n.select(F.lit("summary").alias("kind"), text_of(F.col("c"), F.lit(" conflicts, "), F.col("k"), F.lit(" links")).alias("line")))
 
 
+def lesson_classes(lessons: DataFrame, least: float = K.LESSON_OVERLAP) -> tuple[DataFrame, DataFrame]:
+    """Classes of lessons (id, lesson) with the same CJK characters, named by their least id: (id, rep) of all that have
+    any, and (ra, rb, overlap) of pairs ra < rb of classes whose shared characters are more than `least` of the larger set.
+
+    Characters are ranked, rare ones first. A set of n characters can only be close to another if they share more than
+    least * n, so they share one of the first n - floor(least * n) of each; only these are joined, on characters and sizes
+    that can be close, and each pair is compared once. Copies of a lesson are one row in all joins. Null lessons have no
+    characters; rows that share an id may be in more than one class."""
+    t = float(least)
+    chars = F.array_sort(F.array_distinct(text.find_all(F.col("lesson"), text.CJK)))
+    c = lessons.select("id", chars.alias("k")).where(F.size("k") > 0)
+    named = staged(c.groupBy("k").agg(F.min("id").alias("id")).select(F.concat_ws("", "k").alias("word"), "id", "k", F.size("k").alias("n")), "lesson_sets")
+    members = c.select("id", F.concat_ws("", "k").alias("word")).join(named.select("word", F.col("id").alias("rep")), "word").select("id", "rep")
+    each = named.select("word", "id", "n", F.explode("k").alias("w"))
+    ranks = each.groupBy("w").agg(F.count("*").alias("df"))
+    order = each.join(ranks, "w").groupBy("word", "id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"))
+    first = order.select("word", "id", "n", F.explode(F.slice("o", 1, F.col("n") - F.floor(F.col("n") * t + 1e-9).cast("int"))).alias("x"))
+    first = staged(first.select("word", "id", "n", F.col("x.w").alias("w")), "lesson_prefixes")
+    a, b = first.alias("a"), first.alias("b")
+    near = (F.col("a.w") == F.col("b.w")) & (F.struct("a.id", "a.word") < F.struct("b.id", "b.word")) & (F.least("a.n", "b.n") > F.greatest("a.n", "b.n") * t - 1e-9)
+    met = a.join(b, near).select(F.col("a.word").alias("wa"), F.col("b.word").alias("wb")).distinct()
+    side = lambda x: named.select(F.col("word").alias("w" + x), F.col("id").alias("r" + x), F.col("k").alias("k" + x))
+    both = met.join(side("a"), "wa").join(side("b"), "wb")
+    overlap = F.size(F.array_intersect("ka", "kb")) / F.greatest(F.size("ka"), F.size("kb"))
+    return members, both.select("ra", "rb", overlap.alias("overlap")).where(F.col("overlap") > t)
+
+
 def lesson_pairs(lessons: DataFrame, least: float = K.LESSON_OVERLAP) -> DataFrame:
-    """a, b, overlap: lessons (id, lesson) whose shared CJK characters are more than `least` of the larger set."""
-    chars = lessons.select("id", F.array_distinct(text.find_all(F.col("lesson"), text.CJK)).alias("c")).where(F.size("c") > 0)
-    e = chars.select("id", F.size("c").alias("n"), F.explode("c").alias("w"))
-    a, b = e.alias("a"), e.alias("b")
-    met = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.id") < F.col("b.id"))).groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg((F.count("*") / F.greatest(F.first("a.n"), F.first("b.n"))).alias("overlap"))
-    return met.where(F.col("overlap") > least)
+    """a, b, overlap: all pairs of lessons (id, lesson; ids differ) whose shared CJK characters are more than `least` of
+    the larger set. n copies make n (n - 1) / 2 of them; what needs no pairs takes `lesson_classes`."""
+    members, close = lesson_classes(lessons, least)
+    of = lambda r, c: members.select(F.col("rep").alias(r), F.col("id").alias(c))
+    across = close.join(of("ra", "x"), "ra").join(of("rb", "y"), "rb").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "overlap")
+    same = of("r", "a").join(of("r", "b"), "r").where("a < b").select("a", "b", F.lit(1.0).alias("overlap"))
+    return across.unionByName(same)
 
 
 #: Heads of messages that are no trigger words.

@@ -98,12 +98,33 @@ def lesson_promotion(spark, sf_dir):
     return _lessons(spark, sf_dir)
 
 
-@query("lesson_similarity_pairs", f"WITH {FIXTURES_SQL}, c AS (SELECT id, list_distinct(regexp_extract_all(text, '{S.CJK}')) AS c FROM fixtures), e AS (SELECT id, len(c) AS n, unnest(c) AS w FROM c) SELECT a.id AS a, b.id AS b, round(count(*) / greatest(any_value(a.n), any_value(b.n)), 6) AS overlap FROM e a JOIN e b ON a.w = b.w AND a.id < b.id GROUP BY 1, 2 HAVING count(*) / greatest(any_value(a.n), any_value(b.n)) > 0.15")
+#: The tables have no CJK texts, so each word of a user turn is written as the sign that its digest names, of 20,000.
+_SIGNED = f"""{FIXTURES_SQL}, signed AS (SELECT id, text AS lesson FROM fixtures UNION ALL SELECT conv_id * 100 + turn, array_to_string(list_transform(string_split(text, ' '), lambda w: chr(CAST(19968 + CAST('0x' || substr(md5(w), 1, 4) AS BIGINT) % 20000 AS INTEGER))), '') FROM conversations WHERE role = 'user')"""
+
+
+def _signed(spark, sf_dir):
+    code = lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 4), 16, 10).cast("long") % 20000 + 19968
+    sign = lambda w: F.decode(F.unhex(F.hex(code(w))), "UTF-16BE")
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
+    lesson = F.array_join(F.transform(F.split("text", " "), sign), "")
+    return fixtures(spark).withColumnRenamed("text", "lesson").unionByName(turns.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), lesson.alias("lesson")))
+
+
+@query("lesson_similarity_pairs", f"WITH {_SIGNED}, c AS (SELECT id, list_distinct(regexp_extract_all(lesson, '{S.CJK}')) AS c FROM signed), e AS (SELECT id, len(c) AS n, unnest(c) AS w FROM c) SELECT a.id AS a, b.id AS b, round(count(*) / greatest(any_value(a.n), any_value(b.n)), 6) AS overlap FROM e a JOIN e b ON a.w = b.w AND a.id < b.id GROUP BY 1, 2 HAVING count(*) / greatest(any_value(a.n), any_value(b.n)) > 0.15")
 def lesson_similarity_pairs(spark, sf_dir):
-    p = R.lesson_pairs(fixtures(spark).withColumnRenamed("text", "lesson"), 0.15)
+    """Pairs of lessons that share signs; a turn's lesson has a sign for each of its words."""
+    p = R.lesson_pairs(_signed(spark, sf_dir), 0.15)
     return p.select("a", "b", F.round("overlap", 6).alias("overlap"))
 
 
+@query("lesson_classes", f"WITH {_SIGNED}, c AS (SELECT id, list_sort(list_distinct(regexp_extract_all(lesson, '{S.CJK}'))) AS c FROM signed), r AS (SELECT id, c, min(id) OVER (PARTITION BY c) AS rep FROM c WHERE len(c) > 0), e AS (SELECT id, len(c) AS n, unnest(c) AS w FROM r WHERE id = rep), m AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.w = b.w AND a.id <> b.id GROUP BY 1, 2 HAVING count(*) / greatest(any_value(a.n), any_value(b.n)) > 0.15), k AS (SELECT a, count(*) AS links FROM m GROUP BY a) SELECT id, rep, coalesce(links, 0) AS links FROM r LEFT JOIN k ON a = rep")
+def lesson_classes(spark, sf_dir):
+    """Each lesson's class and the number of other classes that are close to it; copies make no pairs."""
+    members, close = R.lesson_classes(_signed(spark, sf_dir), 0.15)
+    links = close.select(F.explode(F.array("ra", "rb")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+    return members.join(links, "rep", "left").select("id", "rep", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 #: One user turn after the other: a list of kept lessons grows, or one of them is counted again.
 _LEARN = f"""seen AS (SELECT CAST(floor(id / 100) AS BIGINT) AS user_id, id AS seq, {_LESSON} AS lesson FROM (SELECT id, text, {_HITS} AS h FROM (SELECT id, text, {_LAST} AS l FROM texts)) WHERE len(h) > 0),
 ls AS (SELECT *, list_distinct(regexp_extract_all(lesson, '{S.CJK}')) AS c, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS k FROM seen),

@@ -13,7 +13,7 @@ from recollex.plans import sqltext as S
 from recollex.plans.context import _LEVEL, _ROUNDS, _SEC, _SESS, _sections, _sessions, _turns
 from recollex.plans.register import register
 from recollex.plans.reflection import _SEEN, _lessons
-from recollex.tables import FIXTURES_SQL, fixtures, quoted, table, texts, texts_sql
+from recollex.tables import quoted, table, texts, texts_sql
 
 QUERIES, ORACLE_SQL, query = register()
 
@@ -104,13 +104,15 @@ def behavior_rules(spark, sf_dir):
     return R.behavior_rules(_lessons(spark, sf_dir))
 
 
-_FEW = f"c AS (SELECT substr(text, 1, 3) AS lesson, least(count(*), 2) AS n FROM fixtures GROUP BY 1)"
+#: Lessons as customers' names for events, each at most twice, so that none is promoted.
+_FEW = "l AS (SELECT event_type || '/' || CAST(user_id AS VARCHAR) AS lesson, count(*) AS n FROM events GROUP BY 1), c AS (SELECT lesson, least(n, 2) AS n FROM l)"
 
 
-@query("behavior_rules_pending", f"WITH {FIXTURES_SQL}, {_FEW} SELECT 'pending' AS kind, '- ' || lesson || ' (2 times)' AS line FROM c WHERE n = 2")
+@query("behavior_rules_pending", f"WITH {_FEW} SELECT 'pending' AS kind, '- ' || lesson || ' (2 times)' AS line FROM c WHERE n = 2")
 def behavior_rules_pending(spark, sf_dir):
     """No lesson is promoted here, so those seen twice show as pending."""
-    c = fixtures(spark).groupBy(F.substring("text", 1, 3).alias("lesson")).agg(F.least(F.count("*"), F.lit(2)).alias("count"))
+    e = table(spark, sf_dir, "events")
+    c = e.groupBy(F.concat("event_type", F.lit("/"), F.col("user_id").cast("string")).alias("lesson")).agg(F.least(F.count("*"), F.lit(2)).alias("count"))
     return R.behavior_rules(c.withColumn("promoted", F.lit(False)))
 
 

@@ -101,3 +101,26 @@ def test_learn_equals_loop(spark):
         found.setdefault(r.user_id, []).append((r.lesson_id, r.lesson, r["count"], r.promoted))
     assert found == {u: _learn(xs) for u, xs in users.items()}
     assert reflection.learn(seen.limit(0)).collect() == []
+
+
+def test_lesson_classes_equal_all_pairs(spark):
+    rnd = random.Random(3)
+    signs = "一丁七万丈三上下不与丐丑专且世丘丙业丛东"
+    lessons = [(i, "".join(rnd.choice(signs) for _ in range(rnd.randint(0, 7)))) for i in range(300)]
+    lessons += [(1000 + i, "一一丁七") for i in range(2000)] + [(5000, None), (5001, "plain"), (5002, "")]
+    df = spark.createDataFrame(lessons, "id long, lesson string")
+    sets = {i: frozenset(c for c in x or "" if "一" <= c <= "鿿") for i, x in lessons}
+    for least in (0.0, 0.3, 0.75, 0.9):
+        reps = {}
+        for i, k in sorted(sets.items()):
+            if k:
+                reps.setdefault(k, i)
+        members, close = reflection.lesson_classes(df, least)
+        assert {(r.id, r.rep) for r in members.collect()} == {(i, reps[k]) for i, k in sets.items() if k}
+        line = sorted(reps.items(), key=lambda x: x[1])
+        want = {(a, b): len(x & y) / max(len(x), len(y)) for p, (x, a) in enumerate(line) for y, b in line[p + 1 :] if len(x & y) / max(len(x), len(y)) > least}
+        assert {(r.ra, r.rb): r.overlap for r in close.collect()} == want
+    few = df.where("id < 60")
+    want = {(a, b) for a in range(60) for b in range(a + 1, 60) if sets[a] and sets[b] and len(sets[a] & sets[b]) / max(len(sets[a]), len(sets[b])) > 0.3}
+    assert {(r.a, r.b) for r in reflection.lesson_pairs(few).collect()} == want
+    assert reflection.lesson_pairs(df.limit(0)).collect() == []
