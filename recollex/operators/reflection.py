@@ -47,7 +47,7 @@ def lesson_classes(lessons: DataFrame, least: float = K.LESSON_OVERLAP) -> tuple
 
     Characters are ranked, rare ones first. A set of n characters can only be close to another if they share more than
     least * n, so they share one of the first n - floor(least * n) of each; only these are joined, on characters and sizes
-    that can be close, and each pair is compared once. Copies of a lesson are one row in all joins. Null lessons have no
+    that can be close, and each pair is compared once, where its first shared sign brings it together, so no pairs move. Copies of a lesson are one row in all joins. Null lessons have no
     characters; rows that share an id may be in more than one class."""
     t = float(least)
     chars = F.array_sort(F.array_distinct(text.find_all(F.col("lesson"), text.CJK)))
@@ -57,15 +57,17 @@ def lesson_classes(lessons: DataFrame, least: float = K.LESSON_OVERLAP) -> tuple
     each = named.select("word", "id", "n", F.explode("k").alias("w"))
     ranks = each.groupBy("w").agg(F.count("*").alias("df"))
     order = each.join(ranks, "w").groupBy("word", "id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"))
-    first = order.select("word", "id", "n", F.explode(F.slice("o", 1, F.col("n") - F.floor(F.col("n") * t + 1e-9).cast("int"))).alias("x"))
-    first = staged(first.select("word", "id", "n", F.col("x.w").alias("w")), "lesson_prefixes")
+    rank = F.transform("o", lambda x: F.ascii(x["w"]))  # a sign's code point: the order is kept, the rows are short
+    first = order.select("word", "id", "n", rank.alias("o"))
+    first = first.select("word", "id", "n", "o", F.posexplode(F.slice("o", 1, F.col("n") - F.floor(F.col("n") * t + 1e-9).cast("int"))).alias("p", "w"))
+    first = staged(first, "lesson_prefixes")
     a, b = first.alias("a"), first.alias("b")
-    near = (F.col("a.w") == F.col("b.w")) & (F.struct("a.id", "a.word") < F.struct("b.id", "b.word")) & (F.least("a.n", "b.n") > F.greatest("a.n", "b.n") * t - 1e-9)
-    met = a.join(b, near).select(F.col("a.word").alias("wa"), F.col("b.word").alias("wb")).distinct()
-    side = lambda x: named.select(F.col("word").alias("w" + x), F.col("id").alias("r" + x), F.col("k").alias("k" + x))
-    both = met.join(side("a"), "wa").join(side("b"), "wb")
-    overlap = F.size(F.array_intersect("ka", "kb")) / F.greatest(F.size("ka"), F.size("kb"))
-    return members, both.select("ra", "rb", overlap.alias("overlap")).where(F.col("overlap") > t)
+    most = F.greatest("a.n", "b.n")
+    # p signs lie before the shared one; the pair is met at its first shared sign only, where enough signs must be left
+    near = (F.col("a.w") == F.col("b.w")) & (F.struct("a.id", "a.word") < F.struct("b.id", "b.word")) & (F.least(F.col("a.n") - F.col("a.p"), F.col("b.n") - F.col("b.p")) > most * t - 1e-9)
+    met = a.join(b, near).where(~F.arrays_overlap(F.slice("a.o", 1, F.col("a.p")), F.slice("b.o", 1, F.col("b.p"))))
+    overlap = F.size(F.array_intersect("a.o", "b.o")) / most
+    return members, met.select(F.col("a.id").alias("ra"), F.col("b.id").alias("rb"), overlap.alias("overlap")).where(F.col("overlap") > t)
 
 
 def lesson_pairs(lessons: DataFrame, least: float = K.LESSON_OVERLAP) -> DataFrame:
