@@ -209,3 +209,14 @@ def test_search_by_display_names(spark):
     found = kg.search(rel.where("target is not null"), "about lumenltd", names=names).collect()
     assert [(r.entity, r.rn) for r in found] == [("Lumen Ltd", 1)]
     assert found[0].text.startswith("Mara Lind ") and found[0].text.endswith(" Lumen Ltd")
+
+
+def test_topics_trim_and_null_as_in_sql(spark):
+    import duckdb
+
+    from recollex.plans import sqltext
+
+    rows = ['"\u3000ab\u00a0"', "Foo\x0bBar", '"\u00a0"', 'Foo\t\nBar "\u2003x"', None, ""]
+    found = [r.x for r in spark.createDataFrame([(t,) for t in rows], "t string").select(text.topics(F.col("t")).alias("x")).collect()]
+    assert found == [duckdb.execute(f"SELECT {sqltext.topics('t')} FROM (SELECT ?::VARCHAR AS t)", [t]).fetchall()[0][0] for t in rows]
+    assert found[0] == ["ab"] and found[4] == []
