@@ -47,7 +47,7 @@ def join(times: DataFrame, intervals: DataFrame, keys: list[str] | None = None,
     An interval is cut into at most two ranges a level and a time looks up the one range of each level that it is in, so
     the join is on equal ranges, of (keys, level, range): rows that meet are results, but for those in the cells of an
     interval's ends, which are tested. Long intervals make no more rows than a few dozen, and a hot key is spread over its
-    ranges. One pass before the join finds the range of the times."""
+    ranges. One pass before the join finds the range of the times. The join is a merge of two shuffled sides."""
     keys = list(keys or [])
     lo, width = _range(times, at)
     cell = lambda micros: F.floor((micros - lo) / width)
@@ -57,7 +57,8 @@ def join(times: DataFrame, intervals: DataFrame, keys: list[str] | None = None,
     cut = intervals.withColumn("__node", F.explode(_cover(first.cast("long"), last.cast("long") + 1)))
     own = [F.struct(F.lit(level).alias("level"), F.shiftright(F.col("__cell"), level).alias("node")) for level in range(DEPTH + 1)]
     probes = times.withColumn("__cell", F.coalesce(cell(_micros(F.col(at))).cast("long"), F.lit(0))).withColumn("__node", F.explode(F.array(*own))).drop("__cell")
-    met = probes.join(cut, [*keys, "__node"]).where(F.coalesce(valid_at(F.col(at), start, stop), F.lit(False)))
+    # neither side is broadcast: Spark takes the ranges for as few rows as the intervals that they are cut from
+    met = probes.join(cut.hint("merge"), [*keys, "__node"]).where(F.coalesce(valid_at(F.col(at), start, stop), F.lit(False)))
     return met.select(*times.columns, *[c for c in intervals.columns if c not in keys])
 
 

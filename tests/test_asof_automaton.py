@@ -50,6 +50,13 @@ def test_asof_empty_and_alike(spark):
     assert asof.join(t.where("false"), v).count() == 0 and asof.counts(t.where("false"), v).count() == 0
 
 
+def test_asof_broadcasts_no_side(spark):
+    """The ranges of a table of some MB are many times the rows that Spark takes them for."""
+    t = spark.createDataFrame([(1, BASE)], "t long, at timestamp_ntz")
+    v = spark.createDataFrame([(1, BASE, None)], "r long, valid_from timestamp_ntz, valid_until timestamp_ntz")
+    assert "Broadcast" not in asof.join(t, v)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_long_intervals_make_few_rows(spark):
     v = spark.range(50).select("id", F.lit(BASE).cast("timestamp_ntz").alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_until"))
     cut = v.select(F.explode(asof._cover(F.lit(1).cast("long"), F.lit(asof.CELLS - 1).cast("long"))).alias("n"))
