@@ -50,10 +50,11 @@ def test_asof_empty_and_alike(spark):
     assert asof.join(t.where("false"), v).count() == 0 and asof.counts(t.where("false"), v).count() == 0
 
 
-def test_asof_broadcasts_no_side(spark):
+def test_asof_broadcasts_no_side(spark, tmp_path):
     """The ranges of a table of some MB are many times the rows that Spark takes them for."""
-    t = spark.createDataFrame([(1, BASE)], "t long, at timestamp_ntz")
-    v = spark.createDataFrame([(1, BASE, None)], "r long, valid_from timestamp_ntz, valid_until timestamp_ntz")
+    spark.createDataFrame([(1, BASE)], "t long, at timestamp_ntz").write.parquet(f"{tmp_path}/t")
+    spark.createDataFrame([(1, BASE, None)], "r long, valid_from timestamp_ntz, valid_until timestamp_ntz").write.parquet(f"{tmp_path}/v")
+    t, v = spark.read.parquet(f"{tmp_path}/t"), spark.read.parquet(f"{tmp_path}/v")
     assert "Broadcast" not in asof.join(t, v)._jdf.queryExecution().executedPlan().toString()
 
 
