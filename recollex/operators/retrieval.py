@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from recollex import consts as K
 from recollex.functions import text
+from recollex.staging import staged
 
 
 def term_frequencies(docs: DataFrame, terms: list[str], id_col: str = "memory_id", body: str = "summary") -> DataFrame:
@@ -130,11 +131,26 @@ def hybrid_search(memories: DataFrame, query: str, as_of: Column, k: int = 5, ga
 
 
 def connectivity(entities_by_memory: DataFrame) -> DataFrame:
-    """memory_id, neighbours, bonus: other memories that share an entity. Rows are (memory_id, entity), distinct."""
-    a, b = entities_by_memory.alias("a"), entities_by_memory.alias("b")
-    pairs = a.join(b, (F.col("a.entity") == F.col("b.entity")) & (F.col("a.memory_id") != F.col("b.memory_id"))).select(F.col("a.memory_id").alias("memory_id"), F.col("b.memory_id").alias("other")).distinct()
-    n = pairs.groupBy("memory_id").agg(F.count("*").alias("neighbours"))
-    return n.withColumn("bonus", F.least(F.col("neighbours") * K.CONNECTIVITY_STEP, F.lit(K.CONNECTIVITY_CAP)))
+    """memory_id, neighbours, bonus: other memories that share an entity. Rows are (memory_id, entity).
+
+    Memories of equal entities are one class. Another memory that shares t entities is counted t times by its entities and
+    t (t - 1) / 2 times by pairs of them; the first less the second, and (t - 1) (t - 2) / 2 more from three on, is one. So
+    the first two are plain counts of each entity and each pair, and only classes that share three entities meet at all."""
+    sets = entities_by_memory.where("memory_id is not null and entity is not null").groupBy("memory_id").agg(F.sort_array(F.collect_set("entity")).alias("e"))
+    sets = staged(sets, "entities")
+    classes = staged(sets.groupBy("e").agg(F.min("memory_id").alias("c"), F.count("*").alias("n")), "classes")
+    one = classes.select("c", "n", F.explode("e").alias("x"))
+    of_one = one.join(one.groupBy("x").agg(F.sum("n").alias("k")), "x").select("c", "k")
+    firsts = classes.where(F.size("e") >= 2).select("c", "n", "e", F.posexplode("e").alias("i", "x"))
+    two = staged(firsts.select("c", "n", F.size("e").alias("size"), "x", F.explode(F.slice("e", F.col("i") + 2, F.size("e"))).alias("y")), "pairs")
+    of_two = two.join(two.groupBy("x", "y").agg(F.sum("n").alias("k")), ["x", "y"]).select("c", (-F.col("k")).alias("k"))
+    many = two.where("size >= 3")
+    met = many.select("c", "x", "y").join(many.select(F.col("c").alias("d"), "n", "x", "y"), ["x", "y"]).groupBy("c", "d", "n").agg(F.count("*").alias("pairs")).where("pairs >= 3")
+    shared = F.round((1 + F.sqrt(1 + 8 * F.col("pairs"))) / 2).cast("long")
+    of_more = met.select("c", (F.col("n") * ((shared - 1) * (shared - 2) / 2).cast("long")).alias("k"))
+    n = of_one.unionByName(of_two).unionByName(of_more).groupBy("c").agg((F.sum("k") - 1).alias("neighbours")).where("neighbours > 0")
+    members = sets.join(classes.select("e", "c"), "e").select("memory_id", "c")
+    return members.join(n, "c").select("memory_id", "neighbours", F.least(F.col("neighbours") * K.CONNECTIVITY_STEP, F.lit(K.CONNECTIVITY_CAP)).alias("bonus"))
 
 
 def connectivity_bonus(entities_by_memory: DataFrame) -> DataFrame:
