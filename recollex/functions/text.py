@@ -122,15 +122,21 @@ def normal_name(c: Column) -> Column:
 
 
 def sentiment(c: Column) -> Column:
-    """positive, negative or neutral: a positive word counts 1 for, negated 2 against; a negative word 1 against."""
-    pos, neg = F.lit(0), F.lit(0)
-    for w in K.POSITIVE:
-        negated = c.rlike(f"({K.NEGATION})\\s*{w}")
-        neg = neg + F.when(negated, 2).otherwise(0)
-        pos = pos + F.when(~negated & F.contains(c, F.lit(w)), 1).otherwise(0)
-    for w in K.NEGATIVE:
-        neg = neg + F.when(F.contains(c, F.lit(w)), 1).otherwise(0)
-    return F.when(pos > neg, "positive").when(neg > pos, "negative").otherwise("neutral")
+    """positive, negative or neutral: a positive word counts 1 for, negated 2 against; a negative word 1 against. Negations
+    and most words are of CJK characters, so a text without one is looked through for the other words alone; a negation is
+    looked for only before words that are there."""
+
+    def score(positive, negative, negated: bool) -> Column:
+        out = F.lit(0)
+        for w in positive:
+            out = out + F.when(F.contains(c, F.lit(w)), F.when(c.rlike(f"({K.NEGATION})\\s*{w}"), -2).otherwise(1) if negated else F.lit(1)).otherwise(0)
+        for w in negative:
+            out = out - F.when(F.contains(c, F.lit(w)), 1).otherwise(0)
+        return out
+
+    of_ascii = lambda words: [w for w in words if w.isascii()]
+    total = F.when(c.rlike(CJK), score(K.POSITIVE, K.NEGATIVE, True)).otherwise(score(of_ascii(K.POSITIVE), of_ascii(K.NEGATIVE), False))
+    return F.element_at(F.array(F.lit("negative"), F.lit("neutral"), F.lit("positive")), F.sign(total).cast("int") + 2)
 
 
 def correction_signals(c: Column) -> Column:

@@ -23,3 +23,24 @@ def test_connectivity_lists_no_neighbours(spark):
     n = {i: sum(1 for j in sets if j != i and sets[i] & sets[j]) for i in sets}
     assert {(x.memory_id, x.neighbours) for x in found.collect()} == {(i, k) for i, k in n.items() if k}
     assert not re.search(r"NOT \(memory_id#\d+L = memory_id#\d+L\)", _plan(found))  # memories don't meet one by one
+
+
+def test_sentiment_looks_for_negations_only_in_cjk_texts(spark):
+    r = random.Random(2)
+    parts = [*K.POSITIVE, *K.NEGATIVE, "不", "没", "别", "不要", "不用", " ", "\n", "x", "unlike", ""]
+    texts = ["".join(r.choices(parts, k=r.randint(0, 9))) for _ in range(400)] + ["good", "bad good", "", None]
+
+    def plain(t):
+        if t is None:
+            return "neutral"
+        pos = neg = 0
+        for w in K.POSITIVE:
+            negated = re.search(f"({K.NEGATION})[ \\t\\n\\r\\f\\v]*{w}", t)
+            neg += 2 if negated else 0
+            pos += not negated and w in t
+        neg += sum(w in t for w in K.NEGATIVE)
+        return "positive" if pos > neg else "negative" if neg > pos else "neutral"
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", text.sentiment(F.col("t")).alias("mood"))
+    assert dict(map(tuple, df.collect())) == {i: plain(t) for i, t in enumerate(texts)}
+    assert re.search(r"RLIKE\(t#\d+, ([^)]{1,12})", _plan(df)).group(1).startswith("[\\x{4e00}")
