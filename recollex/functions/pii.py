@@ -35,6 +35,14 @@ NEEDS = (
 )
 
 
+#: What every text that any rule matches holds; no rewrite makes runs of digits longer, so this is asked of the original text.
+_ANY_DIGITS, _ANY_KEY = r"\d(?:\d\d|\.\d)", NEEDS[-1][1]
+
+
+def _any(c: Column) -> Column:
+    return F.contains(c, F.lit("@")) | c.rlike(_ANY_DIGITS) | c.rlike(_ANY_KEY)
+
+
 def _matches(c: Column, i: int) -> Column:
     """Whether rule i matches. Most texts fail the cheap test, so that the rule's own pattern, with its neighbours and
     options, is rarely tried."""
@@ -64,16 +72,16 @@ def _rewrite(c: Column, i: int) -> Column:
     return F.regexp_replace(c, pattern, to)
 
 
-def _chain(rows: DataFrame, start: str, rules: range, tag: str, sparing: bool = False) -> tuple[DataFrame, str, list[Column]]:
-    """Columns of the text before each rule, so that each is computed once; the last one's name; labels in rule order.
-    If sparing, a text that a rule doesn't match is not rewritten; the plan then refers to each text more than once,
-    which joins above it would multiply, so this is for scans alone."""
+def _chain(rows: DataFrame, start: str, rules: range, tag: str) -> tuple[DataFrame, str, list[Column]]:
+    """Columns of the text before each rule, so that each is computed once; the last one's name; labels in rule order. A text
+    that a rule doesn't match is not rewritten, and one that holds nothing of what any rule needs (__any) meets no rule. The
+    plan refers to each text more than once, which joins above it would multiply, so this is for scans alone."""
     at, labels = start, []
     for i in rules:
-        hit, new = f"__{tag}hit{i}", _rewrite(F.col(at), i)
-        rows = rows.withColumn(hit, held(_matches(F.col(at), i)))
+        hit = f"__{tag}hit{i}"
+        rows = rows.withColumn(hit, held(F.col("__any") & _matches(F.col(at), i)))
         labels.append(F.when(F.col(hit), F.lit(RULES[i][2])))
-        rows = rows.withColumn(f"__{tag}{i}", held(F.when(F.col(hit), new).otherwise(F.col(at))) if sparing else new)
+        rows = rows.withColumn(f"__{tag}{i}", held(F.when(F.col(hit), _rewrite(F.col(at), i)).otherwise(F.col(at))))
         at = f"__{tag}{i}"
     return rows, at, labels
 
@@ -82,18 +90,38 @@ def _distinct(labels: list[Column]) -> Column:
     return F.array_distinct(F.filter(F.array(*labels), lambda x: x.isNotNull()))
 
 
+def _step(i: int):
+    """Rule i over a (text, labels). Keys are rewritten from a length on that has no label yet, so the last rule asks for its
+    cheap test alone."""
+    label, key = RULES[i][2], RULES[i][2] == "api_key"
+
+    def step(x: Column) -> Column:
+        hit, more = _matches(x["t"], i), F.array_append(x["l"], label)
+        new = F.struct(_rewrite(x["t"], i).alias("t"), (F.when(hit, more).otherwise(x["l"]) if key else more).alias("l"))
+        return F.when(x["t"].rlike(NEEDS[i][1]) if key else hit, new).otherwise(x)
+
+    return step
+
+
 def with_redaction(rows: DataFrame, body: str = "text") -> DataFrame:
-    """rows with redacted and redacted_types: all rules in order, each on what those before left."""
-    out, last, labels = _chain(rows, body, range(len(RULES)), "r")
-    return out.select(*rows.columns, held(F.col(last)).alias("redacted"), held(_distinct(labels)).alias("redacted_types"))
+    """rows with redacted and redacted_types: all rules in order, each on what those before left. The rules are steps over an
+    array of one (text, labels), which refer to each text once; a rule rewrites only what it matches, and a text that holds
+    nothing of what any rule needs is left as it is."""
+    none = F.array().cast("array<string>")
+    start = F.array(F.struct(F.col(body).alias("t"), none.alias("l")))
+    done = start
+    for i in range(len(RULES)):
+        done = F.transform(done, _step(i))
+    out = rows.withColumn("__r", held(F.element_at(F.when(_any(F.col(body)), done).otherwise(start), 1)))
+    return out.select(*rows.columns, F.col("__r.t").alias("redacted"), F.array_distinct("__r.l").alias("redacted_types"))
 
 
 def with_scan(rows: DataFrame, body: str = "text") -> DataFrame:
     """rows with types: the labels of the first list of rules and those of the second, which starts from the original
     text again. Within a list, each rule sees what those before left."""
     n = len(CN_RULES)
-    out, _, first = _chain(rows, body, range(n), "c", True)
-    out, _, second = _chain(out, body, range(n, len(RULES)), "e", True)
+    out, _, first = _chain(rows.withColumn("__any", held(_any(F.col(body)))), body, range(n), "c")
+    out, _, second = _chain(out, body, range(n, len(RULES)), "e")
     return out.select(*rows.columns, held(_distinct(first + second)).alias("types"))
 
 

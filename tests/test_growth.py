@@ -44,3 +44,21 @@ def test_sentiment_looks_for_negations_only_in_cjk_texts(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", text.sentiment(F.col("t")).alias("mood"))
     assert dict(map(tuple, df.collect())) == {i: plain(t) for i, t in enumerate(texts)}
     assert re.search(r"RLIKE\(t#\d+, ([^)]{1,12})", _plan(df)).group(1).startswith("[\\x{4e00}")
+
+
+def test_redaction_rewrites_only_what_a_rule_matches(spark):
+    r = random.Random(3)
+    parts = ["1", "12", "139", "0", "021", "1234", "5500005555555559", "78", " ", "-", ".", "+", "(", ")", "@", "a", "x", "X", "no.ra@posts.example", "sk-", "AKID", "ghp_0123456789zyxwvuts", "–", "\n"]
+    texts = ["".join(r.choices(parts, k=r.randint(0, 14))) for _ in range(3000)] + ["", None]
+    df = pii.with_redaction(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), "t")
+    both = df.select("i", "t", "redacted", "redacted_types", pii.redact(F.col("t")).alias("plain")).collect()
+    assert [x.redacted for x in both] == [x.plain for x in both]
+    steps = [F.struct(F.col("t").rlike(pii.RULES[0][0]).alias("0"))]  # each rule's label where it matches what those before left
+    c = F.col("t")
+    for i in range(1, len(pii.RULES)):
+        c = pii._rewrite(c, i - 1)
+        steps.append(F.struct(c.rlike(pii.RULES[i][0]).alias("0")))
+    hits = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select(F.array(*steps).alias("h")).collect()
+    want = [list(dict.fromkeys(pii.RULES[i][2] for i, x in enumerate(h.h) if x[0])) for h in hits]
+    assert [x.redacted_types for x in both] == want
+    assert "contains" in _plan(df).lower().split("regexp_replace")[0]  # what all rules need is asked first
