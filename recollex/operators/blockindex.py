@@ -20,6 +20,7 @@ from recollex import consts as K
 from recollex.functions import text
 from recollex.operators import index
 from recollex.sources import commits
+from recollex.staging import staged
 
 #: Memories of a range, about.
 RANGE_ROWS = 512
@@ -29,17 +30,20 @@ _NONE = "term string, range long, n long, max_tf long, min_dl int, postings arra
 
 
 def _blocks(postings: DataFrame, ranges: int) -> DataFrame:
-    p = postings.withColumn("range", F.pmod(F.xxhash64("memory_id"), F.lit(ranges)))
+    """Blocks sorted by term: postings are dealt by ranges of what they are grouped by, so they move once."""
+    p = postings.withColumn("range", F.pmod(F.xxhash64("memory_id"), F.lit(ranges))).repartitionByRange("term", "range")
     one = F.struct(F.col("memory_id").cast("long").alias("memory_id"), F.col("tf").cast("long").alias("tf"), F.col("dl").cast("int").alias("dl"))
     b = p.groupBy("term", "range").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.collect_list(one).alias("postings"))
-    return b.repartitionByRange("term", "range").sortWithinPartitions("term", "range")
+    return b.sortWithinPartitions("term", "range")
 
 
-def _postings(rows: DataFrame, body: str) -> DataFrame:
-    """term, memory_id, tf, dl of rows; the term '' has every memory, also one without words."""
-    rows = rows.withColumn(body, F.coalesce(body, F.lit("")))
-    every = rows.select(F.lit("").alias("term"), "memory_id", F.lit(0).cast("long").alias("tf"), F.size(text.tokens(F.col(body))).alias("dl"))
-    return index.postings(rows, body=body).unionByName(every)
+def _postings(rows: DataFrame, body: str) -> tuple[DataFrame, tuple[int, int]]:
+    """term, memory_id, tf, dl of rows, and how many memories and words they are; the term '' has every memory, also one
+    without words. The words are counted once and written, as the postings are read twice: for their ranges and to be dealt."""
+    c = staged(index.counted(rows, body=body), "words")
+    every = F.array(F.struct(F.lit("").alias("term"), F.lit(0).cast("long").alias("tf")))
+    p = c.select("memory_id", "dl", F.explode(F.concat(every, "words")).alias("w")).select("w.term", "memory_id", "w.tf", "dl")
+    return p, tuple(c.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first())
 
 
 def _totals(postings: DataFrame) -> tuple[int, int]:
@@ -50,8 +54,7 @@ def _totals(postings: DataFrame) -> tuple[int, int]:
 def build(rows: DataFrame, table: str, body: str = "summary", range_rows: int | None = None) -> int:
     """Writes the index of rows (memory_id, body) as a new version of the table. Null and empty texts count as memories
     without words; a memory_id is met once."""
-    p = _postings(rows, body)
-    n, words = _totals(p)
+    p, (n, words) = _postings(rows, body)
     ranges = max(1, n // (range_rows or RANGE_ROWS))
     return commits.write(_blocks(p, ranges), table, "overwrite", marks={"ranges": ranges, "n": n, "words": words})
 
@@ -60,19 +63,20 @@ def maintain(spark: SparkSession, table: str, changed: DataFrame, deleted: DataF
     """The index after rows (memory_id, body) were added or changed and others (memory_id) deleted, in one commit: blocks of
     ranges that aren't touched stay as they are, and only the changed texts are read. Anew if another writer came between."""
     stale = changed.select("memory_id").union(deleted.select("memory_id")).distinct()
+    fresh, more = _postings(changed, body)
     for last in range(attempts, 0, -1):
         now = commits.state(spark, table)
         blocks = commits.read(spark, table, now["version"] or None, _NONE)
         marks = {"ranges": 1, "n": 0, "words": 0} | now["marks"]
         touched = stale.select(F.pmod(F.xxhash64("memory_id"), F.lit(marks["ranges"])).alias("range")).distinct()
         old = blocks.join(touched, "range", "left_semi").select("term", F.explode("postings").alias("p")).select("term", "p.*")
-        fresh = _postings(changed, body)
-        less, more = _totals(old.join(stale, "memory_id", "left_semi")), _totals(fresh)
+        less = _totals(old.join(stale, "memory_id", "left_semi"))
         new = _blocks(old.join(stale, "memory_id", "left_anti").unionByName(fresh), marks["ranges"])
-        new = blocks.join(touched, "range", "left_anti").select(*new.columns).unionByName(new)
+        rest = blocks.join(touched, "range", "left_anti").select(*new.columns)
+        new = new.unionByName(rest.repartitionByRange("term", "range").sortWithinPartitions("term", "range"))
         marks |= {"n": marks["n"] - less[0] + more[0], "words": marks["words"] - less[1] + more[1]}
         try:
-            return commits.write(new.repartitionByRange("term", "range").sortWithinPartitions("term", "range"), table, "overwrite", base=now["version"], marks=marks)
+            return commits.write(new, table, "overwrite", base=now["version"], marks=marks)
         except commits.Conflict:
             if last == 1:
                 raise

@@ -10,11 +10,18 @@ from recollex.functions import text
 from recollex.operators import retrieval
 
 
+def counted(rows: DataFrame, id_col: str = "memory_id", body: str = "summary") -> DataFrame:
+    """memory_id, dl and words, an array of (term, tf), of every row: a row's words are sorted and counted in place."""
+    t = rows.select(F.col(id_col).alias("memory_id"), text.held(F.sort_array(text.tokens(F.coalesce(body, F.lit(""))))).alias("t"))
+    first = F.filter(F.sequence(F.lit(1), F.size("t")), lambda i: ~F.get("t", i - 1).eqNullSafe(F.get("t", i - 2)))
+    t = t.withColumn("s", text.held(F.when(F.size("t") > 0, first).otherwise(F.array().cast("array<int>"))))
+    word = lambda a, z: F.struct(F.get("t", a - 1).alias("term"), (F.coalesce(z, F.size("t") + 1) - a).cast("long").alias("tf"))
+    return t.select("memory_id", F.size("t").alias("dl"), F.zip_with("s", F.slice("s", F.lit(2), F.size("t") + 1), word).alias("words"))
+
+
 def postings(rows: DataFrame, id_col: str = "memory_id", body: str = "summary") -> DataFrame:
     """term, memory_id, tf, dl of every distinct word of rows: what the index stores, best clustered by term."""
-    t = rows.select(F.col(id_col).alias("memory_id"), text.held(text.tokens(F.col(body))).alias("t"))
-    words = t.select("memory_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    return words.groupBy("term", "memory_id", "dl").agg(F.count("*").alias("tf")).select("term", "memory_id", "tf", "dl")
+    return counted(rows, id_col, body).select("memory_id", "dl", F.explode("words").alias("w")).select("w.term", "memory_id", "w.tf", "dl")
 
 
 def lookup(index: DataFrame, totals: DataFrame, query: str, most: int | None = None) -> DataFrame:

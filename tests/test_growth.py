@@ -62,3 +62,13 @@ def test_redaction_rewrites_only_what_a_rule_matches(spark):
     want = [list(dict.fromkeys(pii.RULES[i][2] for i, x in enumerate(h.h) if x[0])) for h in hits]
     assert [x.redacted_types for x in both] == want
     assert "contains" in _plan(df).lower().split("regexp_replace")[0]  # what all rules need is asked first
+
+
+def test_postings_move_once(spark):
+    texts = ["b a b", "", None, "a", "ÄB 上海 b上", "b " * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "memory_id long, summary string")
+    p = index.postings(df)
+    want = {(t, i, w.count(t), len(w)) for i, s in enumerate(texts) for w in [re.findall("[一-鿿]|[a-z0-9]+", (s or "").lower())] for t in w}
+    assert {tuple(x) for x in p.collect()} == want and p.count() == len(want)
+    assert "Exchange" not in _plan(p, "executedPlan")
+    assert _plan(blockindex._blocks(p, 2), "executedPlan").count("Exchange") == 1
