@@ -13,28 +13,40 @@ from recollex.functions import text
 
 #: What a text must hold for a pattern without CJK characters to match: by the pattern's place from the end.
 _NEEDS = (("is",), ("work",), ("uses",), ("likes", "loves", "prefers"), ("created",), ("live", "based"), ("own", "manage"), ("know",))
+#: The first run of such a pattern, and the same without steps back: what follows is a space, so no shorter run fits.
+_RUN, _WHOLE_RUN = r"(\S{2,20})\s+", r"(\S{2,20}+)\s++"
 _TRIPLES = "array<struct<seq:int,source:string,relation:string,target:string>>"
 
 
 def triples(c: Column) -> Column:
     """Array of (seq, source, relation, target) in pattern order; skip words drop a triple. Patterns start with a run of
-    any characters, which is slow to search for, so each is tried only on texts that hold what it needs."""
+    any characters, which is slow to search for, so each is tried only on texts that hold what it needs: a word and, but
+    for CJK patterns, what stands between the two runs. Their groups are read from the matches, which end where the last
+    run does, so the text is searched once."""
     none, low, out = F.array().cast(_TRIPLES), F.lower(c), []
-    for i, (pattern, relation) in enumerate(K.TRIPLE_PATTERNS):
+    first = len(K.TRIPLE_PATTERNS) - len(_NEEDS)
+    for i, (pattern, relation) in enumerate(K.TRIPLE_PATTERNS[:first]):
         p = "(?i)" + pattern
         pairs = F.arrays_zip(text.find_all(c, p, 1).alias("s"), text.find_all(c, p, 2).alias("t"))
         out.append(F.transform(pairs, _triple(i, relation)))
-    first = len(out) - len(_NEEDS)
-    parts = [F.when(c.rlike(text.CJK), F.flatten(F.array(*out[:first]))).otherwise(none)]
-    for needs, found in zip(_NEEDS, out[first:], strict=True):
+    parts = [F.when(c.rlike(text.CJK), F.flatten(F.array(*out))).otherwise(none)]
+    for i, needs in enumerate(_NEEDS, first):
+        pattern, relation = K.TRIPLE_PATTERNS[i]
         holds = F.lit(False)
         for w in needs:
             holds = holds | F.contains(low, F.lit(w))
-        parts.append(F.when(holds, found).otherwise(none))
+        between = "(?i)" + pattern.replace(_RUN, r"\s").rpartition("(")[0]
+        p = "(?i)" + pattern.replace(_RUN, _WHOLE_RUN)
+        found = F.transform(text.find_all(c, p), _groups(p))
+        parts.append(F.when(holds & c.rlike(between), F.transform(found, _triple(i, relation))).otherwise(none))
     skip = text.constant_list(K.TRIPLE_SKIP)
     return F.filter(F.flatten(F.array(*parts)), lambda x: ~F.array_contains(skip, F.lower(x["source"])) & ~F.array_contains(skip, F.lower(x["target"])))
 
 
+def _groups(pattern: str):
+    return lambda m: F.struct(F.regexp_extract(m, pattern, 1).alias("s"), F.regexp_extract(m, pattern, 2).alias("t"))
+
+
 def _triple(seq: int, relation: str):
     return lambda x: F.struct(F.lit(seq).alias("seq"), F.trim(x["s"]).alias("source"), F.lit(relation).alias("relation"), F.trim(x["t"]).alias("target"))
 

@@ -10,6 +10,7 @@ from recollex.operators import asof
 from recollex.operators import kg as G
 from recollex.plans import sqltext as S
 from recollex.plans.register import register
+from recollex.staging import staged
 from recollex.tables import MEMORIES_SQL, memories, quoted, table, texts, texts_sql
 
 QUERIES, ORACLE_SQL, query = register()
@@ -97,7 +98,8 @@ _FOUND = f"{_TRI}, d AS (SELECT doc_id, TIMESTAMP '2024-01-01 00:00:00' + to_hou
 def _found(spark, sf_dir):
     t = _triples(spark, sf_dir)
     m = memories(spark, sf_dir).select(F.lit("documents").alias("src"), F.col("memory_id").alias("id"), "ts")
-    return t.join(m, ["src", "id"], "left").select("source", "relation", "target", F.coalesce("ts", F.lit("2024-01-01").cast("timestamp_ntz")).alias("ts"))
+    found = t.join(m, ["src", "id"], "left").select("source", "relation", "target", F.coalesce("ts", F.lit("2024-01-01").cast("timestamp_ntz")).alias("ts"))
+    return staged(found, "found")  # each user reads it more than once, the texts are searched once
 
 
 _NAME = r"regexp_replace(lower(trim({0})), '[^\p{{L}}\p{{N}}_\x{{4e00}}-\x{{9fff}}]', '', 'g')"

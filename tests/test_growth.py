@@ -72,3 +72,16 @@ def test_postings_move_once(spark):
     assert {tuple(x) for x in p.collect()} == want and p.count() == len(want)
     assert "Exchange" not in _plan(p, "executedPlan")
     assert _plan(blockindex._blocks(p, 2), "executedPlan").count("Exchange") == 1
+
+
+def test_triples_are_searched_where_the_words_between_are(spark):
+    r = random.Random(4)
+    parts = ["is", "Is", "a", "an", "works", "at", "for", "uses", "likes", "created", "lives in", "is based in", "own", "manages", "knows", "the", "Bob", "x", "a" * 25, "this", "é", "李娜喜欢绿茶。", "\t", "."]
+    texts = [" ".join(r.choices(parts, k=r.randint(0, 14))) for _ in range(1500)] + ["", "x" * 30 + " is an " + "y" * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    plain = F.flatten(F.array(*[F.transform(F.arrays_zip(text.find_all(F.col("text"), "(?i)" + p, 1).alias("s"), text.find_all(F.col("text"), "(?i)" + p, 2).alias("t")), kg._triple(i, rel)) for i, (p, rel) in enumerate(K.TRIPLE_PATTERNS)]))
+    keep = lambda x: ~F.lower(x["source"]).isin(*K.TRIPLE_SKIP) & ~F.lower(x["target"]).isin(*K.TRIPLE_SKIP)
+    want = df.select("id", F.explode(F.filter(plain, keep)).alias("x")).select("id", "x.*").collect()
+    found = kg.extract_triples(df)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want)) and len(want) > 500
+    assert "\\sis\\s+(?:a|an)\\s+)" in _plan(found).replace("(?i)", "")
