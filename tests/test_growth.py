@@ -85,3 +85,12 @@ def test_triples_are_searched_where_the_words_between_are(spark):
     found = kg.extract_triples(df)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want)) and len(want) > 500
     assert "\\sis\\s+(?:a|an)\\s+)" in _plan(found).replace("(?i)", "")
+
+
+def test_phrases_are_found_in_parts_of_a_batch(spark, monkeypatch):
+    monkeypatch.setattr(automaton, "SLAB", 40)
+    b = pa.array(["x" * 30, None, "y" * 100, "", "z"])
+    assert [p.to_pylist() for p in automaton._parts(b)] == [["x" * 30, None], ["y" * 100], ["", "z"]] and [len(p) for p in automaton._parts(b[:0])] == [0]
+    df = spark.createDataFrame([("he said she",), (None,), ("上海",), ("",)], "t string").coalesce(1)
+    found = df.select(automaton.held_phrases(F.col("t"), [(3, "she"), (1, "he"), (5, "海")]).alias("p")).collect()
+    assert [x.p for x in found] == [[1, 3], [], [5], []]
