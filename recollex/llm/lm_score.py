@@ -34,6 +34,8 @@ HOT_WORDS, HOT_ARCS = 500_000, 1_000_000
 BITS_PER_KEY = 8
 #: Bytes of text that a worker counts and scores at once, and that fill a bucket.
 PART, SCORED_PART, BUCKET_BYTES = 8 << 20, 2 << 20, 16 << 20
+#: Bytes of keys that are looked up at once.
+ASKED_BYTES = 8 << 20
 #: Texts are scored in so many waves, so that the keys to look up take disk for one of them at a time.
 WAVES = 2
 #: The end token's hash.
@@ -157,13 +159,19 @@ def _blocks(level: int, buckets: int, total: int, model):
                     bucket[large] = (bucket[large] + (key[large] % several).astype(np.int32)) % buckets
                 order = np.argsort(bucket.astype(np.uint64) << np.uint64(40) | hist >> np.uint64(24))  # equal histories side by side shrink
                 hist, low, n, bucket = hist[order], low[order], n[order], bucket[order]
-            edge = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket)).tolist()
-            for s, e in zip(edge[:-1], edge[1:], strict=True):
-                yield pa.record_batch([pa.array([int(bucket[s])], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (hist[s:e], low[s:e], n[s:e].astype(np.uint32)))], ["bucket", "hist", "low", "n"])
+            edge = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+            yield pa.record_batch([pa.array(bucket[edge[:-1]], pa.int32()), *(_cut(x, edge if len(x) else 0 * edge) for x in (hist, low, n.astype(np.uint32)))], ["bucket", "hist", "low", "n"])
 
     return run
 
 
+def _cut(values: np.ndarray, edge: np.ndarray) -> pa.Array:
+    """Blocks of values between neighbouring edges as one column: a part has a block for each bucket, so that what a block
+    costs grows with parts times buckets."""
+    values = np.ascontiguousarray(values)
+    return pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer((edge * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+
 def _runs(tokens: np.ndarray, at: np.ndarray, level: int, kept) -> tuple[np.ndarray, np.ndarray]:
     """hist and low of the runs of `level` tokens within a text whose runs of level - 1 pass the filter of kept ones."""
     going = np.ones(len(tokens), bool)
@@ -346,9 +354,8 @@ def _packed_blocks(batches, buckets: int):
     base = np.zeros(0) if t.column("base").null_count else t.column("base").to_numpy()[order]
     key, score = key[order], t.column("score").to_numpy()[order]
     bucket = _bucket(key, buckets)
-    edge = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket)).tolist()
-    for s, e in zip(edge[:-1], edge[1:], strict=True):
-        yield pa.record_batch([pa.array([int(bucket[s])], pa.int32()), *(pa.array([x[s:e].tobytes()], pa.binary()) for x in (key, base, score))], ["bucket", "k", "base", "score"])
+    edge = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+    yield pa.record_batch([pa.array(bucket[edge[:-1]], pa.int32()), *(_cut(x, edge if len(x) else 0 * edge) for x in (key, base, score))], ["bucket", "k", "base", "score"])
 
 
 # ---- scores
@@ -375,12 +382,12 @@ def _score(model, buckets: int):
             order = np.argsort(keys)
             keys, docs = keys[order], (np.searchsorted(at, places[order], side="right") - 1).astype(np.uint32)
             bucket = _bucket(keys, buckets)
-            edge = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket)).tolist()
-            for s, e in zip(edge[:-1], edge[1:], strict=True):
-                yield pa.record_batch([
-                    pa.array([part]), none(pa.int32(), 1), none(pa.int64(), 1), none(pa.bool_(), 1), none(pa.int64(), 1), none(pa.int64(), 1), none(pa.float64(), 1), none(pa.float64(), 1),
-                    pa.array([int(bucket[s])], pa.int32()), pa.array([keys[s:e].tobytes()], pa.binary()), pa.array([docs[s:e].tobytes()], pa.binary()),
-                ], _NAMES)
+            edge = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+            n = len(edge) - 1
+            yield pa.record_batch([
+                pa.array(np.full(n, part)), none(pa.int32(), n), none(pa.int64(), n), none(pa.bool_(), n), none(pa.int64(), n), none(pa.int64(), n), none(pa.float64(), n), none(pa.float64(), n),
+                pa.array(bucket[edge[:-1]], pa.int32()), _cut(keys, edge), _cut(docs, edge),
+            ], _NAMES)
 
     return run
 
@@ -392,16 +399,32 @@ def _look(asked: pa.Table, known: pa.Table) -> pa.Table:
     word = np.concatenate([np.zeros(0), *(np.full(n, float(len(b) > 0)) for b, n in zip(base, sizes, strict=True))])
     base = np.concatenate([np.zeros(0), *(b if len(b) else np.zeros(n) for b, n in zip(base, sizes, strict=True))])
     table = _Table(_whole(known.column("k")), base, _whole(known.column("score"), np.float64), word)
-    out = []
-    for part, keys, docs in zip(asked.column("part").to_pylist(), asked.column("keys"), asked.column("docs"), strict=True):
-        at = table.find(np.frombuffer(keys.as_buffer(), np.uint64))
-        hit = at >= 0
-        docs, which = np.unique(np.frombuffer(docs.as_buffer(), np.uint32)[hit], return_inverse=True)
-        base, score, n = (np.bincount(which, weights=v[at[hit]], minlength=len(docs)) for v in table.values)
-        if len(docs):
-            out.append((part, docs.tobytes(), base.tobytes(), score.tobytes(), n.astype(np.uint32).tobytes()))
-    cols = list(zip(*out, strict=True)) or [()] * 5
-    return pa.table([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["part", "docs", "base", "score", "known"])
+    out = [_found_in(table, asked.slice(a, z - a)) for a, z in _spans(asked.column("keys"))]
+    return pa.concat_tables(out) if out else _found_in(table, asked)
+
+
+def _spans(column: pa.ChunkedArray, limit: int = ASKED_BYTES):
+    """Ranges of rows with about limit bytes."""
+    ends = np.cumsum(np.array([len(x.as_buffer()) for x in column], np.int64))
+    a = 0
+    while a < len(ends):
+        z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit, side="right")))
+        yield a, z
+        a = z
+
+
+def _found_in(table: _Table, asked: pa.Table) -> pa.Table:
+    """What rows of one bucket find, a row for each part that finds something; all rows' keys are looked up together."""
+    at = table.find(_whole(asked.column("keys")))
+    sizes = np.array([len(x.as_buffer()) // 8 for x in asked.column("keys")], np.int64)
+    hit = np.flatnonzero(at >= 0)
+    doc = (np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes) << np.uint64(32) | _whole(asked.column("docs"), np.uint32).astype(np.uint64))[hit]
+    doc, which = np.unique(doc, return_inverse=True)
+    base, score, n = (np.bincount(which, weights=v[at[hit]], minlength=len(doc)) for v in table.values)
+    row = (doc >> np.uint64(32)).astype(np.int64)
+    edge = np.append(np.flatnonzero(np.diff(row, prepend=-1)), len(row))
+    cut = [_cut(x, edge) for x in (doc.astype(np.uint32), base.astype(float), score.astype(float), n.astype(np.uint32))]
+    return pa.table([pa.array(asked.column("part").to_numpy()[row[edge[:-1]]], pa.int64()), *cut], names=["part", "docs", "base", "score", "known"])
 
 
 def _added(rows: pa.Table, more: pa.Table) -> pa.Table:
