@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from recollex import consts as K
@@ -13,15 +14,17 @@ from recollex.tables import FIXTURES_SQL, fixtures, quoted, table, texts, texts_
 
 QUERIES, ORACLE_SQL, query = register()
 
-#: Notes: documents' summaries, a third of them praised and a third blamed, so that moods meet.
-_NOTES = f"""n0 AS (SELECT doc_id AS id, CAST(DATE '2024-01-01' + CAST(doc_id % 30 AS INTEGER) AS DATE) AS day, substr(text, 1, 500) || CASE doc_id % 3 WHEN 0 THEN ' I like it' WHEN 1 THEN ' it is bad' ELSE '' END AS t FROM documents),
+#: Notes: documents, a third of them praised and a third blamed, so that moods meet.
+_NOTES = f"""n0 AS (SELECT doc_id AS id, CAST(DATE '2024-01-01' + CAST(doc_id % 30 AS INTEGER) AS DATE) AS day, text || CASE doc_id % 3 WHEN 0 THEN ' I like it' WHEN 1 THEN ' it is bad' ELSE '' END AS t FROM documents),
 notes AS (SELECT id, day, {S.topics('t')} AS topics, {S.sentiment('t')} AS mood FROM n0)"""
+#: Notes of documents' summaries.
+_HEADS = _NOTES.replace("text || CASE", "substr(text, 1, 500) || CASE")
 
 
-def _notes(spark, sf_dir):
+def _notes(spark, sf_dir, body: Column | str = "text"):
     d = table(spark, sf_dir, "documents")
     tail = F.when(F.col("doc_id") % 3 == 0, " I like it").when(F.col("doc_id") % 3 == 1, " it is bad").otherwise("")
-    n = d.select(F.col("doc_id").alias("id"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")).alias("day"), F.concat(F.substring("text", 1, 500), tail).alias("t"))
+    n = d.select(F.col("doc_id").alias("id"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")).alias("day"), F.concat(body, tail).alias("t"))
     return n.select("id", "day", text.topics(F.col("t")).alias("topics"), text.sentiment(F.col("t")).alias("mood"))
 
 
@@ -31,9 +34,9 @@ def contradictions(spark, sf_dir):
     return c.withColumns({"day_a": F.col("day_a").cast("string"), "day_b": F.col("day_b").cast("string")})
 
 
-@query("connections", f"WITH {_NOTES}, x AS (SELECT day, unnest(topics) AS topic FROM notes) SELECT topic, count(*) AS mentions, count(DISTINCT day) AS days, CAST(max(day) - min(day) AS BIGINT) AS span FROM x GROUP BY topic HAVING count(DISTINCT day) >= 2 ORDER BY days DESC, mentions DESC, topic LIMIT 5")
+@query("connections", f"WITH {_HEADS}, x AS (SELECT day, unnest(topics) AS topic FROM notes) SELECT topic, count(*) AS mentions, count(DISTINCT day) AS days, CAST(max(day) - min(day) AS BIGINT) AS span FROM x GROUP BY topic HAVING count(DISTINCT day) >= 2 ORDER BY days DESC, mentions DESC, topic LIMIT 5")
 def connections(spark, sf_dir):
-    return R.connections(_notes(spark, sf_dir)).orderBy(F.desc("days"), F.desc("mentions"), "topic").limit(5)
+    return R.connections(_notes(spark, sf_dir, F.substring("text", 1, 500))).orderBy(F.desc("days"), F.desc("mentions"), "topic").limit(5)
 
 
 @query("topics", f"WITH {texts_sql('documents', 'conversations')} SELECT src, id, array_to_string({S.topics('text')}, '|') AS topics FROM texts")
