@@ -90,12 +90,19 @@ def cjk_topics(c: Column) -> Column:
 def topics(c: Column, most: int = 20) -> Column:
     """Topics for reflection: quoted terms, proper names of one to three words, terms of CJK runs and ASCII words of three
     letters and more (word borders as in ASCII, a vertical tab is no space); sorted, so that the cap of `most` is the same in
-    every run. A null text has none."""
+    every run. A null text has none.
+
+    Capitals sort before small letters and all other scripts, so a text with `most` topics before those needs no further
+    look: its words aren't split and its CJK runs aren't looked for."""
     c = F.coalesce(c, F.lit(""))
     quoted = F.transform(find_all(c, "[“”「」\"]([^“”「」\"]{2,20})[“”「」\"]", 1), trimmed)
     names = find_all(c, r"(?<!\w)[A-Z][a-z]+(?:[\t\n\f\r ]+[A-Z][a-z]+){0,2}(?!\w)")
-    words = F.filter(F.array_distinct(F.split(c, "[^A-Za-z0-9_]+")), lambda w: (F.length(w) >= 3) & w.rlike("^[A-Za-z]{2,}[0-9]{0,2}$") & ~F.lower(w).isin("the", "and", "for", "was", "are", "not", "you"))
-    return F.slice(F.array_sort(F.filter(F.array_distinct(F.concat(quoted, names, cjk_topics(c), words)), lambda e: F.length(e) >= 2)), 1, most)
+    word = lambda w: (F.length(w) >= 3) & w.rlike("^[A-Za-z]{2,}[0-9]{0,2}$") & ~F.lower(w).isin("the", "and", "for", "was", "are", "not", "you")
+    capital = find_all(c, r"[A-Z](?<!\w.)[A-Za-z]+[0-9]{0,2}(?!\w)")
+    first = F.filter(F.array_distinct(F.concat(F.filter(quoted, lambda e: e < "a"), names, F.filter(F.array_distinct(capital), word))), lambda e: F.length(e) >= 2)
+    words = F.filter(F.array_distinct(F.split(c, "[^A-Za-z0-9_]+")), word)
+    all_ = F.filter(F.array_distinct(F.concat(quoted, names, cjk_topics(c), words)), lambda e: F.length(e) >= 2)
+    return F.transform(F.array(first), lambda f: F.slice(F.sort_array(F.when(F.size(f) >= most, f).otherwise(all_)), 1, most))[0]
 
 
 def trigram_buckets(c: Column) -> Column:

@@ -1,9 +1,12 @@
 """Notes are read to their ends: what stands behind a long beginning counts."""
 
+import datetime as dt
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from recollex.operators import reflection
 from recollex.plans import reflection as plans
 from tests.oracle import check
 
@@ -23,3 +26,11 @@ def test_contradictions_of_whole_texts(spark, long_texts):
 def test_report_of_whole_texts(spark, long_texts):
     assert {r.line.split(":")[0] for r in plans.reflection_report(spark, long_texts).where("kind = 'conflict'").collect()} == {"Alpha", "Beta"}
     check(spark, long_texts, plans.QUERIES["reflection_report"], plans.ORACLE_SQL["reflection_report"])
+
+
+def test_report_computes_notes_once(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(reflection, "staged", lambda df, name, f=reflection.staged: names.append(name) or f(df, name))
+    notes = spark.createDataFrame([(i, dt.date(2024, 1, 1 + i % 4), ["A", "B"], ["positive", "negative"][i % 2]) for i in range(9)], "id long, day date, topics array<string>, mood string")
+    lines = reflection.report(notes)
+    assert names[0] == "notes" and ("summary", "4 conflicts, 2 links") in {(r.kind, r.line) for r in lines.collect()}
